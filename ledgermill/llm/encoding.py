@@ -10,13 +10,15 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Segments kept in a worker's memory, the longest that is kept, and how many new ones are encoded as one text.
-MOST_KEPT, LONGEST_KEPT, TOGETHER = 400_000, 40, 256
+MOST_KEPT, LONGEST_KEPT, TOGETHER = 800_000, 40, 256
 #: Between new segments; its id marks their ends.
 MARK = "\0"
 #: In place of a segment's ids: its text must be encoded whole.
-WHOLE = "whole"
+WHOLE = b"whole"
 
 
 class Encoder:
@@ -37,7 +39,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes | str] = {}
+        self.kept: dict[str, bytes] = {}
         marks = self.tokenizer.encode(f"a {MARK} a", add_special_tokens=False).ids
         #: Without a normaliser, tokens spell the bytes of the text, and their lengths show where a segment ends.
         self.lengths = None
@@ -75,33 +77,61 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of self.dtype; null and empty texts have none."""
-        if len(self.kept) > MOST_KEPT:
-            self.kept.clear()
-        kept, lists, new = self.kept, [], set()
-        get = kept.get
-        for text in texts:
-            segments = (text or "").split(" ")
-            segments[0] = MARK + segments[0]  # no space before it: apart from the same word after a space
-            got = list(map(get, segments))
-            lists.append((segments, got))
-            if None in got:
-                new.update([s for s, x in zip(segments, got) if x is None])
-        new.discard(MARK)
-        own: dict[str, bytes | str] = {MARK: b""}
-        own.update((s, WHOLE) for s in new if not s or s[0].isspace())
-        first = [s for s in new if s[:1] == MARK]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column in a row, and where each text's begin (one more entry: the end). Null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring(texts, f" {MARK}").to_numpy(zero_copy_only=False)
+        # the first segment has no space before it: MARK keeps it apart from the same word after a space
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), texts, pa.scalar("", pa.large_string())), " ")
+        bounds = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        at, segments = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        found = self._lookup(segments)
+        whole = [i for i, x in enumerate(found) if x is WHOLE]
+        for i in whole:
+            found[i] = b""
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        pool, begin = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(begin[at] - ends[:-1], each) + np.arange(ends[-1])]
+        offsets = ends[bounds]
+        if whole or odd.any():
+            flags = np.zeros(len(found) + 1, bool)
+            flags[whole] = True
+            marked = np.concatenate([[0], np.cumsum(flags[at])])
+            again = np.flatnonzero(odd | (marked[bounds[1:]] > marked[bounds[:-1]]))
+            parts = np.split(ids, offsets[1:-1])
+            for i, raw in zip(again.tolist(), self._ids(texts.take(pa.array(again)).to_pylist()), strict=True):
+                parts[i] = np.frombuffer(raw, self.dtype)
+            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, offsets
+
+    def _lookup(self, segments: list[str]) -> list[bytes]:
+        kept = self.kept
+        found = list(map(kept.get, segments))
+        new = [s for s, x in zip(segments, found) if x is None]
+        if not new:
+            return found
+        own: dict[str, bytes] = {s: WHOLE for s in new if not s or s[0].isspace()}
+        own[MARK] = b""
+        first = [s for s in new if s[:1] == MARK and len(s) > 1]
         rest = [s for s in new if s not in own and s[0] != MARK]
         own.update(zip(first, self._ids([s[1:] for s in first]), strict=True))
         own.update(zip(rest, self._several([" " + s for s in rest]), strict=True))
+        if len(kept) + len(own) > MOST_KEPT:
+            kept.clear()
         kept.update((s, x) for s, x in own.items() if len(s) <= LONGEST_KEPT)
-        out: list[bytes] = []
-        for text, (segments, got) in zip(texts, lists, strict=True):
-            if None in got:
-                got = [own[s] if x is None else x for s, x in zip(segments, got)]
-            try:
-                out.append(b"".join(got))
-            except TypeError:  # a segment marked WHOLE: white space beside a space
-                out.append(self._ids([text])[0])
-        return out
+        return [own[s] if x is None else x for s, x in zip(segments, found)]
+
+
+def portions(texts: pa.Array, most: int = 8_000_000) -> list[tuple[int, int]]:
+    """Row ranges of a text column of at most so many bytes each, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    out, start, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            out.append((start, i))
+            start, held = i, 0
+        held += n
+    return [*out, (start, len(sizes))] if len(sizes) else []
