@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality_rules, token_file
+from . import exact_dedup, mixing, packing, quality_rules, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = mixing.mix(_table(spark, sf_dir, "documents"), budget_share=1.0, entropy=0.95, repeats=2.0, seed="mix")
+    return used.select("doc_id", "source", "epoch", "block", "stream_offset", "n_tokens", F.round("weight", 9).alias("weight"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_file": op7_token_file,
     "op8_packing": op8_packing,
+    "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -52,4 +59,50 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op9_mixing": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, coalesce('=' || source, '-') AS s, md5('mix|' || coalesce(doc_id::VARCHAR, '-')) AS h,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+            FROM documents
+        ), totals AS (
+            SELECT s, sum(n_tokens)::BIGINT AS tokens, count(*) AS n_docs FROM d GROUP BY s
+        ), shares AS (
+            SELECT s, tokens::DOUBLE / sum(tokens) OVER () AS p, sum(tokens) OVER ()::DOUBLE AS total FROM totals
+        ), halving AS (
+            SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS rlo, 1.0::DOUBLE AS rhi
+            UNION ALL
+            SELECT i + 1,
+                   CASE WHEN entropy >= 0.95 * ln(n) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN entropy >= 0.95 * ln(n) THEN hi ELSE (lo + hi) / 2 END,
+                   CASE WHEN most > 2 THEN (rlo + rhi) / 2 ELSE rlo END, CASE WHEN most > 2 THEN rhi ELSE (rlo + rhi) / 2 END
+            FROM (
+                SELECT i, lo, hi, rlo, rhi, count(*) AS n,
+                       ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) AS entropy,
+                       max(pow(p, (rlo + rhi) / 2 - 1)) / sum(pow(p, (rlo + rhi) / 2)) AS most
+                FROM halving, shares WHERE i < 40 AND p > 0 GROUP BY i, lo, hi, rlo, rhi
+            )
+        ), ends AS (
+            SELECT max(lo) AS lo, max(rhi) AS hi FROM halving WHERE i = 40
+        ), exponent AS (
+            SELECT greatest(CASE WHEN -sum(p * ln(p)) >= 0.95 * ln(count(*)) THEN 1.0 ELSE max(lo) END,
+                            CASE WHEN max(1 / p) / count(*) <= 2 THEN 0.0 ELSE max(hi) END) AS a
+            FROM shares, ends WHERE p > 0
+        ), weighted AS (
+            SELECT s, tokens, n_docs, CASE WHEN p > 0 THEN pow(p, a) / sum(CASE WHEN p > 0 THEN pow(p, a) ELSE 0 END) OVER () ELSE 0 END AS weight, total
+            FROM totals JOIN shares USING (s), exponent
+        ), quotas AS (
+            SELECT *, round(weight * total) AS quota FROM weighted
+        ), placed AS (
+            SELECT d.*, weight, quota, tokens, ('0x' || substr(h, 1, 8))::BIGINT % ceil(n_docs / 1000)::BIGINT AS block FROM d JOIN quotas USING (s)
+        ), epochs AS (
+            SELECT s, block, size, tokens, quota, unnest(range(0, coalesce(floor(quota / nullif(tokens, 0)), 0)::BIGINT + 1)) AS epoch
+            FROM (SELECT s, block, sum(n_tokens)::BIGINT AS size, any_value(tokens) AS tokens, any_value(quota) AS quota FROM placed GROUP BY s, block)
+        ), streams AS (
+            SELECT s, block, epoch, (epoch * tokens + coalesce(sum(size) OVER (PARTITION BY s, epoch ORDER BY md5('mix|' || s || '|' || block || '|' || epoch), block
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS block_offset
+            FROM epochs
+        ), within AS (
+            SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY s, block ORDER BY h, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM placed
+        )
+        SELECT doc_id, source, epoch::INTEGER AS epoch, block, block_offset + before AS stream_offset, n_tokens, round(weight, 9) AS weight
+        FROM within JOIN streams USING (s, block) WHERE block_offset + before + n_tokens <= quota""",
 }
