@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import fields, pieces_for, save
 from .encoding import Encoder, portions
 
-SCALE, BLOCK, LANES, SHARD_MB = 20, 65_536, 32, 4.0
+SCALE, BLOCK, LANES, SHARD_MB = 18, 65_536, 32, 4.0
 LOW = np.uint64(1 << 31)
 NONE = -(1 << 63)
 SCHEMA = "shard int, n_ids long, vocabulary int, table binary, doc_ids binary, lengths binary, offsets binary, states binary, crcs binary, words binary"
@@ -91,17 +91,16 @@ def decode_blocks(freq: np.ndarray, offsets: np.ndarray, states: np.ndarray, wor
     blocks, steps = last - first, size // LANES
     f64 = freq.astype(np.uint64)
     cum = np.cumsum(f64) - f64
-    symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
-    # for each slot: its id's frequency, and the slot's place within the id's range
-    f_of, rest = f64[symbol], np.arange(1 << SCALE, dtype=np.uint64) - cum[symbol]
+    symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)  # of each slot
     state, at = states[first:last].copy(), offsets[first:last].astype(np.int64)[:, None]
     words = np.append(words, np.uint32(0)).astype(np.uint64)
     out = np.empty((steps, blocks, LANES), np.uint32)
     mask, shift, scale = np.uint64((1 << SCALE) - 1), np.uint64(32), np.uint64(SCALE)
     for t in range(steps):
-        slot = (state & mask).astype(np.int64)
-        out[t] = symbol[slot]
-        state = f_of[slot] * (state >> scale) + rest[slot]
+        slot = state & mask
+        s = symbol[slot.astype(np.int64)]
+        out[t] = s
+        state = f64[s] * (state >> scale) + slot - cum[s]
         low = state < LOW
         rank = np.cumsum(low, axis=1)
         state = np.where(low, (state << shift) | words[np.where(low, at + rank - 1, -1)], state)
