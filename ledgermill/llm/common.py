@@ -5,11 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,41 +74,3 @@ def crc_of_id(col: str = "doc_id") -> F.Column:
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, in this order: columns beside them, whatever their names, have no effect."""
     return df.select(*[F.col(f"`{n}`") for n in names])
-
-
-class HashCache(dict):
-    """64-bit hashes of words, kept between batches; bounded by trim()."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def trim(self, most: int = 400_000) -> None:
-        if len(self) > most:
-            self.clear()
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` in UTF-8 with A-Z lower-cased; bytes.lower() and bytes.split() know ASCII alone."""
-    return text.encode().lower().split() if text else []
-
-
-def hashes_of(words: list[bytes], cache: HashCache) -> np.ndarray:
-    return np.array([cache[w] for w in words], dtype=np.uint64) if words else np.zeros(0, np.uint64)
-
-
-def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all windows of `width` words; with fewer words, of the whole sequence; none without words."""
-    if not len(h):
-        return h
-    n = len(h)
-    k = min(width, n)
-    with np.errstate(over="ignore"):
-        out = np.full(n - k + 1, np.uint64(k), dtype=np.uint64)
-        for i in range(k):
-            out = mix64((out + h[i : n - k + 1 + i]) * M1)
-    return out
-
-
-def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names], strict=True)

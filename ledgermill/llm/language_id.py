@@ -241,7 +241,7 @@ def identify(docs: DataFrame, chain: Chain, with_spans: bool = False) -> DataFra
         for batch in batches:
             for a, b in portions(batch.column(1)):
                 part = batch.slice(a, b - a)
-                codes, words, bounds = coded_words(part.column(1), lower=False)
+                codes, words, bounds = coded_words(part.column(1))
                 found = memo.of(words)
                 letters = np.array([x is not None for x in found], bool)[codes] if words else np.zeros(0, bool)
                 if n:

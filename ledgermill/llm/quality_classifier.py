@@ -48,7 +48,7 @@ _MEMO = Memo(_word)
 
 def features(texts: pa.Array) -> list[np.ndarray]:
     """The distinct hashed features of each text, ascending."""
-    codes, words, bounds = coded_words(texts, lower=False)
+    codes, words, bounds = coded_words(texts)
     table = np.array(_MEMO.of(words), dtype=np.uint64).reshape(-1, 2)
     out = []
     with np.errstate(over="ignore"):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, language_model, mixing, packing, quality_classifier, quality_rules, token_counts, token_file
+from . import exact_dedup, jaccard_join, language_id, language_model, mixing, packing, quality_classifier, quality_rules, token_counts, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(token_file.write(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_model": op3_language_model,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_file": op7_token_file,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,

@@ -118,7 +118,7 @@ def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for a, b in portions(batch.column(1)):
                 part = batch.slice(a, b - a)
-                codes, words, bounds = coded_words(part.column(1), lower=False)
+                codes, words, bounds = coded_words(part.column(1))
                 each = np.array(memo.of(words), np.int64).reshape(-1, 3)[codes]
                 sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(each, axis=0)])[bounds]
                 own = np.diff(sums, axis=0)

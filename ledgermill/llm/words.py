@@ -9,14 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from .common import M1, mix64
 
-def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, list[str], np.ndarray]:
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Codes of all words `[^\\x20\\x09-\\x0D]+` in a row, the distinct words, and where each text's words begin (and the end).
 
-    lower: A-Z become a-z first. Null counts as empty.
+    Null counts as empty.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     bounds = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
@@ -49,6 +51,19 @@ def hash_word(word: str) -> int:
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of distinct words."""
+    """64-bit hashes of words with A-Z lower-cased (bytes.lower() knows ASCII alone)."""
     h = xxhash.xxh3_64_intdigest
-    return np.array([h(w.encode()) for w in words], dtype=np.uint64) if words else np.zeros(0, np.uint64)
+    return np.array([h(w.encode().lower()) for w in words], dtype=np.uint64) if words else np.zeros(0, np.uint64)
+
+
+def shingles_of(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of `width` words; with fewer words, of the whole sequence; none without words."""
+    if not len(h):
+        return h
+    n = len(h)
+    k = min(width, n)
+    with np.errstate(over="ignore"):
+        out = np.full(n - k + 1, np.uint64(k), dtype=np.uint64)
+        for i in range(k):
+            out = mix64((out + h[i : n - k + 1 + i]) * M1)
+    return out
