@@ -129,7 +129,7 @@ def _postings(width: int, percent: int, shared):
 
 def _far(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Pairs whose sizes or bitmaps rule them out."""
-    return np.bitwise_count(x ^ y) > n + m - 2 * needed(n, m, percent)
+    return np.bitwise_count((x ^ y).view(np.uint64)) > n + m - 2 * needed(n, m, percent)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -180,7 +180,7 @@ def _first_pairs(percent: int):
                 bits = g["bits"][at : at + size]
                 votes = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(0)
                 middle = np.packbits((2 * votes > size).astype(np.uint8), bitorder="little").view("<i8")[0]
-                hub = at + int(np.bitwise_count(bits ^ middle).argmin())
+                hub = at + int(np.bitwise_count((bits ^ middle).view(np.uint64)).argmin())
                 others = np.delete(np.arange(at, at + size), hub - at)
                 left.append(np.full(size - 1, hub))
                 right.append(others)
