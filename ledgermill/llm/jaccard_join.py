@@ -35,6 +35,8 @@ from .words import coded_words, shingles_of, word_hashes
 #: Entries of the table of frequent tokens and the least frequency in it, longest l, members of a list that is compared
 #: in full at once, members of a block, and bits of the filter that finds documents again.
 FREQUENT, LEAST, MOST_MATCHES, SHORT, BLOCK, FILTER_BITS, SEED = 1 << 17, 8, 8, 4, 2048, 1 << 23, 17
+#: Other documents that a token outside that table is taken to meet.
+RARE = 0.3
 POSTING = "token long, cls long, n int, need int, bits long"
 PAIR = "a long, b long, need int, star boolean"
 
@@ -83,15 +85,15 @@ def _survey(width: int):
 
 
 def choose_matches(df: np.ndarray, n: int, percent: int) -> int:
-    """How many tokens a document must share, by estimated cost; df: frequencies of its tokens in their order."""
+    """How many tokens a document must share, by estimated cost; df: frequencies of its tokens in their order.
+
+    The cost is the entries of the lists met, and a verification for each document that is met k times; of those that
+    are met at all, about one in k * k are.
+    """
     least = -(-percent * n // 100)
-    best, at = None, 1
-    for k in range(1, min(MOST_MATCHES, least) + 1):
-        listed = float(df[: n - least + k].sum())
-        cost = listed + (1 + n / 16) * listed / k  # entries, and candidates that at most so many entries can make
-        if best is None or cost < best:
-            best, at = cost, k
-    return at
+    k = np.arange(1, min(MOST_MATCHES, least) + 1)
+    listed = np.cumsum(np.maximum(df, RARE))[n - least + k - 1]
+    return int(k[np.argmin(listed + (1 + n / 16) * listed / k**2)])
 
 
 def _postings(width: int, percent: int, shared):
@@ -112,9 +114,8 @@ def _postings(width: int, percent: int, shared):
                     if own.any():
                         order = np.argsort(own, kind="stable")
                         s, own = s[order], own[order]
-                    first = n - -(-percent * n // 100) + 1
-                    need = choose_matches(own, n, percent) if own[first - 1] else 1
-                    out.append(s[: first - 1 + need])
+                    need = choose_matches(own, n, percent)
+                    out.append(s[: n - -(-percent * n // 100) + need])
                     lengths.append((n, need))
                 sizes = [len(x) for x in out]
                 yield pa.record_batch(
