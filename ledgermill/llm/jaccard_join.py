@@ -301,8 +301,8 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     listed = listed.join(F.broadcast(heavy), "token", "left").withColumn("salt", F.pmod("cls", F.greatest(F.lit(1), F.ceil(F.coalesce("df", F.lit(0)) / BLOCK))).cast("int")).drop("df")
     listed = save(listed.repartition(lists, "token", "salt").dropDuplicates(["token", "salt", "cls"]), "join-lists")
     dealt = lambda df, *keys: df.repartition(lists, *keys).sortWithinPartitions(*keys, "n", "cls")
-    first = save(dealt(listed, "token", "salt").mapInArrow(_first_pairs(percent), PAIR).groupBy("a", "b").agg(F.count_if(~F.col("star")).alias("c"), F.min("need").alias("need"), F.max("star").alias("star")), "join-pairs")
-    tried = first.filter("star OR c >= need").select("a", "b")
+    first = save(dealt(listed, "token", "salt").mapInArrow(_first_pairs(percent), PAIR).groupBy("a", "b").agg(F.count("*").alias("met"), F.count_if(~F.col("star")).alias("c"), F.min("need").alias("need")), "join-pairs")
+    tried = first.filter("met >= need").select("a", "b")
     links = _links(docs, tried, classes, width, percent)
     comp = save(components(links), "join-components")
 
@@ -312,8 +312,8 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     seen = seen.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     met = seen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
     again = dealt(met.select("token", "x", "y", "own", "cls", "n", "need", "bits", "comp"), "token", "x", "y").mapInArrow(_cross_pairs(percent), PAIR)
-    again = again.groupBy("a", "b").agg(F.count("*").alias("more"), F.min("need").alias("need")).join(first.select("a", "b", "c", "star"), ["a", "b"], "left")
-    again = save(again.filter("NOT coalesce(star, false) AND coalesce(c, 0) < need AND more + coalesce(c, 0) >= need").select("a", "b"), "join-pairs")
+    again = again.groupBy("a", "b").agg(F.count("*").alias("more"), F.min("need").alias("need")).join(first.select("a", "b", "c", "met"), ["a", "b"], "left")
+    again = save(again.filter("coalesce(met, 0) < need AND more + coalesce(c, 0) >= need").select("a", "b"), "join-pairs")
     if not again.isEmpty():
         more = _links(docs, again, classes, width, percent)
         stars = comp.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
