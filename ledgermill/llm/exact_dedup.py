@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import M1, SPACE, fields, mix64, save
@@ -27,10 +27,14 @@ INDEX_SCHEMA = "shard int, n int, seeds binary, digests binary, winners binary,
 GROUP_SCHEMA = "digest binary, keep_id long, group_size long, in_history boolean"
 
 
+def _digest() -> Column:
+    norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id and the SHA-256 of the normalised text, computed in the JVM."""
-    norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
-    return fields(docs, "doc_id", "text").select("doc_id", F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"))
+    return fields(docs, "doc_id", "text").select("doc_id", _digest().alias("digest"))
 
 
 def _groups(d: DataFrame) -> DataFrame:
@@ -172,6 +176,13 @@ def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that dedup() keeps, with all their columns."""
-    kept = dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs that dedup() keeps, with all their columns; of rows that repeat doc_id and text, one."""
+    found = save(dedup(docs), "dedup-result")
+    key = "digest__"
+    gone = found.filter("NOT kept").select("doc_id", F.unhex("text_sha256").alias(key)).distinct()
+    left = docs.withColumn(key, _digest())
+    on = left["doc_id"].eqNullSafe(gone["doc_id"]) & (left[key] == gone[key])
+    out = left.join(gone, on, "left_anti")
+    if not found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", key])
+    return out.drop(key)

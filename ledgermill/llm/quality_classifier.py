@@ -180,5 +180,15 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that are not rejected."""
-    return docs.join(classify(docs, labels).filter("predicted = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    """The rows of docs, with all columns, that are not rejected; rows stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for a, b in portions(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array([m.score(x) >= THRESHOLD for x in features(part.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
