@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fields
+from .common import M1, crc_of_id, fields, mix64
 from .encoding import portions
-from .words import Memo, coded_words
+from .words import coded_words
 
 #: Documents a language and windows of words a document that are learned, hashed features, and the training's settings.
 PER_LANGUAGE, WINDOWS, WINDOW, BITS, SEED = 600, 3, 32, 18, 13
@@ -38,29 +38,46 @@ END, BLOCK = 20, 64
 UNKNOWN = "und"
 
 
-def _hash(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+#: What core() strips at once; other signs are stripped one by one.
+_SIGNS = "".join(chr(i) for i in range(128) if not chr(i).isalpha())
 
 
 def core(word: str) -> str:
     """The word in lower case without what stands before its first and after its last letter; '' without a letter."""
-    a, b = 0, len(word)
-    while a < b and not word[a].isalpha():
-        a += 1
-    while b > a and not word[b - 1].isalpha():
-        b -= 1
-    w = word[a:b].lower()
+    w = word.strip(_SIGNS)
+    while w and not w[0].isalpha():
+        w = w[1:]
+    while w and not w[-1].isalpha():
+        w = w[:-1]
+    w = w.lower()
     return w if len(w) <= 2 * END else w[:END] + w[-END:]
 
 
-def word_features(word: str) -> list[int]:
-    w = core(word)
-    if not w:
-        return []
-    own = [f"w:{w}", *[f"p:{w[:k]}" for k in range(1, min(4, len(w)) + 1)], *[f"s:{w[-k:]}" for k in range(1, min(4, len(w)) + 1)]]
-    edged = f"^{w}$"
-    own += [f"g:{edged[i : i + k]}" for k in (2, 3) for i in range(len(edged) - k + 1)]
-    return [_hash(f) for f in dict.fromkeys(own)]
+def word_features(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of each core (words x features) and which of them are real: form, affixes, 2- and 3-grams."""
+    n = len(cores)
+    size = np.fromiter(map(len, cores), np.int64, n)
+    wide = int(size.max(initial=1))
+    c = np.array([f"^{w}$" for w in cores], dtype=f"<U{wide + 2}").view(np.uint32).reshape(n, wide + 2).astype(np.uint64)
+    place = np.arange(wide + 2)
+    shift = np.uint64(64 - BITS)
+    ids, real = [], []
+    with np.errstate(over="ignore"):
+        two = mix64(c[:, :-1] * M1 + c[:, 1:])
+        ids += [two, mix64(two[:, :-1] * M1 + c[:, 2:])]
+        real += [place[None, : wide + 1] <= size[:, None], place[None, :wide] < size[:, None]]
+        head, tail, whole = (np.full(n, np.uint64(k)) for k in (1, 2, 3))
+        for k in range(1, wide + 1):
+            inside = k <= size
+            whole = np.where(inside, mix64((whole + c[:, k]) * M1), whole)
+            if k <= 4:
+                head = mix64((head + c[:, k]) * M1)
+                tail = mix64((tail + c[np.arange(n), np.maximum(size + 1 - k, 0)]) * M1)
+                ids += [head[:, None], tail[:, None]]
+                real += [inside[:, None], inside[:, None]]
+        ids.append(whole[:, None])
+        real.append((size > 0)[:, None])
+    return (np.concatenate(ids, axis=1) >> shift).astype(np.int64), np.concatenate(real, axis=1) & (size > 0)[:, None]
 
 
 class Chain:
@@ -84,11 +101,8 @@ class Chain:
                 self.lexicon[w] = self.lexicon.get(w, 0) | 1 << i
         vocabulary: dict[str, int] = {}
         coded = [(at[lang], np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words])) for lang, words in windows if words]
-        feats = [word_features(w) for w in vocabulary]
-        wide = max(map(len, feats), default=1) or 1
-        table, real = np.zeros((len(feats), wide), np.int64), np.zeros((len(feats), wide), np.float32)
-        for i, f in enumerate(feats):
-            table[i, : len(f)], real[i, : len(f)] = f, 1
+        table, real = word_features([core(w) for w in vocabulary])
+        real = real.astype(np.float32)
         member = np.array([[self.lexicon.get(core(w), 0) >> i & 1 for i in range(n)] for w in vocabulary], np.float32)
         rng = np.random.default_rng(SEED)
         sums = [np.full_like(x, 1e-3) for x in (self.weight, self.lexical, self.transition)]
@@ -141,16 +155,22 @@ class Chain:
             s[at] += grad * grad
             x[at] += (RATE * grad / np.sqrt(s[at])).astype(np.float32)
 
-    def emission(self, word: str) -> list[float] | None:
-        """Scores of a word by language; None without a letter."""
-        f = word_features(word)
-        if not f:
-            return None
-        e = self.weight[f].sum(0)
-        mask = self.lexicon.get(core(word), 0)
-        if mask:
-            e = e + self.lexical[[i for i in range(len(self.langs)) if mask >> i & 1]].sum(0)
-        return np.exp(e - e.max()).tolist()
+    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the scores of words by language (1 without a letter), and which words have a letter."""
+        n = len(self.langs)
+        cores = list(map(core, words))
+        out = np.zeros((len(words), n), np.float32)
+        order = np.argsort(np.fromiter(map(len, cores), np.int64, len(cores)), kind="stable")
+        for a in range(0, len(words), 8192):  # words of like length side by side
+            own = order[a : a + 8192]
+            part = [cores[i] for i in own.tolist()]
+            ids, real = word_features(part)
+            e = np.zeros((len(part), n), np.float32)
+            for k in range(ids.shape[1]):
+                e += self.weight[ids[:, k]] * real[:, k : k + 1]
+            mask = np.fromiter(map(self.lexicon.get, part, [0] * len(part)), np.int64, len(part))
+            out[own] = e + (mask[:, None] >> np.arange(n) & 1).astype(np.float32) @ self.lexical
+        return np.exp(out - out.max(1, keepdims=True)), np.fromiter(map(bool, cores), bool, len(cores))
 
     def posteriors(self, emit: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Of each word, given its emissions (words x languages) and where the documents begin."""
@@ -236,18 +256,15 @@ def identify(docs: DataFrame, chain: Chain, with_spans: bool = False) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         n = len(c.langs)
-        memo = Memo(c.emission, 200_000)
-        neutral = [1.0] * n
         for batch in batches:
             for a, b in portions(batch.column(1)):
                 part = batch.slice(a, b - a)
                 codes, words, bounds = coded_words(part.column(1))
-                found = memo.of(words)
-                letters = np.array([x is not None for x in found], bool)[codes] if words else np.zeros(0, bool)
                 if n:
-                    post = c.posteriors(np.array([neutral if x is None else x for x in found], np.float32).reshape(-1, n)[codes], bounds)
+                    emit, known = c.emissions(words)
+                    post, letters = c.posteriors(emit[codes], bounds), known[codes]
                 else:
-                    post = np.zeros((len(codes), 0), np.float32)
+                    post, letters = np.zeros((len(codes), 0), np.float32), np.zeros(len(codes), bool)
                 sums = np.zeros((len(bounds), n))
                 sums[1:] = np.cumsum(post * letters[:, None], axis=0, dtype=np.float64)[bounds[1:] - 1] if len(post) else 0
                 sums[1:][bounds[1:] == 0] = 0
