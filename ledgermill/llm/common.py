@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,6 +57,12 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished jobs now, instead of at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files behind df by the optimizer's statistics; no job runs. Text is about twice that."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

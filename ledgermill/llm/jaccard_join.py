@@ -1,18 +1,22 @@
 """Near-duplicate components by an n-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its distinct word shingles; documents with equal sets are one class. Tokens are ordered by
-document frequency (frequent ones last, from a table of bounded size), then by hash. If two sets reach the threshold,
-their prefixes of |x| - ceil(t|x|) + l tokens share l tokens at least. Each document chooses its own l: a longer prefix
-costs more list entries, and leaves fewer candidates because l tokens must be shared; the l with the least estimated
-cost is taken, and a pair must share the smaller of its two l. Shared tokens are counted over all lists before a pair is
-verified on its whole sets. A 64-bit parity bitmap of each set, whose Hamming distance never exceeds the sets' symmetric
-difference, drops most hopeless pairs where they arise.
+document frequency (rare first), then by hash. If two sets reach the threshold, their prefixes of |x| - ceil(t|x|) + l
+tokens share l tokens at least. Each document chooses its own l: a longer prefix costs more list entries, and leaves
+fewer candidates because l tokens must be shared; the l with the least estimated cost is taken, and a pair must share
+the smaller of its two l. Tokens that no other class has enter no list. Shared tokens are counted over all lists before
+a pair is verified on its whole sets. A 128-bit parity bitmap of each set, whose Hamming distance never exceeds the sets'
+symmetric difference, drops most hopeless pairs where they arise.
+
+Frequencies are counted over all documents: these are dealt to blocks of bounded size by a hash of doc_id, a block asks
+key ranges for its tokens with sorted, delta-coded keys, and gets logarithms of frequencies in the order it asked. Keys
+are hashes cut to a few bits more than the corpus's tokens need, so a frequency may be too large, never too small.
 
 A list of many documents never emits all its pairs. First each long list is linked to its most central member alone (a
 star), short lists in full, and components are formed; then long lists are compared again, but only between different
 components, in blocks of bounded size. That is exact: every pair that could still join two components is tested.
 
-Hashes of shingles, sets and tokens have 64 bits.
+Hashes of shingles and sets have 64 bits.
 
 Cases: null text and texts without words have no shingles and are linked with nothing; with fewer words than a shingle
 has, the whole sequence is one shingle; rows with the same doc_id share its component; equal sets are linked whatever
@@ -28,16 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, fields, mix64, pieces_for, save
+from .common import M1, M2, discard, fields, mix64, pieces_for, release, save, stored_bytes
 from .encoding import portions
+from .packed import narrow, pack_keys, ranges, rows_table, unpack_keys, wide
 from .words import coded_words, shingles_of, word_hashes
 
-#: Entries of the table of frequent tokens and the least frequency in it, longest l, members of a list that is compared
-#: in full at once, members of a block, and bits of the filter that finds documents again.
-FREQUENT, LEAST, MOST_MATCHES, SHORT, BLOCK, FILTER_BITS, SEED = 1 << 17, 8, 8, 4, 2048, 1 << 23, 17
-#: Other documents that a token outside that table is taken to meet.
-RARE = 0.3
-POSTING = "token long, cls long, n int, need int, bits long"
+#: Stored MB of a block's documents, keys of a range, longest l, members of a list that is compared in full at once,
+#: members of a block of a long list, and bits of the filter that finds documents again.
+BLOCK_MB, RANGE_KEYS, MOST_MATCHES, SHORT, BLOCK, FILTER_BITS, SEED = 8.0, 2_000_000, 8, 4, 2048, 1 << 23, 17
+#: Steps of a logarithm of two in which frequencies are told.
+STEPS = 8
+SURVEY = "doc boolean, doc_id long, n long, cls long, part int, block int, first long, keys binary, counts binary"
+ANSWER = "part int, block int, n long, logs binary"
+POSTING = "token long, salt int, cls long, n int, need int, bits long, bits2 long"
 PAIR = "a long, b long, need int, star boolean"
 
 
@@ -59,78 +66,110 @@ def _class_of(s: np.ndarray) -> int:
         return int(mix64(np.array([total]))[0].astype(np.int64))
 
 
-def parity_bits(s: np.ndarray) -> int:
-    """Bit i tells whether the tokens that fall on it are odd in number."""
-    odd = np.bincount((mix64(s + M1) >> np.uint64(58)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")[0])
+def parity_bits(s: np.ndarray) -> tuple[int, int]:
+    """128 bits; each tells whether the tokens that fall on it are odd in number."""
+    with np.errstate(over="ignore"):
+        odd = np.bincount((mix64(s + M1) >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+    a, b = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+    return a, b
 
 
-def _survey(width: int):
-    """Each document's class and size, and tokens that several sets of a portion have, with how many."""
+class Plan:
+    """Sizes that follow from the input's."""
+
+    def __init__(self, docs: DataFrame):
+        size = stored_bytes(docs)
+        self.blocks = max(1, -(-size // int(BLOCK_MB * 1e6)))
+        self.parts = max(1, int(size * 0.25) // RANGE_KEYS)
+        self.bits = min(48, max(32, size.bit_length() + 3))
+
+    def keys(self, sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct cut hashes of all tokens of a block's classes, each token's place in them, how many, and ranges."""
+        every = np.concatenate([np.zeros(0, np.uint64), *sets.values()]) >> np.uint64(64 - self.bits)
+        keys, place, counts = np.unique(every, return_inverse=True, return_counts=True)
+        return keys, place, counts, ((keys >> np.uint64(self.bits - 24)) * np.uint64(self.parts) >> np.uint64(24)).astype(np.int64)
+
+
+def _block_sets(table: pa.Table, width: int) -> tuple[list[np.ndarray], list[int]]:
+    sets: list[np.ndarray] = []
+    for chunk in table["text"].chunks:
+        for a, b in portions(chunk):
+            sets += shingle_sets(chunk.slice(a, b - a), width)
+    return sets, [_class_of(s) for s in sets]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in portions(batch.column(1)):
-                part = batch.slice(a, b - a)
-                sets = shingle_sets(part.column(1), width)
-                classes = [_class_of(s) for s in sets]
-                different = dict(zip(classes, sets, strict=True))
-                tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *different.values()]), return_counts=True)
-                tokens, counts = tokens[counts > 1], counts[counts > 1]
-                n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.record_batch([part.column(0), n, pa.array(classes, pa.int64()), pa.array([True] * len(sets))], names=["id", "n", "cls", "doc"])
-                yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64)), pa.nulls(len(tokens), pa.int64()), pa.array([False] * len(tokens))], names=["id", "n", "cls", "doc"])
+
+def _survey(width: int, plan: Plan):
+    """Each document's class and size, and how many classes of the block have each token."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets, classes = _block_sets(table, width)
+        keys, _, counts, part = plan.keys(dict(sorted(zip(classes, sets, strict=True), key=lambda r: r[0])))
+        block = table["block"][0].as_py()
+        rows = [{"doc": False, "part": int(part[a]), "block": block, "n": b - a, "first": int(keys[a]), "keys": pack_keys(keys[a:b]), "counts": narrow(counts[a:b])} for a, b in ranges(part)]
+        docs = pa.table({"doc": pa.array([True] * len(sets)), "doc_id": table["doc_id"], "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array(classes, pa.int64())})
+        return pa.concat_tables([rows_table(SURVEY, rows), docs], promote_options="default").select([c.split()[0] for c in SURVEY.split(", ")])
 
     return run
 
 
-def choose_matches(df: np.ndarray, n: int, percent: int) -> int:
-    """How many tokens a document must share, by estimated cost; df: frequencies of its tokens in their order.
+def _answer(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    _, place = np.unique(np.concatenate([unpack_keys(r["first"], r["keys"], r["n"]) for r in rows]), return_inverse=True)
+    total = np.bincount(place, np.concatenate([wide(r["counts"], r["n"]) for r in rows]))
+    logs = np.minimum(np.ceil(STEPS * np.log2(total)), 255).astype(np.uint8)[place]
+    ends = np.cumsum([r["n"] for r in rows])
+    return rows_table(ANSWER, [{"part": r["part"], "block": r["block"], "n": r["n"], "logs": logs[e - r["n"] : e].tobytes()} for r, e in zip(rows, ends.tolist(), strict=True)])
+
+
+def choose_matches(others: np.ndarray, n: int, percent: int) -> int:
+    """How many tokens a document must share, by estimated cost; others: classes that its tokens meet, in their order.
 
-    The cost is the entries of the lists met, and a verification for each document that is met k times; of those that
-    are met at all, about one in k * k are.
+    The cost is the entries of the lists met, and a verification for each class that is met k times; of those that are
+    met at all, about one in k * k are.
     """
     least = -(-percent * n // 100)
     k = np.arange(1, min(MOST_MATCHES, least) + 1)
-    listed = np.cumsum(np.maximum(df, RARE))[n - least + k - 1]
+    listed = np.cumsum(others)[n - least + k - 1]
     return int(k[np.argmin(listed + (1 + n / 16) * listed / k**2)])
 
 
-def _postings(width: int, percent: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, frequency = shared.value
-        for batch in batches:
-            for a, b in portions(batch.column(0)):
-                sets = {_class_of(s): s for s in shingle_sets(batch.column(0).slice(a, b - a), width) if len(s)}
-                if not sets:
-                    continue
-                every = np.concatenate(list(sets.values()))
-                at = np.minimum(np.searchsorted(tokens, every), max(len(tokens) - 1, 0))
-                df = np.where(tokens[at] == every, frequency[at], 0) if len(tokens) else np.zeros(len(every), np.int64)
-                out, lengths, start = [], [], 0
-                for s in sets.values():
-                    n, own = len(s), df[start : start + len(s)]
-                    start += n
-                    if own.any():
-                        order = np.argsort(own, kind="stable")
-                        s, own = s[order], own[order]
-                    need = choose_matches(own, n, percent)
-                    out.append(s[: n - -(-percent * n // 100) + need])
-                    lengths.append((n, need))
-                sizes = [len(x) for x in out]
-                yield pa.record_batch(
-                    [
-                        pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(list(sets), np.int64), sizes)), pa.array(np.repeat([x[0] for x in lengths], sizes), pa.int32()),
-                        pa.array(np.repeat([x[1] for x in lengths], sizes), pa.int32()), pa.array(np.repeat(np.array([parity_bits(s) for s in sets.values()], np.int64), sizes)),
-                    ], names=["token", "cls", "n", "need", "bits"]
-                )
+def _postings(width: int, percent: int, plan: Plan):
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        sets, classes = _block_sets(table, width)
+        different = dict(sorted(zip(classes, sets, strict=True), key=lambda r: r[0]))
+        keys, place, _, _ = plan.keys(different)
+        logs = np.frombuffer(b"".join(r["logs"] for r in sorted(answers.to_pylist(), key=lambda r: r["part"])), np.uint8)
+        if len(logs) != len(keys):
+            raise ValueError("a block's documents changed between two reads of the input")
+        log, start, out = logs[place], 0, []
+        for cls, s in different.items():
+            n = len(s)
+            own = log[start : start + n]
+            start += n
+            if not n or not own.any():  # nobody shares a token
+                continue
+            order = np.argsort(own, kind="stable")
+            s, own = s[order], own[order]
+            df = np.exp2(own / STEPS)
+            need = choose_matches(df - 1, n, percent)
+            first = n - -(-percent * n // 100) + need
+            shared = np.flatnonzero(own[:first])
+            if len(shared) >= need:
+                salts = np.maximum(1, np.ceil(df[shared] / BLOCK)).astype(np.int64)
+                out.append((s[shared].view(np.int64), cls % salts, cls, n, need, *parity_bits(s)))
+        sizes = [len(x[0]) for x in out]
+        spread = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in out], np.int64), sizes).astype(kind))
+        joined = lambda k, kind: pa.array(np.concatenate([np.zeros(0, np.int64), *[x[k] for x in out]]).astype(kind))
+        return pa.table({"token": joined(0, np.int64), "salt": joined(1, np.int32), "cls": spread(2, np.int64), "n": spread(3, np.int32), "need": spread(4, np.int32), "bits": spread(5, np.int64), "bits2": spread(6, np.int64)})
 
     return run
 
 
-def _far(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+def _far(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Pairs whose sizes or bitmaps rule them out."""
-    return np.bitwise_count((x ^ y).view(np.uint64)) > n + m - 2 * needed(n, m, percent)
+    n, m = g["n"][i].astype(np.int64), g["n"][j].astype(np.int64)
+    apart = sum(np.bitwise_count((g[c][i] ^ g[c][j]).view(np.uint64)).astype(np.int64) for c in ("bits", "bits2"))
+    return apart > n + m - 2 * needed(n, m, percent)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -178,17 +217,17 @@ def _first_pairs(percent: int):
                         right.append(at + j)
                         stars.append(np.zeros(len(at), bool))
             for at, size in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
-                bits = g["bits"][at : at + size]
-                votes = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(0)
-                middle = np.packbits((2 * votes > size).astype(np.uint8), bitorder="little").view("<i8")[0]
-                hub = at + int(np.bitwise_count((bits ^ middle).view(np.uint64)).argmin())
+                bits = np.stack([g["bits"][at : at + size], g["bits2"][at : at + size]], 1)
+                votes = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                middle = np.packbits((2 * votes > size).astype(np.uint8), bitorder="little").view("<i8")
+                hub = at + int(np.bitwise_count((bits ^ middle).view(np.uint64)).astype(np.int64).sum(1).argmin())
                 others = np.delete(np.arange(at, at + size), hub - at)
                 left.append(np.full(size - 1, hub))
                 right.append(others)
                 stars.append(np.ones(size - 1, bool))
             if left:
                 i, j, star = np.concatenate(left), np.concatenate(right), np.concatenate(stars)
-                ok = ~_far(g["n"][i].astype(np.int64), g["n"][j].astype(np.int64), g["bits"][i], g["bits"][j], percent)
+                ok = ~_far(g, i, j, percent)
                 yield _pair_batch(g, i[ok], j[ok], star[ok])
 
     return run
@@ -209,7 +248,7 @@ def _cross_pairs(percent: int):
                     ok = g["comp"][i] != g["comp"][j]
                     if same:
                         ok &= i < j
-                    ok &= ~_far(g["n"][i].astype(np.int64), g["n"][j].astype(np.int64), g["bits"][i], g["bits"][j], percent)
+                    ok &= ~_far(g, i, j, percent)
                     i, j = np.nonzero(ok)
                     if len(i):
                         yield _pair_batch(g, one[s : s + 256][i], two[j], np.zeros(len(i), bool))
@@ -284,22 +323,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every row."""
-    spark = docs.sparkSession
-    rows = fields(docs, "doc_id", "text")
-    survey = save(rows.mapInArrow(_survey(width), "id long, n long, cls long, doc boolean"), "join-survey")
-    own = survey.filter("doc").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls")
+    plan = Plan(docs)
+    block = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(plan.blocks)).cast("int").alias("block")
+    rows = fields(docs, "doc_id", "text").select(block, "doc_id", "text")
+    survey = save(rows.groupBy("block").applyInArrow(_survey(width, plan), SURVEY), "join-survey")
+    own = save(survey.filter("doc").select("doc_id", F.col("n").alias("n_shingles"), "cls"), "join-documents")
     classes = save(own.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "join-classes")
-    frequent = survey.filter("NOT doc").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
-    table = sorted((r["id"] & (1 << 64) - 1, r["n"]) for r in frequent)
-    shared = spark.sparkContext.broadcast((np.array([t for t, _ in table], np.uint64), np.array([n for _, n in table], np.int64)))
-
+    release(docs.sparkSession)
+    answers = save(survey.filter("NOT doc").select("part", "block", "n", "first", "keys", "counts").groupBy("part").applyInArrow(_answer, ANSWER), "join-frequencies")
+    discard(survey)
+    listed = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_postings(width, percent, plan), POSTING)
     lists = pieces_for(docs, 8.0, 2)
-    listed = rows.select("text").mapInArrow(_postings(width, percent, shared), POSTING)
-    counts = {r["id"]: r["n"] for r in frequent if r["n"] > BLOCK}  # at most FREQUENT tokens
-    heavy = spark.createDataFrame(list(counts.items()) or [(0, 0)], "token long, df long")
-    # a list of very many documents is dealt over several tasks; each links to a centre of its own
-    listed = listed.join(F.broadcast(heavy), "token", "left").withColumn("salt", F.pmod("cls", F.greatest(F.lit(1), F.ceil(F.coalesce("df", F.lit(0)) / BLOCK))).cast("int")).drop("df")
     listed = save(listed.repartition(lists, "token", "salt").dropDuplicates(["token", "salt", "cls"]), "join-lists")
+    release(docs.sparkSession)
     dealt = lambda df, *keys: df.repartition(lists, *keys).sortWithinPartitions(*keys, "n", "cls")
     first = save(dealt(listed, "token", "salt").mapInArrow(_first_pairs(percent), PAIR).groupBy("a", "b").agg(F.count("*").alias("met"), F.count_if(~F.col("star")).alias("c"), F.min("need").alias("need")), "join-pairs")
     tried = first.filter("met >= need").select("a", "b")
@@ -307,11 +343,11 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     comp = save(components(links), "join-components")
 
     long = listed.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > SHORT)
-    seen = listed.join(long, "token").join(comp, listed["cls"] == comp["node"], "left").select("token", "cls", "n", "need", "bits", F.coalesce("comp", "cls").alias("comp"), F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
+    seen = listed.join(long, "token").join(comp, listed["cls"] == comp["node"], "left").select("token", "cls", "n", "need", "bits", "bits2", F.coalesce("comp", "cls").alias("comp"), F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
     mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     seen = seen.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     met = seen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    again = dealt(met.select("token", "x", "y", "own", "cls", "n", "need", "bits", "comp"), "token", "x", "y").mapInArrow(_cross_pairs(percent), PAIR)
+    again = dealt(met.select("token", "x", "y", "own", "cls", "n", "need", "bits", "bits2", "comp"), "token", "x", "y").mapInArrow(_cross_pairs(percent), PAIR)
     again = again.groupBy("a", "b").agg(F.count("*").alias("more"), F.min("need").alias("need")).join(first.select("a", "b", "c", "met"), ["a", "b"], "left")
     again = save(again.filter("coalesce(met, 0) < need AND more + coalesce(c, 0) >= need").select("a", "b"), "join-pairs")
     if not again.isEmpty():

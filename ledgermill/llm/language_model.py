@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import M1, crc_of_id, fields, mix64, save, stored_bytes
+from .packed import narrow, pack_keys, ranges, rows_table, unpack_keys, wide
 from .words import coded_words, word_hashes
 
 #: Stored MB of a block's documents, entries of a key range, one in so many training documents deleted, context buckets.
@@ -88,39 +89,6 @@ class Block:
         return np.bincount(which[learned], minlength=len(self.keys[gram]))
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(x) or x.max() < 1 << 8 * np.dtype(k).itemsize)
-    return x.astype(kind).tobytes()
-
-
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Differences of ascending keys, in as many bytes as the largest needs."""
-    steps = np.diff(keys).astype("<u8")
-    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _unpack_keys(first: int, data: bytes, n: int) -> np.ndarray:
-    keys = np.empty(n, np.uint64)
-    keys[0] = np.uint64(first & (1 << 64) - 1)
-    if n > 1:
-        width = len(data) // (n - 1)
-        steps = np.zeros((n - 1, 8), np.uint8)
-        steps[:, :width] = np.frombuffer(data, np.uint8).reshape(n - 1, width)
-        with np.errstate(over="ignore"):
-            keys[1:] = keys[0] + np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
-    return keys
-
-
-def _table(schema: str, rows: list[dict]) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
-    return pa.table({n: pa.array([r.get(n) for r in rows], kinds[k]) for n, k in (c.split() for c in schema.split(", "))})
-
-
 def _ask(plan: Plan):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table, plan)
@@ -128,11 +96,9 @@ def _ask(plan: Plan):
         for gram in (1, 2):
             keys, counts = block.keys[gram], block.counts(gram)
             part = plan.part(gram, keys)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b > a:
-                    rows.append({"gram": gram, "part": int(part[a]), "block": table["block"][0].as_py(), "deleted": bool((block.role == DELETE).any()), "n": b - a, "first": int(keys[a].astype(np.int64)), "keys": _pack_keys(keys[a:b]), "counts": _narrow(counts[a:b])})
-        return _table(REQUEST, rows)
+            for a, b in ranges(part):
+                rows.append({"gram": gram, "part": int(part[a]), "block": table["block"][0].as_py(), "deleted": bool((block.role == DELETE).any()), "n": b - a, "first": int(keys[a].astype(np.int64)), "keys": pack_keys(keys[a:b]), "counts": narrow(counts[a:b])})
+        return rows_table(REQUEST, rows)
 
     return run
 
@@ -140,8 +106,8 @@ def _ask(plan: Plan):
 def _answer(table: pa.Table) -> pa.Table:
     """Adds up a key range's counts over all blocks, in kept and in deleted documents."""
     rows = table.to_pylist()
-    keys = [_unpack_keys(r["first"], r["keys"], r["n"]) for r in rows]
-    counts = np.concatenate([_wide(r["counts"], r["n"]) for r in rows])
+    keys = [unpack_keys(r["first"], r["keys"], r["n"]) for r in rows]
+    counts = np.concatenate([wide(r["counts"], r["n"]) for r in rows])
     deleted = np.repeat([r["deleted"] for r in rows], [r["n"] for r in rows])
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     kept = np.bincount(inverse, np.where(deleted, 0, counts)).astype(np.int64)
@@ -150,9 +116,9 @@ def _answer(table: pa.Table) -> pa.Table:
     for r in rows:
         own = inverse[at : at + r["n"]]
         at += r["n"]
-        out.append({k: r[k] for k in ("gram", "part", "block", "n")} | {"kept": _narrow(kept[own]), "gone": _narrow(gone[own])})
+        out.append({k: r[k] for k in ("gram", "part", "block", "n")} | {"kept": narrow(kept[own]), "gone": narrow(gone[own])})
     total = {"n_kept": int(kept.sum()), "n_gone": int(gone.sum()), "v_kept": int((kept > 0).sum()), "v_all": int((kept + gone > 0).sum())}
-    return _table(ANSWER, [*out, {"gram": rows[0]["gram"], "part": rows[0]["part"], "block": -1, "n": 0, **total}])
+    return rows_table(ANSWER, [*out, {"gram": rows[0]["gram"], "part": rows[0]["part"], "block": -1, "n": 0, **total}])
 
 
 def _lookup(block: Block, answers: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -161,7 +127,7 @@ def _lookup(block: Block, answers: pa.Table) -> dict[int, tuple[np.ndarray, np.n
     out = {}
     for gram in (1, 2):
         own = [r for r in rows if r["gram"] == gram]
-        out[gram] = tuple(np.concatenate([_wide(r[side], r["n"]) for r in own] or [np.zeros(0, np.int64)]) for side in ("kept", "gone"))
+        out[gram] = tuple(np.concatenate([wide(r[side], r["n"]) for r in own] or [np.zeros(0, np.int64)]) for side in ("kept", "gone"))
         if len(out[gram][0]) != len(block.keys[gram]):
             raise ValueError("a block's documents changed between two reads of the input")
     return out
@@ -181,7 +147,7 @@ def _bucket(context: np.ndarray) -> np.ndarray:
 def _cells(plan: Plan, n_kept: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _table(CELLS, [])
+            return rows_table(CELLS, [])
         block = Block(docs, plan)
         found = _lookup(block, answers)
         h, hw, w = _of_tokens(block, found[1][0], found[2][0])
@@ -216,7 +182,7 @@ def learn_weights(cells: list[tuple[int, int, int, int]], vocabulary: int) -> np
 def _score(plan: Plan, n: int, v: int, weights: np.ndarray):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _table(SCORES, [])
+            return rows_table(SCORES, [])
         block = Block(docs, plan)
         found = _lookup(block, answers)
         h, hw, w = _of_tokens(block, sum(found[1]), sum(found[2]))
