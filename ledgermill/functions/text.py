@@ -214,7 +214,10 @@ def header_score(cell: Column, expected: Column) -> Column:
 
 
 def header_like(c: Column) -> Column:
-    return infer_field(c).isNotNull() | any_of([headers_match_fuzzily(c, F.lit(w)) for w in ("date", "balance", "amount")])
+    x = _comparable(c)
+    near = [F.when(F.length(x) >= 3, F.lit(w).contains(x)).otherwise(F.lit(False)) | x.contains(w) for w in ("date", "balance", "amount")]
+    short = [x.contains(k) for k, v in K.HEADER_ABBREVIATIONS.items() if v in ("date", "balance", "amount")]
+    return infer_field(c).isNotNull() | ((x != "") & any_of([*near, *short]))
 
 
 def merge_headers(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import any_of, candidates, close_to, parse_currency, to_units
+from ..lineage import cut
 from .ledger import conventions, first_break, parse_rows, validate
 
 SCALE = 1000
@@ -27,8 +28,8 @@ def closes(opening: Column, closing: Column, credit: Column, debit: Column, scal
 
 def _round(rows: DataFrame, bounds: DataFrame, number: int, locale: str, strict: bool) -> DataFrame:
     """The accepted correction of each statement that has one."""
-    ledger = parse_rows(rows, SCALE, locale)
-    checked = validate(ledger, bounds, SCALE)
+    ledger = cut(parse_rows(rows, SCALE, locale))
+    checked = cut(validate(ledger, bounds, SCALE))
     totals = conventions(ledger, bounds, SCALE).select("statement_id", "total_credit", "total_debit")
     target = checked.join(first_break(checked), ["statement_id", "seq"]).join(totals, "statement_id")
     fields = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), F.col(r).alias("raw")) for i, (f, r) in enumerate(zip(K.AMOUNT_FIELDS, RAW, strict=True))])
@@ -53,9 +54,9 @@ def repair(rows: DataFrame, bounds: DataFrame, locale: str = "period_decimal", s
 
     rows: statement_id, seq, debit_raw, credit_raw, balance_raw; bounds: statement_id, opening, closing in thousandths.
     """
-    log = None
+    rows, bounds, log = cut(rows), cut(bounds), None
     for number in range(1, ROUNDS + 1):
-        fixes = _round(rows, bounds, number, locale, strict)
+        fixes = cut(_round(rows, bounds, number, locale, strict))
         log = fixes if log is None else log.unionByName(fixes)
         change = fixes.select("statement_id", "seq", F.col("field").alias("fix_field"), "corrected_value")
         rows = rows.join(change, ["statement_id", "seq"], "left")

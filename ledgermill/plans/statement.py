@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import convert, fx_rate, header_score, optional_amount, to_units
+from ..lineage import cut
 from ..operators import grouping, header, ledger, metadata, repair, vendor
 
 
@@ -35,10 +36,10 @@ def vendor_maps(heads: DataFrame, matched: DataFrame, columns: DataFrame) -> Dat
 
 def process(grid: DataFrame, text: DataFrame | None = None, registry: tuple[DataFrame, DataFrame, DataFrame] | None = None, universal: str = "USD", rate: float = 1.0, strict: bool = False) -> Statements:
     """All stages over a grid (doc_id, page, row, cells); text (doc_id, text) is taken from the grid by default."""
-    text = metadata.text_layer(grid) if text is None else text
-    facts = metadata.text_metadata(text)
-    bounds = metadata.boundary_balances(text, grid)
-    heads = header.locate(grid)
+    text = cut(metadata.text_layer(grid) if text is None else text)
+    facts = cut(metadata.text_metadata(text))
+    bounds = cut(metadata.boundary_balances(text, grid))
+    heads = cut(header.locate(grid))
     maps = heads.select("doc_id", "mapping")
     known = None
     if registry is not None:
@@ -53,7 +54,8 @@ def process(grid: DataFrame, text: DataFrame | None = None, registry: tuple[Data
     placed = grid.join(heads.select("doc_id", F.struct(F.col("page"), F.col("start_row").alias("row")).alias("start"), F.col("page").alias("head_page")), "doc_id", "left")
     body = placed.filter(at >= F.col("start")).drop("start", "head_page")
     before = placed.filter(F.col("start").isNull() | (F.col("page") < F.col("head_page")))
-    records = grouping.group_wrapped(grouping.without_footers(body), maps)
+    maps = cut(maps)
+    records = cut(grouping.group_wrapped(grouping.without_footers(body), maps))
     rows, undated = grouping.project(records, maps)
     has_rows = rows.select("doc_id").distinct().withColumn("any_rows", F.lit(True))
     line = grouping.body_text(F.col("cells"))
@@ -65,8 +67,8 @@ def process(grid: DataFrame, text: DataFrame | None = None, registry: tuple[Data
     rows = rows.withColumn("seq", seq.cast("int")).withColumnRenamed("doc_id", "statement_id")
     units = bounds.select(F.col("doc_id").alias("statement_id"), to_units(F.col("opening"), repair.SCALE).alias("opening"), to_units(F.col("closing"), repair.SCALE).alias("closing"))
     fixed, log = repair.repair(rows, units, strict=strict)
-    parsed = ledger.parse_rows(fixed, repair.SCALE)
-    judged = ledger.triage(ledger.validate(parsed, units, repair.SCALE), log)
+    parsed = cut(ledger.parse_rows(fixed, repair.SCALE))
+    judged = cut(ledger.triage(ledger.validate(parsed, units, repair.SCALE), log))
 
     currency = F.col("currency")
     info = facts.join(bounds, "doc_id")
