@@ -13,8 +13,9 @@ key ranges for its tokens with sorted, delta-coded keys, and gets logarithms of
 are hashes cut to a few bits more than the corpus's tokens need, so a frequency may be too large, never too small.
 
 A list of many documents never emits all its pairs. First each long list is linked to its most central member alone (a
-star), short lists in full, and components are formed; then long lists are compared again, but only between different
-components, in blocks of bounded size. That is exact: every pair that could still join two components is tested.
+star), short lists in full, and components are formed; a second star links the members of other components to the
+centres of each list's largest one. Then long lists are compared again, but only between different components, in blocks
+of bounded size. That is exact: every pair that could still join two components is tested.
 
 Hashes of shingles and sets have 64 bits.
 
@@ -39,7 +40,9 @@ from .words import coded_words, shingles_of, word_hashes
 
 #: Stored MB of a block's documents, keys of a range, longest l, members of a list that is compared in full at once,
 #: members of a block of a long list, and bits of the filter that finds documents again.
-BLOCK_MB, RANGE_KEYS, MOST_MATCHES, SHORT, BLOCK, FILTER_BITS, SEED = 8.0, 2_000_000, 8, 4, 2048, 1 << 23, 17
+BLOCK_MB, RANGE_KEYS, MOST_MATCHES, SHORT, BLOCK, FILTER_BITS, SEED = 5.0, 2_000_000, 8, 4, 2048, 1 << 23, 17
+#: Centres of a list in its second star.
+CENTRES = 3
 #: Steps of a logarithm of two in which frequencies are told.
 STEPS = 8
 SURVEY = "doc boolean, doc_id long, n long, cls long, part int, block int, first long, keys binary, counts binary"
@@ -202,6 +205,14 @@ def _pair_batch(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, star: np
     return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(g["need"][i], g["need"][j])), pa.array(star)], names=["a", "b", "need", "star"])
 
 
+def _off_centre(g: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How far each row's bitmap is from the bits that most of the rows have."""
+    bits = np.stack([g["bits"][rows], g["bits2"][rows]], 1)
+    votes = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    middle = np.packbits((2 * votes > len(rows)).astype(np.uint8), bitorder="little").view("<i8")
+    return np.bitwise_count((bits ^ middle).view(np.uint64)).astype(np.int64).sum(1)
+
+
 def _first_pairs(percent: int):
     """All pairs of short lists, and each member of a long list with its most central one, if sizes and bitmaps allow."""
 
@@ -217,10 +228,7 @@ def _first_pairs(percent: int):
                         right.append(at + j)
                         stars.append(np.zeros(len(at), bool))
             for at, size in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
-                bits = np.stack([g["bits"][at : at + size], g["bits2"][at : at + size]], 1)
-                votes = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                middle = np.packbits((2 * votes > size).astype(np.uint8), bitorder="little").view("<i8")
-                hub = at + int(np.bitwise_count((bits ^ middle).view(np.uint64)).astype(np.int64).sum(1).argmin())
+                hub = at + int(_off_centre(g, np.arange(at, at + size)).argmin())
                 others = np.delete(np.arange(at, at + size), hub - at)
                 left.append(np.full(size - 1, hub))
                 right.append(others)
@@ -233,6 +241,26 @@ def _first_pairs(percent: int):
     return run
 
 
+def _next_pairs(percent: int):
+    """Members of other components with the most central members of a list's largest one, if sizes and bitmaps allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["token", "salt"]):
+            for at, end in zip(g[""][:-1].tolist(), g[""][1:].tolist(), strict=True):
+                names, counts = np.unique(g["comp"][at:end], return_counts=True)
+                if len(names) == 1:
+                    continue
+                rows = np.arange(at, end)
+                inside = g["comp"][at:end] == names[counts.argmax()]
+                centres = rows[inside][np.argsort(_off_centre(g, rows)[inside], kind="stable")[:CENTRES]]
+                i, j = (x.ravel() for x in np.meshgrid(centres, rows[~inside]))
+                ok = ~_far(g, i, j, percent)
+                if ok.any():
+                    yield _pair_batch(g, i[ok], j[ok], np.ones(int(ok.sum()), bool))
+
+    return run
+
+
 def _cross_pairs(percent: int):
     """Pairs of different components within a list, block against block, if sizes and bitmaps allow."""
 
@@ -343,17 +371,34 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     comp = save(components(links), "join-components")
 
     long = listed.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > SHORT)
-    seen = listed.join(long, "token").join(comp, listed["cls"] == comp["node"], "left").select("token", "cls", "n", "need", "bits", "bits2", F.coalesce("comp", "cls").alias("comp"), F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
-    mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    seen = seen.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    met = seen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    again = dealt(met.select("token", "x", "y", "own", "cls", "n", "need", "bits", "bits2", "comp"), "token", "x", "y").mapInArrow(_cross_pairs(percent), PAIR)
-    again = again.groupBy("a", "b").agg(F.count("*").alias("more"), F.min("need").alias("need")).join(first.select("a", "b", "c", "met"), ["a", "b"], "left")
-    again = save(again.filter("coalesce(met, 0) < need AND more + coalesce(c, 0) >= need").select("a", "b"), "join-pairs")
-    if not again.isEmpty():
-        more = _links(docs, again, classes, width, percent)
+    columns = ["token", "cls", "n", "need", "bits", "bits2"]
+
+    def mixed_lists() -> DataFrame:
+        """Members of long lists that still have several components."""
+        seen = listed.join(long, "token").join(comp, listed["cls"] == comp["node"], "left").select(*columns, F.coalesce("comp", "cls").alias("comp"), F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
+        mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+        return seen.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+
+    def grown(found: DataFrame) -> DataFrame:
+        """Components with the links of these pairs added."""
+        more = _links(docs, found, classes, width, percent)
         stars = comp.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        comp = save(components(stars.unionByName(more)), "join-components")
+        return save(components(stars.unionByName(more)), "join-components")
+
+    second = dealt(mixed_lists().select(*columns, "comp", F.col("own").alias("salt")), "token", "salt").mapInArrow(_next_pairs(percent), PAIR)
+    second = second.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
+    second = save(second.join(tried, ["a", "b"], "left_anti"), "join-pairs")
+    if not second.isEmpty():
+        comp = grown(second)
+    tried = tried.unionByName(second)
+
+    met = mixed_lists().withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    again = dealt(met.select("token", "x", "y", "own", *columns[1:], "comp"), "token", "x", "y").mapInArrow(_cross_pairs(percent), PAIR)
+    again = again.groupBy("a", "b").agg(F.count("*").alias("more"), F.min("need").alias("need")).join(first.select("a", "b", "c"), ["a", "b"], "left")
+    again = again.filter("more + coalesce(c, 0) >= need").select("a", "b")
+    again = save(again.join(tried, ["a", "b"], "left_anti"), "join-pairs")
+    if not again.isEmpty():
+        comp = grown(again)
 
     nodes = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     ids = nodes.groupBy("comp").agg(F.min("rep").alias("component_id"))
