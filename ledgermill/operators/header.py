@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alias_field, header_like, infer_field, is_anchor, merge_headers, strip
+from ..functions.text import alias_field, header_like, header_score, headers_match_fuzzily, infer_field, is_anchor, merge_headers, strip
 
 
 def map_columns(headers: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,6 +34,32 @@ def _with_description(width: F.Column) -> F.Column:
     return F.when(_has("description") | free.isNull(), F.col("mapping")).otherwise(F.map_concat("mapping", F.create_map(F.lit("description"), free)))
 
 
+def _continues(mapping: str) -> F.Column:
+    """Whether the row below has text, and no date in the date column."""
+    at = F.get(F.map_values(F.map_filter(mapping, lambda k, v: k == "transaction_date")), F.lit(0))
+    dated = F.coalesce(is_anchor(F.get("below", at)), F.lit(False))
+    return F.col("below").isNotNull() & F.exists(F.coalesce("below", F.array().cast("array<string>")), lambda c: strip(c) != "") & ~dated
+
+
+def locate_for_vendors(grid: DataFrame, matched: DataFrame, columns: DataFrame) -> DataFrame:
+    """Like locate(), for documents of known vendors (doc_id, vendor_key) by their registered headers: each goes to its
+    best-scoring cell, the first on ties; an unmapped balance goes to the first cell that resembles one."""
+    w = Window.partitionBy("doc_id", "page").orderBy("row")
+    rows = grid.withColumn("below", F.lead("cells").over(w)).join(matched, "doc_id").filter(F.exists("cells", lambda c: header_like(strip(c))))
+    cells = rows.select("doc_id", "page", "row", "vendor_key", F.posexplode("cells").alias("col", "text")).join(columns, "vendor_key")
+    scored = cells.withColumn("score", header_score(F.col("text"), F.col("header"))).filter("score > 0")
+    best = scored.groupBy("doc_id", "page", "row", "field").agg(F.min_by("col", F.struct(-F.col("score"), F.col("col"))).alias("col"))
+    maps = best.groupBy("doc_id", "page", "row").agg(F.map_from_entries(F.collect_list(F.struct("field", "col"))).alias("mapping"))
+    rows = rows.join(maps, ["doc_id", "page", "row"]).filter(_qualifies())
+    found = rows.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "row"))).filter("rn = 1")
+    balance = F.array_position(F.transform("cells", lambda c: headers_match_fuzzily(c, F.lit("balance"))), True) - 1
+    found = found.withColumn("mapping", F.when(_has("running_balance") | (balance < 0), F.col("mapping")).otherwise(F.map_concat("mapping", F.create_map(F.lit("running_balance"), balance.cast("int")))))
+    found = found.withColumn("mapping", _with_description(F.size("cells")))
+    split = _continues("mapping")
+    headers = F.transform(F.when(split, merge_headers(F.col("cells"), F.col("below"))).otherwise(F.col("cells")), strip)
+    return found.select("doc_id", "page", "row", (F.col("row") + F.when(split, 2).otherwise(1)).alias("start_row"), headers.alias("headers"), "mapping")
+
+
 def locate(grid: DataFrame) -> DataFrame:
     """doc_id, page, row, start_row (of the body), headers and mapping of the first header of each document.
 
@@ -51,8 +77,7 @@ def locate(grid: DataFrame) -> DataFrame:
     single, merged = F.col("mapping"), F.col("merged")
     rows = rows.withColumn("own", single).withColumn("mapping", merged).withColumn("together", F.col("part") & _qualifies())
     found = rows.filter("alone OR together").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "row"))).filter("rn = 1")
-    date_below = F.coalesce(is_anchor(F.get("below", F.map_values(F.map_filter("own", lambda k, v: k == "transaction_date"))[0])), F.lit(False))
-    split = F.col("below").isNotNull() & F.exists(F.coalesce("below", F.array().cast("array<string>")), lambda c: strip(c) != "") & ~date_below
+    split = _continues("own")
     take_both = ~F.col("alone") | split
     found = found.withColumn("start_row", F.col("row") + F.when(take_both, 2).otherwise(1))
     found = found.withColumn("headers", F.transform(F.when(take_both, F.col("both")).otherwise(F.col("cells")), strip))

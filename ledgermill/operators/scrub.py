@@ -12,15 +12,20 @@ from .. import constants as K
 from ..functions.text import any_of, parse_currency, scrub, strip, to_units
 
 
+def _names(aliases: list[str]):
+    return lambda c: any_of([(c == a) | (c.rlike(rf"\b{a}\b") if len(a) <= 3 else c.contains(a)) for a in aliases])
+
+
+def _column(field: str) -> Column:
+    return F.get(F.map_values(F.map_filter("map", lambda k, v: k == field)), F.lit(0))
+
+
 def header_columns(cells: Column) -> Column:
     """field -> column index by the scrubber's own aliases; short ones need word boundaries."""
     low = F.transform(cells, lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
     entries = []
     for field, aliases in K.SCRUB_ALIASES.items():
-        def hit(c, aliases=aliases):
-            return any_of([(c == a) | (c.rlike(rf"\b{a}\b") if len(a) <= 3 else c.contains(a)) for a in aliases])
-
-        at = F.array_position(F.transform(low, hit), True)
+        at = F.array_position(F.transform(low, _names(aliases)), True)
         entries.append(F.when(at > 0, F.struct(F.lit(field).alias("key"), (at - 1).cast("int").alias("value"))))
     return F.map_from_entries(F.array_compact(F.array(*entries)))
 
@@ -50,7 +55,7 @@ def scrub_grid(grid: DataFrame, seed: int = 0, randomize_amounts: bool = False)
     g = grid.withColumn("cells", F.transform("cells", lambda c: strip(F.coalesce(c, F.lit(""))))).withColumn("m", header_columns(F.col("cells")))
     heads = g.filter(F.map_contains_key("m", "transaction_date") & F.map_contains_key("m", "description")).groupBy("doc_id").agg(F.min(order).alias("head"), F.min_by("m", order).alias("map"))
     g = g.drop("m").join(heads, "doc_id", "left")
-    at = {f: F.get(F.map_values(F.map_filter("map", lambda k, v, f=f: k == f)), F.lit(0)) for f in K.FIELDS}
+    at = {f: _column(f) for f in K.FIELDS}
     date = F.coalesce(F.get("cells", at["transaction_date"]), F.lit(""))
     below = F.col("head").isNotNull() & (order > F.col("head"))
     g = g.withColumn("kind", F.when(order == F.col("head"), "header").when(below & (date != "") & ~date.rlike(r"(?U)\p{L}"), "transaction").when(below, "footer").otherwise("metadata"))

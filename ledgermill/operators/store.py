@@ -18,9 +18,13 @@ def latest(statements: DataFrame, created: str, key: str, n: int = 1) -> DataFra
 
 def with_children(statements: DataFrame, children: DataFrame, key: str, order: list[str], name: str = "children") -> DataFrame:
     """Each statement with its child rows as an ordered array; statements without children keep an empty one."""
-    fields = [c for c in children.columns if c != key]
-    first = [*order, *[c for c in fields if c not in order]]
-    nested = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*first))).alias(name))
+    first = [*order, *[c for c in children.columns if c != key and c not in order]]
+
+    def compare(a: F.Column, b: F.Column) -> F.Column:  # by the order's columns alone: others may not be comparable
+        x, y = (F.struct(*[r[c].alias(c) for c in order]) for r in (a, b))
+        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+    nested = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*first)), compare).alias(name))
     return statements.join(nested, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(nested.schema[name].dataType)))
 
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import convert, fx_rate, header_score, optional_amount, to_units
+from ..functions.text import convert, fx_rate, optional_amount, to_units
 from ..lineage import cut
 from ..operators import grouping, header, ledger, metadata, repair, vendor
 
@@ -26,14 +26,6 @@ class Statements:
     headers: DataFrame
 
 
-def vendor_maps(heads: DataFrame, matched: DataFrame, columns: DataFrame) -> DataFrame:
-    """doc_id, mapping of documents with a known vendor: each of its headers goes to the best column, the first on ties."""
-    cells = heads.join(matched, "doc_id").select("doc_id", "vendor_key", F.posexplode("headers").alias("col", "text"))
-    scored = cells.join(columns, "vendor_key").withColumn("score", header_score(F.col("text"), F.col("header"))).filter("score > 0")
-    best = scored.groupBy("doc_id", "field").agg(F.min_by("col", F.struct(-F.col("score"), F.col("col"))).alias("col"))
-    return best.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "col"))).alias("vendor_mapping"))
-
-
 def process(grid: DataFrame, text: DataFrame | None = None, registry: tuple[DataFrame, DataFrame, DataFrame] | None = None, universal: str = "USD", rate: float = 1.0, strict: bool = False) -> Statements:
     """All stages over a grid (doc_id, page, row, cells); text (doc_id, text) is taken from the grid by default."""
     text = cut(metadata.text_layer(grid) if text is None else text)
@@ -44,12 +36,19 @@ def process(grid: DataFrame, text: DataFrame | None = None, registry: tuple[Data
     known = None
     if registry is not None:
         vendors, aliases, columns = registry
-        known = vendor.match_aliases(text, vendors, aliases).join(vendors, "vendor_key")
-        cells = heads.select("doc_id", F.explode("headers").alias("header"))
-        inline = vendor.match_structure(cells, vendors, columns, vendor.INLINE, strict=True).select("doc_id", "vendor_key").join(known.select("doc_id"), "doc_id", "left_anti").join(vendors, "vendor_key")
-        known = known.unionByName(inline)
-        own = vendor_maps(heads, known.select("doc_id", "vendor_key"), columns)
-        maps = maps.join(own, "doc_id", "left").select("doc_id", F.when(F.map_contains_key("vendor_mapping", "transaction_date"), F.map_concat("vendor_mapping", F.map_filter("mapping", lambda k, v: ~F.map_contains_key("vendor_mapping", k) & ~F.array_contains(F.map_values("vendor_mapping"), v)))).otherwise(F.col("mapping")).alias("mapping"))
+        named = cut(vendor.match_aliases(text, vendors, aliases))
+        lines = grid.select("doc_id", "page", "row", F.explode("cells").alias("header")).join(named, "doc_id", "left_anti")
+        key = F.to_json(F.struct("doc_id", "page", "row"))
+        inline = vendor.match_structure(lines.select(key.alias("doc_id"), "header"), vendors, columns, vendor.INLINE, strict=True)
+        where = F.from_json("doc_id", "doc_id string, page int, row int")
+        inline = inline.select(where["doc_id"].alias("doc_id"), F.struct(where["page"], where["row"]).alias("at"), "vendor_key")
+        matched = cut(named.unionByName(inline.groupBy("doc_id").agg(F.min_by("vendor_key", "at").alias("vendor_key"))))
+        known = matched.join(vendors, "vendor_key")
+        own = header.locate_for_vendors(grid, matched, columns)
+        first = Window.partitionBy("doc_id").orderBy("page", "row", "rank")
+        heads = own.withColumn("rank", F.lit(0)).unionByName(heads.withColumn("rank", F.lit(1))).withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rank", "rn")
+        heads = cut(heads)
+        maps = heads.select("doc_id", "mapping")
     at = F.struct("page", "row")
     placed = grid.join(heads.select("doc_id", F.struct(F.col("page"), F.col("start_row").alias("row")).alias("start"), F.col("page").alias("head_page")), "doc_id", "left")
     body = placed.filter(at >= F.col("start")).drop("start", "head_page")

@@ -574,12 +574,12 @@ def registry_overlay(spark, sf_dir):
 
 @query("""WITH anchors AS (SELECT label, embedding AS anchor FROM embeddings WHERE vec_id < 20),
     s AS (SELECT e.vec_id AS id, a.label, max(round(list_cosine_similarity(e.embedding::DOUBLE[], a.anchor::DOUBLE[]), 6)) AS score FROM embeddings e, anchors a GROUP BY ALL)
-    SELECT id, arg_max(label, (score, -label)) AS label, round(max(score), 4) AS score FROM s GROUP BY id""")
+    SELECT id, arg_max(label, (score, -label)) AS label FROM s GROUP BY id""")
 def embedding_nearest_label(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     anchors = e.filter("vec_id < 20").select("label", F.col("embedding").alias("anchor"))
     out = retrieval.nearest_label(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), anchors)
-    return out.select("id", "label", F.round("score", 4).alias("score"))
+    return out.select("id", "label")
 
 
 # ---------------------------------------------------------------- retrieval
