@@ -14,11 +14,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Segments kept in a worker's memory, the longest that is kept, and how many new ones are encoded as one text.
-MOST_KEPT, LONGEST_KEPT, TOGETHER = 800_000, 40, 256
+MOST_KEPT, LONGEST_KEPT, TOGETHER = 400_000, 40, 256
 #: Between new segments; its id marks their ends.
 MARK = "\0"
 #: In place of a segment's ids: its text must be encoded whole.
 WHOLE = b"whole"
+#: Signs that are pre-tokens of their own after a letter, and the first character beyond those that plain words have.
+TAILS, BEYOND = frozenset(",.;:!?|"), "\u0250"
+
+
+def byte_signs() -> dict[int, str]:
+    """The printable sign that stands for each byte in byte-level vocabularies: itself, or the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
@@ -48,6 +57,47 @@ class Encoder:
             self.lengths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
             self.lengths[[i for i, t in self.tokenizer.get_added_tokens_decoder().items()]] = 0
         self.mark = marks[1] if len(marks) == 3 else None
+        self._plan_plain_words(path)
+
+    def _plan_plain_words(self, path: str) -> None:
+        """A word of Latin letters is one pre-token: it needs neither normaliser nor patterns, only the merges."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.signs = byte_signs()
+        self.lead = self.signs[32] if self.lengths is not None else ""
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        pieces = [self.plain.id_to_token(i) or "" for i in range(self.plain.get_vocab_size())]
+        # which ids begin (with a lead) or end (with a suffix) a word: so the words of a row can be told apart
+        self.edge = np.array([p.startswith(self.lead) if self.lead else p.endswith("</w>") for p in pieces], bool)
+        self.tails = dict(zip(TAILS, self._ids(list(TAILS)), strict=True))
+        probe = ["the", "straße", "Été", "zzxq"]
+        self.simple = self._plain_ids([self._spelled(w) for w in probe]) == self._ids([" " + w for w in probe])
+
+    def _spelled(self, word: str) -> str | None:
+        """A plain word in the vocabulary's signs; None if it isn't plain."""
+        if not word.isalpha() or max(word) >= BEYOND:
+            return None
+        if not self.lead:
+            n, word = len(word), word.lower()
+            if len(word) != n:
+                return None
+        return self.lead + (word if word.isascii() else word.encode().decode("latin-1").translate(self.signs))
+
+    def _plain_ids(self, words: list[str]) -> list[bytes] | None:
+        """Ids of each spelled word; None if they can't be told apart."""
+        out: list[bytes] = []
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for part, e in zip(parts, self.plain.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(self.edge[ids])
+            at = np.append(at, len(ids)) if self.lead else np.concatenate([[0], at + 1])
+            if len(at) != len(part) + 1 or at[0] != 0 or at[-1] != len(ids):
+                return None
+            raw, at = ids.tobytes(), (at * self.dtype.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        return out
 
     def _several(self, segments: list[str]) -> list[bytes]:
         """Ids of each of many segments, encoded as few texts; a text whose parts can't be told goes one by one."""
@@ -113,15 +163,43 @@ class Encoder:
         new = [s for s, x in zip(segments, found) if x is None]
         if not new:
             return found
-        own: dict[str, bytes] = {s: WHOLE for s in new if not s or s[0].isspace()}
-        own[MARK] = b""
-        first = [s for s in new if s[:1] == MARK and len(s) > 1]
-        rest = [s for s in new if s not in own and s[0] != MARK]
+        own: dict[str, bytes] = {}
+        first, rest, words, tailed = [], [], {}, []
+        lower, lead = not self.lead, self.lead
+        for s in new:
+            end = s[-1:]
+            word, tail = (s[:-1], end) if end in TAILS else (s, "")
+            if not self.simple or not word:
+                spelled = None
+            elif word.isascii():
+                spelled = (word.lower() if lower else lead + word) if word.isalpha() else None
+            else:
+                spelled = self._spelled(word)
+            if spelled is not None:
+                tailed.append((s, words.setdefault(spelled, len(words)), tail))
+            elif not s or s[0].isspace():
+                own[s] = WHOLE
+            elif s[0] != MARK:
+                rest.append(s)
+            elif len(s) > 1:
+                first.append(s)
+            else:
+                own[s] = b""
+        ids = self._plain_ids(list(words)) if words else []
+        if ids is None:  # they can't be told apart: by the usual way
+            rest += [s for s, _, _ in tailed]
+        else:
+            tails = self.tails
+            for s, k, tail in tailed:
+                own[s] = ids[k] + tails[tail] if tail else ids[k]
         own.update(zip(first, self._ids([s[1:] for s in first]), strict=True))
         own.update(zip(rest, self._several([" " + s for s in rest]), strict=True))
         if len(kept) + len(own) > MOST_KEPT:
             kept.clear()
-        kept.update((s, x) for s, x in own.items() if len(s) <= LONGEST_KEPT)
+        if max(map(len, own)) <= LONGEST_KEPT:
+            kept.update(own)
+        else:
+            kept.update((s, x) for s, x in own.items() if len(s) <= LONGEST_KEPT)
         return [own[s] if x is None else x for s, x in zip(segments, found)]
 
 

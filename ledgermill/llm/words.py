@@ -32,7 +32,7 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
 class Memo(dict):
     """A function's values for words, kept between batches of a worker and dropped when there are too many."""
 
-    def __init__(self, f: Callable, most: int = 300_000):
+    def __init__(self, f: Callable, most: int = 150_000):
         super().__init__()
         self.f, self.most = f, most
 
