@@ -15,7 +15,8 @@ are hashes cut to a few bits more than the corpus's tokens need, so a frequency
 A list of many documents never emits all its pairs. First each long list is linked to its most central member alone (a
 star), short lists in full, and components are formed; a second star links the members of other components to the
 centres of each list's largest one. Then long lists are compared again, but only between different components, in blocks
-of bounded size. That is exact: every pair that could still join two components is tested.
+of bounded size; a pair leaves once, in the list of the least token that both have, with the number of tokens that they
+share. That is exact: every pair that could still join two components is tested.
 
 Hashes of shingles and sets have 64 bits.
 
@@ -43,12 +44,15 @@ from .words import coded_words, shingles_of, word_hashes
 BLOCK_MB, RANGE_KEYS, MOST_MATCHES, SHORT, BLOCK, FILTER_BITS, SEED = 5.0, 2_000_000, 8, 4, 2048, 1 << 23, 17
 #: Centres of a list in its second star.
 CENTRES = 3
+#: Long lists that a class tells all its lists of; pairs of classes with more leave once in every shared list.
+TOLD = 256
 #: Steps of a logarithm of two in which frequencies are told.
 STEPS = 8
 SURVEY = "doc boolean, doc_id long, n long, cls long, part int, block int, first long, keys binary, counts binary"
 ANSWER = "part int, block int, n long, logs binary"
 POSTING = "token long, salt int, cls long, n int, need int, bits long, bits2 long"
 PAIR = "a long, b long, need int, star boolean"
+CROSS = "a long, b long, need int, more int"
 
 
 def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -261,25 +265,49 @@ def _next_pairs(percent: int):
     return run
 
 
+def _told(lists: list[np.ndarray | None], token: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which classes tell their lists; a 0/1 matrix of lists that several of them are in; which columns are less than token."""
+    known = np.array([x is not None for x in lists])
+    every = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in lists]
+    names, place, counts = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    matrix = np.zeros((len(lists), max(1, int((counts > 1).sum()))), np.float32)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in every])
+    several = counts[place] > 1
+    matrix[row[several], column[place[several]]] = 1
+    return known, matrix, np.append(names[counts > 1] < token, np.zeros(matrix.shape[1] - int((counts > 1).sum()), bool))
+
+
 def _cross_pairs(percent: int):
     """Pairs of different components within a list, block against block, if sizes and bitmaps allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["token", "x", "y"]):
             for at, end in zip(g[""][:-1].tolist(), g[""][1:].tolist(), strict=True):
+                if (g["comp"][at:end] == g["comp"][at]).all():
+                    continue
                 same = g["x"][at] == g["y"][at]
                 rows = np.arange(at, end)
                 one = rows if same else rows[g["own"][at:end] == g["x"][at]]
                 two = rows if same else rows[g["own"][at:end] == g["y"][at]]
+                known, matrix, less = _told(list(g["mine"][at:end]), g["token"][at])
                 for s in range(0, len(one), 256):
                     i, j = one[s : s + 256][:, None], two[None, :]
-                    ok = g["comp"][i] != g["comp"][j]
+                    shared = matrix[i[:, 0] - at] @ matrix[two - at].T
+                    before = matrix[i[:, 0] - at][:, less] @ matrix[two - at][:, less].T
+                    told = known[i - at] & known[j - at]
+                    need = np.minimum(g["need"][i], g["need"][j])
+                    # short lists can add at most as many matches as either class has of them
+                    enough = shared + np.minimum(g["short"][i], g["short"][j]) >= need
+                    ok = (g["comp"][i] != g["comp"][j]) & (~told | ((before == 0) & enough))
                     if same:
                         ok &= i < j
                     ok &= ~_far(g, i, j, percent)
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        yield _pair_batch(g, one[s : s + 256][i], two[j], np.zeros(len(i), bool))
+                    p, q = np.nonzero(ok)
+                    if len(p):
+                        a, b = g["cls"][i[:, 0][p]], g["cls"][two[q]]
+                        more = np.where(told[p, q], shared[p, q], 1).astype(np.int32)
+                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need[p, q].astype(np.int32)), pa.array(more)], names=["a", "b", "need", "more"])
 
     return run
 
@@ -392,9 +420,13 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         comp = grown(second)
     tried = tried.unionByName(second)
 
-    met = mixed_lists().withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    again = dealt(met.select("token", "x", "y", "own", *columns[1:], "comp"), "token", "x", "y").mapInArrow(_cross_pairs(percent), PAIR)
-    again = again.groupBy("a", "b").agg(F.count("*").alias("more"), F.min("need").alias("need")).join(first.select("a", "b", "c"), ["a", "b"], "left")
+    met = save(mixed_lists(), "join-mixed")
+    mine = met.groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("mine")).withColumn("mine", F.when(F.size("mine") <= TOLD, F.col("mine")))
+    short = listed.join(long.select("token"), "token", "left_anti").groupBy("cls").agg(F.count("*").alias("short"))
+    met = met.join(mine, "cls").join(short, "cls", "left").withColumn("short", F.coalesce("short", F.lit(0)).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    again = dealt(met.select("token", "x", "y", "own", *columns[1:], "comp", "mine", "short"), "token", "x", "y").mapInArrow(_cross_pairs(percent), CROSS)
+    again = again.groupBy("a", "b").agg(F.sum("more").alias("more"), F.min("need").alias("need")).join(first.select("a", "b", "c"), ["a", "b"], "left")
     again = again.filter("more + coalesce(c, 0) >= need").select("a", "b")
     again = save(again.join(tried, ["a", "b"], "left_anti"), "join-pairs")
     if not again.isEmpty():
