@@ -8,6 +8,7 @@ go through the library. A text with white space next to a space goes through it
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -203,13 +204,16 @@ class Encoder:
         return [own[s] if x is None else x for s, x in zip(segments, found)]
 
 
-def portions(texts: pa.Array, most: int = 8_000_000) -> list[tuple[int, int]]:
-    """Row ranges of a text column of at most so many bytes each, or of one row."""
+def portions(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of a text column of at most so many bytes each, or of one row; memory goes back between them."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    out, start, held = [], 0, 0
+    start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > most:
-            out.append((start, i))
+            yield start, i
+            pa.default_memory_pool().release_unused()
             start, held = i, 0
         held += n
-    return [*out, (start, len(sizes))] if len(sizes) else []
+    if len(sizes):
+        yield start, len(sizes)
+        pa.default_memory_pool().release_unused()
