@@ -7,6 +7,7 @@ go through the library. A text with white space next to a space goes through it
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -31,6 +32,17 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def vocabulary_size(path: str) -> int:
+    """How many ids a file has, without loading its tokenizer: all that the driver needs."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    return 1 + max([*held["model"]["vocab"].values(), *[t["id"] for t in held.get("added_tokens", [])]])
+
+
+def id_type(size: int) -> np.dtype:
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
 class Encoder:
     """Encodes batches of texts to arrays of ids; one for each file and worker process."""
 
@@ -48,7 +60,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.kept: dict[str, bytes] = {}
         marks = self.tokenizer.encode(f"a {MARK} a", add_special_tokens=False).ids
         #: Without a normaliser, tokens spell the bytes of the text, and their lengths show where a segment ends.

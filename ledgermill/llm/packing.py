@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fields, pieces_for
-from .encoding import Encoder, portions
+from .encoding import Encoder, id_type, portions, vocabulary_size
 
 #: Tokens of a sequence, stored MB of documents that make a group, and the key of the groups' hash.
 CAPACITY, GROUP_MB, SEED = 2048, 6.0, 20_011
@@ -130,9 +130,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     groups = pieces_for(docs, group_mb)
     keyed = fields(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(groups)).cast("int").alias("grp"), "doc_id", "text")
     coded = keyed.mapInArrow(_encode(tokenizer, end_id), "grp int, doc_id long, ids binary")
-    dtype = "<u2" if _small(tokenizer) else "<u4"
+    dtype = id_type(vocabulary_size(tokenizer)).str
     return coded.groupBy("grp").applyInArrow(_pack(dtype, capacity, with_ids), PIECES + ", ids binary" * with_ids)
 
-
-def _small(path: str) -> bool:
-    return Encoder.of(path).dtype.itemsize == 2

@@ -15,10 +15,12 @@ class's share; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from .encoding import portions
 from .words import Memo, coded_words, hash_word
 
 #: Labelled rows that are learned at most, hashed feature space, smoothing of the counts, and the descent's settings.
-SAMPLE, BITS, SMOOTH, COST, EPOCHS, SEED = 8000, 20, 1.0, 1.0, 12, 7
+SAMPLE, BITS, SMOOTH, COST, EPOCHS, SEED = 6000, 20, 1.0, 1.0, 12, 7
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 _RUN = re.compile(r"(.)\1+", re.S)
@@ -105,7 +107,8 @@ class Model:
     def _descend(self, rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         """Dual coordinate descent for the hinge loss; the rarer class costs as much in all as the other."""
         w = np.zeros(1 << BITS, np.float32)
-        xs = [self._scaled(r) for r in rows]
+        sizes = np.cumsum([len(r) for r in rows])
+        xs = np.split(np.concatenate([self._scaled(r) for r in rows]), sizes[:-1])
         cost = np.where(y > 0, COST, COST * max(1.0, (y > 0).sum() / (y < 0).sum()))
         alpha = np.zeros(len(y))
         rng = np.random.default_rng(SEED)
@@ -155,9 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = known.distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "quality").limit(SAMPLE)
     rows = fields(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("label"), "text")
     got = rows.mapInArrow(_features, "label int, features binary").toArrow()
-    # in an order that doesn't depend on the partitions
-    found = sorted(zip(got["features"].to_pylist(), got["label"].to_pylist(), strict=True))
-    return Model([np.frombuffer(f, np.uint32) for f, _ in found], np.array([v for _, v in found]))
+    # one array for all rows, in an order that doesn't depend on the partitions
+    blobs = got["features"].combine_chunks()
+    labels_ = got["label"].to_numpy()
+    ends = pc.cumulative_sum(pc.binary_length(blobs).cast(pa.int64())).to_numpy() if len(blobs) else np.zeros(0, np.int64)
+    every = np.frombuffer(b"".join(x.as_buffer() for x in blobs), np.uint32)
+    parts = np.split(every, ends[:-1] // 4) if len(ends) else []
+    order = sorted(range(len(parts)), key=lambda i: (zlib.crc32(parts[i].tobytes()), len(parts[i]), labels_[i]))
+    return Model([parts[i] for i in order], labels_[order])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fields, pieces_for, save
-from .encoding import Encoder, portions
+from .encoding import Encoder, id_type, portions, vocabulary_size
 
 SCALE, BLOCK, LANES, SHARD_MB = 18, 65_536, 32, 4.0
 LOW = np.uint64(1 << 31)
@@ -144,13 +144,13 @@ def _write_shard(dtype: str, vocabulary: int):
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, shard_mb: float = SHARD_MB) -> DataFrame:
     """Encodes all documents into the file (a table in the shared folder); one shuffle deals the ids to doc_id ranges."""
-    coder = Encoder.of(tokenizer)
+    size = vocabulary_size(tokenizer)
     rows = fields(docs, "doc_id", "text")
     shards = pieces_for(docs, shard_mb)
     bounds = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100_000)).first()[0] if shards > 1 else None
     bounds = sorted(set(bounds or []))
     coded = rows.mapInArrow(_tokens(tokenizer, end_id, bounds), "shard int, doc_id long, ids binary")
-    return save(coded.groupBy("shard").applyInArrow(_write_shard(coder.dtype.str, max(coder.tokenizer.get_vocab_size(), end_id + 1)), SCHEMA), "token-file")
+    return save(coded.groupBy("shard").applyInArrow(_write_shard(id_type(size).str, max(size, end_id + 1)), SCHEMA), "token-file")
 
 
 def decode_shard(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
