@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Segments kept in a worker's memory, the longest that is kept, and how many new ones are encoded as one text.
-MOST_KEPT, LONGEST_KEPT, TOGETHER = 400_000, 40, 256
+MOST_KEPT, LONGEST_KEPT, TOGETHER = 700_000, 40, 256
 #: Between new segments; its id marks their ends.
 MARK = "\0"
 #: In place of a segment's ids: its text must be encoded whole.

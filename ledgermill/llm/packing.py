@@ -96,7 +96,7 @@ def _encode(path: str, end_id: int):
         coder = Encoder.of(path)
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
-            for a, b in portions(batch.column(2), 8_000_000):
+            for a, b in portions(batch.column(2), 12_000_000):
                 part = batch.slice(a, b - a)
                 ids, offsets = coder.encode(part.column(2))
                 raw, at = ids.tobytes(), (offsets * coder.dtype.itemsize).tolist()

@@ -114,7 +114,7 @@ def _tokens(path: str, end_id: int, bounds: list[int]):
         coder = Encoder.of(path)
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
-            for a, b in portions(batch.column(1), 8_000_000):
+            for a, b in portions(batch.column(1), 12_000_000):
                 part = batch.slice(a, b - a)
                 ids, offsets = coder.encode(part.column(1))
                 raw, at = ids.tobytes(), (offsets * coder.dtype.itemsize).tolist()
