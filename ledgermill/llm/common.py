@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine; workers live for many tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files behind df by the optimizer's statistics; no job runs. Text is about twice that."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

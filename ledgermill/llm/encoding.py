@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import tidy
+
 #: Segments kept in a worker's memory, the longest that is kept, and how many new ones are encoded as one text.
-MOST_KEPT, LONGEST_KEPT, TOGETHER = 700_000, 40, 256
+MOST_KEPT, LONGEST_KEPT, TOGETHER = 500_000, 40, 256
 #: Between new segments; its id marks their ends.
 MARK = "\0"
 #: In place of a segment's ids: its text must be encoded whole.
@@ -78,8 +80,7 @@ class Encoder:
 
         self.signs = byte_signs()
         self.lead = self.signs[32] if self.lengths is not None else ""
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
+        self.plain = Tokenizer(self.tokenizer.model)  # the same merges in memory
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         pieces = [self.plain.id_to_token(i) or "" for i in range(self.plain.get_vocab_size())]
         # which ids begin (with a lead) or end (with a suffix) a word: so the words of a row can be told apart
@@ -223,9 +224,9 @@ def portions(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > most:
             yield start, i
-            pa.default_memory_pool().release_unused()
+            tidy()
             start, held = i, 0
         held += n
     if len(sizes):
         yield start, len(sizes)
-        pa.default_memory_pool().release_unused()
+        tidy()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, discard, fields, mix64, pieces_for, release, save, stored_bytes
+from .common import M1, M2, discard, fields, mix64, pieces_for, release, save, stored_bytes, tidy
 from .encoding import portions
 from .packed import narrow, pack_keys, ranges, rows_table, unpack_keys, wide
 from .words import coded_words, shingles_of, word_hashes
@@ -113,6 +113,7 @@ def _survey(width: int, plan: Plan):
         keys, _, counts, part = plan.keys(dict(sorted(zip(classes, sets, strict=True), key=lambda r: r[0])))
         block = table["block"][0].as_py()
         rows = [{"doc": False, "part": int(part[a]), "block": block, "n": b - a, "first": int(keys[a]), "keys": pack_keys(keys[a:b]), "counts": narrow(counts[a:b])} for a, b in ranges(part)]
+        tidy()
         docs = pa.table({"doc": pa.array([True] * len(sets)), "doc_id": table["doc_id"], "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array(classes, pa.int64())})
         return pa.concat_tables([rows_table(SURVEY, rows), docs], promote_options="default").select([c.split()[0] for c in SURVEY.split(", ")])
 
@@ -125,6 +126,7 @@ def _answer(table: pa.Table) -> pa.Table:
     total = np.bincount(place, np.concatenate([wide(r["counts"], r["n"]) for r in rows]))
     logs = np.minimum(np.ceil(STEPS * np.log2(total)), 255).astype(np.uint8)[place]
     ends = np.cumsum([r["n"] for r in rows])
+    tidy()
     return rows_table(ANSWER, [{"part": r["part"], "block": r["block"], "n": r["n"], "logs": logs[e - r["n"] : e].tobytes()} for r, e in zip(rows, ends.tolist(), strict=True)])
 
 
@@ -164,6 +166,7 @@ def _postings(width: int, percent: int, plan: Plan):
             if len(shared) >= need:
                 salts = np.maximum(1, np.ceil(df[shared] / BLOCK)).astype(np.int64)
                 out.append((s[shared].view(np.int64), cls % salts, cls, n, need, *parity_bits(s)))
+        tidy()
         sizes = [len(x[0]) for x in out]
         spread = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in out], np.int64), sizes).astype(kind))
         joined = lambda k, kind: pa.array(np.concatenate([np.zeros(0, np.int64), *[x[k] for x in out]]).astype(kind))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, pieces_for
+from .common import fields, pieces_for, tidy
 from .encoding import Encoder, id_type, portions, vocabulary_size
 
 #: Tokens of a sequence, stored MB of documents that make a group, and the key of the groups' hash.
@@ -120,6 +120,7 @@ def _pack(dtype: str, capacity: int, with_ids: bool):
                 if with_ids:
                     columns["ids"].append(piece)
                 offset += n
+        tidy()
         return pa.table({c: pa.array(v, pa.binary() if c == "ids" else pa.int64()) for c, v in columns.items()})
 
     return run
