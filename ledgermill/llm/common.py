@@ -62,6 +62,7 @@ def discard(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished jobs now, instead of at the driver's next collection."""
     gc.collect()
+    tidy()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, crc_of_id, fields, mix64
+from .common import M1, crc_of_id, fields, mix64, release
 from .encoding import portions
 from .words import Memo, coded_words, hash_word
 
@@ -165,7 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     every = np.frombuffer(b"".join(x.as_buffer() for x in blobs), np.uint32)
     parts = np.split(every, ends[:-1] // 4) if len(ends) else []
     order = sorted(range(len(parts)), key=lambda i: (zlib.crc32(parts[i].tobytes()), len(parts[i]), labels_[i]))
-    return Model([parts[i] for i in order], labels_[order])
+    model = Model([parts[i] for i in order], labels_[order])
+    del got, blobs, every, parts
+    release(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
