@@ -12,11 +12,12 @@ Frequencies are counted over all documents: these are dealt to blocks of bounded
 key ranges for its tokens with sorted, delta-coded keys, and gets logarithms of frequencies in the order it asked. Keys
 are hashes cut to a few bits more than the corpus's tokens need, so a frequency may be too large, never too small.
 
-A list of many documents never emits all its pairs. First each long list is linked to its most central member alone (a
-star), short lists in full, and components are formed; a second star links the members of other components to the
-centres of each list's largest one. Then long lists are compared again, but only between different components, in blocks
-of bounded size; a pair leaves once, in the list of the least token that both have, with the number of tokens that they
-share. That is exact: every pair that could still join two components is tested.
+A list of many documents never emits all its pairs. First each long list (of many members, or dealt to several salts) is
+linked to its most central member alone (a star), short lists in full, and components are formed; a second star links
+the members of other components to the centres of each list's largest one. Then long lists are compared again, but only
+between different components, in blocks of bounded size; a pair leaves once, in the list of the least token that both
+have, with the number of tokens that they share. That is exact: every pair that could still join two components is
+tested.
 
 Hashes of shingles and sets have 64 bits.
 
@@ -401,7 +402,9 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     links = _links(docs, tried, classes, width, percent)
     comp = save(components(links), "join-components")
 
-    long = listed.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > SHORT)
+    # salts follow document frequency: a list of few members may be split as well, and those were not compared
+    split = F.min("salt") != F.max("salt")
+    long = listed.groupBy("token").agg(F.count("*").alias("df"), split.alias("split")).filter((F.col("df") > SHORT) | F.col("split")).select("token", "df")
     columns = ["token", "cls", "n", "need", "bits", "bits2"]
 
     def mixed_lists() -> DataFrame:

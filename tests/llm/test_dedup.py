@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from ledgermill.llm import exact_dedup, jaccard_join
 
@@ -83,6 +84,16 @@ def test_join_of_long_lists_and_blocks(docs, texts, monkeypatch):
     assert sorted(tuple(r) for r in jaccard_join.join(docs, 3, 85).collect()) == components(texts, 3, 85)
 
 
+def test_join_of_frequent_tokens_that_few_classes_list(spark):
+    common = [f"c{i}" for i in range(20)]
+    a = " ".join(common)
+    cls = lambda t: jaccard_join._class_of(jaccard_join.shingle_sets(pa.array([t]), 1)[0])
+    b = next(t for k in range(99) if cls(t := " ".join([*common[1:], f"d{k}"])) % 2 != cls(a) % 2)
+    rows = [(0, a), (1, b)] + [(10 + i, " ".join([*common, *(f"own{i}x{j}" for j in range(60))])) for i in range(jaccard_join.BLOCK + 50)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {i: max(0, i - 1) if i < 2 else i for i, _ in rows}
+
+
 def test_join_of_nothing(empty):
     assert jaccard_join.join(empty).count() == 0 and jaccard_join.keep_one(empty).columns == empty.columns
 
