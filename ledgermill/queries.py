@@ -238,14 +238,14 @@ def amount_candidates(spark, sf_dir):
 
 
 def corrupted_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Ledgers of the users' first rows as strings; in accounts divisible by 3, one debit has a letter for a digit."""
-    rows, _ = events_ledger(spark, sf_dir)
-    rows = rows.filter("seq <= 12")
-    run = F.sum(F.col("credit") - F.col("debit")).over(Window.partitionBy("statement_id").orderBy("seq"))
-    rows = rows.withColumn("balance", F.lit(OPENING) + run)
-    bounds = rows.groupBy("statement_id").agg(F.lit(OPENING * 10).cast("long").alias("opening"), (F.max_by("balance", "seq") * 10).alias("closing"))
+    """The users' whole ledgers as strings; in accounts divisible by 3, one debit has letters for digits."""
+    rows, bounds = events_ledger(spark, sf_dir)
+    bounds = bounds.select("statement_id", (F.col("opening") * 10).alias("opening"), (F.col("closing") * 10).alias("closing"))
     show = lambda c: F.format_string("%.2f", F.col(c) / 100)
-    hit = (F.col("statement_id") % 3 == 0) & (F.col("seq") == F.col("statement_id") % 12 + 1)
+    debits = F.count_if(F.col("debit") > 0)
+    upto, all_ = debits.over(Window.partitionBy("statement_id").orderBy("seq")), debits.over(Window.partitionBy("statement_id"))
+    rows = rows.withColumn("nth", upto).withColumn("debits", all_)
+    hit = (F.col("statement_id") % 3 == 0) & (F.col("debit") > 0) & (F.col("nth") == F.expr("try_mod(statement_id, debits)") + 1)
     debit = F.when(hit, F.translate(show("debit"), "0158", "OISB")).otherwise(show("debit"))
     return rows.select("statement_id", F.col("seq").cast("int").alias("seq"), debit.alias("debit_raw"), show("credit").alias("credit_raw"), show("balance").alias("balance_raw")), bounds
 
