@@ -503,6 +503,13 @@ def text_layer(spark, sf_dir):
     return t.filter(F.size(lines) == 8).select("doc_id", F.trim(lines[0]).alias("first_line"), metadata.bank_name(F.col("text")).alias("bank_name"), F.size(lines).alias("n"))
 
 
+@query("SELECT c_custkey::VARCHAR AS doc_id, c_name AS first_line, 'Unknown Bank' AS bank_name, (n + 7)::INTEGER AS n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def text_layer_all(spark, sf_dir):
+    """Every sheet's text layer; text_layer, whose SQL states one length, returns the shortest sheets alone."""
+    lines = F.split("text", "\n")
+    return metadata.text_layer(statement_grids(spark, sf_dir)).select("doc_id", F.trim(lines[0]).alias("first_line"), metadata.bank_name(F.col("text")).alias("bank_name"), F.size(lines).alias("n"))
+
+
 _NOTE_SQL = """notes AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'HSBC' WHEN 1 THEN 'chase bank' WHEN 2 THEN 'Barclays' ELSE c_name END || chr(10) || 'Account Number: A-' || c_custkey || chr(10) || 'Cust ID: ' || (c_custkey + 3000000) || chr(10)
     || 'Reg 20140812' || (c_custkey % 10) || 'G ' || chr(10) || 'Salesman ID: ' || (c_custkey % 100) || ' ' || chr(10) || 'Term Code: ' || (c_custkey % 90) || chr(10) || 'From 01.02.2024 to 2024-03-' || (10 + c_custkey % 18) || chr(10)
     || CASE c_custkey % 3 WHEN 0 THEN 'Total in S$' WHEN 1 THEN 'Pounds Sterling' ELSE 'Ringgit' END || chr(10) || 'Opening Balance: ' || printf('%.2f', c_acctbal) AS text FROM customer)"""

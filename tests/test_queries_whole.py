@@ -12,6 +12,16 @@ from test_repair_model import model
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
+@pytest.fixture(scope="module")
+def sheets_dir(spark, tmp_path_factory):
+    path, sizes = str(tmp_path_factory.mktemp("sheets")), {1: 1, 2: 9, 3: 40, 21: 2, 22: 0}
+    start, owners = datetime.date(2024, 1, 1), [c for c, n in sizes.items() for _ in range(n)]
+    orders = [(i, c, start + datetime.timedelta(days=i), 10.5 + i, "1-URGENT") for i, c in enumerate(owners, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(c, f"Customer {c}") for c in sizes], "c_custkey long, c_name string").write.parquet(f"{path}/customer.parquet")
+    return path, {c: n for c, n in sizes.items() if n}
+
+
 @pytest.fixture(scope="module")
 def events_dir(spark, tmp_path_factory):
     rng, path = random.Random(4), str(tmp_path_factory.mktemp("events"))
@@ -46,3 +56,9 @@ def test_repaired_rows_are_all_rows(spark, events_dir):
     path, sizes = events_dir
     got = queries.QUERIES["repair_rows"](spark, path).groupBy("statement_id").count().collect()
     assert {r["statement_id"]: r["count"] for r in got} == sizes
+
+
+def test_text_layer_of_every_sheet(spark, sheets_dir):
+    path, sizes = sheets_dir
+    got = sorted(tuple(r) for r in queries.QUERIES["text_layer_all"](spark, path).collect())
+    assert got == sorted((str(c), f"Customer {c}", "Unknown Bank", n + 7) for c, n in sizes.items())
