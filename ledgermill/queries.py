@@ -764,16 +764,26 @@ def nearest_column(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", layout.nearest(F.col("p_size").cast("double"), F.array(*map(F.lit, CENTRES))).alias("col"))
 
 
-@query("SELECT o_custkey::VARCHAR AS doc_id, count(*) + 1 AS n_rows, 5 AS width FROM orders WHERE o_custkey % 20 = 1 GROUP BY 1")
-def grid_from_words(spark, sf_dir):
+def _laid_out(grid: DataFrame) -> DataFrame:
     """Sheets laid out by position: columns 100 points apart, lines 12 points apart, as words."""
-    g = statement_grids(spark, sf_dir).filter((F.col("row") >= 5) & (F.col("row") < 1_000_000) & (F.col("doc_id").cast("int") % 20 == 1))
+    g = grid.filter((F.col("row") >= 5) & (F.col("row") < 1_000_000))
     c = g.select("doc_id", "page", "row", F.posexplode("cells").alias("col", "text")).filter("text <> ''")
     w = Window.partitionBy("doc_id", "page").orderBy("row", "col")
     words = c.select("doc_id", "page", F.row_number().over(w).alias("word_idx"), "text", (F.col("col") * 100.0).alias("x0"), (F.col("col") * 100.0 + 40).alias("x1"), (F.col("row") * 12.0 + F.col("col") % 2).alias("top"))
     return layout.grid_from_words(words).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("width"))
 
 
+@query("SELECT o_custkey::VARCHAR AS doc_id, count(*) + 1 AS n_rows, 5 AS width FROM orders WHERE o_custkey % 20 = 1 GROUP BY 1")
+def grid_from_words(spark, sf_dir):
+    return _laid_out(statement_grids(spark, sf_dir).filter(F.col("doc_id").cast("int") % 20 == 1))
+
+
+@query("SELECT o_custkey::VARCHAR AS doc_id, count(*) + 1 AS n_rows, 5 AS width FROM orders GROUP BY 1")
+def grid_from_words_all(spark, sf_dir):
+    """Every sheet; grid_from_words, whose SQL names one remainder, lays out a twentieth."""
+    return _laid_out(statement_grids(spark, sf_dir))
+
+
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 8 = 0 THEN 'full_pipeline_fallback' ELSE 'digital_text_borderless_table' END WHEN 1 THEN 'digital_text_simple_table' WHEN 2 THEN 'digital_text_borderless_table' ELSE 'irregular_or_merged_cells' END AS route,
     page_id % 4 = 0 AND page_id % 9 > 5 AS retrieval FROM pages""")
 def profile_route(spark, sf_dir):

@@ -62,3 +62,9 @@ def test_text_layer_of_every_sheet(spark, sheets_dir):
     path, sizes = sheets_dir
     got = sorted(tuple(r) for r in queries.QUERIES["text_layer_all"](spark, path).collect())
     assert got == sorted((str(c), f"Customer {c}", "Unknown Bank", n + 7) for c, n in sizes.items())
+
+
+def test_grid_from_the_words_of_every_sheet(spark, sheets_dir):
+    path, sizes = sheets_dir
+    got = sorted(tuple(r) for r in queries.QUERIES["grid_from_words_all"](spark, path).collect())
+    assert got == sorted((str(c), n + 1, 5) for c, n in sizes.items())
