@@ -32,9 +32,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may do without, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "ledgermill-shared")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -50,13 +52,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table that save() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "scratch_path", None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that save() wrote, once nothing reads them any more."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "scratch_path", None)
+        if path:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -74,15 +76,14 @@ def tidy() -> None:
         trim(0)
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind df by the optimizer's statistics; no job runs. Text is about twice that."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 55 else 1 << 30
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts: what sizes of blocks, groups and key ranges follow. One aggregate over the text column."""
+    return fields(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def pieces_for(df: DataFrame, mb: float, least: int = 1) -> int:
-    """How many parts of about so many stored MB df has."""
-    return max(least, -(-stored_bytes(df) // int(mb * 1e6)))
+def pieces(size: int, mb: float, least: int = 1) -> int:
+    """How many parts of about so many MB make up so many bytes."""
+    return max(least, -(-size // int(mb * 1e6)))
 
 
 def crc_of_id(col: str = "doc_id") -> F.Column:

@@ -7,23 +7,26 @@ computes one slot and compares all 32 bytes, so a wrong hit is impossible; repea
 that are not members group among themselves.
 
 Cases: null text counts as empty; empty texts are one group; ties (several rows of one text) keep the smallest doc_id;
+a null doc_id comes after all others, and in a group that has no other keep_id is null and all rows are marked kept;
 rows with the same doc_id and text count as a group of their own size; an empty table gives an empty result; columns
 other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import M1, SPACE, fields, mix64, save
+from .packed import rows_table
 
+#: In winners where a group has no doc_id (named tells it from a real one): after all others.
+LAST = (1 << 63) - 1
 #: Keys for each seed of a shard's hash, and about how many keys a shard has.
 BUCKET_KEYS, SHARD_KEYS = 4, 50_000
-INDEX_SCHEMA = "shard int, n int, seeds binary, digests binary, winners binary, sizes binary"
+INDEX_SCHEMA = "shard int, n int, seeds binary, digests binary, winners binary, named binary, sizes binary"
 GROUP_SCHEMA = "digest binary, keep_id long, group_size long, in_history boolean"
 
 
@@ -106,13 +109,19 @@ def _blob(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(-1, 32)
 
 
+def _winners(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """doc_ids, LAST for null, and which are not null."""
+    return column.fill_null(LAST).to_numpy().astype("<i8"), column.is_valid().to_numpy()
+
+
 def _build(table: pa.Table) -> pa.Table:
     blob = _blob(table["digest"])
     seeds, slots = build_hash(blob)
-    held, winners, sizes = np.zeros_like(blob), np.zeros(len(blob), "<i8"), np.zeros(len(blob), "<i8")
-    held[slots], winners[slots], sizes[slots] = blob, table["keep_id"].to_numpy(), table["group_size"].to_numpy()
-    row = {"shard": [table["shard"][0].as_py()], "n": [len(blob)], "seeds": [seeds.astype("<i8").tobytes()], "digests": [held.tobytes()], "winners": [winners.tobytes()], "sizes": [sizes.tobytes()]}
-    return pa.table(row, schema=pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("seeds", pa.binary()), ("digests", pa.binary()), ("winners", pa.binary()), ("sizes", pa.binary())]))
+    held, winners, named, sizes = np.zeros_like(blob), np.zeros(len(blob), "<i8"), np.zeros(len(blob), bool), np.zeros(len(blob), "<i8")
+    held[slots], sizes[slots] = blob, table["group_size"].to_numpy()
+    winners[slots], named[slots] = _winners(table["keep_id"])
+    row = {"shard": table["shard"][0].as_py(), "n": len(blob), "seeds": seeds.astype("<i8").tobytes(), "digests": held.tobytes(), "winners": winners.tobytes(), "named": named.tobytes(), "sizes": sizes.tobytes()}
+    return rows_table(INDEX_SCHEMA, [row])
 
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:
@@ -124,21 +133,21 @@ def _resolve(index: pa.Table, asked: pa.Table) -> pa.Table:
     """All groups of a shard: history's with the repeats found by lookup, then those of digests that are not members."""
     if index.num_rows:
         seeds, held = np.frombuffer(index["seeds"][0].as_py(), "<i8"), np.frombuffer(index["digests"][0].as_py(), np.uint8).reshape(-1, 32)
-        winners, sizes = np.frombuffer(index["winners"][0].as_py(), "<i8"), np.frombuffer(index["sizes"][0].as_py(), "<i8").copy()
+        winners, named, sizes = (np.frombuffer(index[c][0].as_py(), kind).copy() for c, kind in (("winners", "<i8"), ("named", bool), ("sizes", "<i8")))
     else:
-        seeds, held, winners, sizes = np.zeros(1, np.int64), np.zeros((0, 32), np.uint8), np.zeros(0, "<i8"), np.zeros(0, "<i8")
+        seeds, held, winners, named, sizes = np.zeros(1, np.int64), np.zeros((0, 32), np.uint8), np.zeros(0, "<i8"), np.zeros(0, bool), np.zeros(0, "<i8")
     blob = _blob(asked["digest"])
-    ids, counts = asked["keep_id"].to_numpy(), asked["group_size"].to_numpy()
+    (ids, known), counts = _winners(asked["keep_id"]), asked["group_size"].to_numpy()
     at = find(blob, seeds, held)
     hit, new = at >= 0, at < 0
-    winners = winners.copy()
     sizes[at[hit]] += counts[hit]
     np.minimum.at(winners, at[hit], ids[hit])
+    named[at[hit]] |= known[hit]
     every = np.concatenate([held, blob[new]])
     return pa.table(
         {
             "digest": pa.array([x.tobytes() for x in every], pa.binary()),
-            "keep_id": pa.array(np.concatenate([winners, ids[new]]), pa.int64()),
+            "keep_id": pa.array(np.concatenate([winners, ids[new]]), pa.int64(), mask=~np.concatenate([named, known[new]])),
             "group_size": pa.array(np.concatenate([sizes, counts[new]]), pa.int64()),
             "in_history": pa.array(np.concatenate([np.ones(len(held), bool), np.zeros(int(new.sum()), bool)])),
         }
@@ -176,7 +185,7 @@ def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that dedup() keeps, with all their columns; of rows that repeat doc_id and text, one."""
+    """The rows of docs that dedup() keeps, with all their columns; of rows that repeat doc_id (or its lack) and text, one."""
     found = save(dedup(docs), "dedup-result")
     key = "digest__"
     gone = found.filter("NOT kept").select("doc_id", F.unhex("text_sha256").alias(key)).distinct()

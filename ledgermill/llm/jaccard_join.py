@@ -12,9 +12,9 @@ Frequencies are counted over all documents: these are dealt to blocks of bounded
 key ranges for its tokens with sorted, delta-coded keys, and gets logarithms of frequencies in the order it asked. Keys
 are hashes cut to a few bits more than the corpus's tokens need, so a frequency may be too large, never too small.
 
-A list of many documents never emits all its pairs. First each long list (of many members, or dealt to several salts) is
-linked to its most central member alone (a star), short lists in full, and components are formed; a second star links
-the members of other components to the centres of each list's largest one. Then long lists are compared again, but only
+A list of many documents never emits all its pairs. First each long list is linked to its most central member alone (a
+star; lists of over BLOCK members are dealt to salts, with a star each), short lists in full, and components are formed;
+a second star links the members of other components to the centres of each list's largest one. Then long lists are compared again, but only
 between different components, in blocks of bounded size; a pair leaves once, in the list of the least token that both
 have, with the number of tokens that they share. That is exact: every pair that could still join two components is
 tested.
@@ -22,8 +22,9 @@ tested.
 Hashes of shingles and sets have 64 bits.
 
 Cases: null text and texts without words have no shingles and are linked with nothing; with fewer words than a shingle
-has, the whole sequence is one shingle; rows with the same doc_id share its component; equal sets are linked whatever
-their texts; an empty table gives no rows; columns other than doc_id and text are ignored.
+has, the whole sequence is one shingle; rows with the same doc_id are rows of their own, each in the component of its own
+set; a null doc_id is never a component's least unless it has no other, and then component_id is null; equal sets are
+linked whatever their texts; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,23 +36,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, discard, fields, mix64, pieces_for, release, save, stored_bytes, tidy
+from .common import M1, M2, discard, fields, mix64, pieces, release, save, text_bytes, tidy
 from .encoding import portions
 from .packed import narrow, pack_keys, ranges, rows_table, unpack_keys, wide
 from .words import coded_words, shingles_of, word_hashes
 
-#: Stored MB of a block's documents, keys of a range, longest l, members of a list that is compared in full at once,
-#: members of a block of a long list, and bits of the filter that finds documents again.
-BLOCK_MB, RANGE_KEYS, MOST_MATCHES, SHORT, BLOCK, FILTER_BITS, SEED = 5.0, 2_000_000, 8, 4, 2048, 1 << 23, 17
+#: MB of a block's texts, keys of a range, longest l, members of a list that is compared in full at once, members of a
+#: block of a long list, and bits a document and in all of the filter that finds documents again.
+BLOCK_MB, RANGE_KEYS, MOST_MATCHES, SHORT, BLOCK, FILTER_BITS, MOST_BITS, SEED = 8.5, 2_000_000, 8, 4, 2048, 16, 1 << 26, 17
 #: Centres of a list in its second star.
 CENTRES = 3
 #: Long lists that a class tells all its lists of; pairs of classes with more leave once in every shared list.
 TOLD = 256
 #: Steps of a logarithm of two in which frequencies are told.
 STEPS = 8
-SURVEY = "doc boolean, doc_id long, n long, cls long, part int, block int, first long, keys binary, counts binary"
+SURVEY = "doc boolean, doc_id long, text_key long, n long, cls long, part int, block int, first long, keys binary, counts binary"
 ANSWER = "part int, block int, n long, logs binary"
-POSTING = "token long, salt int, cls long, n int, need int, bits long, bits2 long"
+POSTING = "token long, cls long, n int, need int, bits long, bits2 long"
 PAIR = "a long, b long, need int, star boolean"
 CROSS = "a long, b long, need int, more int"
 
@@ -86,10 +87,11 @@ class Plan:
     """Sizes that follow from the input's."""
 
     def __init__(self, docs: DataFrame):
-        size = stored_bytes(docs)
-        self.blocks = max(1, -(-size // int(BLOCK_MB * 1e6)))
-        self.parts = max(1, int(size * 0.25) // RANGE_KEYS)
-        self.bits = min(48, max(32, size.bit_length() + 3))
+        size = text_bytes(docs)
+        self.blocks = pieces(size, BLOCK_MB)
+        self.parts = max(1, int(size * 0.15) // RANGE_KEYS)
+        self.lists = pieces(size, 14.0, 2)
+        self.bits = min(48, max(32, size.bit_length() + 2))
 
     def keys(self, sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct cut hashes of all tokens of a block's classes, each token's place in them, how many, and ranges."""
@@ -115,7 +117,7 @@ def _survey(width: int, plan: Plan):
         block = table["block"][0].as_py()
         rows = [{"doc": False, "part": int(part[a]), "block": block, "n": b - a, "first": int(keys[a]), "keys": pack_keys(keys[a:b]), "counts": narrow(counts[a:b])} for a, b in ranges(part)]
         tidy()
-        docs = pa.table({"doc": pa.array([True] * len(sets)), "doc_id": table["doc_id"], "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array(classes, pa.int64())})
+        docs = pa.table({"doc": pa.array([True] * len(sets)), "doc_id": table["doc_id"], "text_key": table["text_key"], "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array(classes, pa.int64())})
         return pa.concat_tables([rows_table(SURVEY, rows), docs], promote_options="default").select([c.split()[0] for c in SURVEY.split(", ")])
 
     return run
@@ -165,13 +167,12 @@ def _postings(width: int, percent: int, plan: Plan):
             first = n - -(-percent * n // 100) + need
             shared = np.flatnonzero(own[:first])
             if len(shared) >= need:
-                salts = np.maximum(1, np.ceil(df[shared] / BLOCK)).astype(np.int64)
-                out.append((s[shared].view(np.int64), cls % salts, cls, n, need, *parity_bits(s)))
+                out.append((s[shared].view(np.int64), cls, n, need, *parity_bits(s)))
         tidy()
         sizes = [len(x[0]) for x in out]
         spread = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in out], np.int64), sizes).astype(kind))
-        joined = lambda k, kind: pa.array(np.concatenate([np.zeros(0, np.int64), *[x[k] for x in out]]).astype(kind))
-        return pa.table({"token": joined(0, np.int64), "salt": joined(1, np.int32), "cls": spread(2, np.int64), "n": spread(3, np.int32), "need": spread(4, np.int32), "bits": spread(5, np.int64), "bits2": spread(6, np.int64)})
+        tokens = pa.array(np.concatenate([np.zeros(0, np.int64), *[x[0] for x in out]]))
+        return pa.table({"token": tokens, "cls": spread(1, np.int64), "n": spread(2, np.int32), "need": spread(3, np.int32), "bits": spread(4, np.int64), "bits2": spread(5, np.int64)})
 
     return run
 
@@ -317,29 +318,38 @@ def _cross_pairs(percent: int):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id and shingle set of the documents in ids: a filter of fixed size finds them, a join makes it exact."""
-    probe = lambda c: [F.pmod(F.xxhash64(c, F.lit(SEED + k)), F.lit(FILTER_BITS)) for k in (1, 2)]
-    marked = ids.select(F.explode(F.array(*probe("doc_id"))).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    filter_ = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in marked.collect():  # at most FILTER_BITS / 64 rows
-        filter_[r["word"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+    """cls and shingle set of the classes in ids (doc_id, cls), from rows with their doc_ids; each row's set names its
+    class, so rows that share a doc_id, or have none, are told apart. A filter as large as ids needs finds the rows; a
+    join on doc_id does where it would be too large to broadcast."""
+    n = ids.count()
+    size = 1 << max(16, (FILTER_BITS * n).bit_length())
+    rows = fields(docs, "doc_id", "text")
+    if size > MOST_BITS:
+        wanted = ids.select(F.col("doc_id").alias("wanted")).distinct()
+        rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+        shared = None
+    else:
+        probe = lambda c: [F.pmod(F.xxhash64(c, F.lit(SEED + k)), F.lit(size)) for k in (1, 2)]
+        marked = ids.select(F.explode(F.array(*probe("doc_id"))).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+        filter_ = np.zeros(size // 64, np.int64)  # MOST_BITS / 8 bytes at most
+        filter_[marked["word"].to_numpy()] = marked["bits"].to_numpy()
+        shared = docs.sparkSession.sparkContext.broadcast(filter_)
+        rows = rows.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(probe("doc_id"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
         for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for k in (2, 3):
-                p = batch.column(k).to_numpy(zero_copy_only=False)
-                ok &= (f[p >> 6] >> (p & 63)) & 1 == 1
-            found = batch.filter(pa.array(ok))
+            found = batch
+            if shared is not None:
+                ok = np.ones(batch.num_rows, bool)
+                for k in (2, 3):
+                    p = batch.column(k).to_numpy(zero_copy_only=False)
+                    ok &= (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+                found = batch.filter(pa.array(ok))
             for a, b in portions(found.column(1)):
-                part = found.slice(a, b - a)
-                yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), width)], pa.binary())], names=["doc_id", "items"])
+                sets = shingle_sets(found.column(1).slice(a, b - a), width)
+                yield pa.record_batch([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "items"])
 
-    rows = fields(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
-    got = rows.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(probe("doc_id"))]).mapInArrow(run, "doc_id long, items binary")
-    return got.join(ids, "doc_id")
+    return rows.mapInArrow(run, "cls long, items binary").join(ids.select("cls"), "cls")
 
 
 def _verify(percent: int):
@@ -356,18 +366,20 @@ def _verify(percent: int):
 
 
 def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of classes that reach the threshold; sets come from each class's first document."""
+    """Candidate pairs (a, b) of classes that reach the threshold; a class's set comes from a document of it."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     ids = save(members.join(classes, "cls").select(F.col("rep").alias("doc_id"), "cls"), "join-members")
     sets = save(_sets_of(docs, ids, width).groupBy("cls").agg(F.first("items").alias("items")), "join-sets")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
-    return save(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "join-links")
+    links = save(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "join-links")
+    discard(ids, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (its component's least node) of an edge table (a, b), by alternating star steps until stable."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    before = None
+    before, old = None, None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -375,41 +387,42 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = save(small, "join-stars")
+        if old is not None:
+            discard(old)
+        old = e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         before = now
 
 
-def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every row."""
+def _membership(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key (a hash of the text), n_shingles and cls of every row; cls, its component and component_id."""
     plan = Plan(docs)
     block = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(plan.blocks)).cast("int").alias("block")
-    rows = fields(docs, "doc_id", "text").select(block, "doc_id", "text")
+    rows = fields(docs, "doc_id", "text").select(block, "doc_id", F.xxhash64("text").alias("text_key"), "text")
     survey = save(rows.groupBy("block").applyInArrow(_survey(width, plan), SURVEY), "join-survey")
-    own = save(survey.filter("doc").select("doc_id", F.col("n").alias("n_shingles"), "cls"), "join-documents")
+    own = save(survey.filter("doc").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "cls"), "join-documents")
     classes = save(own.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "join-classes")
     release(docs.sparkSession)
     answers = save(survey.filter("NOT doc").select("part", "block", "n", "first", "keys", "counts").groupBy("part").applyInArrow(_answer, ANSWER), "join-frequencies")
     discard(survey)
-    listed = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_postings(width, percent, plan), POSTING)
-    lists = pieces_for(docs, 8.0, 2)
-    listed = save(listed.repartition(lists, "token", "salt").dropDuplicates(["token", "salt", "cls"]), "join-lists")
+    posted = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_postings(width, percent, plan), POSTING)
+    # equal sets of several blocks list a token once; the lists' own lengths decide how many salts each is dealt to
+    posted = save(posted.repartition(plan.lists, "token", "cls").dropDuplicates(["token", "cls"]), "join-postings")
+    lengths = save(posted.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > SHORT), "join-lengths")
+    listed = posted.join(lengths.filter(F.col("df") > BLOCK), "token", "left").withColumn("salt", F.coalesce(F.pmod("cls", F.ceil(F.col("df") / BLOCK)), F.lit(0)).cast("int"))
     release(docs.sparkSession)
-    dealt = lambda df, *keys: df.repartition(lists, *keys).sortWithinPartitions(*keys, "n", "cls")
-    first = save(dealt(listed, "token", "salt").mapInArrow(_first_pairs(percent), PAIR).groupBy("a", "b").agg(F.count("*").alias("met"), F.count_if(~F.col("star")).alias("c"), F.min("need").alias("need")), "join-pairs")
+    dealt = lambda df, *keys: df.repartition(plan.lists, *keys).sortWithinPartitions(*keys, "n", "cls")
+    columns = ["token", "cls", "n", "need", "bits", "bits2"]
+    first = save(dealt(listed.select("salt", *columns), "token", "salt").mapInArrow(_first_pairs(percent), PAIR).groupBy("a", "b").agg(F.count("*").alias("met"), F.count_if(~F.col("star")).alias("c"), F.min("need").alias("need")), "join-pairs")
     tried = first.filter("met >= need").select("a", "b")
     links = _links(docs, tried, classes, width, percent)
     comp = save(components(links), "join-components")
 
-    # salts follow document frequency: a list of few members may be split as well, and those were not compared
-    split = F.min("salt") != F.max("salt")
-    long = listed.groupBy("token").agg(F.count("*").alias("df"), split.alias("split")).filter((F.col("df") > SHORT) | F.col("split")).select("token", "df")
-    columns = ["token", "cls", "n", "need", "bits", "bits2"]
-
     def mixed_lists() -> DataFrame:
         """Members of long lists that still have several components."""
-        seen = listed.join(long, "token").join(comp, listed["cls"] == comp["node"], "left").select(*columns, F.coalesce("comp", "cls").alias("comp"), F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
+        seen = posted.join(lengths, "token").join(comp, posted["cls"] == comp["node"], "left").select(*columns, F.coalesce("comp", "cls").alias("comp"), F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
         mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
         return seen.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
 
@@ -428,7 +441,7 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
     met = save(mixed_lists(), "join-mixed")
     mine = met.groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("mine")).withColumn("mine", F.when(F.size("mine") <= TOLD, F.col("mine")))
-    short = listed.join(long.select("token"), "token", "left_anti").groupBy("cls").agg(F.count("*").alias("short"))
+    short = posted.join(lengths.select("token"), "token", "left_anti").groupBy("cls").agg(F.count("*").alias("short"))
     met = met.join(mine, "cls").join(short, "cls", "left").withColumn("short", F.coalesce("short", F.lit(0)).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
     again = dealt(met.select("token", "x", "y", "own", *columns[1:], "comp", "mine", "short"), "token", "x", "y").mapInArrow(_cross_pairs(percent), CROSS)
@@ -437,15 +450,27 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     again = save(again.join(tried, ["a", "b"], "left_anti"), "join-pairs")
     if not again.isEmpty():
         comp = grown(again)
+    discard(posted)
 
     nodes = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     ids = nodes.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = nodes.join(ids, "comp").select("cls", "component_id")
+    return own, nodes.join(ids, "comp").select("cls", "comp", "component_id")
+
+
+def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every row."""
+    own, named = _membership(docs, width, percent)
     linked = own.filter("n_shingles > 0").join(named, "cls").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is the least of its component."""
-    kept = join(docs, width, percent).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs, with all columns, that stay: of each component the row of the least doc_id (null comes last,
+    then the text's hash decides), and all rows without words. Rows that repeat doc_id and text stay or go together."""
+    own, named = _membership(docs, width, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    rest = own.filter("n_shingles > 0").join(named, "cls")
+    first = rest.groupBy("comp").agg(F.min(order).alias("first"))
+    gone = rest.join(first, "comp").filter(order != F.col("first")).select("doc_id", "text_key").distinct()
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, crc_of_id, fields, mix64, save, stored_bytes
+from .common import M1, crc_of_id, fields, mix64, pieces, save, text_bytes
 from .packed import narrow, pack_keys, ranges, rows_table, unpack_keys, wide
 from .words import coded_words, word_hashes
 
-#: Stored MB of a block's documents, entries of a key range, one in so many training documents deleted, context buckets.
-BLOCK_MB, RANGE_ENTRIES, DELETED, BUCKETS, ROUNDS, SEED = 8.0, 1_500_000, 10, 20, 60, 31
+#: MB of a block's texts, entries of a key range, one in so many training documents deleted, context buckets.
+BLOCK_MB, RANGE_ENTRIES, DELETED, BUCKETS, ROUNDS, SEED = 13.6, 1_500_000, 10, 20, 60, 31
 #: Hashes of the end and of the start; no word has white space in it.
 END, START = (int(x) for x in word_hashes([" end", " start"]))
 HELD, DELETE, KEEP = 2, 1, 0
@@ -44,11 +44,11 @@ class Plan:
     """Sizes that follow from the input's."""
 
     def __init__(self, docs: DataFrame):
-        size = stored_bytes(docs)
-        self.blocks = max(1, -(-size // int(BLOCK_MB * 1e6)))
+        size = text_bytes(docs)
+        self.blocks = pieces(size, BLOCK_MB)
         self.deleted_blocks = max(1, -(-self.blocks // DELETED))
-        self.parts = {1: max(1, int(size * 0.04) // RANGE_ENTRIES), 2: max(1, int(size * 0.17) // RANGE_ENTRIES)}
-        self.bits = min(64, max(48, 2 * size.bit_length() - 2))
+        self.parts = {1: max(1, int(size * 0.024) // RANGE_ENTRIES), 2: max(1, int(size * 0.1) // RANGE_ENTRIES)}
+        self.bits = min(64, max(48, 2 * size.bit_length() - 3))
 
     def part(self, gram: int, keys: np.ndarray) -> np.ndarray:
         """The key range of each key; ascending with the key."""

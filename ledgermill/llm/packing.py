@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, pieces_for, tidy
+from .common import fields, pieces, text_bytes, tidy
 from .encoding import Encoder, id_type, portions, vocabulary_size
 
-#: Tokens of a sequence, stored MB of documents that make a group, and the key of the groups' hash.
-CAPACITY, GROUP_MB, SEED = 2048, 6.0, 20_011
+#: Tokens of a sequence, MB of texts that make a group, and the key of the groups' hash.
+CAPACITY, GROUP_MB, SEED = 2048, 10.0, 20_011
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -128,7 +128,7 @@ def _pack(dtype: str, capacity: int, with_ids: bool):
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, group_mb: float = GROUP_MB) -> DataFrame:
     """Pieces of all documents and their places in sequences; with_ids adds each piece's ids (little-endian 32 bits)."""
-    groups = pieces_for(docs, group_mb)
+    groups = pieces(text_bytes(docs), group_mb)
     keyed = fields(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(groups)).cast("int").alias("grp"), "doc_id", "text")
     coded = keyed.mapInArrow(_encode(tokenizer, end_id), "grp int, doc_id long, ids binary")
     dtype = id_type(vocabulary_size(tokenizer)).str

@@ -1,6 +1,9 @@
 """A compressed binary file of token ids: static range asymmetric numeral system in independent interleaved blocks.
 
-The file is a table of shards in ascending doc_id order. A shard's row holds
+The file is a table of shards. Documents are sorted by ranges of doc_id (Spark's own range partitioning), a part of the
+file for each range; a part's writer streams through its rows and closes a shard whenever it has SHARD_IDS ids, so parts
+and shards are in ascending doc_id order, and nothing but one shard is ever in memory. A shard's row holds part and
+shard (its number in the part), n_ids, and
 
   table      the shard's frequencies, shared by all its blocks: zlib of u32[vocabulary], summing to 2**SCALE
   doc_ids    i64[], ascending (a null doc_id is the least i64)     lengths  u32[], ids of each document
@@ -12,29 +15,31 @@ A block is BLOCK ids; position p of it belongs to lane p mod LANES. A lane's 64-
 takes a 32-bit word at most once an id, in the order of positions; so any block decodes alone from its checkpoint, and
 the lanes of many blocks decode side by side in one vector. The last block is filled up with the commonest id.
 
-Cases: null and empty texts are documents of the end id alone; rows with the same doc_id each have an entry (in the
-order of their ids); an empty table makes an empty file; columns other than doc_id and text are ignored. A block whose
+Cases: null and empty texts are documents of the end id alone; rows with the same doc_id, or without one, each have an
+entry (in the order of a hash of their texts); an empty table makes an empty file; columns other than doc_id and text are ignored. A block whose
 checksum fails raises ValueError.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fields, pieces_for, save
-from .encoding import Encoder, id_type, portions, vocabulary_size
+from .common import fields, pieces, save, text_bytes, tidy
+from .encoding import Encoder, portions, vocabulary_size
+from .packed import rows_table
 
-SCALE, BLOCK, LANES, SHARD_MB = 18, 65_536, 32, 4.0
+#: Bits of the frequencies, ids of a block, its lanes, ids after which a shard closes, and MB of a range's texts.
+SCALE, BLOCK, LANES, SHARD_IDS, RANGE_MB = 18, 65_536, 32, 2_000_000, 32.0
 LOW = np.uint64(1 << 31)
 NONE = -(1 << 63)
-SCHEMA = "shard int, n_ids long, vocabulary int, table binary, doc_ids binary, lengths binary, offsets binary, states binary, crcs binary, words binary"
+SCHEMA = "part int, shard int, n_ids long, vocabulary int, table binary, doc_ids binary, lengths binary, offsets binary, states binary, crcs binary, words binary"
 
 
 def frequencies(ids: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -109,48 +114,47 @@ def decode_blocks(freq: np.ndarray, offsets: np.ndarray, states: np.ndarray, wor
     return ids[: max(0, min(n_ids, last * size) - first * size)]
 
 
-def _tokens(path: str, end_id: int, bounds: list[int]):
+def _shard(part: int, shard: int, doc_ids: list, coded: list[np.ndarray], vocabulary: int) -> pa.RecordBatch:
+    ids = np.concatenate(coded).astype("<u4")
+    freq = frequencies(ids, vocabulary)
+    offsets, states, crcs, words = encode_ids(ids, freq)
+    row = {
+        "part": part, "shard": shard, "n_ids": len(ids), "vocabulary": vocabulary, "table": zlib.compress(freq.astype("<u4").tobytes(), 6),
+        "doc_ids": np.array(doc_ids, "<i8").tobytes(), "lengths": np.array([len(x) for x in coded], "<u4").tobytes(),
+        "offsets": offsets.tobytes(), "states": states.astype("<u8").tobytes(), "crcs": crcs.tobytes(), "words": words.astype("<u4").tobytes(),
+    }
+    return rows_table(SCHEMA, [row]).to_batches()[0]
+
+
+def _write(path: str, end_id: int, vocabulary: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder.of(path)
-        end = np.array([end_id], coder.dtype).tobytes()
+        coder, part, shard = Encoder.of(path), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], coder.dtype)
+        doc_ids, coded, held = [], [], 0
         for batch in batches:
             for a, b in portions(batch.column(1), 12_000_000):
-                part = batch.slice(a, b - a)
-                ids, offsets = coder.encode(part.column(1))
-                raw, at = ids.tobytes(), (offsets * coder.dtype.itemsize).tolist()
-                keys = [NONE if d is None else d for d in part.column(0).to_pylist()]
-                yield pa.record_batch([pa.array([bisect.bisect_left(bounds, d) for d in keys], pa.int32()), pa.array(keys, pa.int64()), pa.array([raw[s:e] + end for s, e in zip(at, at[1:])], pa.binary())], names=["shard", "doc_id", "ids"])
-
-    return run
-
-
-def _write_shard(dtype: str, vocabulary: int):
-    def run(table: pa.Table) -> pa.Table:
-        docs = sorted(zip(table["doc_id"].to_pylist(), table["ids"].to_pylist(), strict=True))
-        ids = np.frombuffer(b"".join([x for _, x in docs]), dtype).astype("<u4")
-        freq = frequencies(ids, vocabulary)
-        offsets, states, crcs, words = encode_ids(ids, freq)
-        width = np.dtype(dtype).itemsize
-        row = {
-            "shard": table["shard"][0].as_py(), "n_ids": len(ids), "vocabulary": vocabulary, "table": zlib.compress(freq.astype("<u4").tobytes(), 6),
-            "doc_ids": np.array([d for d, _ in docs], "<i8").tobytes(), "lengths": np.array([len(x) // width for _, x in docs], "<u4").tobytes(),
-            "offsets": offsets.tobytes(), "states": states.astype("<u8").tobytes(), "crcs": crcs.tobytes(), "words": words.astype("<u4").tobytes(),
-        }
-        kinds = {"shard": pa.int32(), "n_ids": pa.int64(), "vocabulary": pa.int32()}
-        return pa.table({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
+                rows = batch.slice(a, b - a)
+                ids, offsets = coder.encode(rows.column(1))
+                for d, s, e in zip(rows.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    doc_ids.append(NONE if d is None else d)
+                    coded.append(np.concatenate([ids[s:e], end]))
+                    held += e - s + 1
+                    if held >= shard_ids:
+                        yield _shard(part, shard, doc_ids, coded, vocabulary)
+                        doc_ids, coded, held, shard = [], [], 0, shard + 1
+        if coded:
+            yield _shard(part, shard, doc_ids, coded, vocabulary)
+        tidy()
 
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, shard_mb: float = SHARD_MB) -> DataFrame:
-    """Encodes all documents into the file (a table in the shared folder); one shuffle deals the ids to doc_id ranges."""
+def write(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS, range_mb: float = RANGE_MB) -> DataFrame:
+    """Encodes all documents into the file (a table in the shared folder); one shuffle deals the texts to doc_id ranges."""
     size = vocabulary_size(tokenizer)
-    rows = fields(docs, "doc_id", "text")
-    shards = pieces_for(docs, shard_mb)
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100_000)).first()[0] if shards > 1 else None
-    bounds = sorted(set(bounds or []))
-    coded = rows.mapInArrow(_tokens(tokenizer, end_id, bounds), "shard int, doc_id long, ids binary")
-    return save(coded.groupBy("shard").applyInArrow(_write_shard(id_type(size).str, max(size, end_id + 1)), SCHEMA), "token-file")
+    rows = fields(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(pieces(text_bytes(docs), range_mb), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    return save(dealt.mapInArrow(_write(tokenizer, end_id, max(size, end_id + 1), shard_ids), SCHEMA), "token-file")
 
 
 def decode_shard(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,11 +166,11 @@ def decode_shard(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = max(1, -(-len(ids) // max(1, len(crcs)))) if len(ids) < BLOCK else BLOCK
     for i, crc in enumerate(crcs):
         if zlib.crc32(ids[i * size : (i + 1) * size].tobytes()) != crc:
-            raise ValueError(f"shard {row['shard']}, block {i}: checksum")
+            raise ValueError(f"part {row['part']}, shard {row['shard']}, block {i}: checksum")
     return np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["lengths"], "<u4"), ids
 
 
-def _read(starts: dict[int, int], with_ids: bool):
+def _read(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -175,20 +179,25 @@ def _read(starts: dict[int, int], with_ids: bool):
                 ends = np.cumsum(lengths, dtype=np.int64)
                 begins = ends - lengths
                 raw = ids.astype("<u4").tobytes()
-                parts = [raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                cuts = [raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 columns = [
-                    pa.array([None if d == NONE else d for d in doc_ids.tolist()], pa.int64()), pa.array(begins + starts[row["shard"]]),
-                    pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
+                    pa.array(np.full(len(begins), row["part"], np.int32)), pa.array(np.full(len(begins), row["shard"], np.int32)),
+                    pa.array(doc_ids, pa.int64(), mask=doc_ids == NONE), pa.array(begins), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(p) for p in cuts], pa.int64()),
                 ]
-                yield pa.record_batch(columns + [pa.array(parts, pa.binary())] * with_ids, names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+                yield pa.record_batch(columns + [pa.array(cuts, pa.binary())] * with_ids, names=["part", "shard", "doc_id", "begin", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     return run
 
 
+def shard_starts(file: DataFrame) -> DataFrame:
+    """part, shard and how many ids come before it: sums within each part, then over the parts' totals (one row a range)."""
+    sizes = file.select("part", "shard", "n_ids")
+    upto = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", upto(Window.orderBy("part")).alias("before"))
+    return sizes.withColumn("within", upto(Window.partitionBy("part").orderBy("shard"))).join(parts, "part").select("part", "shard", (F.col("before") + F.col("within")).alias("at"))
+
+
 def read(file: DataFrame, with_ids: bool = False) -> DataFrame:
     """Documents of a file, decoded shard by shard: doc_id, start, n_tokens, ids_crc32 (and the ids themselves)."""
-    starts, at = {}, 0
-    for shard, n in sorted(file.select("shard", "n_ids").collect()):  # two numbers a shard
-        starts[shard] = at
-        at += n
-    return file.mapInArrow(_read(starts, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    found = file.mapInArrow(_read(with_ids), "part int, shard int, doc_id long, begin long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return found.join(shard_starts(file), ["part", "shard"]).select("doc_id", (F.col("at") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

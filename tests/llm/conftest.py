@@ -37,6 +37,15 @@ def docs(spark, texts):
     return spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
 
 
+@pytest.fixture(scope="session")
+def nameless(spark, texts):
+    """Rows without doc_id among others: equal and near-equal texts, other texts, no text; and one doc_id with two texts."""
+    near = texts[120][1]
+    rows = [(None, near, "en", "s0"), (None, near, "en", "s0"), (None, near + " more", None, None), (7, near + " else", "en", "s1"), (None, texts[3][1], "en", "s0"), (None, None, None, None), (None, "", "de", "s1")]
+    rows += [(9, texts[4][1], "en", "s0"), (9, texts[9][1], "en", "s0"), (3, texts[9][1] + " tail", "en", "s2"), (None, texts[20][1], "de", "s2")]
+    return rows, spark.createDataFrame(rows_of(rows), SCHEMA).repartition(2)
+
+
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)

@@ -34,7 +34,8 @@ def test_file_round_trip(n):
 
 def test_file_of_documents(docs, texts, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    file = token_file.write(docs, path, 2, shard_mb=0.01)
+    file = token_file.write(docs, path, 2, shard_ids=5_000, range_mb=0.1)
+    assert file.select("part").distinct().count() > 1 and file.filter("shard > 0").count() > 1
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_file.read(file).collect())
     coder, at, expected = Encoder.of(path).tokenizer, 0, []
     for i, t in sorted((i, t or "") for i, t, *_ in texts):
@@ -49,6 +50,23 @@ def test_file_of_documents(docs, texts, empty):
         token_file.decode_shard(row)
 
 
+def test_tokens_without_ids(nameless):
+    rows, docs = nameless
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = Encoder.of(path).tokenizer
+    wanted = sorted((str(i), tuple([*coder.encode(t or "", add_special_tokens=False).ids, 2])) for i, t, *_ in rows)
+    got = token_file.read(token_file.write(docs, path, 2, shard_ids=300), with_ids=True).orderBy("start").collect()
+    assert sorted((str(r["doc_id"]), tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == wanted
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1).collect()
+    assert sum(r["length"] for r in pieces) == sum(r["doc_tokens"] for r in pieces if r["start"] == 0)
+    assert sorted(str(r["doc_id"]) for r in pieces if r["start"] == 0) == sorted(str(i) for i, *_ in rows)
+    counts = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert sorted(str(r["doc_id"]) for r in counts) == sorted(str(i) for i, *_ in rows)
+
+
 def test_packing(docs, texts, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     pieces = packing.pack(docs, path, 1, capacity=64, with_ids=True).collect()
@@ -83,12 +101,13 @@ def test_first_fit_decreasing_like_a_scan():
 def test_token_counts_like_the_greedy_scan(docs, texts, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     begins, continues = (set(x) for x in token_counts.vocabulary(path))
+    most = max(map(len, begins | continues))
 
     def count(w):
         at, n = 0, 0
         while at < len(w):
-            end = next((e for e in range(len(w), at, -1) if w[at:e] in (continues if at else begins)), None)
-            if end is None or len(w) > token_counts.LONGEST:
+            end = next((e for e in range(min(len(w), at + most), at, -1) if w[at:e] in (continues if at else begins)), None)
+            if end is None:
                 return 1, 1
             at, n = end, n + 1
         return n, 0
