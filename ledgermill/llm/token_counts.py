@@ -3,8 +3,8 @@
 The vocabulary's pieces that begin a word and those that continue one form two tries in one automaton. Where no longer
 match exists, a node's failure link leads to the node of what remains after the greedy pieces are popped off, and the
 number of pieces popped on the way is stored with it; so a word is one pass over its characters with integer additions.
-A word is a run of letters, digits and marks, or one other character that is not white space; a word that cannot be
-split into pieces counts as one unknown token, as does one of more than LONGEST characters.
+A word is a run of letters, digits and marks, however long, or one other character that is not white space; a word that
+cannot be split into pieces counts as one unknown token.
 
 A sentencepiece file gives the vocabulary: pieces behind its word-start sign begin words, all others continue them, and
 control and byte pieces are left out.
@@ -28,7 +28,6 @@ from .encoding import portions
 from .words import Memo, coded_words
 
 START = "▁"
-LONGEST = 200
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]")
 
 
@@ -103,7 +102,7 @@ def _memo(path: str) -> Memo:
 
         def tally(run: str) -> tuple[int, int, int]:
             words = _WORD.findall(run)
-            counts = [automaton.count(w) if len(w) <= LONGEST else -1 for w in words]
+            counts = [automaton.count(w) for w in words]
             return len(words), sum(n if n >= 0 else 1 for n in counts), counts.count(-1)
 
         _MADE[path] = Memo(tally)

@@ -30,14 +30,17 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
 
 
 class Memo(dict):
-    """A function's values for words, kept between batches of a worker and dropped when there are too many."""
+    """A function's values for words, kept between batches of a worker (but for very long words) and dropped when there are
+    too many."""
 
     def __init__(self, f: Callable, most: int = 150_000):
         super().__init__()
         self.f, self.most = f, most
 
     def __missing__(self, word: str):
-        value = self[word] = self.f(word)
+        value = self.f(word)
+        if len(word) <= 200:
+            self[word] = value
         return value
 
     def of(self, words: list[str]) -> list:
