@@ -5,10 +5,12 @@ keeps the kinds of characters of a word and says whether it repeats the word bef
 log-count ratio, and a linear hinge-loss model is fitted to the scaled, length-normalised vectors by dual coordinate
 descent. Scores are margins passed through a logistic curve that is fitted to rows held back from the descent.
 
-The model learns from at most SAMPLE labelled rows, chosen by a hash of their ids; every whole text is scored.
+The model learns from at most SAMPLE labelled rows of SAMPLE_MB of text together, chosen by a hash of their ids; every
+whole text is scored.
 
 Cases: null and empty texts score as a text without features; null labels and labels without a document are not learned;
-repeated rows are scored each; several labels of one document all count; with one class only, all scores are that
+repeated rows are scored each; rows without doc_id are neither held out nor
+learned from; several labels of one document all count; with one class only, all scores are that
 class's share; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,13 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import M1, crc_of_id, fields, mix64, release
 from .encoding import portions
 from .words import Memo, coded_words, hash_word
 
+#: MB of text that are learned at most: the driver holds about twice that in features.
+SAMPLE_MB = 40.0
 #: Labelled rows that are learned at most, hashed feature space, smoothing of the counts, and the descent's settings.
 SAMPLE, BITS, SMOOTH, COST, EPOCHS, SEED = 6000, 20, 1.0, 1.0, 12, 7
 #: Score from which a document counts as good.
@@ -37,7 +41,7 @@ _RUN = re.compile(r"(.)\1+", re.S)
 
 def shape(word: str) -> str:
     """Kinds of characters, runs shortened: 'Thnt,' is 'Aa,', 'THE%%%' is 'AA%'."""
-    out = "".join("0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c for c in word[:64])
+    out = "".join("0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c for c in word)
     return _RUN.sub(lambda m: m[1] * 2 if m[1] == "A" else m[1], out)
 
 
@@ -153,10 +157,17 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the rows whose crc32(doc_id) mod 5 is not 0; at most SAMPLE of them, by a hash of the id."""
+    """Learns from the rows whose crc32(doc_id) mod 5 is not 0; at most SAMPLE of them and SAMPLE_MB of their texts, in
+    the order of a hash of the id."""
     known = fields(labels, "doc_id", "quality").filter(F.col("quality").isin(0, 1) & (crc_of_id() % 5 != 0))
-    chosen = known.distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "quality").limit(SAMPLE)
-    rows = fields(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("label"), "text")
+    order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.col("quality")]
+    chosen = known.distinct().orderBy(*order).limit(SAMPLE)
+    texts = fields(docs, "doc_id", "text")
+    # sums of sizes over at most SAMPLE labels: which of them fit in SAMPLE_MB together
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"))
+    upto = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    fitting = sizes.withColumn("upto", upto).filter(F.col("upto") <= int(SAMPLE_MB * 1e6)).select("doc_id", "quality")
+    rows = texts.join(F.broadcast(fitting), "doc_id").select(F.col("quality").cast("int").alias("label"), "text")
     got = rows.mapInArrow(_features, "label int, features binary").toArrow()
     # one array for all rows, in an order that doesn't depend on the partitions
     blobs = got["features"].combine_chunks()
@@ -187,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, labels)).select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted")
+    return score(docs, fit(docs, labels)).select("doc_id", F.coalesce(crc_of_id() % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
