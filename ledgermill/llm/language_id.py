@@ -11,8 +11,9 @@ Learning reads only text and non-null lang of documents whose crc32(doc_id) mod
 about PER_LANGUAGE documents a language, chosen by a hash of the id.
 
 Cases: null text and texts without a letter are `und` with score 0; ties go to the language that sorts first; without
-training rows everything is `und`; repeated rows are labelled each; very long words are described by their ends; an
-empty table gives no rows; other columns are ignored.
+training rows everything is `und`; repeated rows are labelled each; rows without doc_id are neither held
+out nor learned from; words of over LONG letters are labelled by all their
+features, but not learned from; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import M1, crc_of_id, fields, mix64
 from .encoding import portions
-from .words import coded_words
+from .words import coded_words, hash_word
 
 #: Documents a language and windows of words a document that are learned, hashed features, and the training's settings.
 PER_LANGUAGE, WINDOWS, WINDOW, BITS, SEED = 600, 3, 32, 18, 13
 LENGTH, BATCH, EPOCHS, RATE, DECAY = 64, 64, 3, 0.15, 1e-6
-#: Longest part of a word's start and end that is looked at; positions of a block.
-END, BLOCK = 20, 64
+#: Letters of a word that is learned from at most; positions of a block; characters whose features are looked up at once.
+LONG, BLOCK, TOGETHER = 40, 64, 320_000
 UNKNOWN = "und"
 
 
@@ -45,12 +46,13 @@ _SIGNS = "".join(chr(i) for i in range(128) if not chr(i).isalpha())
 def core(word: str) -> str:
     """The word in lower case without what stands before its first and after its last letter; '' without a letter."""
     w = word.strip(_SIGNS)
-    while w and not w[0].isalpha():
-        w = w[1:]
-    while w and not w[-1].isalpha():
-        w = w[:-1]
-    w = w.lower()
-    return w if len(w) <= 2 * END else w[:END] + w[-END:]
+    a, b = 0, len(w)
+    while a < b and not w[a].isalpha():
+        a += 1
+    while a < b and not w[b - 1].isalpha():
+        b -= 1
+    w = w[a:b]
+    return w.lower()
 
 
 def word_features(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,17 +68,14 @@ def word_features(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
         two = mix64(c[:, :-1] * M1 + c[:, 1:])
         ids += [two, mix64(two[:, :-1] * M1 + c[:, 2:])]
         real += [place[None, : wide + 1] <= size[:, None], place[None, :wide] < size[:, None]]
-        head, tail, whole = (np.full(n, np.uint64(k)) for k in (1, 2, 3))
-        for k in range(1, wide + 1):
-            inside = k <= size
-            whole = np.where(inside, mix64((whole + c[:, k]) * M1), whole)
-            if k <= 4:
-                head = mix64((head + c[:, k]) * M1)
-                tail = mix64((tail + c[np.arange(n), np.maximum(size + 1 - k, 0)]) * M1)
-                ids += [head[:, None], tail[:, None]]
-                real += [inside[:, None], inside[:, None]]
-        ids.append(whole[:, None])
-        real.append((size > 0)[:, None])
+        head, tail = np.full(n, np.uint64(1)), np.full(n, np.uint64(2))
+        for k in range(1, min(4, wide) + 1):
+            head = mix64((head + c[:, k]) * M1)
+            tail = mix64((tail + c[np.arange(n), np.maximum(size + 1 - k, 0)]) * M1)
+            ids += [head[:, None], tail[:, None]]
+            real += [(k <= size)[:, None]] * 2
+    ids.append(mix64(np.fromiter(map(hash_word, cores), np.uint64, n))[:, None])
+    real.append((size > 0)[:, None])
     return (np.concatenate(ids, axis=1) >> shift).astype(np.int64), np.concatenate(real, axis=1) & (size > 0)[:, None]
 
 
@@ -93,6 +92,7 @@ class Chain:
         n, at = len(self.langs), {lang: i for i, lang in enumerate(self.langs)}
         if n < 2:
             return self
+        windows = [(lang, [w for w in words if len(w) <= LONG]) for lang, words in windows]
         counts: list[Counter] = [Counter() for _ in range(n)]
         for lang, words in windows:
             counts[at[lang]].update(core(w) for w in words)
@@ -101,6 +101,8 @@ class Chain:
                 self.lexicon[w] = self.lexicon.get(w, 0) | 1 << i
         vocabulary: dict[str, int] = {}
         coded = [(at[lang], np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words])) for lang, words in windows if words]
+        if not coded:
+            return self
         table, real = word_features([core(w) for w in vocabulary])
         real = real.astype(np.float32)
         member = np.array([[self.lexicon.get(core(w), 0) >> i & 1 for i in range(n)] for w in vocabulary], np.float32)
@@ -160,9 +162,15 @@ class Chain:
         n = len(self.langs)
         cores = list(map(core, words))
         out = np.zeros((len(words), n), np.float32)
-        order = np.argsort(np.fromiter(map(len, cores), np.int64, len(cores)), kind="stable")
-        for a in range(0, len(words), 8192):  # words of like length side by side
-            own = order[a : a + 8192]
+        sizes = np.fromiter(map(len, cores), np.int64, len(cores))
+        order = np.argsort(sizes, kind="stable")
+        a = 0
+        while a < len(words):  # words of like length side by side; a very long one alone
+            b = min(len(words), a + 8192)
+            while b > a + 1 and (sizes[order[b - 1]] + 2) * (b - a) > TOGETHER:
+                b = a + (b - a) // 2
+            own = order[a:b]
+            a = b
             part = [cores[i] for i in own.tolist()]
             ids, real = word_features(part)
             e = np.zeros((len(part), n), np.float32)
@@ -292,4 +300,4 @@ def identify(docs: DataFrame, chain: Chain, with_spans: bool = False) -> DataFra
 
 def predict(docs: DataFrame) -> DataFrame:
     out = identify(docs, learn(docs))
-    return out.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score", "n_words")
+    return out.select("doc_id", F.coalesce(crc_of_id() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words")
