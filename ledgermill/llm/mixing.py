@@ -35,9 +35,9 @@ def _bisect(low_if: str) -> str:
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, its words, and the hash that orders documents."""
+    """doc_id, source, a hash of the text, and its words."""
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")).cast("long")
-    return fields(docs, "doc_id", "source", "text").select("doc_id", "source", words.alias("n_tokens"))
+    return fields(docs, "doc_id", "source", "text").select("doc_id", "source", F.xxhash64("text").alias("text_key"), words.alias("n_tokens"))
 
 
 def weights(sources: DataFrame, budget_share: float, entropy: float, repeats: float) -> DataFrame:
@@ -46,6 +46,7 @@ def weights(sources: DataFrame, budget_share: float, entropy: float, repeats: fl
     total = sources.agg(F.sum("tokens").cast("double").alias("total"), F.sort_array(F.collect_list(positive)).alias("sizes"))
     one = total.select("total", F.transform("sizes", lambda x: x / F.col("total")).alias("p"), (F.col("total") * budget_share).alias("budget"))
     by_entropy = _bisect(f"{_ENTROPY} >= {entropy}D * ln(size(p))")
+    repeats = min(repeats, 1e300)
     by_repeats = _bisect(f"{_MOST.replace('{budget}', 'budget')} > {repeats}D")
     one = one.select("*", F.expr(f"if({_ENTROPY.replace('{a}', '1D')} >= {entropy}D * ln(size(p)), 1D, ({by_entropy}).lo)").alias("a1"), F.expr(f"if({_MOST.replace('{a}', '0D').replace('{budget}', 'budget')} <= {repeats}D, 0D, ({by_repeats}).hi)").alias("a2"))
     one = one.select("total", "budget", F.greatest("a1", "a2").alias("exponent"), "p").withColumn("z", F.expr("aggregate(p, 0D, (s, x) -> s + pow(x, exponent))"))
@@ -55,30 +56,57 @@ def weights(sources: DataFrame, budget_share: float, entropy: float, repeats: fl
     return sources.select("s", "tokens", "n_docs", exponent.alias("exponent"), weight.alias("weight"), F.coalesce(F.round(weight * budget), F.lit(0.0)).alias("quota"))
 
 
-def mix(docs: DataFrame, budget_share: float = 1.0, entropy: float = 0.95, repeats: float = 2.0, seed: str = "mix") -> DataFrame:
-    """One row for each time that a document is used: epoch, block, stream_offset (its source's tokens before it) and
-    position in [0, 1): ordering all rows by position interleaves the sources at their weights."""
+def _counted(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their counts, source key s and hash h that orders them; totals (s, tokens, n_docs). Both are saved."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     d = token_counts(docs).select("*", key.alias("s"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary")).alias("h"))
     d = save(d, "mix-counts")
-    totals = save(weights(d.groupBy("s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), budget_share, entropy, repeats), "mix-weights")
+    return d, save(d.groupBy("s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "mix-totals")
+
+
+def mix(docs: DataFrame, budget_share: float = 1.0, entropy: float = 0.95, repeats: float = 2.0, seed: str = "mix") -> DataFrame:
+    """One row for each time that a document is used: epoch, block, stream_offset (its source's tokens before it) and
+    position in [0, 1): ordering all rows by position interleaves the sources at their weights."""
+    return _placed(*_counted(docs, seed), budget_share, entropy, repeats, seed)
+
+
+def _placed(d: DataFrame, totals: DataFrame, budget_share: float, entropy: float, repeats: float, seed: str) -> DataFrame:
+    totals = save(weights(totals, budget_share, entropy, repeats), "mix-weights")
     blocks = F.ceil(F.col("n_docs") / BLOCK_DOCS).cast("long")
     block = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), blocks)
-    d = d.join(totals, "s").select("s", "doc_id", "source", "n_tokens", "h", block.alias("block"), "weight")
+    d = d.join(totals, "s").select("s", "doc_id", "source", "text_key", "n_tokens", "h", block.alias("block"), "weight")
     sizes = d.groupBy("s", "block").agg(F.sum("n_tokens").alias("size"))
     epochs = sizes.join(totals, "s").select("s", "block", "size", "tokens", "quota", F.explode(F.sequence(F.lit(0), F.coalesce(F.floor(F.try_divide("quota", "tokens")), F.lit(0)).cast("int"))).alias("epoch"))
     order = F.md5(F.concat_ws("|", F.lit(seed), "s", "block", "epoch").cast("binary"))
     before = F.sum("size").over(Window.partitionBy("s", "epoch").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1))
     epochs = epochs.select("s", "block", "epoch", "quota", (F.col("epoch") * F.col("tokens") + F.coalesce(before, F.lit(0))).alias("block_offset"))
     epochs = epochs.filter(F.col("block_offset") <= F.col("quota"))
-    within = F.sum("n_tokens").over(Window.partitionBy("s", "block").orderBy("h", "n_tokens").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("n_tokens").over(Window.partitionBy("s", "block").orderBy("h", "n_tokens", "text_key").rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("within", F.coalesce(within, F.lit(0)))
     out = d.join(epochs, ["s", "block"]).withColumn("stream_offset", F.col("block_offset") + F.col("within"))
     out = out.filter(F.col("stream_offset") + F.col("n_tokens") <= F.col("quota"))
     position = F.coalesce(F.try_divide(F.col("stream_offset").cast("double"), F.col("quota")), F.lit(0.0))
-    return out.select("doc_id", "source", "epoch", "block", "stream_offset", "n_tokens", "weight", position.alias("position"))
-
-
-def sample_once(docs: DataFrame, budget_share: float = 0.9, entropy: float = 0.95, seed: str = "mix") -> DataFrame:
-    """The rows of docs, with all columns, that a mix without repetition uses."""
-    return docs.join(mix(docs, budget_share, entropy, 1.0, seed).filter("epoch = 0").select("doc_id"), "doc_id", "left_semi")
+    return out.select("doc_id", "source", "text_key", "epoch", "block", "stream_offset", "n_tokens", "weight", position.alias("position"))
+
+
+def whole_share(totals: DataFrame, entropy: float, least: float) -> float:
+    """The largest budget, as a share of all tokens and `least` at least, whose mix needs no source twice: 1 where the
+    natural mix meets the entropy target, else the least ratio of a source's share to its tempered weight."""
+    tempered = weights(totals, 1.0, entropy, float("inf")).filter("weight > 0")
+    ratio = tempered.agg(F.sum("tokens").alias("total"), F.min(F.col("tokens") / F.col("weight")).alias("least")).first()
+    share = ratio["least"] / ratio["total"] if ratio["total"] else 1.0
+    return 1.0 if share > 1 - 1e-9 else max(least, share)
+
+
+def sample_once(docs: DataFrame, entropy: float = 0.95, least: float = 0.5, seed: str = "mix") -> DataFrame:
+    """The rows of docs, with all columns, that a mix without repetition uses, over the largest budget that needs none.
+
+    Rows are told apart by doc_id, source and text; null ones as well.
+    """
+    d, totals = _counted(docs, seed)
+    share = whole_share(totals, entropy, least)
+    if share == 1.0:
+        return docs
+    used = _placed(d, totals, share, entropy, 1.0, seed).filter("epoch = 0").select(*[F.col(c).alias(f"used_{c}") for c in ("doc_id", "source", "text_key")])
+    same = docs["doc_id"].eqNullSafe(F.col("used_doc_id")) & docs["source"].eqNullSafe(F.col("used_source")) & (F.xxhash64(docs["text"]) == F.col("used_text_key"))
+    return docs.join(used, same, "left_semi")

@@ -123,10 +123,21 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix(empty).count() == 0
     once = mixing.sample_once(docs)
     assert once.columns == docs.columns and 0 < once.count() < docs.count()
+    assert mixing.sample_once(docs, entropy=0.0).count() == docs.count()  # even enough: nothing goes
     # every source whole once the budget is everything and the exponent one
     assert mixing.mix(docs, 1.0, 0.0, 1.0).filter("epoch = 0").count() == docs.count()
 
 
+def test_rows_without_ids(nameless):
+    """Every operator returns each row, whatever its doc_id; equal texts get equal results."""
+    rows, docs = nameless
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    for out in (language_id.predict(docs), language_model.score(docs), quality_classifier.classify(docs, labels), quality_rules.judge(docs), mixing.mix(docs, 1.0, 0.0, 1.0).filter("epoch = 0")):
+        assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(i) for i, *_ in rows)
+    once = mixing.sample_once(docs, entropy=0.99, least=0.3)
+    assert once.columns == docs.columns and 0 < once.count() <= docs.count()
+
+
 def test_pipeline(spark, tmp_path, docs, texts):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     pytest.importorskip("public_tokenizers")
@@ -138,3 +149,135 @@ def test_pipeline(spark, tmp_path, docs, texts):
         assert frame.columns == docs.columns and frame.count() <= before.count()
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in frame.select("doc_id").collect()}
+
+
+def concentrated(x, floors, steps=60):
+    """Least-determinant centre and scatter of the nearest 3/4 by numpy, from the operator's two starts."""
+    best = None
+    med = np.median(x, axis=0)
+    mads = np.median(np.abs(x - med), axis=0)
+    for m, c in ((med, np.diag((mads * 1.4826) ** 2)), (x.mean(0), np.cov(x.T, bias=True))):
+        for _ in range(steps):
+            d = x - m
+            d2 = np.einsum("ij,jk,ik->i", d, np.linalg.inv(c + np.diag(floors**2)), d)
+            near = x[np.argsort(d2, kind="stable")[: math.ceil(quality_rules.KEEP * len(x))]]
+            m, c = near.mean(0), np.cov(near.T, bias=True) * quality_rules.CONSISTENCY
+        det = np.linalg.slogdet(c + np.diag(floors**2))[1]
+        if best is None or det < best[0]:
+            best = det, m, c + np.diag(floors**2)
+    return best
+
+
+def test_estimates_like_numpy(spark):
+    rng = np.random.default_rng(8)
+    groups = {}
+    for g, (n, bad) in {"a": (900, 0), "b": (700, 150), "c": (400, 60)}.items():
+        x = rng.normal(size=(n, 5)) @ np.triu(rng.uniform(0.2, 0.6, (5, 5))) + rng.normal(size=5)
+        x[:bad] = x[:bad] * 0.1 + 6
+        groups[g] = x
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    good = spark.createDataFrame(rows, "g string, " + ", ".join(f"{n} double" for n in quality_rules.NAMES))
+    floors = np.array(list(quality_rules.STATISTICS.values()))
+    for p in quality_rules.estimate(good).collect():
+        det, m, c = concentrated(groups[p["g"]], floors)
+        factor = np.array([[p[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert np.allclose([p[f"m{i}"] for i in range(5)], m, atol=0.12)
+        assert abs(2 * np.log(np.diag(factor)).sum() - det) < 0.35  # buckets of distances keep a few rows more than 3/4
+        assert np.allclose(factor @ factor.T, c, atol=0.15)
+
+
+def test_scores_like_a_sequential_model(docs, texts):
+    """op3 against dictionaries of counts and the same expectation-maximisation."""
+    roles = {(r["doc_id"], r["text"]): r["d"] for r in docs.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id", F.lit(language_model.SEED)), F.lit(language_model.DELETED)) == 0).alias("d")).collect()}
+    rows = [(i, [*(t or "").encode().lower().split(), "END"], crc(i) % 10 == 0, roles[i, t]) for i, t, *_ in texts]
+    parts = {side: (Counter(), Counter()) for side in (False, True)}
+    for _, w, held, deleted in rows:
+        if not held:
+            parts[deleted][0].update(w)
+            parts[deleted][1].update(zip(["START", *w], w))
+    kept, kept2 = parts[False]
+    bucket = lambda c: int(min(math.log2(c + 1), language_model.BUCKETS - 1))
+    context = lambda c, h: c["END" if h == "START" else h]
+    n = sum(kept.values())
+    cells = Counter()
+    for _, w, held, deleted in rows:
+        if deleted and not held:
+            for h, x in zip(["START", *w], w):
+                c, pair = context(kept, h), kept2[h, x]
+                cells[bucket(c), round(-4 * math.log2(pair / c)) if pair else -1, round(-4 * math.log2(kept[x] / n)) if kept[x] else -1] += 1
+    weights = language_model.learn_weights([(*k, v) for k, v in cells.items()], len(kept))
+    every, every2 = kept + parts[True][0], kept2 + parts[True][1]
+    n, v = sum(every.values()), len(every)
+    expected = []
+    for i, w, *_ in rows:
+        total = 0.0
+        for h, x in zip(["START", *w], w):
+            c = context(every, h)
+            l2, l1, l0 = weights[bucket(c)]
+            total += math.log10(l2 * every2[h, x] / max(c, 1) + l1 * every[x] / n + l0 / (v + 1))
+        expected.append((i, total))
+    got = sorted((r["doc_id"], r["score"]) for r in language_model.score(docs).collect())
+    assert [i for i, _ in got] == [i for i, _ in sorted(expected)]
+    assert np.allclose([s for _, s in got], [s for _, s in sorted(expected)], rtol=1e-6)
+
+
+def test_ratios_and_descent_on_a_tiny_set():
+    """op4: log-count ratios by definition; at the descent's end no coordinate of the dual can be improved."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 30, 8)).astype(np.uint32) for _ in range(40)]
+    y = np.where(np.array([5 in r for r in rows]) ^ (rng.random(40) < 0.1), 1.0, -1.0)
+    model = quality_classifier.Model([], np.zeros(0))
+    model.ratio = quality_classifier.Model._ratios(rows, y)
+    size = 1 << quality_classifier.BITS
+    counts = {side: np.ones(size) for side in (1.0, -1.0)}
+    for r, side in zip(rows, y):
+        counts[side][r] += 1
+    assert np.allclose(model.ratio, np.log(counts[1.0] / counts[1.0].sum() / (counts[-1.0] / counts[-1.0].sum())), atol=1e-5)
+    weight = model._descend(rows, y)
+    cost = {1.0: 1.0, -1.0: max(1.0, (y > 0).sum() / (y < 0).sum())}
+    x = np.zeros((40, 30))
+    for k, r in enumerate(rows):
+        x[k, r] = model._scaled(r)
+    # the primal objective at the fit is close to the least that plain subgradient steps reach
+    value = lambda w: w @ w / 2 + sum(cost[s] * max(0.0, 1 - s * float(row @ w)) for row, s in zip(x, y))
+    w = np.zeros(30)
+    best = value(w)
+    for k in range(1, 6000):
+        g = w - sum((cost[s] * s * row for row, s in zip(x, y) if s * float(row @ w) < 1), np.zeros(30))
+        w = w - g / (k + 10)
+        best = min(best, value(w))
+    assert value(weight[:30].astype(float)) <= best * 1.03
+
+
+def test_training_gradient_by_differences():
+    """op1: one small AdaGrad step moves transitions by the sign of the likelihood's difference quotient."""
+    rng = np.random.default_rng(2)
+    chain = language_id.Chain(["a", "b"])
+    w, y = rng.integers(0, 6, (3, language_id.LENGTH)), rng.integers(0, 2, (3, language_id.LENGTH))
+    table, real = language_id.word_features(["ab", "abc", "b", "cab", "", "xyz"])
+    member = rng.integers(0, 2, (6, 2)).astype(np.float32)
+    for x in (chain.weight, chain.lexical, chain.transition):
+        x += rng.normal(0, 0.3, x.shape).astype(np.float32)
+
+    start = np.log(np.exp(chain.transition.astype(float)).mean(0))  # from a uniform state before the first word; not learned
+
+    def likelihood(transition):
+        e = (chain.weight[table[w]] * real[w][..., None]).sum(2) + member[w] @ chain.lexical
+        total = 0.0
+        for r in range(3):
+            v = e[r, 0] + start
+            path = v[y[r, 0]]
+            for t in range(1, language_id.LENGTH):
+                v = np.logaddexp.reduce(v[:, None] + transition, axis=0) + e[r, t]
+                path += transition[y[r, t - 1], y[r, t]] + e[r, t, y[r, t]]
+            total += path - np.logaddexp.reduce(v)
+        return total / 3
+
+    before, step = chain.transition.astype(float).copy(), 1e-4
+    slope = np.array([[(likelihood(before + step * np.eye(4)[2 * i + j].reshape(2, 2)) - likelihood(before - step * np.eye(4)[2 * i + j].reshape(2, 2))) / (2 * step) for j in range(2)] for i in range(2)])
+    sums = [np.full_like(x, 1e8) for x in (chain.weight, chain.lexical, chain.transition)]  # steps proportional to the gradient
+    old = chain.transition.copy()
+    chain.transition = chain.transition.astype(np.float64)
+    chain._batch(w, y, table, real.astype(np.float32), member, [s.astype(np.float64) for s in sums])
+    moved = (chain.transition - old) / (language_id.RATE / 1e4)
+    assert np.allclose(moved, slope, atol=2e-2)
