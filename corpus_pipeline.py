@@ -12,8 +12,8 @@ from ledgermill.llm import exact_dedup, jaccard_join, mixing, packing, quality_c
 from ledgermill.llm.common import save
 from ledgermill.llm.queries import tokenizer_path
 
-#: Share of the tokens that the mix keeps, and how even its source shares are at least.
-BUDGET, ENTROPY = 0.9, 0.95
+#: How even the mix's source shares are (of the greatest entropy), as far as this share of the tokens can still be kept.
+ENTROPY, LEAST = 0.95, 0.5
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of a tempered mix of sources that repeats none."""
-    return mixing.sample_once(docs, budget_share=BUDGET, entropy=ENTROPY)
+    """The documents of a tempered mix of sources that repeats none; all of them where the sources are even enough."""
+    return mixing.sample_once(docs, entropy=ENTROPY, least=LEAST)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
