@@ -24,7 +24,7 @@ from .common import fields, pieces, text_bytes, tidy
 from .encoding import Encoder, id_type, portions, vocabulary_size
 
 #: Tokens of a sequence, MB of texts that make a group, and the key of the groups' hash.
-CAPACITY, GROUP_MB, SEED = 2048, 10.0, 20_011
+CAPACITY, GROUP_MB, SEED = 2048, 4.0, 20_011
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
