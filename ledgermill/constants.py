@@ -73,3 +73,11 @@ CONFUSED, DIGITS = "oOIliSsBgzZ", "00111558922"
 CONVENTIONS = [(1, -1), (-1, 1), (1, 1), (-1, -1)]
 # --- fixed values: words of a table header in text laid out by position
 LAYOUT_KEYWORDS = ["date", "doc", "txn", "type", "po", "debit", "credit", "balance", "amount", "particulars", "description", "ref"]
+# --- fixed values: sentences of the audit trail and of the reports
+REPAIR_REASON = "OCR confusion repair resolved equations in iteration {}"
+NO_HEADER = "No table header identified yet"
+NO_DATE = "Row date field invalid or missing (likely footer/summary info)"
+MISSING_BOUNDARY = "{} balance boundary extraction failed: using default 0.0"
+EMPTY_MISMATCH = "Opening and closing balance mismatch"
+CLOSING_MISMATCH = "Closing balance mismatch: expected %.2f, got %.2f"
+NOTE_CLEAN, NOTE_REPAIRED, NOTE_ESCALATED = "Clean validation.", "Repaired: ", "Escalated for manual review: balance equation mismatch."

@@ -56,7 +56,7 @@ def close_to_double(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= 0.01 + 1e-5 * F.abs(b)
 
 
-def optional_amount(raw: Column, locale: str = "period_decimal") -> Column:
+def optional_amount(raw: Column, locale: str | Column = "period_decimal") -> Column:
     """Null for an empty cell and for a bare zero ('0', '0.0'); '0.00' stays 0."""
     return F.when(F.coalesce(raw, F.lit("")).isin("", "0", "0.0"), F.lit(None).cast("double")).otherwise(parse_currency(raw, locale))
 
@@ -142,15 +142,22 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]", "")
 
 
+def _terms(terms: list[str]) -> str:
+    """A pattern of normalised headers: single words match whole words, phrases anywhere."""
+    single, phrases = [t for t in terms if " " not in t], [t for t in terms if " " in t]
+    return "|".join([rf"\b(?:{'|'.join(single)})\b", *phrases])
+
+
 def infer_field(c: Column) -> Column:
     """The canonical field whose terms a header has; the first field in order wins; null without one."""
-    n = normalize_header(c)
-    words = F.split(n, " ")
+    return field_of_normal(normalize_header(c))
+
+
+def field_of_normal(n: Column) -> Column:
+    """infer_field() of what normalize_header() has made of a header."""
     out = F.lit(None).cast("string")
     for field, terms in reversed(K.HEADER_TERMS.items()):
-        single, phrases = [t for t in terms if " " not in t], [t for t in terms if " " in t]
-        hit = F.arrays_overlap(words, F.array(*map(F.lit, single))) | any_of([n.contains(p) for p in phrases])
-        out = F.when(hit, F.lit(field)).otherwise(out)
+        out = F.when(n.rlike(_terms(terms)), F.lit(field)).otherwise(out)
     return out
 
 
@@ -213,11 +220,23 @@ def header_score(cell: Column, expected: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.85).when(same, 0.6).otherwise(0.0)
 
 
+#: Words that a header row shows beside those that name a field.
+SHOWN = ("date", "balance", "amount")
+
+
 def header_like(c: Column) -> Column:
-    x = _comparable(c)
-    near = [F.when(F.length(x) >= 3, F.lit(w).contains(x)).otherwise(F.lit(False)) | x.contains(w) for w in ("date", "balance", "amount")]
-    short = [x.contains(k) for k, v in K.HEADER_ABBREVIATIONS.items() if v in ("date", "balance", "amount")]
-    return infer_field(c).isNotNull() | ((x != "") & any_of([*near, *short]))
+    """Whether a cell names a field, or resembles 'date', 'balance' or 'amount' as headers_match_fuzzily() compares."""
+    parts = sorted({w[i:j] for w in SHOWN for i in range(len(w)) for j in range(i + 3, len(w) + 1)})
+    short = [k for k, v in K.HEADER_ABBREVIATIONS.items() if v in SHOWN]
+    named = "|".join(_terms(t) for t in K.HEADER_TERMS.values())
+    return normalize_header(c).rlike(named) | _comparable(c).rlike(rf"{'|'.join([*SHOWN, *short])}|^(?:{'|'.join(parts)})$")
+
+
+def maybe_header_like(cells: Column) -> Column:
+    """False only for rows none of whose cells is header_like(): one look at the whole line, without spaces and signs."""
+    terms = {t.replace(" ", "") for ts in K.HEADER_TERMS.values() for t in ts} | set(SHOWN) | {k for k, v in K.HEADER_ABBREVIATIONS.items() if v in SHOWN}
+    parts = {w[i : i + 3] for w in SHOWN for i in range(len(w) - 2)}
+    return F.regexp_replace(F.lower(F.array_join(cells, "")), "[^a-z0-9]", "").rlike("|".join(sorted(terms | parts)))
 
 
 def merge_headers(a: Column, b: Column) -> Column:

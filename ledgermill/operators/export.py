@@ -19,8 +19,8 @@ def invariants(transactions: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def ledger_note(status: Column, reason: Column | None = None) -> Column:
     """What the ledger's last column says."""
-    fixed = F.concat(F.lit("Repaired: "), F.coalesce(reason, F.lit(""))) if reason is not None else F.lit("Repaired")
-    return F.when(status == "auto_repaired", fixed).when(status == "escalated", "Escalated for manual review: balance equation mismatch.").otherwise("Clean validation.")
+    fixed = F.concat(F.lit(K.NOTE_REPAIRED), F.coalesce(reason, F.lit(""))) if reason is not None else F.lit("Repaired")
+    return F.when(status == "auto_repaired", fixed).when(status == "escalated", K.NOTE_ESCALATED).otherwise(K.NOTE_CLEAN)
 
 
 def ledger_totals(transactions: DataFrame) -> DataFrame:

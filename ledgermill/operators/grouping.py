@@ -37,59 +37,62 @@ def without_footers(grid: DataFrame) -> DataFrame:
     return grid.filter((line != "") & ~is_footer(line))
 
 
-def anchor_columns(grid: DataFrame, maps: DataFrame) -> DataFrame:
-    """doc_id, page, anchor: the date column, else the mapped column with most non-empty cells (the first such)."""
-    own = maps.select("doc_id", F.get(F.map_values(F.map_filter("mapping", lambda k, v: k == "transaction_date")), F.lit(0)).alias("date_col"), "mapping")
-    order = F.create_map(*[F.lit(x) for i, f in enumerate(K.FIELDS) for x in (f, i)])
-    cells = grid.join(own.filter("date_col IS NULL"), "doc_id").select("doc_id", "page", "cells", F.explode("mapping").alias("field", "col"))
-    filled = cells.groupBy("doc_id", "page", "field", "col").agg(F.count_if(cell(F.col("cells"), F.col("col")) != "").alias("n"))
-    best = filled.groupBy("doc_id", "page").agg(F.min_by("col", F.struct(-F.col("n"), order[F.col("field")])).alias("other"))
-    return grid.select(*PAGE).distinct().join(own.select("doc_id", "date_col"), "doc_id").join(best, PAGE, "left").select(*PAGE, F.coalesce("date_col", "other").alias("anchor"))
+def column_of(field: str) -> Column:
+    """The column that mapping names for a field; null without one."""
+    return F.get(F.map_values(F.map_filter("mapping", lambda k, v: k == field)), F.lit(0))
+
+
+def _anchor() -> Column:
+    """The date column, else the mapped column with most non-empty cells of the page (the first such, in field order)."""
+    w = Window.partitionBy(*PAGE)
+    filled = [F.when(column_of(f).isNotNull(), F.struct((-F.sum((cell(F.col("cells"), column_of(f)) != "").cast("int")).over(w)).alias("n"), F.lit(i).alias("ord"), column_of(f).alias("col"))) for i, f in enumerate(K.FIELDS)]
+    return F.coalesce(column_of("transaction_date"), F.array_min(F.array(*filled))["col"])
 
 
 def group_wrapped(grid: DataFrame, maps: DataFrame) -> DataFrame:
     """Records (doc_id, page, row of their first line, cells): descriptions are joined, other cells filled, dates carried.
 
     Rows before the first record of a page stay as they are; a record without a date takes the one before on its page.
+    Windows and groups are all of one page, so that they share one shuffle.
     """
-    rows = grid.join(maps, "doc_id").join(anchor_columns(grid, maps), PAGE)
-    at = lambda f: F.get(F.map_values(F.map_filter("mapping", lambda k, v: k == f)), F.lit(0))
+    rows = grid.join(maps.select("doc_id", "mapping"), "doc_id").withColumn("anchor", _anchor())
     width = F.array_max(F.map_values("mapping")) + 1
-    rows = rows.select("*", at("transaction_date").alias("date_col"), at("description").alias("desc_col"), width.alias("least"))
+    rows = rows.select("*", column_of("transaction_date").alias("date_col"), column_of("description").alias("desc_col"), width.alias("least"))
     padded = F.concat("cells", F.array_repeat(F.lit(""), F.greatest(F.col("least") - F.size("cells"), F.lit(0))))
     rows = rows.withColumn("cells", F.transform(padded, lambda x: F.coalesce(x, F.lit(""))))
     own = cell(F.col("cells"), F.col("anchor"))
     dated = F.when(F.col("anchor").eqNullSafe(F.col("date_col")), is_anchor(own)).otherwise(own != "")
-    begins = dated | any_of([F.coalesce(is_amount(cell(F.col("cells"), at(f))), F.lit(False)) for f in K.AMOUNT_FIELDS])
+    begins = dated | any_of([F.coalesce(is_amount(cell(F.col("cells"), column_of(f))), F.lit(False)) for f in K.AMOUNT_FIELDS])
     w = Window.partitionBy(*PAGE).orderBy("row")
-    rows = rows.withColumn("record", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("begins", begins.cast("int")).withColumn("record", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("record", F.when(F.col("record") == 0, -1 - F.col("row")).otherwise(F.col("record")))
     lines = F.array_sort(F.collect_list(F.struct("row", "cells")))
     made = rows.groupBy(*PAGE, "record", "anchor", "date_col", "desc_col").agg(lines.alias("lines"))
-    head = F.get("lines", F.lit(0))["cells"]
-    rest = F.slice("lines", F.lit(2), F.size("lines"))
+    made = made.withColumn("head", F.get("lines", F.lit(0))["cells"]).withColumn("rest", F.slice("lines", F.lit(2), F.size("lines")))
 
     def merged(c: Column, i: Column) -> Column:
-        more = F.filter(F.transform(rest, lambda r: cell(r["cells"], i)), lambda x: x != "")
+        more = F.filter(F.transform("rest", lambda r: cell(r["cells"], i)), lambda x: x != "")
         text = F.when(c == "", F.array_join(more, " ")).when(F.size(more) == 0, c).otherwise(F.concat(c, F.lit(" "), F.array_join(more, " ")))
         other = F.when(strip(c) != "", c).otherwise(F.coalesce(F.get(more, F.lit(0)), c))
         return F.when(i.eqNullSafe(F.col("desc_col")), text).when(i == F.col("anchor"), c).otherwise(other)
 
-    made = made.select(*PAGE, "record", "date_col", F.get("lines", F.lit(0))["row"].alias("row"), F.transform(head, merged).alias("cells"))
+    joined = F.when(F.size("rest") == 0, F.col("head")).otherwise(F.transform("head", merged))  # most records are one row
+    made = made.select(*PAGE, "record", "date_col", F.get("lines", F.lit(0))["row"].alias("row"), joined.alias("cells"))
     own_date = cell(F.col("cells"), F.col("date_col"))
+    made = made.withColumn("own_date", own_date)
     # an orphan's empty cell stops the search for a date; a record's own empty cell does not
-    carry = F.when(F.col("record") < 0, own_date).otherwise(F.nullif(own_date, F.lit("")))
+    carry = F.when(F.col("record") < 0, F.col("own_date")).otherwise(F.nullif("own_date", F.lit("")))
     last = F.last(carry, ignorenulls=True).over(Window.partitionBy(*PAGE).orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
-    date = F.when(F.col("record") < 0, own_date).otherwise(F.coalesce(last, F.lit("")))
-    made = made.withColumn("date", date)
-    cells = F.transform("cells", lambda c, i: F.when(i.eqNullSafe(F.col("date_col")) & (strip(c) == ""), F.col("date")).otherwise(c))
-    return made.select(*PAGE, "row", cells.alias("cells"))
+    made = made.withColumn("date", F.when(F.col("record") < 0, F.col("own_date")).otherwise(F.coalesce(last, F.lit(""))))
+    dated = F.transform("cells", lambda c, i: F.when(i.eqNullSafe(F.col("date_col")) & (strip(c) == ""), F.col("date")).otherwise(c))
+    return made.select(*PAGE, "row", F.when((F.col("own_date") == "") & (F.col("date") != ""), dated).otherwise(F.col("cells")).alias("cells"))
 
 
 def project(records: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Transactions with raw amounts and additional fields, and records whose date cannot be read (for review)."""
-    at = lambda f: F.get(F.map_values(F.map_filter("mapping", lambda k, v: k == f)), F.lit(0))
-    rows = records.join(maps, "doc_id").withColumn("transaction_date", accepted_date(F.col("cells"), at("transaction_date")))
+    at = column_of
+    rows = records.join(maps, "doc_id").filter(at("transaction_date") < F.size("cells"))  # without a date column nothing is read
+    rows = rows.withColumn("transaction_date", accepted_date(F.col("cells"), at("transaction_date")))
     inside = lambda f: at(f) < F.size("cells")
     raw = lambda f, missing: F.when(inside(f), cell(F.col("cells"), at(f))).otherwise(F.lit(missing))
     extra = F.filter(F.transform("cells", lambda c, i: F.struct(i.cast("string").alias("key"), strip(c).alias("value"))), lambda e: ~F.array_contains(F.map_values("mapping"), e["key"].cast("int")))
@@ -97,5 +100,5 @@ def project(records: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
         "doc_id", "page", "row", "transaction_date", raw("description", "").alias("description"), raw("debit_amount", "0.0").alias("debit_raw"),
         raw("credit_amount", "0.0").alias("credit_raw"), raw("running_balance", "0.0").alias("balance_raw"), F.map_from_entries(extra).alias("additional_fields"),
     )
-    bad = rows.filter("transaction_date IS NULL").select("doc_id", "page", "row", body_text(F.col("cells")).alias("raw_text"), F.lit("Row date field invalid or missing (likely footer/summary info)").alias("reason"), F.lit(False).alias("review_required"))
+    bad = rows.filter("transaction_date IS NULL").select("doc_id", "page", "row", body_text(F.col("cells")).alias("raw_text"), F.lit(K.NO_DATE).alias("reason"), F.lit(False).alias("review_required"))
     return good, bad

@@ -5,86 +5,152 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alias_field, header_like, header_score, headers_match_fuzzily, infer_field, is_anchor, merge_headers, strip
+from .. import constants as K
+from ..functions.text import alias_field, field_of_normal, header_like, headers_match_by_meaning, headers_match_fuzzily, is_anchor, maybe_header_like, merge_headers, normalize_header, squeeze, strip
+from .grouping import column_of
+
+#: Mean score from which an unnamed document's header row names a vendor.
+INLINE = 0.95
+#: Rows of a registry's columns that are broadcast; beyond that they are joined.
+MOST_COLUMNS = 200_000
+
+
+def scored_fields(cells: F.Column) -> F.Column:
+    """(field, s, col) of each header cell that has a field: an alias scores 1.0, inferred terms 0.85; s is negative."""
+    # the inner transform makes each cell's two spellings once
+    spelled = F.transform(cells, lambda c, i: F.struct(c.alias("raw"), normalize_header(c).alias("n"), i.alias("col")))
+
+    def scored(x: F.Column) -> F.Column:
+        exact = alias_field(x["raw"])
+        return F.struct(F.coalesce(exact, field_of_normal(x["n"])).alias("field"), F.when(exact.isNotNull(), -1.0).otherwise(-0.85).alias("s"), x["col"].alias("col"))
+
+    return F.filter(F.transform(F.filter(spelled, lambda x: strip(x["raw"]) != ""), scored), lambda x: x["field"].isNotNull())
+
+
+def best_columns(scored: F.Column, fields: list[str]) -> F.Column:
+    """field -> its best-scoring column, the first on ties; scored: array of (field, s, col)."""
+    best = lambda f: F.array_min(F.transform(F.filter(scored, lambda x: x["field"] == f), lambda x: F.struct(x["s"], x["col"])))["col"]
+    entries = [F.struct(F.lit(f).alias("key"), best(f).cast("int").alias("value")) for f in fields]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
 
 def map_columns(headers: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and mapping (field -> column) of rows of header cells, without a model.
+    """keys and mapping (field -> column) of rows of header cells, without a model; rows without any field are left out.
 
-    headers: keys, cells. An alias scores 1.0, inferred terms 0.85; a field goes to its best column, the first on ties.
+    headers: keys, cells. A field goes to its best column, the first on ties. All within a row: nothing is shuffled.
     """
-    cells = headers.select(*keys, F.posexplode("cells").alias("col", "text")).filter(strip(F.col("text")) != "")
-    exact = alias_field(F.col("text"))
-    scored = cells.select(*keys, "col", F.coalesce(exact, infer_field(F.col("text"))).alias("field"), F.when(exact.isNotNull(), 1.0).otherwise(0.85).alias("score")).filter("field IS NOT NULL")
-    best = scored.groupBy(*keys, "field").agg(F.min_by("col", F.struct(-F.col("score"), F.col("col"))).alias("col"))
-    return best.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "col")))).alias("mapping"))
+    scored = headers.select(*keys, scored_fields(F.col("cells")).alias("scored")).filter(F.size("scored") > 0)
+    return scored.select(*keys, best_columns(F.col("scored"), sorted(K.FIELDS)).alias("mapping"))
 
 
-def _has(field: str) -> F.Column:
-    return F.map_contains_key("mapping", field)
+def _qualifies(m: str) -> F.Column:
+    has = lambda f: F.coalesce(F.map_contains_key(m, f), F.lit(False))
+    return has("transaction_date") & (has("description") | has("debit_amount") | has("credit_amount") | has("running_balance"))
 
 
-def _qualifies() -> F.Column:
-    return F.coalesce(_has("transaction_date") & (_has("description") | _has("debit_amount") | _has("credit_amount") | _has("running_balance")), F.lit(False))
+def _with_description(m: F.Column, width: F.Column) -> F.Column:
+    """The first column that no field has becomes the description where none is mapped."""
+    free = F.array_min(F.array_except(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), F.map_values(m)))
+    return F.when(F.map_contains_key(m, "description") | free.isNull(), m).otherwise(F.map_concat(m, F.create_map(F.lit("description"), free)))
 
 
-def _with_description(width: F.Column) -> F.Column:
-    """The first column that no field has becomes the description where none is mapped."""
-    free = F.array_min(F.array_except(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), F.map_values("mapping")))
-    return F.when(_has("description") | free.isNull(), F.col("mapping")).otherwise(F.map_concat("mapping", F.create_map(F.lit("description"), free)))
+def _with_balance(m: F.Column, cells: F.Column) -> F.Column:
+    """An unmapped balance goes to the first cell that resembles one."""
+    at = F.array_position(F.transform(cells, lambda c: headers_match_fuzzily(c, F.lit("balance"))), True) - 1
+    return F.when(F.map_contains_key(m, "running_balance") | (at < 0), m).otherwise(F.map_concat(m, F.create_map(F.lit("running_balance"), at.cast("int"))))
 
 
-def _continues(mapping: str) -> F.Column:
-    """Whether the row below has text, and no date in the date column."""
-    at = F.get(F.map_values(F.map_filter(mapping, lambda k, v: k == "transaction_date")), F.lit(0))
-    dated = F.coalesce(is_anchor(F.get("below", at)), F.lit(False))
-    return F.col("below").isNotNull() & F.exists(F.coalesce("below", F.array().cast("array<string>")), lambda c: strip(c) != "") & ~dated
+def registered_columns(columns: DataFrame) -> DataFrame:
+    """vendor_key and its registered headers in their order: (field, header, squeezed, inferred)."""
+    c = columns.select("vendor_key", "ord", "field", "header", squeeze(strip(F.col("header"))).alias("squeezed"), field_of_normal(normalize_header(F.col("header"))).alias("inferred"))
+    return c.groupBy("vendor_key").agg(F.array_sort(F.collect_list(F.struct("ord", "field", "header", "squeezed", "inferred"))).alias("wanted"))
 
 
-def locate_for_vendors(grid: DataFrame, matched: DataFrame, columns: DataFrame) -> DataFrame:
-    """Like locate(), for documents of known vendors (doc_id, vendor_key) by their registered headers: each goes to its
-    best-scoring cell, the first on ties; an unmapped balance goes to the first cell that resembles one."""
-    w = Window.partitionBy("doc_id", "page").orderBy("row")
-    rows = grid.withColumn("below", F.lead("cells").over(w)).join(matched, "doc_id").filter(F.exists("cells", lambda c: header_like(strip(c))))
-    cells = rows.select("doc_id", "page", "row", "vendor_key", F.posexplode("cells").alias("col", "text")).join(columns, "vendor_key")
-    scored = cells.withColumn("score", header_score(F.col("text"), F.col("header"))).filter("score > 0")
-    best = scored.groupBy("doc_id", "page", "row", "field").agg(F.min_by("col", F.struct(-F.col("score"), F.col("col"))).alias("col"))
-    maps = best.groupBy("doc_id", "page", "row").agg(F.map_from_entries(F.collect_list(F.struct("field", "col"))).alias("mapping"))
-    rows = rows.join(maps, ["doc_id", "page", "row"]).filter(_qualifies())
-    found = rows.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "row"))).filter("rn = 1")
-    balance = F.array_position(F.transform("cells", lambda c: headers_match_fuzzily(c, F.lit("balance"))), True) - 1
-    found = found.withColumn("mapping", F.when(_has("running_balance") | (balance < 0), F.col("mapping")).otherwise(F.map_concat("mapping", F.create_map(F.lit("running_balance"), balance.cast("int")))))
-    found = found.withColumn("mapping", _with_description(F.size("cells")))
-    split = _continues("mapping")
-    headers = F.transform(F.when(split, merge_headers(F.col("cells"), F.col("below"))).otherwise(F.col("cells")), strip)
-    return found.select("doc_id", "page", "row", (F.col("row") + F.when(split, 2).otherwise(1)).alias("start_row"), headers.alias("headers"), "mapping")
-
-
-def locate(grid: DataFrame) -> DataFrame:
-    """doc_id, page, row, start_row (of the body), headers and mapping of the first header of each document.
-
-    A row qualifies with a date column and a description or amount column; one that has only some of them may qualify
-    with the row below. Where the row below a header has text and no date, both are one header.
+def _spelled(cells: F.Column) -> F.Column:
+    return F.transform(cells, lambda c, i: F.struct(squeeze(strip(c)).alias("squeezed"), field_of_normal(normalize_header(c)).alias("inferred"), i.alias("col")))
+
+
+def _score(cell: F.Column, wanted: F.Column) -> F.Column:
+    """header_score() of spellings that are made already."""
+    x, y = cell["squeezed"], wanted["squeezed"]
+    same = F.coalesce(cell["inferred"] == wanted["inferred"], F.lit(False))
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.85).when(same, 0.6).otherwise(0.0)
+
+
+def _vendor_matches(wanted: F.Column, spelled: F.Column) -> F.Column:
+    """(field, score, col) of each registered header with a cell that scores: its best cell, the first on ties."""
+    best = lambda w: F.array_min(F.transform(spelled, lambda c: F.struct((-_score(c, w)).alias("s"), c["col"].alias("col"))))
+    found = F.transform(wanted, lambda w: F.struct(w["field"].alias("field"), best(w).alias("b")))
+    return F.transform(F.filter(found, lambda x: x["b"]["s"] < 0), lambda x: F.struct(x["field"].alias("field"), (-x["b"]["s"]).alias("score"), x["b"]["col"].cast("int").alias("col")))
+
+
+def _as_map(found: str) -> F.Column:
+    return F.map_from_entries(F.transform(found, lambda x: F.struct(x["field"].alias("key"), x["col"].alias("value"))))
+
+
+def _inline(rows: DataFrame, columns: DataFrame, vendors: DataFrame, small) -> DataFrame:
+    """at, own_key, own_map of the best vendor (the first on ties) of rows whose cells fit its headers with a mean of
+    INLINE: of four headers or more, the date and all but one are matched (three at least).
+
+    Such a mean needs two thirds of the headers spelled alike, so equal spellings find all candidates: no row meets a
+    vendor that it shares no header with.
+    """
+    sizes = columns.groupBy("vendor_key").agg(F.count("*").alias("n")).filter("n >= 4")
+    names = columns.join(sizes, "vendor_key").select("vendor_key", "n", squeeze(strip(F.col("header"))).alias("squeezed"), "field").filter("squeezed <> ''")
+    shown = rows.select("at", F.explode(F.array_distinct(F.transform("spelled", lambda c: c["squeezed"]))).alias("squeezed"))
+    met = shown.join(small(names), "squeezed").groupBy("at", "vendor_key").agg(F.count("*").alias("same"), F.first("n").alias("n")).filter(F.col("same") * 3 >= F.col("n") * 2)
+    tried = rows.join(met, "at").join(small(registered_columns(columns)), "vendor_key").join(small(vendors.select("vendor_key", F.col("ord").alias("vendor_ord"))), "vendor_key")
+    tried = tried.withColumn("found", _vendor_matches(F.col("wanted"), F.col("spelled"))).filter(F.exists("found", lambda x: x["field"] == "transaction_date") & (F.size("found") >= F.greatest(F.lit(3), F.col("n") - 1)))
+    mean = F.aggregate("found", F.lit(0.0), lambda s, x: s + x["score"]) / F.col("n")
+    tried = tried.withColumn("mean", F.round(mean, 9)).filter(F.col("mean") >= INLINE).withColumn("mapping", _as_map("found"))
+    full = _with_description(_with_balance(F.col("mapping"), F.col("cells")), F.size("cells"))
+    return tried.groupBy("at").agg(F.min(F.struct((-F.col("mean")).alias("m"), "vendor_ord", "vendor_key")).alias("b"), F.collect_list(F.struct("vendor_key", F.map_entries(full).alias("entries"))).alias("maps")).select(
+        "at", F.col("b.vendor_key").alias("own_key"), F.map_from_entries(F.get(F.filter("maps", lambda x: x["vendor_key"] == F.col("b.vendor_key")), F.lit(0))["entries"]).alias("own_map")
+    )
+
+
+def locate(grid: DataFrame, known: DataFrame | None = None, registry: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """doc_id, page, row, start_row (of the body), headers, mapping and vendor_key of the first header of each document.
+
+    Rows are tried in their order, and on each: the headers of the document's vendor (known: doc_id, vendor_key), or of
+    any registered vendor where it has none; then the row alone; then, if it has only some of what a header needs, the
+    row with the one below. registry: vendors, columns. Where the row below a header has text and no date, both are one
+    header and are mapped anew; a vendor's headers are then compared by meaning.
     """
     w = Window.partitionBy("doc_id", "page").orderBy("row")
-    rows = grid.withColumn("below", F.lead("cells").over(w)).filter(F.exists("cells", lambda c: header_like(strip(c))))
-    rows = rows.withColumn("both", merge_headers(F.col("cells"), F.col("below")))
-    one = map_columns(rows.select("doc_id", "page", "row", "cells"), ["doc_id", "page", "row"])
-    two = map_columns(rows.filter("below IS NOT NULL").select("doc_id", "page", "row", F.col("both").alias("cells")), ["doc_id", "page", "row"]).withColumnRenamed("mapping", "merged")
-    rows = rows.join(one, ["doc_id", "page", "row"], "left").join(two, ["doc_id", "page", "row"], "left")
-    partly = F.coalesce(_has("transaction_date") | _has("description"), F.lit(False))
-    rows = rows.withColumn("alone", _qualifies()).withColumn("part", partly)
-    single, merged = F.col("mapping"), F.col("merged")
-    rows = rows.withColumn("own", single).withColumn("mapping", merged).withColumn("together", F.col("part") & _qualifies())
-    found = rows.filter("alone OR together").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "row"))).filter("rn = 1")
-    split = _continues("own")
-    take_both = ~F.col("alone") | split
-    found = found.withColumn("start_row", F.col("row") + F.when(take_both, 2).otherwise(1))
-    found = found.withColumn("headers", F.transform(F.when(take_both, F.col("both")).otherwise(F.col("cells")), strip))
-    found = found.withColumn("mapping", F.when(F.col("alone") & ~split, F.col("own")).otherwise(F.coalesce("merged", "own")))
-    # a description is filled in where the row qualified alone, or by looking below; not where an own header was merged
-    filled = F.when(F.col("alone") & split, F.col("mapping")).otherwise(_with_description(F.size("headers")))
-    return found.select("doc_id", "page", "row", "start_row", "headers", filled.alias("mapping"))
+    rows = grid.select("doc_id", "page", "row", "cells", F.lead("cells").over(w).alias("below"))
+    rows = rows.filter(maybe_header_like(F.col("cells"))).filter(F.exists("cells", lambda c: header_like(strip(c))))
+    rows = rows.select("*", merge_headers(F.col("cells"), F.col("below")).alias("both"), F.struct("doc_id", "page", "row").alias("at"))
+    rows = rows.select("*", scored_fields(F.col("cells")).alias("scored"), scored_fields(F.col("both")).alias("scored_both"))
+    rows = rows.select("*", best_columns(F.col("scored"), sorted(K.FIELDS)).alias("single"), best_columns(F.col("scored_both"), sorted(K.FIELDS)).alias("merged")).drop("scored", "scored_both")
+    rows = rows.select("*", _qualifies("single").alias("alone"), (_qualifies("merged") & (F.map_contains_key("single", "transaction_date") | F.map_contains_key("single", "description"))).alias("together"))
+    if registry is None:
+        rows = rows.select("*", F.lit(None).cast("string").alias("vendor_key"), F.lit(None).cast("map<string,int>").alias("own_map"), F.lit(None).cast("array<struct<ord:int,field:string,header:string>>").alias("wanted"))
+    else:
+        vendors, columns = registry
+        small = F.broadcast if columns.count() <= MOST_COLUMNS else (lambda df: df)
+        wide = registered_columns(columns)
+        rows = rows.withColumn("spelled", _spelled(F.col("cells"))).join(known, "doc_id", "left").withColumnRenamed("vendor_key", "known_key")
+        inline = _inline(rows.filter("known_key IS NULL"), columns, vendors, small)
+        rows = rows.join(inline, "at", "left").withColumn("vendor_key", F.coalesce("known_key", "own_key")).join(small(wide), "vendor_key", "left")
+        rows = rows.withColumn("found", F.when(F.col("known_key").isNotNull(), _vendor_matches(F.col("wanted"), F.col("spelled")))).withColumn("known_map", _as_map("found"))
+        filled = F.when(_qualifies("known_map"), _with_description(_with_balance(F.col("known_map"), F.col("cells")), F.size("cells")))
+        rows = rows.withColumn("own_map", F.coalesce("own_map", filled))
+    found = rows.filter(F.col("own_map").isNotNull() | F.col("alone") | F.col("together"))
+    first = F.min_by(F.struct("page", "row", "cells", "below", "both", "single", "merged", "alone", "vendor_key", "own_map", "wanted"), F.struct("page", "row"))
+    found = found.groupBy("doc_id").agg(first.alias("r")).select("doc_id", "r.*")
+    own = F.col("own_map").isNotNull()
+    taken = F.coalesce("own_map", F.when(F.col("alone"), _with_description(F.col("single"), F.size("cells"))).otherwise(_with_description(F.col("merged"), F.size("both"))))
+    found = found.withColumn("mapping", taken).withColumn("two", ~own & ~F.col("alone"))
+    date = F.coalesce(is_anchor(F.get("below", column_of("transaction_date"))), F.lit(False))
+    text = F.exists(F.coalesce("below", F.array().cast("array<string>")), lambda c: strip(c) != "")
+    found = found.withColumn("split", text & ~date)
+    at = lambda h: F.array_position(F.transform("both", lambda c: F.coalesce(headers_match_by_meaning(c, h), F.lit(False))), True)
+    meant = F.filter(F.transform("wanted", lambda v: F.struct(v["field"].alias("key"), (at(v["header"]) - 1).cast("int").alias("value"))), lambda e: e["value"] >= 0)
+    again = F.when(F.col("vendor_key").isNotNull(), F.map_from_entries(meant)).otherwise(F.col("merged"))
+    found = found.withColumn("mapping", F.when(F.col("split"), again).otherwise(F.col("mapping")))
+    both = F.col("two") | F.col("split")
+    return found.select("doc_id", "page", "row", (F.col("row") + F.when(both, 2).otherwise(1)).alias("start_row"), F.transform(F.when(both, F.col("both")).otherwise(F.col("cells")), strip).alias("headers"), "mapping", "vendor_key")
 
 
 def deviation(expected: F.Column, generated: F.Column) -> F.Column:

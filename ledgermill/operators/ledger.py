@@ -6,7 +6,7 @@ statement_id, opening, closing. All windows are per statement, ordered by seq.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -15,7 +15,7 @@ from ..functions.text import close_to
 LOCAL_ROWS = 10
 
 
-def parse_rows(rows: DataFrame, scale: int, locale: str = "period_decimal") -> DataFrame:
+def parse_rows(rows: DataFrame, scale: int, locale: str | Column = "period_decimal") -> DataFrame:
     """Adds debit, credit and balance in units from debit_raw, credit_raw, balance_raw; missing columns count as 0."""
     from ..functions.text import parse_currency, to_units
 
@@ -48,24 +48,43 @@ def conventions(ledger: DataFrame, bounds: DataFrame, scale: int = 100) -> DataF
 
 
 def validate(ledger: DataFrame, bounds: DataFrame, scale: int = 100) -> DataFrame:
-    """Every row with expected (the cumulative balance), status, and step_ok (against the row before)."""
-    signs = conventions(ledger, bounds, scale).select("statement_id", "credit_sign", "debit_sign")
-    w = Window.partitionBy("statement_id").orderBy("seq")
-    rows = with_previous(ledger, bounds).join(signs, "statement_id")
-    move = F.col("credit_sign") * F.col("credit") + F.col("debit_sign") * F.col("debit")
-    rows = rows.withColumn("expected", F.col("opening") + F.sum(move).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Every row with expected (the cumulative balance), status, and step_ok (against the row before); also its signs,
+    its statement's totals and break_seq, the row that first_break() names.
+
+    All windows are of one statement: one shuffle and one sort, whatever is asked of them.
+    """
+    every = Window.partitionBy("statement_id")
+    w = every.orderBy("seq")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = ledger.join(bounds, "statement_id").select("*", F.lag("balance").over(w).alias("prev"), F.row_number().over(w).alias("rn"), F.sum("credit").over(upto).alias("credit_upto"), F.sum("debit").over(upto).alias("debit_upto"))
+    rows = rows.withColumn("prev_balance", F.coalesce("prev", "opening"))
+    match = [((F.col("rn") <= LOCAL_ROWS) & close_to(F.col("balance"), F.col("prev_balance") + c * F.col("credit") + d * F.col("debit"), scale)).cast("int").alias(f"m{i}") for i, (c, d) in enumerate(K.CONVENTIONS)]
+    rows = rows.select("*", *match)
+    rows = rows.select("*", *[F.sum(f"m{i}").over(every).alias(f"n{i}") for i in range(len(K.CONVENTIONS))], F.sum("credit").over(every).alias("total_credit"), F.sum("debit").over(every).alias("total_debit"))
+    scores = [F.col(f"n{i}") + F.when(close_to(F.col("opening") + c * F.col("total_credit") + d * F.col("total_debit"), F.col("closing"), scale), 100).otherwise(0) for i, (c, d) in enumerate(K.CONVENTIONS)]
+    rows = rows.select("*", *[x.alias(f"s{i}") for i, x in enumerate(scores)]).withColumn("best", F.greatest("s0", "s1", "s2", "s3"))
+    pick = lambda k: F.when(F.col("s0") == F.col("best"), K.CONVENTIONS[0][k]).when(F.col("s1") == F.col("best"), K.CONVENTIONS[1][k]).when(F.col("s2") == F.col("best"), K.CONVENTIONS[2][k]).otherwise(K.CONVENTIONS[3][k])
+    rows = rows.select("*", pick(0).alias("credit_sign"), pick(1).alias("debit_sign"))
+    rows = rows.withColumn("expected", F.col("opening") + F.col("credit_sign") * F.col("credit_upto") + F.col("debit_sign") * F.col("debit_upto"))
     rows = rows.withColumn("status", F.when(close_to(F.col("balance"), F.col("expected"), scale), "clean").otherwise("flagged"))
-    return rows.withColumn("step_ok", close_to(F.col("balance"), F.col("prev_balance") + move, scale))
+    rows = rows.withColumn("step_ok", close_to(F.col("balance"), F.col("prev_balance") + F.col("credit_sign") * F.col("credit") + F.col("debit_sign") * F.col("debit"), scale))
+    flagged, step = F.min(F.when(F.col("status") == "flagged", F.col("seq"))).over(every), F.min(F.when(~F.col("step_ok"), F.col("seq"))).over(every)
+    rows = rows.select("*", flagged.alias("first_flagged"), step.alias("first_step")).withColumn("break_seq", F.when(F.col("first_flagged").isNotNull(), F.coalesce("first_step", "first_flagged")))
+    return rows.drop("prev", "rn", "credit_upto", "debit_upto", "best", "first_flagged", "first_step", *[f"{x}{i}" for x in "mns" for i in range(len(K.CONVENTIONS))])
 
 
 def closing_check(ledger: DataFrame, bounds: DataFrame, scale: int = 100) -> DataFrame:
     """statement_id, last_expected, closes, flag: the closing equation of each statement (of empty ones too)."""
-    c = conventions(ledger, bounds, scale)
+    return closing_flag(conventions(ledger, bounds, scale), scale)
+
+
+def closing_flag(c: DataFrame, scale: int) -> DataFrame:
+    """closing_check() of statements whose signs and totals are known."""
     last = F.col("opening") + F.col("credit_sign") * F.col("total_credit") + F.col("debit_sign") * F.col("total_debit")
     c = c.withColumn("last_expected", last)
     empty = F.col("n_rows") == 0
     closes = F.when(empty, close_to(F.col("opening"), F.col("closing"), scale)).otherwise(close_to(F.col("last_expected"), F.col("closing"), scale))
-    text = F.when(empty, F.lit("Opening and closing balance mismatch")).otherwise(F.format_string("Closing balance mismatch: expected %.2f, got %.2f", F.col("last_expected") / scale, F.col("closing") / scale))
+    text = F.when(empty, F.lit(K.EMPTY_MISMATCH)).otherwise(F.format_string(K.CLOSING_MISMATCH, F.col("last_expected") / scale, F.col("closing") / scale))
     return c.select("statement_id", "last_expected", closes.alias("closes"), F.when(~closes, text).alias("flag"))
 
 
@@ -96,7 +115,7 @@ def roll_up(triaged: DataFrame, found: DataFrame) -> DataFrame:
     c = triaged.groupBy("statement_id").agg(F.avg("confidence").alias("mean"), F.bool_or(F.col("triage") == "escalated").alias("escalated"))
     both = F.col("found_opening") & F.col("found_closing")
     mean = F.coalesce("mean", F.lit(1.0))
-    flags = F.array_compact(F.array(*[F.when(~F.col(f"found_{k.lower()}"), F.lit(f"{k} balance boundary extraction failed: using default 0.0")) for k in ("Opening", "Closing")]))
+    flags = F.array_compact(F.array(*[F.when(~F.col(f"found_{k.lower()}"), F.lit(K.MISSING_BOUNDARY.format(k))) for k in ("Opening", "Closing")]))
     review = F.coalesce("escalated", F.lit(False))
     if "unparsed_review" in found.columns:
         review = review | F.coalesce("unparsed_review", F.lit(False))

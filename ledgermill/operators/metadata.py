@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +36,24 @@ def text_metadata(docs: DataFrame) -> DataFrame:
     )
 
 
-def _from_grid(grid: DataFrame, phrases: list[str], name: str, locale: str) -> DataFrame:
-    """The first non-zero amount beside a phrase, in order of page, row, phrase, column."""
-    rows = grid.select("doc_id", "page", "row", "cells", F.lower(F.array_join("cells", " ")).alias("line"))
-    hits = rows.select("*", F.posexplode(F.array(*map(F.lit, phrases))).alias("phrase_ord", "phrase")).filter(F.col("line").contains(F.col("phrase")))
-    cells = hits.select("doc_id", "page", "row", "phrase_ord", "phrase", F.posexplode("cells").alias("col", "text"))
+def _from_grid(grid: DataFrame, locale: str) -> DataFrame:
+    """doc_id, go, gc: the first non-zero amount beside an opening and a closing phrase, by page, row, phrase, column."""
+    phrases = [(side, i, p) for side, ps in enumerate((K.OPENING_PHRASES, K.CLOSING_PHRASES)) for i, p in enumerate(ps)]
+    known = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(i).alias("ord"), F.lit(p).alias("phrase")) for s, i, p in phrases])
+    rows = grid.select("doc_id", "page", "row", "cells", F.lower(F.array_join("cells", " ")).alias("line")).filter(F.col("line").rlike("|".join(re.escape(p) for p in dict.fromkeys(p for *_, p in phrases))))
+    hits = rows.select("*", F.explode(known).alias("k")).filter(F.col("line").contains(F.col("k.phrase")))
+    cells = hits.select("doc_id", "page", "row", "k.*", F.posexplode("cells").alias("col", "text"))
     cells = cells.withColumn("value", parse_currency(F.col("text"), locale)).filter((F.col("value") != 0) & ~F.lower("text").contains(F.col("phrase")))
-    return cells.groupBy("doc_id").agg(F.min_by("value", F.struct("page", "row", "phrase_ord", "col")).alias(name))
+    first = lambda side: F.min_by("value", F.when(F.col("side") == side, F.struct("page", "row", "ord", "col")))
+    has = lambda side: F.bool_or(F.col("side") == side)
+    out = cells.groupBy("doc_id").agg(first(0).alias("go"), first(1).alias("gc"), has(0).alias("h0"), has(1).alias("h1"))
+    return out.select("doc_id", F.when(F.col("h0"), F.col("go")).alias("go"), F.when(F.col("h1"), F.col("gc")).alias("gc"))
 
 
 def boundary_balances(docs: DataFrame, grid: DataFrame, locale: str = "period_decimal") -> DataFrame:
     """doc_id, opening, closing, found_opening, found_closing: from the grid, else from the text, else 0.0 and not found."""
-    out = docs.join(_from_grid(grid, K.OPENING_PHRASES, "go", locale), "doc_id", "left").join(_from_grid(grid, K.CLOSING_PHRASES, "gc", locale), "doc_id", "left")
     text = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    out = out.withColumn("to", text(K.OPENING_TEXT)).withColumn("tc", text(K.CLOSING_TEXT))
+    out = docs.select("doc_id", text(K.OPENING_TEXT).alias("to"), text(K.CLOSING_TEXT).alias("tc")).join(_from_grid(grid, locale), "doc_id", "left")
     value = lambda g, t: F.coalesce(F.col(g), F.when(F.col(t).isNotNull(), parse_currency(F.col(t), locale)), F.lit(0.0))
     return out.select("doc_id", value("go", "to").alias("opening"), value("gc", "tc").alias("closing"), (F.col("go").isNotNull() | F.col("to").isNotNull()).alias("found_opening"), (F.col("gc").isNotNull() | F.col("tc").isNotNull()).alias("found_closing"))
 

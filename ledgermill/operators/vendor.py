@@ -29,11 +29,15 @@ def structure_scores(headers: DataFrame, columns: DataFrame) -> DataFrame:
     """doc_id, vendor_key, score, matched, n_columns: how well a document's header cells fit each vendor's headers.
 
     headers: doc_id, header (one row a cell). A vendor's score is the mean over its headers of the best cell's score.
+    Each distinct text is scored once against the registry; only pairs that score meet the documents again.
     """
-    cells = headers.filter(F.trim("header") != "")
-    pairs = cells.join(columns.withColumnRenamed("header", "wanted"), F.lit(True))
-    best = pairs.groupBy("doc_id", "vendor_key", "ord", "field").agg(F.max(header_score(F.col("header"), F.col("wanted"))).alias("best"))
-    return best.groupBy("doc_id", "vendor_key").agg(F.avg("best").alias("score"), F.count_if(F.col("best") > 0).alias("matched"), F.count("*").alias("n_columns"), F.bool_or((F.col("field") == "transaction_date") & (F.col("best") > 0)).alias("dated"))
+    cells = headers.filter(F.trim("header") != "").select("doc_id", "header").distinct()
+    texts = cells.select("header").distinct()
+    pairs = texts.join(columns.withColumnRenamed("header", "wanted"), F.lit(True)).withColumn("s", header_score(F.col("header"), F.col("wanted"))).filter("s > 0")
+    best = cells.join(pairs, "header").groupBy("doc_id", "vendor_key", "ord", "field").agg(F.max("s").alias("best"))
+    sums = best.groupBy("doc_id", "vendor_key").agg(F.sum("best").alias("total"), F.count("*").alias("matched"), F.bool_or(F.col("field") == "transaction_date").alias("dated"))
+    sizes = columns.groupBy("vendor_key").agg(F.count("*").alias("n_columns"))
+    return sums.join(sizes, "vendor_key").select("doc_id", "vendor_key", (F.col("total") / F.col("n_columns")).alias("score"), "matched", "n_columns", "dated")
 
 
 def match_structure(headers: DataFrame, vendors: DataFrame, columns: DataFrame, threshold: float = STRUCTURE, strict: bool = False) -> DataFrame:

@@ -1,18 +1,22 @@
 """From grids to validated statements: header, body, records, metadata, vendor, validation, repair, triage, conversion.
 
-Everything is keyed by doc_id; the whole plan runs for any number of documents at once.
+Everything is keyed by doc_id; the whole plan runs for any number of documents at once. Four tables are written on the
+way (grid, facts of documents, headers, rows), and those of repair; Statements.discard() deletes them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions.text import convert, fx_rate, optional_amount, to_units
-from ..lineage import cut
-from ..operators import grouping, header, ledger, metadata, repair, vendor
+from ..lineage import discard, keep
+from ..operators import grouping, header, ledger, metadata, profile, repair, retrieval, vendor
+
+Registry = tuple[DataFrame, DataFrame, DataFrame]
 
 
 @dataclass
@@ -24,74 +28,131 @@ class Statements:
     repairs: DataFrame
     unparsed: DataFrame
     headers: DataFrame
-
-
-def process(grid: DataFrame, text: DataFrame | None = None, registry: tuple[DataFrame, DataFrame, DataFrame] | None = None, universal: str = "USD", rate: float = 1.0, strict: bool = False) -> Statements:
-    """All stages over a grid (doc_id, page, row, cells); text (doc_id, text) is taken from the grid by default."""
-    text = cut(metadata.text_layer(grid) if text is None else text)
-    facts = cut(metadata.text_metadata(text))
-    bounds = cut(metadata.boundary_balances(text, grid))
-    heads = cut(header.locate(grid))
-    maps = heads.select("doc_id", "mapping")
-    known = None
+    scratch: list[DataFrame] = field(default_factory=list)
+
+    def discard(self) -> None:
+        """Deletes the tables in between; the results can't be read any more after that."""
+        discard(*self.scratch)
+
+
+def kept_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, page and n_pages of the pages that are read: the relevant ones of documents long enough for retrieval,
+    all of the others; text that can't be scored drops no page."""
+    sizes = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"))
+    known = pages.join(sizes, "doc_id")
+    long = profile.needs_retrieval(F.col("n_pages"))
+    relevant = retrieval.relevant_pages(known.filter(long).select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text")))
+    return known.filter(~long).select("doc_id", "page", "n_pages").unionByName(relevant.join(sizes, "doc_id").select("doc_id", "page", "n_pages"))
+
+
+def _facts(text: DataFrame, grid: DataFrame, registry: Registry | None) -> DataFrame:
+    """One row a document: metadata, boundary balances, and the vendor that its text names."""
+    facts = metadata.text_metadata(text).join(metadata.boundary_balances(text, grid), "doc_id")
+    if registry is None:
+        return facts.withColumn("named", F.lit(None).cast("string"))
+    named = vendor.match_aliases(text, registry[0], registry[1]).select("doc_id", F.col("vendor_key").alias("named"))
+    return facts.join(named, "doc_id", "left")
+
+
+def process(
+    grid: DataFrame, text: DataFrame | None = None, registry: Registry | None = None, universal: str = "USD", rate: float = 1.0, strict: bool = False,
+    documents: DataFrame | None = None, pages: DataFrame | None = None,
+) -> Statements:
+    """All stages over a grid (doc_id, page, row, cells).
+
+    text (doc_id, text): text layers; a document without one gets its grid's. documents (doc_id, optionally error, path,
+    filename and what profile() reads): each has a statement, with or without rows. pages (doc_id, page, text): page
+    texts of paged documents; of those with many pages only the relevant ones are read.
+    """
+    held: list[DataFrame] = []
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        held.append(keep(df, name))
+        return held[-1]
+
+    grid = grid.select("doc_id", "page", "row", "cells")
+    read = None
+    if pages is not None:
+        read = table(kept_pages(pages), "pages")
+        unread = pages.select("doc_id", "page").join(read, ["doc_id", "page"], "left_anti")
+        grid = grid.join(unread, ["doc_id", "page"], "left_anti")
+    grid = table(grid, "grid")
+    own = metadata.text_layer(grid)
+    if text is not None:
+        own = own.withColumnRenamed("text", "own").join(text.select("doc_id", "text"), "doc_id", "full").select("doc_id", F.coalesce(F.nullif("text", F.lit("")), "own", F.lit("")).alias("text"))
+    if documents is not None:
+        extra = ["filename"] if "filename" in documents.columns else []
+        own = documents.select("doc_id", *extra).join(own, "doc_id", "left").select("doc_id", *extra, F.coalesce("text", F.lit("")).alias("text"))
+    facts = table(_facts(own, grid, registry), "facts")
+
+    if registry is None:
+        heads = table(header.locate(grid), "headers")
+    else:
+        named = facts.filter("named IS NOT NULL").select("doc_id", F.col("named").alias("vendor_key"))
+        heads = table(header.locate(grid, named, (registry[0], registry[2])), "headers")
+    info = facts.join(heads.select("doc_id", F.col("vendor_key").alias("shown"), "mapping", "headers"), "doc_id", "left").withColumn("vendor_key", F.coalesce("named", "shown")).drop("shown")
     if registry is not None:
-        vendors, aliases, columns = registry
-        named = cut(vendor.match_aliases(text, vendors, aliases))
-        lines = grid.select("doc_id", "page", "row", F.explode("cells").alias("header")).join(named, "doc_id", "left_anti")
-        key = F.to_json(F.struct("doc_id", "page", "row"))
-        inline = vendor.match_structure(lines.select(key.alias("doc_id"), "header"), vendors, columns, vendor.INLINE, strict=True)
-        where = F.from_json("doc_id", "doc_id string, page int, row int")
-        inline = inline.select(where["doc_id"].alias("doc_id"), F.struct(where["page"], where["row"]).alias("at"), "vendor_key")
-        matched = cut(named.unionByName(inline.groupBy("doc_id").agg(F.min_by("vendor_key", "at").alias("vendor_key"))))
-        known = matched.join(vendors, "vendor_key")
-        own = header.locate_for_vendors(grid, matched, columns)
-        first = Window.partitionBy("doc_id").orderBy("page", "row", "rank")
-        heads = own.withColumn("rank", F.lit(0)).unionByName(heads.withColumn("rank", F.lit(1))).withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rank", "rn")
-        heads = cut(heads)
-        maps = heads.select("doc_id", "mapping")
+        known = registry[0].select("vendor_key", "official_name", F.col("currency").alias("vendor_currency"), "exchange_rate", "numeric_locale", *[c for c in ("output_columns",) if c in registry[0].columns])
+        info = info.join(known, "vendor_key", "left")
+    else:
+        info = info.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("official_name", "string"), ("vendor_currency", "string"), ("exchange_rate", "double"), ("numeric_locale", "string"))])
+    currency = F.coalesce("vendor_currency", "currency")
+    # a vendor that only the header names sets no rate: rates are decided before headers are read
+    vendor_rate, before = F.when(F.col("named").isNotNull(), F.col("exchange_rate")), F.when(F.col("named").isNotNull(), currency).otherwise(F.col("currency"))
+    info = info.withColumn("original_currency", currency).withColumn("rate", fx_rate(before, F.lit(universal), F.lit(rate), vendor_rate))
+    info = info.withColumn("vendor_name", F.coalesce("official_name", "first_line")).withColumn("bank_name", F.coalesce("official_name", "bank_name")).withColumn("numeric_locale", F.coalesce("numeric_locale", F.lit("period_decimal")))
+    info = table(info.drop("named", "official_name", "vendor_currency", "exchange_rate", "currency", "first_line"), "documents")
+
     at = F.struct("page", "row")
-    placed = grid.join(heads.select("doc_id", F.struct(F.col("page"), F.col("start_row").alias("row")).alias("start"), F.col("page").alias("head_page")), "doc_id", "left")
-    body = placed.filter(at >= F.col("start")).drop("start", "head_page")
-    before = placed.filter(F.col("start").isNull() | (F.col("page") < F.col("head_page")))
-    maps = cut(maps)
-    records = cut(grouping.group_wrapped(grouping.without_footers(body), maps))
-    rows, undated = grouping.project(records, maps)
-    has_rows = rows.select("doc_id").distinct().withColumn("any_rows", F.lit(True))
+    placed = grid.join(heads.select("doc_id", F.struct(F.col("page"), F.col("start_row").alias("row")).alias("start"), F.col("page").alias("head_page"), "mapping"), "doc_id", "left")
+    body = grouping.without_footers(placed.filter(at >= F.col("start"))).select("doc_id", "page", "row", "cells")
+    records = grouping.group_wrapped(body, heads.select("doc_id", "mapping"))
+    rows, undated = grouping.project(table(records, "records"), heads.select("doc_id", "mapping"))
+    local = info.select("doc_id", "numeric_locale", to_units(F.col("opening"), repair.SCALE).alias("opening"), to_units(F.col("closing"), repair.SCALE).alias("closing"))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "row")) - 1
+    rows = rows.withColumn("seq", seq.cast("int")).join(local.select("doc_id", "numeric_locale"), "doc_id").withColumnRenamed("doc_id", "statement_id")
+    units = local.select(F.col("doc_id").alias("statement_id"), "opening", "closing")
+    checked, log = repair.repaired(rows, units, F.col("numeric_locale"), strict)
+    judged = table(ledger.triage(checked, log), "judged")
+
     line = grouping.body_text(F.col("cells"))
-    headless = before.filter(line != "").join(has_rows, "doc_id", "left").select("doc_id", "page", "row", line.alias("raw_text"), F.lit("No table header identified yet").alias("reason"), F.col("any_rows").isNull().alias("review_required"))
+    before = placed.filter(F.col("start").isNull() | (F.col("page") < F.col("head_page"))).filter(line != "")
+    has_rows = judged.select(F.col("statement_id").alias("doc_id")).distinct().withColumn("any_rows", F.lit(True))
+    headless = before.join(has_rows, "doc_id", "left").select("doc_id", "page", "row", line.alias("raw_text"), F.lit(K.NO_HEADER).alias("reason"), F.col("any_rows").isNull().alias("review_required"))
     unparsed = undated.unionByName(headless)
 
-
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "row")) - 1
-    rows = rows.withColumn("seq", seq.cast("int")).withColumnRenamed("doc_id", "statement_id")
-    units = bounds.select(F.col("doc_id").alias("statement_id"), to_units(F.col("opening"), repair.SCALE).alias("opening"), to_units(F.col("closing"), repair.SCALE).alias("closing"))
-    fixed, log = repair.repair(rows, units, strict=strict)
-    parsed = cut(ledger.parse_rows(fixed, repair.SCALE))
-    judged = cut(ledger.triage(ledger.validate(parsed, units, repair.SCALE), log))
-
-    currency = F.col("currency")
-    info = facts.join(bounds, "doc_id")
-    if known is not None:
-        info = info.join(known.select("doc_id", "vendor_key", "official_name", F.col("currency").alias("vendor_currency"), "exchange_rate", "numeric_locale"), "doc_id", "left")
-        currency = F.coalesce("vendor_currency", "currency")
-    else:
-        info = info.withColumn("vendor_key", F.lit(None).cast("string")).withColumn("official_name", F.lit(None).cast("string")).withColumn("exchange_rate", F.lit(None).cast("double"))
-    info = info.withColumn("original_currency", currency).withColumn("rate", fx_rate(currency, F.lit(universal), F.lit(rate), F.col("exchange_rate")))
-    info = info.withColumn("vendor_name", F.coalesce("official_name", "first_line")).withColumn("bank_name", F.coalesce("official_name", "bank_name"))
-    tx = judged.join(info.select(F.col("doc_id").alias("statement_id"), "rate"), "statement_id")
-    amount = lambda c: optional_amount(F.col(f"{c}_raw"))
+    amount = lambda c: optional_amount(F.col(f"{c}_raw"), F.col("numeric_locale"))
     balance = F.col("balance") / repair.SCALE
+    tx = judged.join(info.select(F.col("doc_id").alias("statement_id"), "rate"), "statement_id").select("*", amount("debit").alias("debit_amount"), amount("credit").alias("credit_amount"), balance.alias("running_balance"))
+    money = lambda c: convert(F.col(c), F.col("rate"))
     tx = tx.select(
-        "statement_id", "seq", "transaction_date", "description", amount("debit").alias("debit_amount"), amount("credit").alias("credit_amount"), balance.alias("running_balance"),
-        F.col("triage").alias("status"), "confidence", "additional_fields", convert(amount("debit"), F.col("rate")).alias("universal_debit"), convert(amount("credit"), F.col("rate")).alias("universal_credit"), convert(balance, F.col("rate")).alias("universal_balance"),
+        "statement_id", "seq", "transaction_date", "description", "debit_amount", "credit_amount", "running_balance", F.col("triage").alias("status"), "confidence",
+        "additional_fields", money("debit_amount").alias("universal_debit"), money("credit_amount").alias("universal_credit"), money("running_balance").alias("universal_balance"),
     )
+    statements = _statements(info, judged, unparsed, units, documents, read)
+    return Statements(statements, tx, log, unparsed, heads, held)
+
+
+def _statements(info: DataFrame, judged: DataFrame, unparsed: DataFrame, units: DataFrame, documents: DataFrame | None, read: DataFrame | None) -> DataFrame:
+    """One row a document: what is known of it, confidence, flags, which pages were read and how."""
     review = unparsed.groupBy(F.col("doc_id").alias("statement_id")).agg(F.bool_or("review_required").alias("unparsed_review"))
-    found = bounds.select(F.col("doc_id").alias("statement_id"), "found_opening", "found_closing").join(review, "statement_id", "left")
+    found = info.select(F.col("doc_id").alias("statement_id"), "found_opening", "found_closing").join(review, "statement_id", "left")
     rolled = ledger.roll_up(judged, found)
-    closing = ledger.closing_check(parsed, units, repair.SCALE).select("statement_id", "flag")
-    statements = info.withColumnRenamed("doc_id", "statement_id").join(rolled, "statement_id").join(closing, "statement_id", "left")
-    statements = statements.withColumn("anomaly_flags", F.concat(F.array_compact(F.array("flag")), F.col("flags"))).drop("flag", "flags", "first_line", "currency")
-    return Statements(statements, tx, log, unparsed, heads)
+    # the closing equation follows from totals that every row of a statement carries
+    totals = judged.groupBy("statement_id").agg(*[F.first(c).alias(c) for c in ("total_credit", "total_debit", "credit_sign", "debit_sign")], F.count("*").alias("n_rows"))
+    closing = ledger.closing_flag(units.join(totals, "statement_id", "left").fillna(0, ["total_credit", "total_debit", "credit_sign", "debit_sign", "n_rows"]), repair.SCALE).select("statement_id", "flag")
+    out = info.withColumnRenamed("doc_id", "statement_id").join(rolled, "statement_id").join(closing, "statement_id")
+    problem = F.lit(None).cast("string")
+    if documents is not None:
+        seen = profile.profile(documents) if "path" in documents.columns else documents
+        method = profile.route(F.col("text_layer_present"), F.col("table_border_type"), F.col("layout_complexity"), F.lit(0.0), F.lit("single"), F.lit("single_row")) if "path" in documents.columns else F.lit(None).cast("string")
+        error = F.col("error") if "error" in documents.columns else F.lit(None).cast("string")
+        out = out.join(seen.select(F.col("doc_id").alias("statement_id"), method.alias("extraction_method"), error.alias("error")), "statement_id", "left")
+        problem = F.col("error")
+    if read is not None:
+        names = read.filter(profile.needs_retrieval(F.col("n_pages"))).groupBy(F.col("doc_id").alias("statement_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("page")), lambda p: p.cast("string")), ",").alias("source_page"))
+        out = out.join(names, "statement_id", "left").withColumn("source_page", F.coalesce("source_page", F.lit("1")))
+    return out.withColumn("anomaly_flags", F.concat(F.array_compact(F.array("flag", problem)), F.col("flags"))).drop("flag", "flags")
 
 
 def nested(s: Statements) -> DataFrame:
@@ -101,5 +162,3 @@ def nested(s: Statements) -> DataFrame:
     out = with_children(s.statements, s.transactions, "statement_id", ["seq"], "transactions")
     out = with_children(out, s.repairs, "statement_id", ["seq", "field"], "repair_log")
     return with_children(out, s.unparsed.withColumnRenamed("doc_id", "statement_id"), "statement_id", ["page", "row"], "unparsed_lines")
-
-

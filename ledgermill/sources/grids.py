@@ -1,7 +1,7 @@
 """Sheets and delimited files as grids (doc_id, page, row, cells): one row a sheet row, all cells stripped strings.
 
 Files come through Spark's binaryFile source, so any store that Spark reads will do; parsing is per file, in Python. A
-file that cannot be read gives no rows.
+file that cannot be read is a document without rows, and documents_of() says why; the source skips files of no bytes.
 """
 
 from __future__ import annotations
@@ -10,13 +10,18 @@ import csv
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import keep
+from ..operators import layout
+
 GRID = "doc_id string, page int, row int, cells array<string>"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -90,31 +95,103 @@ def write_sheet(rows: list[list[object]], name: str = "Sheet1") -> bytes:
     return out.getvalue()
 
 
+PARSED, CONTENT = GRID + ", error string", "doc_id string, content binary"
+#: What a damaged file raises: bad archives and XML, missing parts, cells out of place, delimiters out of bounds.
+UNREADABLE = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration, TypeError, ValueError, IndexError, csv.Error, zlib.error, EOFError)
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for files in batches:
         out = []
         for path, content in zip(files["path"], files["content"], strict=True):
+            rows, error = [], None
             try:
                 rows = csv_rows(content) if path.lower().endswith(".csv") else sheet_rows(content)
-            except Exception:  # an unreadable file is an empty document
-                rows = []
-            out += [(path, 1, i, r) for i, r in enumerate(rows)]
-        yield pd.DataFrame(out, columns=["doc_id", "page", "row", "cells"])
+            except UNREADABLE as e:
+                error = f"{type(e).__name__}: {e}"
+            out += [(path, 1, i, r, None) for i, r in enumerate(rows)] or [(path, 1, None, None, error)]
+        frame = pd.DataFrame(out, columns=["doc_id", "page", "row", "cells", "error"])
+        yield frame.astype({"row": "Int32"})
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """files (path, content) to a grid; also for a stream of binaryFile."""
-    return files.select("path", "content").mapInPandas(_parse, GRID)
+    """files (path, content) to rows and an error column; a file without rows has one row whose row and cells are null.
+    Also for a stream of binaryFile."""
+    return files.select("path", "content").mapInPandas(_parse, PARSED)
+
+
+def grid_of(parsed: DataFrame, pages: list[int] | None = None) -> DataFrame:
+    """The grid of parsed files; pages: 0-based pages to keep."""
+    grid = parsed.filter("row IS NOT NULL").drop("error")
+    return grid if pages is None else grid.filter(F.col("page").isin([p + 1 for p in pages]))
+
+
+def documents_of(parsed: DataFrame) -> DataFrame:
+    """doc_id, path, filename and error (null for files that could be read) of every parsed file."""
+    name = F.regexp_extract("doc_id", r"([^/]*)$", 1)
+    return parsed.groupBy("doc_id").agg(F.max("error").alias("error")).select("doc_id", F.col("doc_id").alias("path"), name.alias("filename"), "error")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """All .csv and .xlsx files under a path, parsed once into the shared folder: see grid_of() and documents_of()."""
+    return keep(parse_files(spark.read.format("binaryFile").load(path)), "files")
 
 
 def read_grids(spark: SparkSession, path: str, pages: list[int] | None = None) -> DataFrame:
     """The grids of all .csv and .xlsx files under a path; pages: 0-based pages to keep."""
-    grid = parse_files(spark.read.format("binaryFile").load(path))
-    return grid if pages is None else grid.filter(F.col("page").isin([p + 1 for p in pages]))
+    return grid_of(parse_files(spark.read.format("binaryFile").load(path)), pages)
+
+
+def words_grid(ruled: DataFrame, words: DataFrame) -> DataFrame:
+    """The grid of PDF pages from what any PDF reader delivers: ruled tables (doc_id, page, row, cells) and positioned words
+    (doc_id, page, word_idx, text, x0, x1, top). A page's ruled table counts unless it is only a small table on a page
+    full of words; all other pages are laid out from their words."""
+    n_words = words.groupBy("doc_id", "page").agg(F.count("*").alias("n_words"))
+    sizes = ruled.groupBy("doc_id", "page").agg(F.count("*").alias("n_rows")).join(n_words, ["doc_id", "page"], "left")
+    good = sizes.filter(~layout.reject_small_table(F.coalesce("n_words", F.lit(0)), F.col("n_rows"))).select("doc_id", "page")
+    laid = layout.grid_from_words(words.join(good, ["doc_id", "page"], "left_anti"))
+    return ruled.join(good, ["doc_id", "page"], "left_semi").select("doc_id", "page", "row", "cells").unionByName(laid)
+
+
+def _delimited(table: pd.DataFrame) -> pd.DataFrame:
+    text = io.StringIO(newline="")
+    csv.writer(text).writerows(list(r) for r in table.sort_values(["page", "row"])["cells"])
+    return pd.DataFrame({"doc_id": table["doc_id"].iloc[:1], "content": [text.getvalue().encode()]})
+
+
+def delimited(grid: DataFrame) -> DataFrame:
+    """doc_id and content (delimited lines) of each document; a document is one group, as it is one file."""
+    return grid.groupBy("doc_id").applyInPandas(_delimited, CONTENT)
+
+
+_NUMBER = re.compile(r"-?\d+\.?\d*")
+
+
+def _workbook(numeric: bool):
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        rows = [list(r) for r in table.sort_values(["page", "row"])["cells"]]
+        if numeric:  # below the first row, what looks like a number is one
+            rows = rows[:1] + [[float(c) if c is not None and _NUMBER.fullmatch(c.strip()) else c for c in r] for r in rows[1:]]
+        return pd.DataFrame({"doc_id": table["doc_id"].iloc[:1], "content": [write_sheet(rows)]})
+
+    return run
+
+
+def workbooks(grid: DataFrame, numeric: bool = True) -> DataFrame:
+    """doc_id and content (a workbook of one sheet) of each document; a document is one group, as it is one file."""
+    return grid.groupBy("doc_id").applyInPandas(_workbook(numeric), CONTENT)
+
+
+def write_documents(contents: DataFrame, folder: str, suffix: str) -> None:
+    """A file for each row of (doc_id, content), named by the end of its doc_id, written by the tasks themselves into a
+    folder (a URI that pyarrow knows) that they all share."""
 
+    def put(rows: Iterator) -> None:
+        store, base = pafs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for r in rows:
+            name = re.sub(r"\.[^./]*$", "", r["doc_id"]).rsplit("/", 1)[-1] or "document"
+            with store.open_output_stream(f"{base}/{name}{suffix}") as out:
+                out.write(bytes(r["content"]))
 
-def write_csv(grid: DataFrame, path: str) -> None:
-    """Each document's rows as delimited lines, one folder a document."""
-    width = grid.agg(F.max(F.size("cells"))).first()[0] or 0
-    rows = grid.select("doc_id", "page", "row", *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(width)])
-    rows.repartition("doc_id").sortWithinPartitions("doc_id", "page", "row").drop("page", "row").write.mode("overwrite").partitionBy("doc_id").option("emptyValue", "").csv(path)
+    contents.select("doc_id", "content").foreachPartition(put)

@@ -139,6 +139,95 @@ def test_sources(spark, tmp_path):
     assert got == {("a.csv", 0): ["Name", "x", ""], ("a.csv", 1): ["two\nlines", "1", "2"], ("b.xlsx", 0): ["Date", "Amount"], ("b.xlsx", 1): ["01/02/2024", "5.5"]}
 
 
+def test_unreadable_files_keep_a_statement(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("\n".join(",".join(r) for r in CLEAN))
+    (tmp_path / "bad.xlsx").write_bytes(b"not a workbook")
+    (tmp_path / "empty.csv").write_text("\n")  # files of no bytes at all are skipped by the file source
+    parsed = grids.read_files(spark, str(tmp_path))
+    s = statement.process(grids.grid_of(parsed), documents=grids.documents_of(parsed))
+    st = {r["statement_id"].rsplit("/", 1)[1]: r for r in s.statements.collect()}
+    assert set(st) == {"good.csv", "bad.xlsx", "empty.csv"} and s.transactions.count() == 3
+    assert st["good.csv"]["error"] is None and st["empty.csv"]["error"] is None and st["bad.xlsx"]["error"].startswith("BadZipFile")
+    assert st["bad.xlsx"]["confidence"] == 0.7 and len(st["bad.xlsx"]["anomaly_flags"]) == 3 and st["good.csv"]["extraction_method"] == "digital_text_borderless_table"
+
+
+def test_files_of_documents(spark, tmp_path):
+    g = grid(spark, {"in/a.csv": [["Date", "x,y"], ["01/02/2024", "5.50"]], "in/b.csv": [["n"], ["-3"]]})
+    grids.write_documents(grids.delimited(g), f"file://{tmp_path}/out", ".csv")
+    grids.write_documents(grids.workbooks(g), f"file://{tmp_path}/out", ".xlsx")
+    assert grids.csv_rows((tmp_path / "out" / "a.csv").read_bytes()) == [["Date", "x,y"], ["01/02/2024", "5.50"]]
+    assert grids.sheet_rows((tmp_path / "out" / "a.xlsx").read_bytes()) == [["Date", "x,y"], ["01/02/2024", "5.5"]]
+    assert grids.sheet_rows((tmp_path / "out" / "b.xlsx").read_bytes()) == [["n"], ["-3.0"]]
+
+
+def test_words_take_the_place_of_small_tables(spark):
+    ruled = spark.createDataFrame([("d", 1, i, ["a", "b"]) for i in range(2)] + [("d", 2, i, ["a", "b"]) for i in range(8)], grids.GRID)
+    words = [("d", p, i, f"w{i}", float(i % 10 * 40), float(i % 10 * 40 + 20), float(i // 10 * 12)) for p in (1, 2) for i in range(120)]
+    g = grids.words_grid(ruled, spark.createDataFrame(words, "doc_id string, page int, word_idx int, text string, x0 double, x1 double, top double"))
+    assert {(r["page"], r["n"]) for r in g.groupBy("page").agg(F.count("*").alias("n")).collect()} == {(1, 12), (2, 8)}
+
+
+LOCAL = [["Nord GmbH", "", "", "", ""], ["Opening Balance", "1000.00", "", "", ""], ["Buchung", "Text", "Soll", "Haben", "Saldo"], ["01.02.2024", "a", "100,25", "", "899,75"], ["02.02.2024", "b", "", "1.200,50", "2.100,25"], ["Closing Balance", "2100.25", "", "", ""]]
+NORD = {"official_name": "Nord", "aliases": ["nord gmbh"], "columns": dict(zip(K.FIELDS, ["Buchung", "Text", "Soll", "Haben", "Saldo"], strict=True)), "numeric_locale": "comma_decimal", "currency": "EUR", "exchange_rate": 1.1}
+
+
+def test_amounts_in_the_vendors_locale(spark):
+    """A vendor's decimal comma holds for rows (balances at the ends are read before the vendor is known)."""
+    s = statement.process(grid(spark, {"n": LOCAL}), registry=registry.from_dict(spark, {"nord": NORD}))
+    got = [(r["debit_amount"], r["credit_amount"], r["running_balance"], r["status"]) for r in s.transactions.orderBy("seq").collect()]
+    assert got == [(100.25, None, 899.75, "clean"), (None, 1200.5, 2100.25, "clean")]
+    r = s.statements.first()
+    assert (r["numeric_locale"], r["original_currency"], r["rate"], r["vendor_key"]) == ("comma_decimal", "EUR", 1.1, "nord")
+
+
+def test_vendors_found_by_their_header_row(spark):
+    """Rows are tried in order: a header that qualifies by itself comes before a vendor's further down."""
+    sheet = LOCAL[1:]
+    plain = [["Date", "Description", "Amount", "", ""], *sheet]
+    reg = registry.from_dict(spark, {"other": NORD | {"columns": {"transaction_date": "Buchung", "description": "Text"}}, "nord": NORD | {"aliases": []}})
+    s = statement.process(grid(spark, {"inline": sheet, "plain": plain}), registry=reg)
+    st = {r["statement_id"]: r for r in s.statements.collect()}
+    assert (st["inline"]["vendor_key"], st["inline"]["original_currency"], st["inline"]["numeric_locale"], st["inline"]["rate"]) == ("nord", "EUR", "comma_decimal", 1.0)
+    assert (st["plain"]["vendor_key"], st["plain"]["numeric_locale"]) == (None, "period_decimal")
+
+
+def test_split_vendor_header_is_mapped_anew(spark):
+    cols = dict(zip(K.FIELDS, ["Txn Date", "Details", "Debit Amount", "Credit Amount", "Cum Balance"], strict=True))
+    reg = registry.from_dict(spark, {"v": {"official_name": "V", "aliases": ["vendor v"], "columns": cols}})
+    sheet = [["Vendor V", "", "", "", ""], ["Txn", "Details", "Debit", "Credit", "Cum"], ["Date", "", "Amount", "Amount", "Balance"], ["01/02/2024", "x", "", "5.00", "5.00"]]
+    named = spark.createDataFrame([("s", "v")], "doc_id string, vendor_key string")
+    r = header.locate(grid(spark, {"s": sheet}), named, (reg[0], reg[2])).first()
+    assert (r["row"], r["start_row"], r["headers"]) == (1, 3, ["Txn Date", "Details", "Debit Amount", "Credit Amount", "Cum Balance"])
+    assert r["mapping"] == {f: i for i, f in enumerate(K.FIELDS)}
+
+
+def test_pages_of_long_documents(spark):
+    """A paged document of over five pages is read where its pages are relevant; headers lie on the first of them."""
+    text = ["cover", "terms of use"] + ["opening balance closing transaction debit credit 01/02/2024"] * 2 + ["notes", "imprint"]
+    pages = spark.createDataFrame([("long", i + 1, t) for i, t in enumerate(text)] + [("short", 1, "x")], "doc_id string, page int, text string")
+    rows = [("long", p, i, r) for p in (2, 3) for i, r in enumerate(CLEAN)] + [("short", 1, i, r) for i, r in enumerate(CLEAN)]
+    s = statement.process(spark.createDataFrame(rows, grids.GRID), pages=pages)
+    st = {r["statement_id"]: r for r in s.statements.collect()}
+    assert (st["long"]["source_page"], st["short"]["source_page"]) == ("3,4", "1")
+    assert {r["statement_id"]: r["n"] for r in s.transactions.groupBy("statement_id").agg(F.count("*").alias("n")).collect()} == {"long": 3, "short": 3}
+
+
+def test_header_terms_are_found_like_their_definition(spark):
+    """The patterns agree with whole-word and substring tests; a row's quick look never misses a header."""
+    from ledgermill.functions import text as T
+
+    cells = ["Txn Date", "dates", "Cum. Bal", "post-ing", "Doc", "docs", "ate", "xdatex", "a mount", "", "12.50", "Numéro", "no.", "amt", "b a l", "Closing Balance", "payment", "Receipt No"]
+
+    def field(c):
+        n = re.sub(r"[^a-z0-9]+", " ", c.lower()).strip()
+        return next((f for f, terms in K.HEADER_TERMS.items() if any(t in n if " " in t else t in n.split(" ") for t in terms)), None)
+
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    like = lambda w: T.headers_match_fuzzily(F.col("c"), F.lit(w))
+    for r in df.select("c", T.infer_field(F.col("c")).alias("f"), T.header_like(F.col("c")).alias("like"), T.maybe_header_like(F.array("c")).alias("maybe"), (like("date") | like("balance") | like("amount")).alias("fuzzy")).collect():
+        assert r["f"] == field(r["c"]) and r["like"] == (r["f"] is not None or r["fuzzy"]) and (r["maybe"] or not r["like"]), r
+
+
 def test_workbook_registry(spark):
     content = grids.write_sheet([["vendors", "Posting Date", "Text", "Amount"], ["Acme Co.xlsx", "Doc Date", "Narrative", "Amount LC"]], "Final_mappings")
     out = registry.workbook_registry(content)
@@ -178,3 +267,6 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in" / "s.csv").write_text("\n".join(",".join(r) for r in CLEAN))
     ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "transactions")).count() == 3
+    files = spark.read.format("binaryFile").load(str(tmp_path / "in"))
+    ingest.ingest(files, str(tmp_path / "out"), 0)  # a batch that is repeated overwrites its own folder
+    assert spark.read.parquet(str(tmp_path / "out" / "transactions")).count() == 3 and spark.read.parquet(str(tmp_path / "out" / "unparsed")).columns
