@@ -277,3 +277,14 @@ def tokens(text: Column) -> Column:
 
 def triage_tier(status: Column, confidence: Column) -> Column:
     return F.when((status == "clean") & (confidence >= 0.85), "tier_0_accept").when(status == "clean", "tier_1_accept_flagged").when(status == "auto_repaired", "tier_2_auto_repair").otherwise("tier_3_escalate")
+
+
+def unparseable(raw_text: Column, source_page: Column, reason: Column) -> Column:
+    """A line that a person has to look at."""
+    return F.struct(raw_text.alias("raw_text"), source_page.alias("source_page"), reason.alias("reason"), F.lit(True).alias("review_required"))
+
+
+def parsed_json(c: Column, kind: str) -> Column:
+    """A stored JSON text as an array or map; an empty one where the text is null or no such JSON."""
+    empty = F.array().cast(kind) if kind.startswith("array") else F.map_from_arrays(F.array(), F.array()).cast(kind)
+    return F.coalesce(F.from_json(c, kind), empty)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import any_of, headers_match_fuzzily
+from ..lineage import once
 
 
 def invariants(transactions: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -28,42 +29,57 @@ def ledger_totals(transactions: DataFrame) -> DataFrame:
     return transactions.rollup("statement_id").agg(F.sum("debit").alias("total_debit"), F.sum("credit").alias("total_credit"), F.count("*").alias("n_rows"))
 
 
-def resolve_column(name: str, output_columns: dict[str, str], headers: list[str], mapping: dict[str, int], spark) -> str:
-    """Which transaction column a target header shows: a field, 'either' (debit or credit), 'extra:<index>' or ''.
+def combined_header(name: Column) -> Column:
+    """Whether a target header such as 'Dr/Cr' stands for both sides."""
+    parts = F.transform(F.split(F.lower(name), "/"), F.trim)
+    side = lambda words: F.exists(parts, lambda p: any_of([p.contains(w) for w in words]))
+    return name.contains("/") & side(("debit", "dr", "withdrawal")) & side(("credit", "cr", "deposit"))
+
+
+#: What a target's own words say where no header does, in order; those of universal amounts first.
+UNIVERSAL_WORDS = [(("debit", "withdrawal", "dr"), "universal_debit"), (("credit", "deposit", "cr"), "universal_credit"), (("bal",), "universal_balance"), (("amount", "sum", "val"), "universal_either")]
+TARGET_WORDS = [
+    (("date",), "transaction_date"), (("invoice", "desc", "particular", "detail"), "description"), (("debit", "withdrawal"), "debit_amount"), (("credit", "deposit"), "credit_amount"),
+    (("bal",), "running_balance"), (("amount", "sum", "val"), "either"), (("status",), "status"), (("confidence",), "confidence"), (("note", "remark", "reason"), "reason"),
+]
+
+
+def _by_words(low: Column, rules: list[tuple[tuple[str, ...], str]]) -> Column:
+    out = F.lit("")
+    for words, source in reversed(rules):
+        out = F.when(any_of([low.contains(w) for w in words]), F.lit(source)).otherwise(out)
+    return out
+
 
-    All inputs but the rows are constants of a statement, so the header rules run once, on one-row frames of literals.
+def resolved(targets: DataFrame, info: DataFrame) -> DataFrame:
+    """targets (statement_id, ..., target) with source: the transaction column that a target header shows.
+
+    A field, 'either' (debit or credit), 'extra:<index>' or ''. info: statement_id, headers, mapping and optionally
+    output_columns (target -> header). Tried in order: both sides of one header, a mapped header that resembles the
+    target, any other header that does, the target's own words. One pass for all statements.
     """
-    wanted = output_columns.get(name, "") or name
-    low = wanted.lower()
-    if "/" in wanted:
-        parts = [p.strip() for p in low.split("/")]
-        if any(w in p for p in parts for w in ("debit", "dr", "withdrawal")) and any(w in p for p in parts for w in ("credit", "cr", "deposit")):
-            return "either"
-    tests = [F.lit(h) for h in headers]
-    same = spark.range(1).select(F.array(*[headers_match_fuzzily(h, F.lit(wanted)) for h in tests]).alias("m")).first()["m"] if headers else []
-    for field, at in mapping.items():
-        if at is not None and at < len(headers) and same[at]:
-            return field
-    for at, hit in enumerate(same):
-        if hit:
-            return f"extra:{at}"
-    low = name.lower().strip()
-    has = lambda *words: any(w in low for w in words)
-    if has("universal"):
-        kinds = [(("debit", "withdrawal", "dr"), "universal_debit"), (("credit", "deposit", "cr"), "universal_credit"), (("bal",), "universal_balance"), (("amount", "sum", "val"), "universal_either")]
-        return next((out for words, out in kinds if has(*words)), "")
-    rules = [
-        (("date",), "transaction_date"), (("invoice", "desc", "particular", "detail"), "description"), (("debit", "withdrawal"), "debit_amount"), (("credit", "deposit"), "credit_amount"),
-        (("bal",), "running_balance"), (("amount", "sum", "val"), "either"), (("status",), "status"), (("confidence",), "confidence"), (("note", "remark", "reason"), "reason"),
-    ]
-    return next((out for words, out in rules if has(*words)), "")
+    output = F.col("output_columns") if "output_columns" in info.columns else F.lit(None).cast("map<string,string>")
+    known = targets.join(info.select("statement_id", F.coalesce("headers", F.array().cast("array<string>")).alias("headers"), "mapping", output.alias("output_columns")), "statement_id", "left")
+    known = known.withColumn("wanted", F.coalesce(F.nullif(F.try_element_at("output_columns", F.col("target")), F.lit("")), F.col("target")))
+    known = once(known, same=F.transform(F.coalesce("headers", F.array().cast("array<string>")), lambda h: headers_match_fuzzily(h, F.col("wanted"))))
+    fields = [F.when(F.coalesce(F.get("same", F.try_element_at("mapping", F.lit(f))), F.lit(False)), F.lit(f)) for f in K.FIELDS]
+    other = F.array_position("same", True)
+    low = F.lower(F.trim("target"))
+    words = F.when(low.contains("universal"), _by_words(low, UNIVERSAL_WORDS)).otherwise(_by_words(low, TARGET_WORDS))
+    source = F.when(combined_header(F.col("wanted")), "either").otherwise(F.coalesce(*fields, F.when(other > 0, F.concat(F.lit("extra:"), (other - 1).cast("string"))), words))
+    return known.select(*targets.columns, source.alias("source"))
 
 
 def flat_table(transactions: DataFrame, targets: list[str], output_columns: dict[str, str] | None = None, headers: list[str] | None = None, mapping: dict[str, int] | None = None) -> DataFrame:
-    """One statement's transactions under its target headers (all as strings of the resolved columns)."""
+    """One statement's transactions under its target headers; its headers are constants, so they are resolved first (one
+    row a target), and the rows are a plain select."""
+    spark = transactions.sparkSession
+    info = spark.createDataFrame([(0, headers or [], mapping or {}, output_columns or {})], "statement_id int, headers array<string>, mapping map<string,int>, output_columns map<string,string>")
+    named = spark.createDataFrame([(0, t) for t in targets], "statement_id int, target string")
+    sources = {r["target"]: r["source"] for r in resolved(named, info).collect()}
     columns = []
     for t in targets:
-        source = resolve_column(t, output_columns or {}, headers or [], mapping or {}, transactions.sparkSession)
+        source = sources[t]
         if source.startswith("extra:"):
             c = F.coalesce(F.try_element_at("additional_fields", F.lit(source[6:])), F.lit(""))
         elif source == "either":
@@ -81,12 +97,3 @@ def audit_rows(repairs: DataFrame, unparsed: DataFrame) -> DataFrame:
     a = repairs.select("statement_id", F.lit("repair_attempt").alias("log_type"), F.col("raw_value").alias("raw_text"), "corrected_value", "reason", F.format_string("transactions[%d].%s", "seq", "field").alias("field_location"), F.lit(None).cast("int").alias("source_page"))
     b = unparsed.select("statement_id", F.lit("unparsed_line").alias("log_type"), "raw_text", F.lit(None).cast("string").alias("corrected_value"), "reason", F.lit(None).cast("string").alias("field_location"), F.col("page").alias("source_page"))
     return a.unionByName(b)
-
-
-def combined_header(name: Column) -> Column:
-    """Whether a target header such as 'Dr/Cr' stands for both sides."""
-    low = F.lower(name)
-    return low.contains("/") & any_of([low.contains(w) for w in ("debit", "dr", "withdrawal")]) & any_of([low.contains(w) for w in ("credit", "cr", "deposit")])
-
-
-CANONICAL = K.FIELDS

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import accepted_date, any_of, is_anchor, is_footer, strip
+from ..lineage import once
 
 PAGE = ["doc_id", "page"]
 
@@ -92,7 +93,7 @@ def project(records: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Transactions with raw amounts and additional fields, and records whose date cannot be read (for review)."""
     at = column_of
     rows = records.join(maps, "doc_id").filter(at("transaction_date") < F.size("cells"))  # without a date column nothing is read
-    rows = rows.withColumn("transaction_date", accepted_date(F.col("cells"), at("transaction_date")))
+    rows = once(rows, transaction_date=accepted_date(F.col("cells"), at("transaction_date")))
     inside = lambda f: at(f) < F.size("cells")
     raw = lambda f, missing: F.when(inside(f), cell(F.col("cells"), at(f))).otherwise(F.lit(missing))
     extra = F.filter(F.transform("cells", lambda c, i: F.struct(i.cast("string").alias("key"), strip(c).alias("value"))), lambda e: ~F.array_contains(F.map_values("mapping"), e["key"].cast("int")))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import alias_field, field_of_normal, header_like, headers_match_by_meaning, headers_match_fuzzily, is_anchor, maybe_header_like, merge_headers, normalize_header, squeeze, strip
+from ..functions.text import alias_field, field_of_normal, header_like, headers_match_by_meaning, headers_match_fuzzily, infer_field, is_anchor, map_header, maybe_header_like, merge_headers, normalize_header, squeeze, strip
+from ..lineage import keep, once
 from .grouping import column_of
+from .retrieval import cosine
 
 #: Mean score from which an unnamed document's header row names a vendor.
 INLINE = 0.95
@@ -39,7 +43,7 @@ def map_columns(headers: DataFrame, keys: list[str]) -> DataFrame:
 
     headers: keys, cells. A field goes to its best column, the first on ties. All within a row: nothing is shuffled.
     """
-    scored = headers.select(*keys, scored_fields(F.col("cells")).alias("scored")).filter(F.size("scored") > 0)
+    scored = once(headers.select(*keys, "cells"), scored=scored_fields(F.col("cells"))).filter(F.size("scored") > 0)
     return scored.select(*keys, best_columns(F.col("scored"), sorted(K.FIELDS)).alias("mapping"))
 
 
@@ -100,7 +104,7 @@ def _inline(rows: DataFrame, columns: DataFrame, vendors: DataFrame, small) -> D
     shown = rows.select("at", F.explode(F.array_distinct(F.transform("spelled", lambda c: c["squeezed"]))).alias("squeezed"))
     met = shown.join(small(names), "squeezed").groupBy("at", "vendor_key").agg(F.count("*").alias("same"), F.first("n").alias("n")).filter(F.col("same") * 3 >= F.col("n") * 2)
     tried = rows.join(met, "at").join(small(registered_columns(columns)), "vendor_key").join(small(vendors.select("vendor_key", F.col("ord").alias("vendor_ord"))), "vendor_key")
-    tried = tried.withColumn("found", _vendor_matches(F.col("wanted"), F.col("spelled"))).filter(F.exists("found", lambda x: x["field"] == "transaction_date") & (F.size("found") >= F.greatest(F.lit(3), F.col("n") - 1)))
+    tried = once(tried, found=_vendor_matches(F.col("wanted"), F.col("spelled"))).filter(F.exists("found", lambda x: x["field"] == "transaction_date") & (F.size("found") >= F.greatest(F.lit(3), F.col("n") - 1)))
     mean = F.aggregate("found", F.lit(0.0), lambda s, x: s + x["score"]) / F.col("n")
     tried = tried.withColumn("mean", F.round(mean, 9)).filter(F.col("mean") >= INLINE).withColumn("mapping", _as_map("found"))
     full = _with_description(_with_balance(F.col("mapping"), F.col("cells")), F.size("cells"))
@@ -121,21 +125,24 @@ def locate(grid: DataFrame, known: DataFrame | None = None, registry: tuple[Data
     rows = grid.select("doc_id", "page", "row", "cells", F.lead("cells").over(w).alias("below"))
     rows = rows.filter(maybe_header_like(F.col("cells"))).filter(F.exists("cells", lambda c: header_like(strip(c))))
     rows = rows.select("*", merge_headers(F.col("cells"), F.col("below")).alias("both"), F.struct("doc_id", "page", "row").alias("at"))
-    rows = rows.select("*", scored_fields(F.col("cells")).alias("scored"), scored_fields(F.col("both")).alias("scored_both"))
-    rows = rows.select("*", best_columns(F.col("scored"), sorted(K.FIELDS)).alias("single"), best_columns(F.col("scored_both"), sorted(K.FIELDS)).alias("merged")).drop("scored", "scored_both")
-    rows = rows.select("*", _qualifies("single").alias("alone"), (_qualifies("merged") & (F.map_contains_key("single", "transaction_date") | F.map_contains_key("single", "description"))).alias("together"))
+    rows = once(once(rows, scored=scored_fields(F.col("cells"))), single=best_columns(F.col("scored"), sorted(K.FIELDS))).drop("scored")
+    part = F.map_contains_key("single", "transaction_date") | F.map_contains_key("single", "description")
+    known_vendor = F.lit(registry is not None)  # a vendor's own header may be merged whatever the row shows by itself
+    rows = once(rows, scored_both=F.when(part | known_vendor, scored_fields(F.col("both"))))
+    rows = once(rows, merged=best_columns(F.col("scored_both"), sorted(K.FIELDS))).drop("scored_both")
+    rows = rows.select("*", _qualifies("single").alias("alone"), (_qualifies("merged") & part).alias("together"))
     if registry is None:
         rows = rows.select("*", F.lit(None).cast("string").alias("vendor_key"), F.lit(None).cast("map<string,int>").alias("own_map"), F.lit(None).cast("array<struct<ord:int,field:string,header:string>>").alias("wanted"))
     else:
         vendors, columns = registry
         small = F.broadcast if columns.count() <= MOST_COLUMNS else (lambda df: df)
         wide = registered_columns(columns)
-        rows = rows.withColumn("spelled", _spelled(F.col("cells"))).join(known, "doc_id", "left").withColumnRenamed("vendor_key", "known_key")
+        rows = once(rows, spelled=_spelled(F.col("cells"))).join(known, "doc_id", "left").withColumnRenamed("vendor_key", "known_key")
         inline = _inline(rows.filter("known_key IS NULL"), columns, vendors, small)
         rows = rows.join(inline, "at", "left").withColumn("vendor_key", F.coalesce("known_key", "own_key")).join(small(wide), "vendor_key", "left")
-        rows = rows.withColumn("found", F.when(F.col("known_key").isNotNull(), _vendor_matches(F.col("wanted"), F.col("spelled")))).withColumn("known_map", _as_map("found"))
+        rows = once(rows, found=F.when(F.col("known_key").isNotNull(), _vendor_matches(F.col("wanted"), F.col("spelled")))).withColumn("known_map", _as_map("found"))
         filled = F.when(_qualifies("known_map"), _with_description(_with_balance(F.col("known_map"), F.col("cells")), F.size("cells")))
-        rows = rows.withColumn("own_map", F.coalesce("own_map", filled))
+        rows = once(rows.withColumnRenamed("own_map", "inline_map"), own_map=F.coalesce("inline_map", filled))
     found = rows.filter(F.col("own_map").isNotNull() | F.col("alone") | F.col("together"))
     first = F.min_by(F.struct("page", "row", "cells", "below", "both", "single", "merged", "alone", "vendor_key", "own_map", "wanted"), F.struct("page", "row"))
     found = found.groupBy("doc_id").agg(first.alias("r")).select("doc_id", "r.*")
@@ -157,3 +164,67 @@ def deviation(expected: F.Column, generated: F.Column) -> F.Column:
     """0-based place of the first cell of a traversal that is not the expected one (or is missing); -1 without one."""
     wrong = F.array_position(F.zip_with(expected, F.slice(generated, F.lit(1), F.greatest(F.size(expected), F.lit(1))), lambda e, g: F.coalesce(e == g, F.lit(False)) | e.isNull()), False)
     return (wrong - 1).cast("int")
+
+
+def recover(traversals: DataFrame, ask: Callable[[DataFrame], DataFrame], attempts: int = 3) -> DataFrame:
+    """id and generated of traversals (id, expected, generated: arrays of 'row,col') after up to so many attempts.
+
+    Each attempt cuts the sequences that deviate at their first wrong cell and asks for the rest: ask gets (id, prefix,
+    next: the cell expected there) and returns (id, suffix). Only sequences that still deviate are asked for again.
+    """
+    done = None
+    open_ = keep(traversals.select("id", "expected", "generated"), "traversals")
+    for _ in range(attempts):
+        marked = open_.withColumn("at", deviation(F.col("expected"), F.col("generated")))
+        good = marked.filter("at < 0").select("id", "generated")
+        done = good if done is None else done.unionByName(good)
+        wrong = marked.filter("at >= 0").withColumn("prefix", F.slice("generated", F.lit(1), F.col("at")))
+        answers = ask(wrong.select("id", "prefix", F.get("expected", F.col("at")).alias("next")))
+        open_ = keep(wrong.join(answers, "id", "left").select("id", "expected", F.concat("prefix", F.coalesce("suffix", F.array().cast("array<string>"))).alias("generated")), "traversals")
+    return open_.select("id", "generated") if done is None else done.unionByName(open_.select("id", "generated"))
+
+
+def anchors(vectors: DataFrame) -> DataFrame:
+    """field, vector of the canonical aliases, from any model's vectors (text, vector)."""
+    spark = vectors.sparkSession
+    aliases = spark.createDataFrame([(f, i, a) for i, (f, al) in enumerate(K.HEADER_ALIASES.items()) for a in al], "field string, field_ord int, text string")
+    return aliases.join(vectors, "text").select("field", "field_ord", "vector")
+
+
+#: Cosine from which a vector names one header's field, and score from which a column may take a field.
+ALONE, CANDIDATE = 0.75, 0.70
+
+
+def map_header_by_vectors(headers: DataFrame, vectors: DataFrame, known: DataFrame) -> DataFrame:
+    """header, field, score of distinct headers: an alias 1.0, else the nearest anchor at ALONE or above, else inferred terms,
+    else containment (0.8 both). vectors: text, vector; known: anchors()."""
+    texts = headers.select("header").distinct()
+    near = similarity(texts, vectors, known).groupBy("header").agg(F.max_by(F.struct("field", "score"), F.struct("score", -F.col("field_ord"))).alias("near"))
+    rows = once(texts.join(near, "header", "left"), m=map_header(F.col("header")))
+    exact = F.col("m.score") == 1.0
+    taken = F.when(exact | (F.trim("header") == ""), F.col("m")).when(F.col("near.score") >= ALONE, F.col("near")).otherwise(F.col("m"))
+    return rows.select("header", taken.alias("t")).select("header", "t.field", "t.score")
+
+
+def similarity(texts: DataFrame, vectors: DataFrame, known: DataFrame) -> DataFrame:
+    """header, field, field_ord, score: the largest cosine with a field's anchors, of headers that have a vector. Anchors
+    are a fixed set of some fifty vectors."""
+    mine = texts.join(vectors.withColumnRenamed("text", "header"), "header")
+    pairs = mine.join(F.broadcast(known.withColumnRenamed("vector", "anchor")), F.lit(True))
+    return pairs.groupBy("header", "field", "field_ord").agg(F.max(cosine(F.col("vector"), F.col("anchor"))).alias("score"))
+
+
+def map_columns_by_vectors(headers: DataFrame, keys: list[str], vectors: DataFrame, known: DataFrame) -> DataFrame:
+    """keys and mapping of rows of header cells: aliases (1.0), else cosines of all fields; and inferred terms (0.85); those of
+    CANDIDATE or more, best first, take a field and a column that are both free (ties: the column, then as listed)."""
+    cells = headers.select(*keys, F.posexplode("cells").alias("col", "header")).filter(F.trim("header") != "")
+    texts = cells.select("header").distinct()
+    exact = texts.withColumn("field", alias_field(F.col("header"))).filter("field IS NOT NULL").select("header", "field", F.lit(1.0).alias("score"), F.lit(0).alias("kind"))
+    near = similarity(texts.join(exact.select("header"), "header", "left_anti"), vectors, known).filter(F.col("score") >= CANDIDATE).select("header", "field", "score", (F.col("field_ord") + 1).alias("kind"))
+    said = texts.join(exact.select("header"), "header", "left_anti").withColumn("field", infer_field(F.col("header"))).filter("field IS NOT NULL").select("header", "field", F.lit(0.85).alias("score"), F.lit(9).alias("kind"))
+    found = cells.join(exact.unionByName(near).unionByName(said), "header")
+    listed = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "col", "kind", "field"))), lambda x: F.struct(x["field"].alias("key"), x["col"].alias("value"))).alias("c"))
+    empty = F.array().cast("array<struct<key:string,value:int>>")
+    free = lambda held, x: ~F.exists(held, lambda h: (h["key"] == x["key"]) | (h["value"] == x["value"]))
+    taken = F.aggregate("c", empty, lambda held, x: F.when(free(held, x), F.concat(held, F.array(x))).otherwise(held))
+    return listed.select(*keys, F.map_from_entries(taken).alias("mapping"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import date_bounds, detect_currency, parse_currency, strip
+from ..lineage import once
 
 
 def bank_name(text: Column) -> Column:
@@ -19,20 +20,25 @@ def bank_name(text: Column) -> Column:
     return out
 
 
-def line_value(text: Column, pattern: str, group: int = 1) -> Column:
-    """The first match over a text's lines, taken without white space and in upper case; null without one."""
-    found = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_extract(F.upper(F.regexp_replace(x, r"\s+", "")), pattern, group)), lambda v: v != "")
-    return F.get(found, F.lit(0))
+def squeezed_lines(text: Column) -> Column:
+    """Lines without white space, in upper case: what line_value() looks at."""
+    return F.upper(F.regexp_replace(text, r"[^\S\n]+", ""))
+
+
+def line_value(squeezed: Column, pattern: str, group: int = 1) -> Column:
+    """The first match over a text's squeezed lines; null without one. No pattern matches a line feed, so the first match
+    of the whole text is that of the first line that has one."""
+    return F.nullif(F.regexp_extract(squeezed, pattern, group), F.lit(""))
 
 
 def text_metadata(docs: DataFrame) -> DataFrame:
     """doc_id and the metadata of (doc_id, text)."""
-    t = F.col("text")
-    lines = F.filter(F.transform(F.split(t, "\n"), strip), lambda x: x != "")
-    return docs.select(
-        "doc_id", bank_name(t).alias("bank_name"), F.coalesce(line_value(t, K.ACCOUNT_NUMBER), F.lit("")).alias("account_number"), line_value(t, K.UEN, 0).alias("uen"),
-        line_value(t, K.CUSTOMER_ID).alias("customer_id"), line_value(t, K.SALESMAN_ID).alias("salesman_id"), line_value(t, K.TERM_CODE).alias("term_code"),
-        date_bounds(t)["start_date"].alias("start_date"), date_bounds(t)["end_date"].alias("end_date"), detect_currency(t).alias("currency"), F.get(lines, F.lit(0)).alias("first_line"),
+    t, s, d = F.col("text"), F.col("squeezed"), F.col("dates")
+    first = F.regexp_extract(t, r"(?m)^[^\S\n]*(\S[^\n]*)", 1)
+    return once(docs.select("doc_id", "text"), squeezed=squeezed_lines(t), dates=date_bounds(t)).select(
+        "doc_id", bank_name(t).alias("bank_name"), F.coalesce(line_value(s, K.ACCOUNT_NUMBER), F.lit("")).alias("account_number"), line_value(s, K.UEN, 0).alias("uen"),
+        line_value(s, K.CUSTOMER_ID).alias("customer_id"), line_value(s, K.SALESMAN_ID).alias("salesman_id"), line_value(s, K.TERM_CODE).alias("term_code"),
+        d["start_date"].alias("start_date"), d["end_date"].alias("end_date"), detect_currency(t).alias("currency"), F.nullif(strip(first), F.lit("")).alias("first_line"),
     )
 
 

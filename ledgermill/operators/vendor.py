@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import header_score, squeeze
 
 STRUCTURE, INLINE = 0.80, 0.95
+SUFFIX = r"(?i)\.(xlsx|xls|pdf|csv)"
 
 
 def match_aliases(docs: DataFrame, vendors: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def match_structure(headers: DataFrame, vendors: DataFrame, columns: DataFrame,
 
 def vendor_key(c: F.Column) -> F.Column:
     """A registry key of a vendor's file name."""
-    bare = F.regexp_replace(c, r"(?i)\.(xlsx|xls|pdf|csv)", "")
+    bare = F.regexp_replace(c, SUFFIX, "")
     return F.regexp_replace(F.lower(F.regexp_replace(bare, r"\s+", "_")), r"[^a-z0-9_]", "")
 
 

@@ -404,11 +404,11 @@ def map_header(spark, sf_dir):
 _SQUEEZE = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 
 
-@query(f"""WITH {_HEADERS_SQL}, p AS (SELECT a.id AS a, b.id AS b, {_SQUEEZE.format('a.header')} AS x, {_SQUEEZE.format('b.header')} AS y, {infer_sql('a.header')} AS fa, {infer_sql('b.header')} AS fb FROM headers a JOIN headers b ON b.id < 12)
+@query(f"""WITH {_HEADERS_SQL}, p AS (SELECT a.id AS a, b.id AS b, {_SQUEEZE.format('a.header')} AS x, {_SQUEEZE.format('b.header')} AS y, {infer_sql('a.header')} AS fa, {infer_sql('b.header')} AS fb FROM headers a, headers b)
     SELECT a, b, CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN contains(x, y) OR contains(y, x) THEN 0.85 WHEN fa = fb THEN 0.6 ELSE 0 END::DOUBLE AS score FROM p""")
 def header_score(spark, sf_dir):
     h = headers_table(spark)
-    p = h.select(F.col("id").alias("a"), F.col("header").alias("ha")).join(h.filter("id < 12").select(F.col("id").alias("b"), F.col("header").alias("hb")), F.lit(True))
+    p = h.select(F.col("id").alias("a"), F.col("header").alias("ha")).join(h.select(F.col("id").alias("b"), F.col("header").alias("hb")), F.lit(True))
     return p.select("a", "b", T.header_score(F.col("ha"), F.col("hb")).alias("score"))
 
 
@@ -417,11 +417,11 @@ _STRICT = "(x = y OR (length(x) >= 3 AND contains(y, x)) OR (length(y) >= 3 AND
 _SHORT = " OR ".join(f"(contains(x, '{k}') AND contains(y, '{v}')) OR (contains(y, '{k}') AND contains(x, '{v}'))" for k, v in K.HEADER_ABBREVIATIONS.items())
 
 
-@query(f"""WITH {_HEADERS_SQL}, p AS (SELECT a.id AS a, b.id AS b, {_COMPARABLE.format('a.header')} AS x, {_COMPARABLE.format('b.header')} AS y, {infer_sql('a.header')} AS fa, {infer_sql('b.header')} AS fb FROM headers a JOIN headers b ON b.id < 12)
+@query(f"""WITH {_HEADERS_SQL}, p AS (SELECT a.id AS a, b.id AS b, {_COMPARABLE.format('a.header')} AS x, {_COMPARABLE.format('b.header')} AS y, {infer_sql('a.header')} AS fa, {infer_sql('b.header')} AS fb FROM headers a, headers b)
     SELECT a, b, x <> '' AND y <> '' AND {_STRICT} AS strict, x <> '' AND y <> '' AND (coalesce(fa = fb, false) OR {_STRICT} OR {_SHORT}) AS fuzzy, coalesce(fa = fb, x <> '' AND y <> '' AND {_STRICT}) AS meaning FROM p""")
 def fuzzy_header(spark, sf_dir):
     h = headers_table(spark)
-    p = h.select(F.col("id").alias("a"), F.col("header").alias("ha")).join(h.filter("id < 12").select(F.col("id").alias("b"), F.col("header").alias("hb")), F.lit(True))
+    p = h.select(F.col("id").alias("a"), F.col("header").alias("ha")).join(h.select(F.col("id").alias("b"), F.col("header").alias("hb")), F.lit(True))
     a, b = F.col("ha"), F.col("hb")
     return p.select("a", "b", T.headers_match_strictly(a, b).alias("strict"), T.headers_match_fuzzily(a, b).alias("fuzzy"), T.headers_match_by_meaning(a, b).alias("meaning"))
 
@@ -496,16 +496,28 @@ def header_location(spark, sf_dir):
     return h.select("doc_id", "page", "row", "start_row", F.size("mapping").alias("n_fields"))
 
 
-@query("SELECT c_custkey::VARCHAR AS doc_id, c_name AS first_line, 'Unknown Bank' AS bank_name, 8 AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1)")
+def _sheet_money(x: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN '' ELSE format('{{:,.2f}}', {x} / 100) END"
+
+
+_SHEET_LINES = f"""{_STATEMENTS}, dated AS (SELECT o_custkey AS statement_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, strftime(o_orderdate, '%d/%m/%Y') AS date, o_orderpriority FROM orders),
+    owners AS (SELECT c_custkey AS k, c_name, opening, closing FROM customer JOIN bounds ON statement_id = c_custkey),
+    lines AS (SELECT statement_id AS k, seq + 6 AS row, [date, o_orderpriority, {_sheet_money('debit')}, {_sheet_money('credit')}, format('{{:,.2f}}', balance / 100)] AS cells FROM ledger JOIN dated USING (statement_id, seq)
+        UNION ALL SELECT k, 0, [c_name, '', '', '', ''] FROM owners UNION ALL SELECT k, 1, ['Account No: AC' || k, '', '', '', ''] FROM owners UNION ALL SELECT k, 2, ['Currency ' || CASE WHEN k % 2 = 0 THEN 'SGD' ELSE 'EUR' END, '', '', '', ''] FROM owners
+        UNION ALL SELECT k, 3, ['Period 01/01/1995 to 31/12/1995', '', '', '', ''] FROM owners UNION ALL SELECT k, 4, ['Opening Balance', format('{{:,.2f}}', opening / 100), '', '', ''] FROM owners
+        UNION ALL SELECT k, 5, ['Date', 'Particulars', 'Debit', 'Credit', 'Balance'] FROM owners UNION ALL SELECT k, 1000000, ['Closing Balance', format('{{:,.2f}}', closing / 100), '', '', ''] FROM owners)"""
+
+
+@query(f"{_SHEET_LINES} SELECT k::VARCHAR AS doc_id, md5(string_agg(array_to_string(cells, ' '), chr(10) ORDER BY row)) AS h, count(*)::INTEGER AS n FROM lines GROUP BY k")
 def text_layer(spark, sf_dir):
+    """Every sheet's text, line for line."""
     t = metadata.text_layer(statement_grids(spark, sf_dir))
-    lines = F.split("text", "\n")
-    return t.filter(F.size(lines) == 8).select("doc_id", F.trim(lines[0]).alias("first_line"), metadata.bank_name(F.col("text")).alias("bank_name"), F.size(lines).alias("n"))
+    return t.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.size(F.split("text", "\n")).alias("n"))
 
 
 @query("SELECT c_custkey::VARCHAR AS doc_id, c_name AS first_line, 'Unknown Bank' AS bank_name, (n + 7)::INTEGER AS n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def text_layer_all(spark, sf_dir):
-    """Every sheet's text layer; text_layer, whose SQL states one length, returns the shortest sheets alone."""
+    """What every sheet's text says first."""
     lines = F.split("text", "\n")
     return metadata.text_layer(statement_grids(spark, sf_dir)).select("doc_id", F.trim(lines[0]).alias("first_line"), metadata.bank_name(F.col("text")).alias("bank_name"), F.size(lines).alias("n"))
 
@@ -765,23 +777,24 @@ def nearest_column(spark, sf_dir):
 
 
 def _laid_out(grid: DataFrame) -> DataFrame:
-    """Sheets laid out by position: columns 100 points apart, lines 12 points apart, as words."""
+    """Tables of sheets laid out by position (columns 100 points apart, lines 12 points apart) and made from their words."""
     g = grid.filter((F.col("row") >= 5) & (F.col("row") < 1_000_000))
     c = g.select("doc_id", "page", "row", F.posexplode("cells").alias("col", "text")).filter("text <> ''")
     w = Window.partitionBy("doc_id", "page").orderBy("row", "col")
     words = c.select("doc_id", "page", F.row_number().over(w).alias("word_idx"), "text", (F.col("col") * 100.0).alias("x0"), (F.col("col") * 100.0 + 40).alias("x1"), (F.col("row") * 12.0 + F.col("col") % 2).alias("top"))
-    return layout.grid_from_words(words).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("width"))
+    return layout.grid_from_words(words)
 
 
-@query("SELECT o_custkey::VARCHAR AS doc_id, count(*) + 1 AS n_rows, 5 AS width FROM orders WHERE o_custkey % 20 = 1 GROUP BY 1")
+@query(f"{_SHEET_LINES} SELECT k::VARCHAR AS doc_id, (row - 5)::INTEGER AS row, array_to_string(cells, '|') AS line FROM lines WHERE row >= 5 AND row < 1000000")
 def grid_from_words(spark, sf_dir):
-    return _laid_out(statement_grids(spark, sf_dir).filter(F.col("doc_id").cast("int") % 20 == 1))
+    """Every cell of every sheet is back in its place."""
+    return _laid_out(statement_grids(spark, sf_dir)).select("doc_id", F.col("row").cast("int").alias("row"), F.array_join("cells", "|").alias("line"))
 
 
 @query("SELECT o_custkey::VARCHAR AS doc_id, count(*) + 1 AS n_rows, 5 AS width FROM orders GROUP BY 1")
 def grid_from_words_all(spark, sf_dir):
-    """Every sheet; grid_from_words, whose SQL names one remainder, lays out a twentieth."""
-    return _laid_out(statement_grids(spark, sf_dir))
+    """How large every sheet is."""
+    return _laid_out(statement_grids(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("width"))
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 8 = 0 THEN 'full_pipeline_fallback' ELSE 'digital_text_borderless_table' END WHEN 1 THEN 'digital_text_simple_table' WHEN 2 THEN 'digital_text_borderless_table' ELSE 'irregular_or_merged_cells' END AS route,

@@ -13,6 +13,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -71,30 +72,47 @@ def sheet_rows(content: bytes, sheet: str | None = None) -> list[list[str]]:
     return [r + [""] * (width - len(r)) for r in rows if any(r)]
 
 
-def write_sheet(rows: list[list[object]], name: str = "Sheet1") -> bytes:
-    """A minimal workbook of one sheet; numbers stay numbers."""
-    def cell(v: object) -> str:
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return f"<c><v>{v}</v></c>"
-        text = "" if v is None else str(v).replace("&", "&amp;").replace("<", "&lt;")
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
-
-    body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
-    head = '<?xml version="1.0" encoding="UTF-8"?>'
+def _cell(v: object) -> str:
+    if v is None or v == "":
+        return "<c/>"
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return f"<c><v>{v}</v></c>"
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_CONTROL.sub("", str(v)))}</t></is></c>'
+
+
+#: Signs that no XML file may hold.
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_OFFICE = "http://schemas.openxmlformats.org"
+
+
+def write_workbook(sheets: dict[str, list[list[object]]]) -> bytes:
+    """A minimal workbook of these sheets; numbers stay numbers."""
+    head, n = '<?xml version="1.0" encoding="UTF-8"?>', range(1, len(sheets) + 1)
+    main = f"{_OFFICE}/spreadsheetml/2006/main"
+    kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in n)
+    tabs = "".join(f'<sheet name="{escape(name, {chr(34): "&quot;"})}" sheetId="{i}" r:id="r{i}"/>' for i, name in zip(n, sheets, strict=True))
+    links = "".join(f'<Relationship Id="r{i}" Type="{_OFFICE}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n)
     parts = {
-        "[Content_Types].xml": head + '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-        "_rels/.rels": head + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": head + f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"><sheets><sheet name="{name}" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": head + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": head + f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{body}</sheetData></worksheet>',
+        "[Content_Types].xml": f'<Types xmlns="{_OFFICE}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>',
+        "_rels/.rels": f'<Relationships xmlns="{_OFFICE}/package/2006/relationships"><Relationship Id="r1" Type="{_OFFICE}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{_OFFICE}/officeDocument/2006/relationships"><sheets>{tabs}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_OFFICE}/package/2006/relationships">{links}</Relationships>',
     }
+    for i, rows in zip(n, sheets.values(), strict=True):
+        body = "".join("<row>" + "".join(map(_cell, r)) + "</row>" for r in rows)
+        parts[f"xl/worksheets/sheet{i}.xml"] = f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for k, v in parts.items():
-            z.writestr(k, v)
+        for name, text in parts.items():
+            z.writestr(name, head + text)
     return out.getvalue()
 
 
+def write_sheet(rows: list[list[object]], name: str = "Sheet1") -> bytes:
+    """A minimal workbook of one sheet; numbers stay numbers."""
+    return write_workbook({name: rows})
+
+
 PARSED, CONTENT = GRID + ", error string", "doc_id string, content binary"
 #: What a damaged file raises: bad archives and XML, missing parts, cells out of place, delimiters out of bounds.
 UNREADABLE = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration, TypeError, ValueError, IndexError, csv.Error, zlib.error, EOFError)
@@ -167,19 +185,30 @@ def delimited(grid: DataFrame) -> DataFrame:
 _NUMBER = re.compile(r"-?\d+\.?\d*")
 
 
-def _workbook(numeric: bool):
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        rows = [list(r) for r in table.sort_values(["page", "row"])["cells"]]
-        if numeric:  # below the first row, what looks like a number is one
-            rows = rows[:1] + [[float(c) if c is not None and _NUMBER.fullmatch(c.strip()) else c for c in r] for r in rows[1:]]
-        return pd.DataFrame({"doc_id": table["doc_id"].iloc[:1], "content": [write_sheet(rows)]})
+def _numbers(rows: list[list[str]]) -> list[list[object]]:
+    """Below the first row, what looks like a number is one."""
+    return rows[:1] + [[float(c) if c is not None and _NUMBER.fullmatch(c.strip()) else c for c in r] for r in rows[1:]]
 
-    return run
 
+def _workbook(table: pd.DataFrame) -> pd.DataFrame:
+    rows = [list(r) for r in table.sort_values(["page", "row"])["cells"]]
+    return pd.DataFrame({"doc_id": table["doc_id"].iloc[:1], "content": [write_sheet(_numbers(rows))]})
 
-def workbooks(grid: DataFrame, numeric: bool = True) -> DataFrame:
+
+def workbooks(grid: DataFrame) -> DataFrame:
     """doc_id and content (a workbook of one sheet) of each document; a document is one group, as it is one file."""
-    return grid.groupBy("doc_id").applyInPandas(_workbook(numeric), CONTENT)
+    return grid.groupBy("doc_id").applyInPandas(_workbook, CONTENT)
+
+
+def _report(table: pd.DataFrame) -> pd.DataFrame:
+    table = table.sort_values(["sheet", "ord"], ascending=[False, True])  # the ledger's name sorts after the audit's
+    sheets = {name: _numbers([list(r) for r in rows["cells"]]) for name, rows in table.groupby("sheet", sort=False)}
+    return pd.DataFrame({"doc_id": table["doc_id"].iloc[:1], "content": [write_workbook(sheets)]})
+
+
+def report_workbooks(rows: DataFrame) -> DataFrame:
+    """doc_id and content (a workbook) of rows of sheets (doc_id, sheet, ord, cells), as operators.report makes them."""
+    return rows.select("doc_id", "sheet", "ord", "cells").groupBy("doc_id").applyInPandas(_report, CONTENT)
 
 
 def write_documents(contents: DataFrame, folder: str, suffix: str) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermill import constants as K
-from ledgermill.operators import grouping, header, layout, ledger, repair, retrieval, scrub
+from ledgermill.operators import corrections, grouping, header, layout, ledger, repair, report, retrieval, scrub
 from ledgermill.plans import statement
 from ledgermill.sources import grids, registry
 
@@ -270,3 +270,98 @@ def test_streaming(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path / "in"))
     ingest.ingest(files, str(tmp_path / "out"), 0)  # a batch that is repeated overwrites its own folder
     assert spark.read.parquet(str(tmp_path / "out" / "transactions")).count() == 3 and spark.read.parquet(str(tmp_path / "out" / "unparsed")).columns
+
+
+def processed(spark, docs):
+    s = statement.process(grid(spark, docs))
+    return s, corrections.Stored(s.statements, s.transactions, s.repairs, s.unparsed.withColumnRenamed("doc_id", "statement_id"))
+
+
+def test_corrections_judge_whole_statements_anew(spark):
+    wrong = [list(r) for r in CLEAN]
+    wrong[5][2], wrong[5][4] = "999.99", "2500.01"  # no reading mends this
+    s, stored = processed(spark, {"wrong": wrong, "clean": CLEAN})
+    before = {r["statement_id"]: r for r in s.statements.collect()}
+    assert before["wrong"]["review_required"] and len(before["wrong"]["anomaly_flags"]) == 1
+    fixes = spark.createDataFrame([("wrong", 1, "Withdrawals (Dr)", "120.50"), ("wrong", 1, "running_balance", "3379.50"), ("wrong", 1, "Remark on top", "x"), ("wrong", 0, "Particulars", "Pay")], "statement_id string, seq int, key string, value string")
+    done = corrections.correct(stored, fixes)
+    after = {r["statement_id"]: r for r in done.statements.collect()}
+    assert (after["wrong"]["confidence"], after["wrong"]["review_required"], after["wrong"]["anomaly_flags"]) == (1.0, False, [])
+    assert after["clean"] == before["clean"]
+    got = [(r["description"], r["debit_amount"], r["running_balance"], r["universal_debit"], r["status"]) for r in done.transactions.filter("statement_id = 'wrong'").orderBy("seq").collect()]
+    assert got == [("Pay", None, 3500.0, None, "clean"), ("x", 120.5, 3379.5, 120.5, "clean"), ("Rent", 284.25, 3095.25, 284.25, "clean")]
+    assert done.transactions.count() == 6 and done.transactions.columns == s.transactions.columns
+
+
+def test_report_workbooks(spark, tmp_path):
+    corrupt = [list(r) for r in CLEAN]
+    corrupt[5][2] = "12O.50"
+    s, stored = processed(spark, {"corrupt": corrupt})
+    rows = report.report(s.statements, s.transactions, s.repairs, stored.unparsed)
+    content = bytes(grids.report_workbooks(rows).first()["content"])
+    ledger_, audit = grids.sheet_rows(content, K.REPORT_SHEET), grids.sheet_rows(content, K.AUDIT_SHEET)
+    flat = [[c for c in r if c] for r in ledger_]
+    assert ["Discrepancy Imbalance (Calculated - Reported):", "0.0"] in flat and [K.INVARIANT_LABELS[-1], "PASS"] in flat
+    assert flat.index([K.LEDGER_TITLE]) + 1 == flat.index(K.LEDGER_HEADERS) and flat[-1] == [K.TOTAL_TITLE, "404.75", "2500.0"]
+    assert any(r[-1] == "Auto-Repaired: '12O.50' -> '120.50' (Reason: OCR confusion repair resolved equations in iteration 1)" for r in flat)
+    assert ["transactions[1].debit_amount", "12O.50", "120.50"] == [r for r in audit if r[0].startswith("trans")][0][:3] or audit[3][1:3] == ["12O.50", "120.5"]
+
+
+def test_flat_rows_under_target_headers(spark):
+    s, _ = processed(spark, {"clean": CLEAN})
+    targets = spark.createDataFrame([("clean", i, t) for i, t in enumerate(["Doc Date", "Debit / Credit", "Deposits", "Memo note", "Cum Bal"])], "statement_id string, ord int, target string")
+    rows = report.flat_rows(s.transactions, targets, s.statements).orderBy("ord").collect()
+    assert [r["cells"] for r in rows][:3] == [["Doc Date", "Debit / Credit", "Deposits", "Memo note", "Cum Bal"], ["01/06/2026", "2500.00", "2500.00", "Salary", "3500.00"], ["02/06/2026", "120.50", "", "Grocery Store #55", "3379.50"]]
+
+
+def test_command_line(spark, tmp_path):
+    from ledgermill import __main__ as main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "s.csv").write_text("\n".join(",".join(r) for r in CLEAN))
+    assert main.main(["scrub", str(tmp_path / "in"), str(tmp_path / "masked")]) == 0 and main.main(["scrub"]) == 1 and main.main(["scrub", str(tmp_path / "none"), str(tmp_path / "x")]) == 1
+    assert grids.csv_rows((tmp_path / "masked" / "s.csv").read_bytes())[0][0] == "Mock-Enterprise"
+    assert main.main(["process", str(tmp_path / "in"), str(tmp_path / "out")]) == 0
+    assert grids.sheet_rows((tmp_path / "out" / "reports" / "s.xlsx").read_bytes())[0][0] == K.METADATA_LABELS[0] and spark.read.parquet(str(tmp_path / "out" / "transactions")).count() == 3
+
+
+def test_registries_by_precedence(spark, tmp_path):
+    import json
+
+    (tmp_path / "r.json").write_text(json.dumps({"acme_co": {"official_name": "Old", "aliases": ["old"], "columns": {"description": "Text"}}, "beta": {"official_name": "Beta", "aliases": ["beta"], "columns": {}}}))
+    (tmp_path / "a.xlsx").write_bytes(grids.write_sheet([["x"]]))
+    (tmp_path / "b.xlsx").write_bytes(grids.write_sheet([["vendors", "Posting Date", "Text", "Amount", "Bal"], ["Acme Co.xlsx", "Doc Date", "Narrative", "Amount LC", ""]], registry.SHEET))
+    found = registry.read(spark, str(tmp_path / "r.json"), (str(tmp_path / "none"), str(tmp_path)))
+    assert {r["vendor_key"]: r["official_name"] for r in found[0].collect()} == {"acme_co": "Acme Co", "beta": "Beta"}
+    assert {r["header"] for r in found[2].filter("vendor_key = 'acme_co'").collect()} == {"Doc Date", "Narrative", "Amount LC"}
+    assert registry.read(spark, str(tmp_path / "gone.xlsx"))[0].count() == 0 and registry.read(spark, str(tmp_path / "b.xlsx"))[0].count() == 1
+    registry.store(found, str(tmp_path / "stored"))
+    assert registry.stored(spark, str(tmp_path / "stored"))[1].count() == found[1].count()
+
+
+def test_traversals_are_asked_for_until_they_are_right(spark):
+    want = ["0,0", "0,1", "1,0"]
+    t = spark.createDataFrame([(1, want, want), (2, want, ["0,0", "9,9"]), (3, want, []), (4, want, ["x"])], "id int, expected array<string>, generated array<string>")
+    # answers two right cells at most, and nothing for the fourth
+    ask = lambda q: q.filter("id <> 4").select("id", F.slice(F.lit(want), F.size("prefix") + 1, F.lit(2)).alias("suffix"))
+    got = {r["id"]: r["generated"] for r in header.recover(t, ask).collect()}
+    assert got == {1: want, 2: want, 3: want, 4: []}
+
+
+def test_headers_by_vectors(spark):
+    near = {"date": [1.0, 0.0, 0.0], "balance": [0.0, 1.0, 0.0], "debit": [0.0, 0.0, 1.0], "Wertstellung": [0.9, 0.1, 0.0], "Saldo": [0.2, 0.95, 0.1], "Fremd": [0.5, 0.5, 0.5]}
+    vectors = spark.createDataFrame(list(near.items()), "text string, vector array<double>")
+    known = header.anchors(vectors)
+    h = spark.createDataFrame([(c,) for c in ("Wertstellung", "Saldo", "Fremd", "Date", "Ref no")], "header string")
+    got = {r["header"]: r["field"] for r in header.map_header_by_vectors(h, vectors, known).collect()}
+    assert got == {"Wertstellung": "transaction_date", "Saldo": "running_balance", "Fremd": None, "Date": "transaction_date", "Ref no": "description"}
+    rows = spark.createDataFrame([(1, ["Wertstellung", "Date", "Saldo", "Fremd"])], "id int, cells array<string>")
+    assert header.map_columns_by_vectors(rows, ["id"], vectors, known).first()["mapping"] == {"transaction_date": 1, "running_balance": 2}
+
+
+def test_stored_json_falls_back(spark):
+    from ledgermill.functions import text as T
+
+    df = spark.createDataFrame([('["a"]', '{"k": 1}'), ("x", "[]"), (None, None)], "a string, m string")
+    got = [(r[0], r[1]) for r in df.select(T.parsed_json(F.col("a"), "array<string>"), T.parsed_json(F.col("m"), "map<string,int>")).collect()]
+    assert got == [(["a"], {"k": 1}), ([], {}), ([], {})]
