@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 from .functions import text as T
-from .operators import export, grouping, header, layout, ledger, metadata, profile, repair, retrieval, scrub, store, vendor
+from .operators import corrections, export, grouping, header, layout, ledger, metadata, profile, repair, report, retrieval, scrub, store, vendor
 from .plans import statement
+from .sources import grids, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -250,18 +251,71 @@ def corrupted_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rows.select("statement_id", F.col("seq").cast("int").alias("seq"), debit.alias("debit_raw"), show("credit").alias("credit_raw"), show("balance").alias("balance_raw")), bounds
 
 
-@query()
+def _near(a: str, b: str) -> str:
+    return f"(abs(({a}) - ({b})) * 100000 <= 1000000 + abs({b}))"
+
+
+def _units_sql(x: str) -> str:
+    return f"CAST(round({parse_sql(x)} * 1000) AS BIGINT)"
+
+
+def _judged_sql(rows: str, n: int) -> str:
+    """valid{n}: the rows with signs, totals, status and step_ok, in thousandths."""
+    best = f"greatest({', '.join(f's{i}' for i in range(4))})"
+    sign = lambda k: "CASE " + " ".join(f"WHEN s{i} = {best} THEN {K.CONVENTIONS[i][k]}" for i in range(4)) + " END"
+    matches = ", ".join(f"count(*) FILTER (WHERE rn <= 10 AND {_near('balance', f'prev + {c} * credit + {d} * debit')}) OVER e AS m{i}" for i, (c, d) in enumerate(K.CONVENTIONS))
+    scores = ", ".join(f"m{i} + CASE WHEN {_near(f'opening + {c} * tc + {d} * td', 'closing')} THEN 100 ELSE 0 END AS s{i}" for i, (c, d) in enumerate(K.CONVENTIONS))
+    return f"""parsed{n} AS (SELECT r.*, opening, closing, {", ".join(f"{_units_sql(f'{c}_raw')} AS {c}" for c in ("debit", "credit", "balance"))} FROM {rows} r JOIN tops USING (statement_id)),
+    before{n} AS (SELECT *, coalesce(lag(balance) OVER w, opening) AS prev, row_number() OVER w AS rn, sum(credit) OVER w AS cu, sum(debit) OVER w AS du, sum(credit) OVER e AS tc, sum(debit) OVER e AS td
+        FROM parsed{n} WINDOW w AS (PARTITION BY statement_id ORDER BY seq), e AS (PARTITION BY statement_id)),
+    matched{n} AS (SELECT *, {matches} FROM before{n} WINDOW e AS (PARTITION BY statement_id)), scored{n} AS (SELECT *, {scores} FROM matched{n}),
+    signed{n} AS (SELECT *, {sign(0)} AS cs, {sign(1)} AS ds FROM scored{n}),
+    valid{n} AS (SELECT *, {_near('balance', 'opening + cs * cu + ds * du')} AS clean, {_near('balance', 'prev + cs * credit + ds * debit')} AS step_ok FROM signed{n})"""
+
+
+def _fixes_sql(n: int, strict: bool) -> str:
+    """fixes{n}: the accepted reading of each statement of valid{n} that has one."""
+    confused = f"translate(substr(raw, i, 1), '{K.CONFUSED}', '{K.DIGITS}')"
+    ok = " OR ".join(_near(f"opening + {c} * (tc + CASE WHEN ord = 1 THEN shift ELSE 0 END) + {d} * (td + CASE WHEN ord = 0 THEN shift ELSE 0 END)", "closing") for c, d in K.CONVENTIONS)
+    if strict:
+        step = "prev + cs * (credit + CASE WHEN ord = 1 THEN shift ELSE 0 END) + ds * (debit + CASE WHEN ord = 0 THEN shift ELSE 0 END)"
+        ok = f"({ok}) AND {_near('balance + CASE WHEN ord = 2 THEN shift ELSE 0 END', step)}"
+    return f"""breaks{n} AS (SELECT statement_id, coalesce(min(seq) FILTER (WHERE NOT step_ok), min(seq) FILTER (WHERE NOT clean)) AS seq FROM valid{n} GROUP BY 1 HAVING count(*) FILTER (WHERE NOT clean) > 0),
+    cells{n} AS (SELECT v.*, unnest([0, 1, 2]) AS ord, unnest([debit_raw, credit_raw, balance_raw]) AS cell FROM valid{n} v JOIN breaks{n} USING (statement_id, seq)),
+    tried{n} AS (SELECT *, regexp_replace(cell, '^\\s+|\\s+$', '', 'g') AS raw, regexp_replace(cell, '[^0-9]', '', 'g') AS digits FROM cells{n} WHERE cell NOT IN ('', '0.0') AND lower(cell) <> 'none'),
+    made{n} AS (SELECT *, 1 AS kind, substr(raw, 1, i - 1) || {confused} || substr(raw, i + 1) AS reading FROM tried{n}, unnest(range(1, length(raw) + 1)) u(i) WHERE {confused} <> substr(raw, i, 1)
+        UNION ALL SELECT *, 2, substr(raw, 1, i - 1) || substr(raw, i + 1, 1) || substr(raw, i, 1) || substr(raw, i + 2) FROM tried{n}, unnest(range(1, length(raw))) u(i) WHERE regexp_matches(substr(raw, i, 2), '^[0-9][0-9]$') AND substr(raw, i, 1) <> substr(raw, i + 1, 1)
+        UNION ALL SELECT *, 3, substr(digits, 1, length(digits) - i) || '.' || substr(digits, length(digits) - i + 1) FROM tried{n}, unnest(range(1, least(4, length(digits)))) u(i)),
+    shifted{n} AS (SELECT *, {_units_sql("reading")} - {_units_sql("cell")} AS shift FROM made{n} WHERE reading <> raw AND TRY_CAST(regexp_replace(reading, '[^0-9.-]', '', 'g') AS DOUBLE) IS NOT NULL),
+    fixes{n} AS (SELECT statement_id, seq, ord, cell, reading FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY ord, kind, i) AS nth FROM shifted{n} WHERE {ok}) WHERE nth = 1),
+    rows{n} AS (SELECT r.statement_id, r.seq, CASE WHEN ord = 0 THEN reading ELSE debit_raw END AS debit_raw, CASE WHEN ord = 1 THEN reading ELSE credit_raw END AS credit_raw, CASE WHEN ord = 2 THEN reading ELSE balance_raw END AS balance_raw
+        FROM {"misread" if n == 1 else f"rows{n - 1}"} r LEFT JOIN fixes{n} USING (statement_id, seq))"""
+
+
+def _repair_sql(strict: bool) -> str:
+    """Both rounds of repair over the misread accounts of corrupted_rows()."""
+    show = lambda c: f"printf('%.2f', {c} / 100)"
+    return f"""WITH {_ledger_sql(False)}, tops AS (SELECT statement_id, opening * 10 AS opening, closing * 10 AS closing FROM bounds),
+    counted AS (SELECT *, count(*) FILTER (WHERE debit > 0) OVER (PARTITION BY statement_id ORDER BY seq) AS nth, count(*) FILTER (WHERE debit > 0) OVER (PARTITION BY statement_id) AS debits FROM ledger),
+    misread AS (SELECT statement_id, seq::INTEGER AS seq, CASE WHEN statement_id % 3 = 0 AND debit > 0 AND nth = statement_id % debits + 1 THEN translate({show("debit")}, '0158', 'OISB') ELSE {show("debit")} END AS debit_raw, {show("credit")} AS credit_raw, {show("balance")} AS balance_raw FROM counted),
+    {_judged_sql("misread", 1)}, {_fixes_sql(1, strict)}, {_judged_sql("rows1", 2)}, {_fixes_sql(2, strict)},
+    log AS (SELECT *, 1 AS round FROM fixes1 UNION ALL SELECT *, 2 FROM fixes2)"""
+
+
+@query(f"""{_repair_sql(False)} SELECT statement_id, seq, f.field, cell AS raw_value, reading AS corrected_value, replace('{K.REPAIR_REASON}', '{{}}', round::VARCHAR) AS reason, 0.85::DOUBLE AS confidence,
+    'transactions[' || seq || '].' || f.field AS path FROM log JOIN (SELECT unnest([0, 1, 2]) AS ord, unnest([{quoted(K.AMOUNT_FIELDS)}]) AS field) f USING (ord)""")
 def repair_log(spark, sf_dir):
     rows, bounds = corrupted_rows(spark, sf_dir)
     log = repair.repair(rows, bounds)[1]
     return log.withColumn("path", repair.log_path(F.col("seq"), F.col("field")))
 
 
-@query()
+@query(f"""{_repair_sql(True)}, {_judged_sql("rows2", 3)} SELECT statement_id, v.seq, debit, credit, balance, t.triage, CASE t.triage WHEN 'auto_repaired' THEN 0.85 WHEN 'clean' THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence
+    FROM (SELECT v.*, CASE WHEN (statement_id, seq) IN (SELECT statement_id, seq FROM log) THEN 'auto_repaired' WHEN clean THEN 'clean' ELSE 'escalated' END AS triage FROM valid3 v) v, (SELECT 1) o, LATERAL (SELECT v.triage AS triage) t""")
 def repair_rows(spark, sf_dir):
     rows, bounds = corrupted_rows(spark, sf_dir)
-    fixed, log = repair.repair(rows, bounds, strict=True)
-    return ledger.triage(ledger.validate(ledger.parse_rows(fixed, repair.SCALE), bounds, repair.SCALE), log).select("statement_id", "seq", "debit", "credit", "balance", "triage", "confidence")
+    fixed, log = repair.repaired(rows, bounds, strict=True)
+    return ledger.triage(fixed, log).select("statement_id", "seq", "debit", "credit", "balance", "triage", "confidence")
 
 
 @query(f"""WITH {_ledger_sql(True)}, totals AS (SELECT statement_id, opening, closing + (statement_id % 4) * 5000000 AS closing, tc, td FROM bounds JOIN (SELECT statement_id, sum(credit)::BIGINT AS tc, sum(debit)::BIGINT AS td FROM ledger GROUP BY 1) USING (statement_id))
@@ -550,6 +604,79 @@ def boundary_balances(spark, sf_dir):
     return b.select("doc_id", T.to_units(F.col("opening")).alias("opening"), T.to_units(F.col("closing")).alias("closing"), "found_opening", "found_closing")
 
 
+def sheets_in_locale(spark, sf_dir) -> DataFrame:
+    """The sheets with decimal commas in their rows; a vendor of that locale issues them."""
+    amounts = F.transform("cells", lambda c, i: F.when(i >= 2, F.translate(c, ",.", ".,")).otherwise(c))
+    return statement_grids(spark, sf_dir).withColumn("cells", F.when((F.col("row") > 5) & (F.col("row") < 1_000_000), amounts).otherwise(F.col("cells")))
+
+
+LOCAL_VENDOR = {"kontor": {"official_name": "Kontor", "aliases": ["Customer#"], "columns": dict(zip(K.FIELDS, ["Date", "Particulars", "Debit", "Credit", "Balance"], strict=True)), "numeric_locale": "comma_decimal", "currency": "CHF", "exchange_rate": 1.1}}
+
+
+@query(f"""{_STATEMENTS} SELECT statement_id::VARCHAR AS statement_id, (seq - 1)::INTEGER AS seq, nullif(debit, 0) AS debit, nullif(credit, 0) AS credit, balance, CAST(floor(balance / 100 * 1.1::DOUBLE * 100::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS universal, 'clean' AS status FROM ledger""")
+def process_local_amounts(spark, sf_dir):
+    """Rows in a vendor's own locale, converted at its rate."""
+    s = statement.process(sheets_in_locale(spark, sf_dir), registry=registry.from_dict(spark, LOCAL_VENDOR))
+    cents = lambda c: T.to_units(F.col(c))
+    return s.transactions.select("statement_id", "seq", cents("debit_amount").alias("debit"), cents("credit_amount").alias("credit"), cents("running_balance").alias("balance"), cents("universal_balance").alias("universal"), "status")
+
+
+@query(f"""{_SHEET_LINES} SELECT k::VARCHAR AS doc_id, row::INTEGER AS row, trim(array_to_string(cells, ' ')) AS raw_text, '{K.NO_HEADER}' AS reason, true AS review_required FROM lines WHERE k % 4 = 0 AND row <> 5 ORDER BY ALL""")
+def unparsed_lines(spark, sf_dir):
+    """Every fourth sheet has lost its header: all its lines wait for review."""
+    grid = statement_grids(spark, sf_dir)
+    s = statement.process(grid.filter((F.col("doc_id").cast("long") % 4 != 0) | (F.col("row") != 5)))
+    return s.unparsed.select("doc_id", "row", "raw_text", "reason", "review_required")
+
+
+@query("SELECT DISTINCT o_custkey::VARCHAR AS doc_id, CASE o_custkey % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' END AS vendor_key, 5 AS row FROM orders")
+def vendor_inline(spark, sf_dir):
+    """Vendors that only their header row names; a header that fits none is mapped by itself."""
+    k = F.col("doc_id").cast("long") % 3
+    named = F.when(k == 0, F.array(*map(F.lit, STRUCTURES["north"]))).when(k == 1, F.array(*map(F.lit, STRUCTURES["south"]))).otherwise(F.array(*map(F.lit, ["Day and date", "Remarks", "Withdrawal", "Deposit", "Bal"])))
+    grid = statement_grids(spark, sf_dir).withColumn("cells", F.when(F.col("row") == 5, named).otherwise(F.col("cells")))
+    vendors, _, columns = registry.from_dict(spark, {v: {"official_name": v, "columns": dict(zip(K.FIELDS, h, strict=False))} for v, h in STRUCTURES.items()})
+    known = spark.createDataFrame([], "doc_id string, vendor_key string")
+    return header.locate(grid, known, (vendors, columns)).select("doc_id", "vendor_key", "row")
+
+
+@query("SELECT c_custkey::VARCHAR || '.' || ['csv', 'xlsx', 'xlsx'][c_custkey % 3 + 1] AS doc_id, CASE WHEN c_custkey % 3 = 2 THEN 0 ELSE 2 END AS n_rows, c_custkey % 3 = 2 AS failed FROM customer")
+def read_files(spark, sf_dir):
+    """Delimited files, workbooks, and files that are neither; all remain documents."""
+    k = F.col("c_custkey") % 3
+    name = F.concat(F.col("c_custkey").cast("string"), F.when(k == 0, ".csv").otherwise(".xlsx"))
+    c = table(spark, sf_dir, "customer").select(name.alias("doc_id"), k.alias("k"), "c_name", "c_mktsegment")
+    head, body = F.array(F.lit("Name"), F.lit("Segment, or none")), F.array("c_name", "c_mktsegment")
+    grid = c.select("doc_id", "k", F.lit(1).alias("page"), F.posexplode(F.array(head, body)).alias("row", "cells"))
+    files = grids.delimited(grid.filter("k = 0")).unionByName(grids.workbooks(grid.filter("k = 1"))).unionByName(c.filter("k = 2").select("doc_id", F.encode("c_name", "UTF-8").alias("content")))
+    parsed = grids.parse_files(files.withColumnRenamed("doc_id", "path"))
+    return parsed.groupBy("doc_id").agg(F.count("row").cast("int").alias("n_rows"), (F.max("error").isNotNull()).alias("failed"))
+
+
+@query("SELECT c_custkey::VARCHAR AS doc_id, unnest([0, 1])::INTEGER AS row, unnest(['name|balance|note', c_name || '|' || CASE WHEN regexp_matches(printf('%.2f', c_acctbal), '0$') THEN regexp_replace(printf('%.2f', c_acctbal), '0$', '') ELSE printf('%.2f', c_acctbal) END || '|a<b&c']) AS line FROM customer")
+def workbook_round_trip(spark, sf_dir):
+    """Numbers are numbers in a workbook, so a last zero goes."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.array(F.lit("name"), F.lit("balance"), F.lit("note")).alias("h"), F.array("c_name", F.format_string("%.2f", "c_acctbal"), F.lit("a<b&c")).alias("b"))
+    files = grids.workbooks(c.select("doc_id", F.lit(1).alias("page"), F.posexplode(F.array("h", "b")).alias("row", "cells")))
+    back = grids.grid_of(grids.parse_files(files.withColumnRenamed("doc_id", "path")))
+    return back.select("doc_id", "row", F.array_join("cells", "|").alias("line"))
+
+
+# rows of 100 on page 1, the rest on page 2 without a header of its own
+@query(f"{_SHEET_LINES} SELECT k::VARCHAR AS doc_id, (1 + (row > 8)::INT)::INTEGER AS page, (row_number() OVER (PARTITION BY k, row > 8 ORDER BY row) - 1)::INTEGER AS row, array_to_string(cells, '|') AS line FROM lines WHERE row >= 5 AND row < 1000000")
+def grid_from_later_pages(spark, sf_dir):
+    """A later page without a header takes the columns of the page before."""
+    g = statement_grids(spark, sf_dir).withColumn("page", F.when(F.col("row") > 8, 2).otherwise(1))
+    return _laid_out(g).select("doc_id", F.col("page").cast("int").alias("page"), F.col("row").cast("int").alias("row"), F.array_join("cells", "|").alias("line"))
+
+
+@query(f"{_SHEET_LINES} SELECT k::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY k ORDER BY row) - 1)::INTEGER AS row, array_to_string(list_filter(cells, lambda x: x <> ''), '|') AS line FROM lines WHERE row > 5 AND row < 1000000")
+def grid_without_header(spark, sf_dir):
+    """Pages without any header keep their gap-split cells."""
+    g = statement_grids(spark, sf_dir).filter(F.col("row") != 5)
+    return _laid_out(g).select("doc_id", F.col("row").cast("int").alias("row"), F.array_join("cells", "|").alias("line"))
+
+
 # ---------------------------------------------------------------- vendors
 
 
@@ -659,14 +786,18 @@ def mask_description(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scrub.masked_description(rn, 10_000 + F.col("o_orderkey") % 90_000).alias("text"))
 
 
-@query("SELECT o_custkey::VARCHAR AS doc_id, count(*) AS n, true AS consistent FROM orders GROUP BY o_custkey")
+@query(f"""{_SHEET_LINES} SELECT k::VARCHAR AS doc_id, row::INTEGER AS row, CASE WHEN row = 1 THEN 'Account No: {K.MASKS["account"]}' WHEN row > 5 THEN cells[1] || '|' || list_extract([{quoted(K.MASKED_DESCRIPTIONS)}], ((row - 7) % 13 + 1)::INTEGER) ELSE rtrim(array_to_string(cells, '|'), '|') END AS text,
+    row <= 5 OR cells[3] <> '' AS debits, true AS consistent FROM lines WHERE row NOT IN (3, 4, 1000000)""")
 def scrub_statements(spark, sf_dir):
-    """Masked sheets with new amounts: each balance still follows from the one before."""
+    """Masked sheets with new amounts: what is masked, what stays, and that each balance follows from the one before."""
     g = scrub.scrub_grid(statement_grids(spark, sf_dir), seed=5, randomize_amounts=True)
     cents = lambda i: T.to_units(T.parse_currency(F.get("cells", F.lit(i))))
-    rows = g.filter((F.col("row") > 5) & (F.col("row") < 1_000_000)).select("doc_id", "row", cents(2).alias("d"), cents(3).alias("c"), cents(4).alias("b"))
+    moves = F.col("row") > 5
+    rows = g.filter(~F.col("row").isin(3, 4, 1_000_000)).select("doc_id", "row", "cells", *[F.when(moves, cents(i)).alias(n) for i, n in ((2, "d"), (3, "c"), (4, "b"))])
     ok = F.coalesce(F.lag("b").over(Window.partitionBy("doc_id").orderBy("row")) + F.col("c") - F.col("d") == F.col("b"), F.lit(True))
-    return rows.withColumn("ok", ok).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("ok").alias("consistent"))
+    phrase = F.concat(F.get("cells", F.lit(0)), F.lit("|"), F.regexp_replace(F.get("cells", F.lit(1)), "[0-9]{5}$", ""))
+    text = F.when(moves, phrase).otherwise(F.rtrim(F.array_join("cells", "|"), F.lit("|")))
+    return rows.select("doc_id", F.col("row").cast("int").alias("row"), text.alias("text"), (~moves | (F.col("d") > 0)).alias("debits"), ok.alias("consistent"))
 
 
 # ---------------------------------------------------------------- reports
@@ -702,6 +833,62 @@ def flat_ledger(spark, sf_dir):
     return flat.withColumn("Dr/Cr", F.when(F.col("Withdrawal") > 0, F.col("Withdrawal")).otherwise(F.col("Cr")))
 
 
+@query(f"""WITH {_ledger_sql(False)} SELECT statement_id::VARCHAR AS doc_id, 0::BIGINT AS ord, CASE WHEN statement_id % 2 = 0 THEN 'Doc Date|Debit / Credit|Balance' ELSE 'Narration detail|Branch' END AS line FROM bounds
+    UNION ALL SELECT statement_id::VARCHAR, seq + 1, CASE WHEN statement_id % 2 = 0 THEN 'd' || seq || '|' || printf('%.2f', CASE WHEN debit > 0 THEN debit ELSE credit END / 100) || '|' || printf('%.2f', balance / 100) ELSE 'e' || event_id || '|x' || event_id END FROM ledger""")
+def flat_sheets(spark, sf_dir):
+    """Flat tables of all statements at once, each under its own target headers."""
+    rows, bounds = events_ledger(spark, sf_dir)
+    amount = lambda c: F.when(F.col(c) > 0, F.col(c) / 100)
+    e = F.col("event_id").cast("string")
+    tx = rows.select(
+        "statement_id", "seq", F.concat(F.lit("d"), F.col("seq").cast("string")).alias("transaction_date"), F.concat(F.lit("e"), e).alias("description"), amount("debit").alias("debit_amount"), amount("credit").alias("credit_amount"), (F.col("balance") / 100).alias("running_balance"),
+        F.lit("clean").alias("status"), F.lit(1.0).alias("confidence"), F.create_map(F.lit("5"), F.concat(F.lit("x"), e)).alias("additional_fields"), *[F.lit(None).cast("double").alias(f"universal_{c}") for c in ("debit", "credit", "balance")],
+    )
+    mapping = F.create_map(*[F.lit(x) for i, f in enumerate(K.FIELDS) for x in (f, i)])
+    info = bounds.select("statement_id", F.array(*map(F.lit, ["Date", "Details", "Withdrawals", "Deposits", "Balance", "Branch"])).alias("headers"), mapping.alias("mapping"))
+    names = F.when(F.col("statement_id") % 2 == 0, F.array(F.lit("Doc Date"), F.lit("Debit / Credit"), F.lit("Balance"))).otherwise(F.array(F.lit("Narration detail"), F.lit("Branch")))
+    targets = bounds.select("statement_id", F.posexplode(names).alias("ord", "target"))
+    return report.flat_rows(tx, targets, info).select(F.col("doc_id").cast("string").alias("doc_id"), "ord", F.array_join("cells", "|").alias("line"))
+
+
+@query(f"""{_SEEN}, c AS (SELECT statement_id, seq, CASE WHEN statement_id % 2 = 0 THEN balance - CASE WHEN event_id % 97 = 0 THEN {OFFSET} ELSE 0 END ELSE balance END AS balance, debit, credit, status FROM valid),
+    s AS (SELECT statement_id, count(*) FILTER (WHERE status <> 'clean') > 0 AS hit, count(*) AS n, count(*) FILTER (WHERE status <> 'clean') AS bad FROM valid GROUP BY 1)
+    SELECT statement_id, round(CASE WHEN hit AND statement_id % 2 = 0 THEN 1.0 ELSE (n - bad * 0.5) / n END, 6)::DOUBLE AS confidence, hit AND statement_id % 2 = 1 AS review_required, false AS flagged FROM s""")
+def correct_statements(spark, sf_dir):
+    """Accounts with wrong balances; those of even users are corrected, judged anew, and need no review any more."""
+    rows, bounds = events_ledger(spark, sf_dir, True)
+    judged = ledger.triage(ledger.validate(rows, bounds))
+    amount = lambda c: F.when(F.col(c) > 0, F.col(c) / 100)
+    empty = F.create_map(F.lit("9"), F.lit("x"))
+    tx = judged.select("statement_id", "seq", F.lit("01/02/2024").alias("transaction_date"), F.lit("").alias("description"), amount("debit").alias("debit_amount"), amount("credit").alias("credit_amount"), (F.col("balance") / 100).alias("running_balance"), F.col("triage").alias("status"), "confidence", empty.alias("additional_fields"), *[F.lit(None).cast("double").alias(f"universal_{c}") for c in ("debit", "credit", "balance")])
+    state = judged.groupBy("statement_id").agg(F.avg("confidence").alias("confidence"), F.bool_or(F.col("triage") != "clean").alias("review_required"))
+    headers = F.array(*map(F.lit, ["Date", "Details", "Debit", "Credit", "Cum Bal"]))
+    s = bounds.join(state, "statement_id").select("statement_id", (F.col("opening") / 100).alias("opening"), (F.col("closing") / 100).alias("closing"), F.lit(1.0).alias("rate"), headers.alias("headers"), F.create_map(*[F.lit(x) for i, f in enumerate(K.FIELDS) for x in (f, i)]).alias("mapping"), "confidence", "review_required", F.array().cast("array<string>").alias("anomaly_flags"))
+    right = rows.filter((F.col("event_id") % 97 == 0) & (F.col("statement_id") % 2 == 0)).select("statement_id", "seq", F.lit("Cum Balance").alias("key"), F.format_string("%.2f", (F.col("balance") - OFFSET) / 100).alias("value"))
+    none = spark.createDataFrame([], repair.LOG), spark.createDataFrame([], "statement_id long, page int, row int, raw_text string, reason string, review_required boolean")
+    done = corrections.correct(corrections.Stored(s, tx, *none), right)
+    return done.statements.select("statement_id", F.round("confidence", 6).alias("confidence"), "review_required", (F.size("anomaly_flags") > 0).alias("flagged"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN '0,0' ELSE '0,0;0,1;1,0' END AS cells FROM orders")
+def traversal_recovery(spark, sf_dir):
+    """Traversals that deviate are asked for again; every fifth gets no answer and keeps what was right."""
+    k, want = F.col("id") % 5, F.array(F.lit("0,0"), F.lit("0,1"), F.lit("1,0"))
+    got = F.when(k == 0, want).when(k == 1, F.array(F.lit("0,0"), F.lit("9,9"))).when(k == 2, F.array().cast("array<string>")).when(k == 3, F.array(F.lit("0,0"), F.lit("0,1"), F.lit("1,1"))).otherwise(F.array(F.lit("0,0"), F.lit("x")))
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).select("id", want.alias("expected"), got.alias("generated"))
+    out = header.recover(t, lambda q: q.filter("id % 5 <> 4").select("id", F.slice(want, F.size("prefix") + 1, F.lit(2)).alias("suffix")))
+    return out.select(F.col("id").alias("o_orderkey"), F.array_join("generated", ";").alias("cells"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 0 END AS n_flags, CASE WHEN o_orderkey % 3 = 1 THEN o_custkey END AS owner FROM orders")
+def stored_json(spark, sf_dir):
+    """Stored JSON texts; broken and absent ones are empty."""
+    k = F.col("o_orderkey") % 3
+    flags = F.when(k == 0, F.to_json(F.array("o_orderstatus", "o_orderpriority"))).when(k == 1, "[broken")
+    fields = F.when(k == 1, F.to_json(F.create_map(F.lit("owner"), F.col("o_custkey"))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(T.parsed_json(flags, "array<string>")).alias("n_flags"), F.try_element_at(T.parsed_json(fields, "map<string,bigint>"), F.lit("owner")).alias("owner"))
+
+
 @query("SELECT unnest(['Dr/Cr', 'Debit / Credit', 'Debit', 'A/B', 'Withdrawal/Deposit']) AS name, unnest([true, true, false, false, true]) AS combined")
 def combined_header(spark, sf_dir):
     h = spark.createDataFrame([("Dr/Cr",), ("Debit / Credit",), ("Debit",), ("A/B",), ("Withdrawal/Deposit",)], "name string")
@@ -785,7 +972,7 @@ def _laid_out(grid: DataFrame) -> DataFrame:
     return layout.grid_from_words(words)
 
 
-@query(f"{_SHEET_LINES} SELECT k::VARCHAR AS doc_id, (row - 5)::INTEGER AS row, array_to_string(cells, '|') AS line FROM lines WHERE row >= 5 AND row < 1000000")
+@query(f"{_SHEET_LINES} SELECT k::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY k ORDER BY row) - 1)::INTEGER AS row, array_to_string(cells, '|') AS line FROM lines WHERE row >= 5 AND row < 1000000")
 def grid_from_words(spark, sf_dir):
     """Every cell of every sheet is back in its place."""
     return _laid_out(statement_grids(spark, sf_dir)).select("doc_id", F.col("row").cast("int").alias("row"), F.array_join("cells", "|").alias("line"))
