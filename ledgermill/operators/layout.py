@@ -1,17 +1,20 @@
 """Tables from positioned words (doc_id, page, word_idx, text, x0, x1, top), where a page has no ruled table.
 
-Words form rows greedily in word order, which only a pass over a page can do (a page is a bounded group); everything
+Words form rows greedily in word order, which only a pass over a page can do (sorted pages stream through it); everything
 else is native: cells split at gaps, the header row gives column centres, cells go to the nearest centre.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import any_of
+from ..lineage import keep
 
 ROW_TOLERANCE, HEADER_GAP, BODY_GAP = 4.0, 15.0, 12.0
 WORDS = "doc_id string, page int, word_idx int, text string, x0 double, x1 double, top double, line_top double"
@@ -22,21 +25,26 @@ def reject_small_table(n_words: F.Column, n_rows: F.Column) -> F.Column:
     return (n_words > 100) & (n_rows < 8)
 
 
-def _lines(page: pd.DataFrame) -> pd.DataFrame:
-    tops: list[float] = []
-    own = []
-    for top in page.sort_values("word_idx")["top"]:
-        found = next((t for t in tops if abs(t - top) <= ROW_TOLERANCE), None)
-        if found is None:
-            tops.append(top)
-            found = top
-        own.append(found)
-    return page.sort_values("word_idx").assign(line_top=own)
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words of whole pages in word order, page after page; only a page's line tops are held."""
+    page, tops = None, []
+    for words in batches:
+        own = []
+        for doc, number, top in zip(words["doc_id"], words["page"], words["top"], strict=True):
+            if (doc, number) != page:
+                page, tops = (doc, number), []
+            found = next((t for t in tops if abs(t - top) <= ROW_TOLERANCE), None)
+            if found is None:
+                tops.append(top)
+                found = top
+            own.append(found)
+        yield words.assign(line_top=own)
 
 
 def lines(words: DataFrame) -> DataFrame:
     """Adds line_top: the top of the first word of the row that each word belongs to."""
-    return words.groupBy("doc_id", "page").applyInPandas(_lines, WORDS)
+    w = words.selectExpr(*[f"cast({c} as {t}) as {c}" for c, t in (x.split() for x in WORDS.split(", ")) if c != "line_top"])
+    return w.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "word_idx").mapInPandas(_lines, WORDS)
 
 
 def cells(lined: DataFrame, gap: float, running: bool = True) -> DataFrame:
@@ -80,7 +88,7 @@ def nearest(x: F.Column, centres: F.Column) -> F.Column:
 def grid_from_words(words: DataFrame) -> DataFrame:
     """A grid (doc_id, page, row, cells): with column centres each cell goes to the nearest one; pages without any keep
     their gap-split cells."""
-    lined = lines(words)
+    lined = keep(lines(words), "lines")  # read by headers, centres and cells
     body = cells(lined, BODY_GAP).join(column_centres(lined), ["doc_id", "page"])
     at = F.when(F.col("centres").isNotNull(), nearest((F.col("x0") + F.col("x1")) / 2, F.col("centres"))).otherwise(F.col("cell").cast("int"))
     placed = body.withColumn("col", at).groupBy("doc_id", "page", "line_top", "col").agg(
