@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# --- fixed values: what a profile says of every document, since nothing judges it
+NOT_JUDGED = {"garbage_value_ratio": 0.0, "line_readable": True, "header_structure": "single_row", "merged_cell_density": 0.0, "language": "single", "date_format_locale": "ambiguous", "numeric_format_locale": "ambiguous", "skew_or_rotation": False}
+
 
 def profile(files: DataFrame) -> DataFrame:
-    """Adds file_type, text_layer_present, table_border_type, layout_complexity, page_count and ocr_noise_level.
+    """Adds the fifteen fields of a document's profile; those of NOT_JUDGED have the same value for every document.
 
     files: path; for PDF files also n_pages, has_text, has_tables (null n_pages: the file could not be read).
     """
@@ -18,10 +21,12 @@ def profile(files: DataFrame) -> DataFrame:
     pdf, bad, sheet = F.col("file_type") == "pdf", (F.col("file_type") == "pdf") & F.col("p_").isNull(), F.col("file_type").isin("xlsx", "csv")
     return (
         f.withColumn("text_layer_present", F.when(sheet, True).when(pdf & ~bad, F.col("t_")).otherwise(False))
-        .withColumn("table_border_type", F.when(bad, "implicit").when(F.col("file_type") == "csv", "borderless").when(pdf & ~F.col("b_"), "borderless").when((F.col("file_type") == "xlsx") | pdf, "bordered").otherwise("implicit"))
+        .withColumn("table_border_type", F.when(bad, "implicit").when(F.col("file_type") == "csv", "borderless").when(pdf & ~F.col("b_"), "borderless").otherwise("bordered"))
         .withColumn("layout_complexity", F.when(sheet, "low").when(pdf & ~bad, "medium").otherwise("high"))
         .withColumn("page_count", F.when(pdf, F.coalesce("p_", F.lit(1))).otherwise(1))
         .withColumn("ocr_noise_level", F.when(bad, "high").otherwise("low"))
+        .withColumn("page_role_estimate", F.when(bad | (F.col("file_type") == "unknown"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(page_roles(F.col("page_count"))))
+        .withColumns({name: F.lit(value) for name, value in NOT_JUDGED.items()})
         .drop("p_", "t_", "b_")
     )
 

@@ -57,24 +57,31 @@ def apply(rows: DataFrame, log: DataFrame) -> DataFrame:
     return rows.drop("fix_field", "corrected_value")
 
 
-def repaired(rows: DataFrame, bounds: DataFrame, locale: str | Column = "period_decimal", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def repaired(rows: DataFrame, bounds: DataFrame, locale: str | Column = "period_decimal", strict: bool = False, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows, validated, with corrected cells, and the log of corrections; two rounds, one correction a statement in each.
 
     rows: statement_id, seq, debit_raw, credit_raw, balance_raw; bounds: statement_id, opening, closing in thousandths.
-    Every row is parsed and validated once; only changed statements are again.
+    Every row is parsed and validated once; only changed statements are again. held: takes the tables written on the way,
+    which the results read.
     """
+    held = [] if held is None else held
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        held.append(keep(df, name))
+        return held[-1]
+
     columns = [c for c in rows.columns if c not in ("opening", "closing")]
     bounds = bounds.select("statement_id", "opening", "closing")
     judge = lambda df: validate(parse_rows(df, SCALE, locale), bounds, SCALE)
-    out = keep(judge(rows.select(*columns)), "validated")
+    out = table(judge(rows.select(*columns)), "validated")
     log, changed = None, out
     for number in range(1, ROUNDS + 1):
-        fixes = keep(corrections(changed, number, locale, strict), "repairs")
+        fixes = table(corrections(changed, number, locale, strict), "repairs")
         log = fixes if log is None else log.unionByName(fixes)
         if fixes.isEmpty():
             break
         names = fixes.select("statement_id")
-        changed = keep(judge(apply(changed.join(names, "statement_id", "left_semi").select(*columns), fixes)), "revalidated")
+        changed = table(judge(apply(changed.join(names, "statement_id", "left_semi").select(*columns), fixes)), "revalidated")
         out = out.join(names, "statement_id", "left_anti").unionByName(changed)
     return out, log
 

@@ -112,7 +112,7 @@ def process(
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "row")) - 1
     rows = rows.withColumn("seq", seq.cast("int")).join(local.select("doc_id", "numeric_locale"), "doc_id").withColumnRenamed("doc_id", "statement_id")
     units = local.select(F.col("doc_id").alias("statement_id"), "opening", "closing")
-    checked, log = repair.repaired(rows, units, F.col("numeric_locale"), strict)
+    checked, log = repair.repaired(rows, units, F.col("numeric_locale"), strict, held)
     judged = table(ledger.triage(checked, log), "judged")
 
     line = grouping.body_text(F.col("cells"))
@@ -145,7 +145,7 @@ def _statements(info: DataFrame, judged: DataFrame, unparsed: DataFrame, units:
     problem = F.lit(None).cast("string")
     if documents is not None:
         seen = profile.profile(documents) if "path" in documents.columns else documents
-        method = profile.route(F.col("text_layer_present"), F.col("table_border_type"), F.col("layout_complexity"), F.lit(0.0), F.lit("single"), F.lit("single_row")) if "path" in documents.columns else F.lit(None).cast("string")
+        method = profile.route(F.col("text_layer_present"), F.col("table_border_type"), F.col("layout_complexity"), F.col("merged_cell_density"), F.col("language"), F.col("header_structure")) if "path" in documents.columns else F.lit(None).cast("string")
         error = F.col("error") if "error" in documents.columns else F.lit(None).cast("string")
         out = out.join(seen.select(F.col("doc_id").alias("statement_id"), method.alias("extraction_method"), error.alias("error")), "statement_id", "left")
         problem = F.col("error")

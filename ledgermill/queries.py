@@ -985,14 +985,16 @@ def grid_from_words_all(spark, sf_dir):
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 8 = 0 THEN 'full_pipeline_fallback' ELSE 'digital_text_borderless_table' END WHEN 1 THEN 'digital_text_simple_table' WHEN 2 THEN 'digital_text_borderless_table' ELSE 'irregular_or_merged_cells' END AS route,
-    page_id % 4 = 0 AND page_id % 9 > 5 AS retrieval FROM pages""")
+    page_id % 4 = 0 AND page_id % 9 > 5 AS retrieval, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 8 = 0 THEN 'bordered' ELSE 'borderless' END WHEN 2 THEN 'borderless' ELSE 'bordered' END AS table_border_type, 'ambiguous' AS date_format_locale,
+    CASE page_id % 4 WHEN 0 THEN greatest(page_id % 9, 1) WHEN 3 THEN 0 ELSE 1 END::INTEGER AS n_roles FROM pages""")
 def profile_route(spark, sf_dir):
     k = F.col("page_id") % 4
     ext = F.when(k == 0, ".pdf").when(k == 1, ".xlsx").when(k == 2, ".csv").otherwise(".txt")
     files = table(spark, sf_dir, "pages").select("page_id", F.concat("url", ext).alias("path"), (F.col("page_id") % 9).cast("int").alias("n_pages"), F.lit(True).alias("has_text"), (F.col("page_id") % 8 == 0).alias("has_tables"))
     p = profile.profile(files)
-    way = profile.route(F.col("text_layer_present"), F.col("table_border_type"), F.col("layout_complexity"), F.lit(0.0), F.lit("single"), F.lit("single_row"))
-    return p.select("page_id", way.alias("route"), profile.needs_retrieval(F.col("page_count")).alias("retrieval"))
+    way = profile.route(F.col("text_layer_present"), F.col("table_border_type"), F.col("layout_complexity"), F.col("merged_cell_density"), F.col("language"), F.col("header_structure"))
+    roles = F.size("page_role_estimate").alias("n_roles")
+    return p.select("page_id", way.alias("route"), profile.needs_retrieval(F.col("page_count")).alias("retrieval"), "table_border_type", "date_format_locale", roles)
 
 
 @query("SELECT conv_id, turn, CASE WHEN rn = 1 AND n > 1 THEN 'cover' ELSE 'transaction_table' END AS role FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)")
