@@ -37,13 +37,13 @@ LOOSE_WORDS = {"transaction_date": ["date", "posting"], "description": ["descrip
 KEY_COLUMN, AMOUNT_WORD = "vendors", "amount"
 
 
-def _workbook_rows(spark: SparkSession, content: bytes) -> tuple[DataFrame, list[str], int]:
-    """One row for each vendor and target header: ord, name, at, target, header; the target headers; the key column."""
+def _workbook_rows(spark: SparkSession, content: bytes) -> DataFrame:
+    """One row for each vendor and target header: ord, name, at, target, header; the key column is 'vendors', else the first."""
     rows = sheet_rows(content, SHEET)
     head = rows[0] if rows else []
     key_at = next((i for i, h in enumerate(head) if h.strip().lower() == KEY_COLUMN), 0)
     data = [(n, r[key_at], i, h, r[i]) for n, r in enumerate(rows[1:]) if r and r[key_at] for i, h in enumerate(head) if i != key_at and h]
-    return spark.createDataFrame(data, "ord int, name string, at int, target string, header string"), head, key_at
+    return spark.createDataFrame(data, "ord int, name string, at int, target string, header string")
 
 
 def workbook_tables(spark: SparkSession, content: bytes) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,8 +52,7 @@ def workbook_tables(spark: SparkSession, content: bytes) -> tuple[DataFrame, Dat
     A header takes the field that its words name best, the last such header wins; one that names an amount serves the
     other side too, unless that has its own. Then looser words fill what is missing.
     """
-    rows, _, _ = _workbook_rows(spark, content)
-    named = rows.withColumn("field", F.when(F.col("header") != "", workbook_field(F.col("header"))["field"]))
+    named = _workbook_rows(spark, content).withColumn("field", F.when(F.col("header") != "", workbook_field(F.col("header"))["field"]))
     order, low = F.col("at"), F.lower("header")
     last = lambda cond: F.max_by("header", F.when(cond, order))
     first = lambda cond: F.min_by("header", F.when(cond & (F.col("header") != ""), order))
@@ -62,9 +61,12 @@ def workbook_tables(spark: SparkSession, content: bytes) -> tuple[DataFrame, Dat
     loose = {f: any_of([low.contains(w) for w in words]) for f, words in LOOSE_WORDS.items()}
     by_vendor = named.groupBy("ord", "name").agg(
         *[c.alias(f) for f, c in direct.items()], *[F.when(some(c & (F.col("header") != "")), first(c)).alias(f"loose_{f}") for f, c in loose.items()],
-        F.when(some(low.contains(AMOUNT_WORD)), first(low.contains(AMOUNT_WORD))).alias("amount"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", "header")))).alias("output_columns"),
+        F.when(some(low.contains(AMOUNT_WORD)), first(low.contains(AMOUNT_WORD))).alias("amount"), F.collect_list(F.struct("at", "target", "header")).alias("shown"),
         F.when(some(F.col("field").isin("debit_amount", "credit_amount")), F.min_by("header", F.when(F.col("field").isin("debit_amount", "credit_amount"), order))).alias("first_amount"),
     )
+    # of target headers of one name the last holds
+    held = F.filter("shown", lambda x: ~F.exists("shown", lambda y: (y["target"] == x["target"]) & (y["at"] > x["at"])))
+    by_vendor = by_vendor.withColumn("output_columns", F.map_from_entries(F.transform(held, lambda x: F.struct(x["target"].alias("key"), x["header"].alias("value")))))
     for f in LOOSE_WORDS:
         by_vendor = by_vendor.withColumn(f, F.coalesce(f, f"loose_{f}"))
     for f in ("debit_amount", "credit_amount"):
