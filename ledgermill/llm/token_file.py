@@ -114,13 +114,15 @@ def decode_blocks(freq: np.ndarray, offsets: np.ndarray, states: np.ndarray, wor
     return ids[: max(0, min(n_ids, last * size) - first * size)]
 
 
-def _shard(part: int, shard: int, doc_ids: list, coded: list[np.ndarray], vocabulary: int) -> pa.RecordBatch:
-    ids = np.concatenate(coded).astype("<u4")
+def _shard(part: int, shard: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], vocabulary: int) -> pa.RecordBatch:
+    """The row of a shard of (doc_ids, lengths, ids) that follow each other."""
+    doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+    ids = ids.astype("<u4")
     freq = frequencies(ids, vocabulary)
     offsets, states, crcs, words = encode_ids(ids, freq)
     row = {
         "part": part, "shard": shard, "n_ids": len(ids), "vocabulary": vocabulary, "table": zlib.compress(freq.astype("<u4").tobytes(), 6),
-        "doc_ids": np.array(doc_ids, "<i8").tobytes(), "lengths": np.array([len(x) for x in coded], "<u4").tobytes(),
+        "doc_ids": doc_ids.astype("<i8").tobytes(), "lengths": lengths.astype("<u4").tobytes(),
         "offsets": offsets.tobytes(), "states": states.astype("<u8").tobytes(), "crcs": crcs.tobytes(), "words": words.astype("<u4").tobytes(),
     }
     return rows_table(SCHEMA, [row]).to_batches()[0]
@@ -129,21 +131,24 @@ def _shard(part: int, shard: int, doc_ids: list, coded: list[np.ndarray], vocabu
 def _write(path: str, end_id: int, vocabulary: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, shard = Encoder.of(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], coder.dtype)
-        doc_ids, coded, held = [], [], 0
+        held, n = [], 0
         for batch in batches:
             for a, b in portions(batch.column(1), 12_000_000):
                 rows = batch.slice(a, b - a)
                 ids, offsets = coder.encode(rows.column(1))
-                for d, s, e in zip(rows.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    doc_ids.append(NONE if d is None else d)
-                    coded.append(np.concatenate([ids[s:e], end]))
-                    held += e - s + 1
-                    if held >= shard_ids:
-                        yield _shard(part, shard, doc_ids, coded, vocabulary)
-                        doc_ids, coded, held, shard = [], [], 0, shard + 1
-        if coded:
-            yield _shard(part, shard, doc_ids, coded, vocabulary)
+                keys, lengths = rows.column(0).fill_null(NONE).to_numpy(zero_copy_only=False), np.diff(offsets) + 1
+                ids = np.insert(ids, offsets[1:], end_id)  # behind each document
+                while n + len(ids) >= shard_ids:  # the document that fills a shard is its last
+                    ends = np.cumsum(lengths)
+                    k = int(np.searchsorted(ends, shard_ids - n)) + 1
+                    yield _shard(part, shard, [*held, (keys[:k], lengths[:k], ids[: ends[k - 1]])], vocabulary)
+                    keys, lengths, ids = keys[k:], lengths[k:], ids[ends[k - 1] :]
+                    held, n, shard = [], 0, shard + 1
+                if len(keys):
+                    held.append((keys, lengths, ids))
+                    n += len(ids)
+        if held:
+            yield _shard(part, shard, held, vocabulary)
         tidy()
 
     return run
