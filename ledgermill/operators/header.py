@@ -12,11 +12,7 @@ from ..functions.text import alias_field, field_of_normal, header_like, headers_
 from ..lineage import keep, once
 from .grouping import column_of
 from .retrieval import cosine
-
-#: Mean score from which an unnamed document's header row names a vendor.
-INLINE = 0.95
-#: Rows of a registry's columns that are broadcast; beyond that they are joined.
-MOST_COLUMNS = 200_000
+from .vendor import INLINE, MOST_COLUMNS
 
 
 def scored_fields(cells: F.Column) -> F.Column:

@@ -11,6 +11,8 @@ from ..lineage import keep, once
 
 #: Okapi's constants, the share of the mean idf that stands for negative ones, and the cut below the best page.
 K1, B, EPSILON, CUT = 1.5, 0.75, 0.25, 0.4
+#: Reference vectors that are broadcast.
+MOST_ANCHORS = 10_000
 
 
 def bm25(pages: DataFrame, query: list[str] | None = None) -> DataFrame:
@@ -54,7 +56,8 @@ def cosine(a: F.Column, b: F.Column) -> F.Column:
 def nearest_label(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
     """id, label, score: the label whose anchors have the highest cosine with each vector; the least label on ties.
 
-    anchors(label, anchor) are few: a fixed set of reference vectors.
+    anchors(label, anchor): a fixed set of reference vectors, broadcast while there are at most MOST_ANCHORS.
     """
-    best = vectors.join(anchors, F.lit(True)).groupBy("id", "label").agg(F.max(F.round(cosine(F.col("vector"), F.col("anchor")), 9)).alias("score"))
+    fixed = F.broadcast(anchors) if anchors.count() <= MOST_ANCHORS else anchors
+    best = vectors.join(fixed, F.lit(True)).groupBy("id", "label").agg(F.max(F.round(cosine(F.col("vector"), F.col("anchor")), 9)).alias("score"))
     return best.groupBy("id").agg(F.max(F.struct("score", (-F.col("label")).alias("label"))).alias("b")).select("id", (-F.col("b.label")).alias("label"), F.col("b.score").alias("score"))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.text import header_score, squeeze
 
 STRUCTURE, INLINE = 0.80, 0.95
-#: Aliases that one automaton holds: some 100 MB at most.
-MOST_ALIASES = 500_000
+#: Aliases that one automaton holds (some 100 MB at most), and registered headers that are broadcast.
+MOST_ALIASES, MOST_COLUMNS = 500_000, 200_000
 SUFFIX = r"(?i)\.(xlsx|xls|pdf|csv)"
 
 
@@ -59,29 +59,25 @@ def match_aliases(docs: DataFrame, vendors: DataFrame, aliases: DataFrame) -> Da
 
 
 def structure_scores(headers: DataFrame, columns: DataFrame) -> DataFrame:
-    """doc_id, vendor_key, score, matched, n_columns: how well a document's header cells fit each vendor's headers.
+    """doc_id, vendor_key, score: how well a document's header cells fit each vendor's headers.
 
     headers: doc_id, header (one row a cell). A vendor's score is the mean over its headers of the best cell's score.
     Each distinct text is scored once against the registry; only pairs that score meet the documents again.
     """
     cells = headers.filter(F.trim("header") != "").select("doc_id", "header").distinct()
     texts = cells.select("header").distinct()
-    pairs = texts.join(columns.withColumnRenamed("header", "wanted"), F.lit(True)).withColumn("s", header_score(F.col("header"), F.col("wanted"))).filter("s > 0")
+    registered = columns.withColumnRenamed("header", "wanted")
+    registered = F.broadcast(registered) if registered.count() <= MOST_COLUMNS else registered
+    pairs = texts.join(registered, F.lit(True)).withColumn("s", header_score(F.col("header"), F.col("wanted"))).filter("s > 0")
     best = cells.join(pairs, "header").groupBy("doc_id", "vendor_key", "ord", "field").agg(F.max("s").alias("best"))
-    sums = best.groupBy("doc_id", "vendor_key").agg(F.sum("best").alias("total"), F.count("*").alias("matched"), F.bool_or(F.col("field") == "transaction_date").alias("dated"))
     sizes = columns.groupBy("vendor_key").agg(F.count("*").alias("n_columns"))
-    return sums.join(sizes, "vendor_key").select("doc_id", "vendor_key", (F.col("total") / F.col("n_columns")).alias("score"), "matched", "n_columns", "dated")
+    sums = best.groupBy("doc_id", "vendor_key").agg(F.sum("best").alias("total")).join(sizes, "vendor_key")
+    return sums.select("doc_id", "vendor_key", (F.col("total") / F.col("n_columns")).alias("score"))
 
 
-def match_structure(headers: DataFrame, vendors: DataFrame, columns: DataFrame, threshold: float = STRUCTURE, strict: bool = False) -> DataFrame:
-    """doc_id, vendor_key, score of the best-fitting vendor (the first on ties) at the threshold or above.
-
-    strict: only vendors of four headers or more of which all but one (three at least) and the date are matched.
-    """
-    s = structure_scores(headers, columns)
-    if strict:
-        s = s.filter(F.col("dated") & (F.col("n_columns") >= 4) & (F.col("matched") >= F.greatest(F.lit(3), F.col("n_columns") - 1)))
-    s = s.join(vendors.select("vendor_key", F.col("ord").alias("vendor_ord")), "vendor_key").filter(F.round("score", 9) >= threshold)
+def match_structure(headers: DataFrame, vendors: DataFrame, columns: DataFrame, threshold: float = STRUCTURE) -> DataFrame:
+    """doc_id, vendor_key, score of the best-fitting vendor (the first on ties) at the threshold or above."""
+    s = structure_scores(headers, columns).join(vendors.select("vendor_key", F.col("ord").alias("vendor_ord")), "vendor_key").filter(F.round("score", 9) >= threshold)
     first = Window.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), "vendor_ord")
     return s.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("doc_id", "vendor_key", "score")
 
