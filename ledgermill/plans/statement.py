@@ -1,7 +1,7 @@
 """From grids to validated statements: header, body, records, metadata, vendor, validation, repair, triage, conversion.
 
-Everything is keyed by doc_id; the whole plan runs for any number of documents at once. Four tables are written on the
-way (grid, facts of documents, headers, rows), and those of repair; Statements.discard() deletes them.
+Everything is keyed by doc_id; the whole plan runs for any number of documents at once. Six tables are written on the
+way (grid, facts, headers, documents, records, judged rows), and those of repair; Statements.discard() deletes them.
 """
 
 from __future__ import annotations
