@@ -174,8 +174,9 @@ class Chain:
             part = [cores[i] for i in own.tolist()]
             ids, real = word_features(part)
             e = np.zeros((len(part), n), np.float32)
-            for k in range(ids.shape[1]):
-                e += self.weight[ids[:, k]] * real[:, k : k + 1]
+            step = max(1, 65_536 // len(part))  # columns at once: one for many words, many for a very long word
+            for k in range(0, ids.shape[1], step):
+                e += (self.weight[ids[:, k : k + step]] * real[:, k : k + step, None]).sum(1, dtype=np.float32)
             mask = np.fromiter(map(self.lexicon.get, part, [0] * len(part)), np.int64, len(part))
             out[own] = e + (mask[:, None] >> np.arange(n) & 1).astype(np.float32) @ self.lexical
         return np.exp(out - out.max(1, keepdims=True)), np.fromiter(map(bool, cores), bool, len(cores))
