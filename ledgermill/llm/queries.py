@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, language_model, mixing, packing, quality_classifier, quality_rules, token_counts, token_file
+from . import collocations, exact_dedup, importance, jaccard_join, language_id, language_model, mixing, packing, quality_classifier, quality_rules, token_counts, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=1, most=1, buckets=10_000, percent=10, least_words=20, seed="2024")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"), most=3, support=10, percent=50, first=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -130,4 +140,73 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, source, epoch::INTEGER AS epoch, block, block_offset + before AS stream_offset, n_tokens, round(weight, 9) AS weight
         FROM within JOIN streams USING (s, block) WHERE block_offset + before + n_tokens <= quota""",
+    "op11_importance_resampling": r"""
+        WITH crc AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS entries
+            FROM range(256) r(i)
+        ), d AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), own AS (
+            SELECT row, feature, count(*) AS n FROM (SELECT row, unnest(words) AS feature FROM d) GROUP BY row, feature
+        ), wanted AS (
+            SELECT feature, count(*) AS t FROM (
+                SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS feature
+                FROM benchmark) GROUP BY feature
+        ), dictionary AS (
+            SELECT feature, hex(encode(feature)) AS h, coalesce(s, 0) AS s, coalesce(t, 0) AS t
+            FROM (SELECT feature, sum(n) AS s FROM own GROUP BY feature) FULL JOIN wanted USING (feature)
+        ), hashed AS (
+            SELECT feature, s, t, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)),
+                   lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8))) % 10000 AS bucket
+            FROM dictionary, crc
+        ), buckets AS (
+            SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM hashed GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM buckets
+        ), sums AS (
+            SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM own JOIN hashed USING (feature) JOIN gains USING (bucket) GROUP BY row
+        ), scored AS (
+            SELECT row, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+                   coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+                   ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+            FROM d LEFT JOIN sums USING (row)
+        ), final AS (
+            SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored
+        ), placed AS (
+            SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () * 10 // 100 AS drawn FROM final WHERE n_words >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM final LEFT JOIN placed USING (row)""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), tokens AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+        ), runs AS (
+            SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM tokens, range(1, 4) r(k) WHERE len(w) >= k
+        ), f AS (
+            SELECT lang, phrase, k, count(*) AS n FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM runs) GROUP BY lang, phrase, k
+        ), frequent AS (
+            SELECT *, string_split(phrase, ' ') AS w FROM f WHERE n >= 10
+        ), cuts AS (
+            SELECT lang, phrase, w, k, n AS a, unnest(range(1, k)) AS c FROM frequent WHERE k > 1
+        ), scored AS (
+            SELECT x.lang, x.phrase, x.k, x.a, x.c, l.n AS l, r.n AS r, (1000000::HUGEINT * x.a * x.a) // (l.n::HUGEINT * r.n) AS score
+            FROM cuts x JOIN frequent l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.c], ' ')
+            JOIN frequent r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.c + 1:], ' ')
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+        ), inside AS (
+            SELECT lang, phrase, max(n) AS longer FROM (
+                SELECT lang, array_to_string(w[1:2], ' ') AS phrase, n FROM frequent WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), n FROM frequent WHERE k = 3
+            ) GROUP BY lang, phrase
+        ), kept AS (
+            SELECT s.* FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase WHERE longer IS NULL OR 100 * longer < 50 * a
+        ), totals AS (
+            SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }
