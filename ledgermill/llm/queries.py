@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, importance, jaccard_join, language_id, language_model, mixing, packing, quality_classifier, quality_rules, token_counts, token_file
+from . import collocations, exact_dedup, importance, jaccard_join, language_id, language_model, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=1, most=1, buckets=10_000, percent=10, least_words=20, seed="2024")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), width=50)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"), most=3, support=10, percent=50, first=2000)
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_collocations": op13_collocations,
 }
 
@@ -178,6 +183,26 @@ ORACLES: dict[str, str] = {
             SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () * 10 // 100 AS drawn FROM final WHERE n_words >= 20
         )
         SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM final LEFT JOIN placed USING (row)""",
+    "op12_suffix_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), strings AS (
+            SELECT row, o, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT row, o, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d)
+        ), hits AS (
+            SELECT row, p FROM strings JOIN (SELECT s, min(o) AS least, max(o) AS most FROM strings GROUP BY s HAVING least < most) USING (s) WHERE least < o
+        ), marked AS (
+            SELECT row, p, p > 50 + lag(p, 1, -51) OVER (PARTITION BY row ORDER BY p) AS opens FROM hits
+        ), numbered AS (
+            SELECT row, p, sum(opens::INT) OVER (PARTITION BY row ORDER BY p) AS span FROM marked
+        ), spans AS (
+            SELECT row, span, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY row, span
+        ), kept AS (
+            SELECT row, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS k
+            FROM (SELECT row, a, b, lag(b, 1, 0) OVER (PARTITION BY row ORDER BY a) AS before FROM spans) JOIN d USING (row) GROUP BY row
+        )
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE k || substr(h, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN kept USING (row)""",
     "op13_collocations": r"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
