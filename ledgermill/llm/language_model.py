@@ -202,7 +202,7 @@ def _score(plan: Plan, n: int, v: int, weights: np.ndarray):
 
 
 def _dealt(docs: DataFrame, plan: Plan, role: Column) -> DataFrame:
-    h = F.xxhash64("doc_id", F.lit(SEED + 1))
+    h = F.xxhash64("doc_id", "text", F.lit(SEED + 1))  # rows of one doc_id, or none, are dealt by their texts
     block = F.when(role == DELETE, plan.blocks + F.pmod(h, F.lit(plan.deleted_blocks))).otherwise(F.pmod(h, F.lit(plan.blocks)))
     return fields(docs, "doc_id", "text").select(block.cast("int").alias("block"), "doc_id", role.cast("int").alias("role"), "text")
 
