@@ -8,7 +8,7 @@ the smaller of its two l. Tokens that no other class has enter no list. Shared t
 a pair is verified on its whole sets. A 128-bit parity bitmap of each set, whose Hamming distance never exceeds the sets'
 symmetric difference, drops most hopeless pairs where they arise.
 
-Frequencies are counted over all documents: these are dealt to blocks of bounded size by a hash of doc_id, a block asks
+Frequencies are counted over all documents: these are dealt to blocks of bounded size by a hash of doc_id and text, a block asks
 key ranges for its tokens with sorted, delta-coded keys, and gets logarithms of frequencies in the order it asked. Keys
 are hashes cut to a few bits more than the corpus's tokens need, so a frequency may be too large, never too small.
 
@@ -399,7 +399,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _membership(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, text_key (a hash of the text), n_shingles and cls of every row; cls, its component and component_id."""
     plan = Plan(docs)
-    block = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(plan.blocks)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(plan.blocks)).cast("int").alias("block")  # rows of one doc_id, or none, are dealt by their texts
     rows = fields(docs, "doc_id", "text").select(block, "doc_id", F.xxhash64("text").alias("text_key"), "text")
     survey = save(rows.groupBy("block").applyInArrow(_survey(width, plan), SURVEY), "join-survey")
     own = save(survey.filter("doc").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "cls"), "join-documents")
