@@ -1,10 +1,10 @@
 """Packing of token ids into fixed sequences: first-fit decreasing over a tournament tree, in randomised groups.
 
-Each document goes to a group by a keyed hash of its doc_id, so groups are alike whatever the sources, and each is
-packed on its own in bounded memory. In a group, whole sequences are cut off long documents first; what is left is
+Each document goes to a group by a keyed hash of its doc_id and text, so groups are alike whatever the sources, and each
+is packed on its own in bounded memory. In a group, whole sequences are cut off long documents first; what is left is
 placed by first-fit decreasing, where a tournament tree over bin capacities finds the leftmost bin that fits in
-logarithmic time. Then the emptiest bins give their tokens, cut where needed, to the gaps of the fullest, so that at
-most one sequence of a group is not full.
+logarithmic time. That decides which documents lie together. A second step decides the padding: the emptiest bins give
+their tokens, cut where needed, to the gaps of the fullest, so that at most one sequence of a group is not full.
 
 Cases: null and empty texts are documents of the end id alone; rows with the same doc_id are packed each (in the order
 of their ids); a document longer than a sequence is cut; an empty table gives no pieces; other columns are ignored.
@@ -129,7 +129,7 @@ def _pack(dtype: str, capacity: int, with_ids: bool):
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, group_mb: float = GROUP_MB) -> DataFrame:
     """Pieces of all documents and their places in sequences; with_ids adds each piece's ids (little-endian 32 bits)."""
     groups = pieces(text_bytes(docs), group_mb)
-    keyed = fields(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(groups)).cast("int").alias("grp"), "doc_id", "text")
+    keyed = fields(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(groups)).cast("int").alias("grp"), "doc_id", "text")
     coded = keyed.mapInArrow(_encode(tokenizer, end_id), "grp int, doc_id long, ids binary")
     dtype = id_type(vocabulary_size(tokenizer)).str
     return coded.groupBy("grp").applyInArrow(_pack(dtype, capacity, with_ids), PIECES + ", ids binary" * with_ids)
