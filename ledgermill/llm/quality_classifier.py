@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import M1, crc_of_id, fields, mix64, release
@@ -156,18 +156,28 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a * self.margin(row) + b, -30, 30))))
 
 
+def fitting(rows: list[tuple[int, int, int]], room: int) -> list[tuple[int, int]]:
+    """Of rows (doc_id, label, bytes) in their order, those that fit in the room left by the ones before; others are passed over."""
+    out = []
+    for doc_id, label, size in rows:
+        if size <= room:
+            room -= size
+            out.append((doc_id, int(label)))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from the rows whose crc32(doc_id) mod 5 is not 0; at most SAMPLE of them and SAMPLE_MB of their texts, in
-    the order of a hash of the id."""
+    the order of a hash of the id; a text that doesn't fit any more is passed over, smaller ones after it are not."""
     known = fields(labels, "doc_id", "quality").filter(F.col("quality").isin(0, 1) & (crc_of_id() % 5 != 0))
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.col("quality")]
     chosen = known.distinct().orderBy(*order).limit(SAMPLE)
     texts = fields(docs, "doc_id", "text")
-    # sums of sizes over at most SAMPLE labels: which of them fit in SAMPLE_MB together
     sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"))
-    upto = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    fitting = sizes.withColumn("upto", upto).filter(F.col("upto") <= int(SAMPLE_MB * 1e6)).select("doc_id", "quality")
-    rows = texts.join(F.broadcast(fitting), "doc_id").select(F.col("quality").cast("int").alias("label"), "text")
+    # at most SAMPLE rows of three numbers: which of them fit in SAMPLE_MB together
+    picked = fitting([(r["doc_id"], r["quality"], r["bytes"]) for r in sizes.orderBy(*order).collect()], int(SAMPLE_MB * 1e6))
+    fit_in = docs.sparkSession.createDataFrame(picked, "doc_id long, quality int")
+    rows = texts.join(F.broadcast(fit_in), "doc_id").select(F.col("quality").cast("int").alias("label"), "text")
     got = rows.mapInArrow(_features, "label int, features binary").toArrow()
     # one array for all rows, in an order that doesn't depend on the partitions
     blobs = got["features"].combine_chunks()
