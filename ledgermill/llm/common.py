@@ -90,6 +90,14 @@ def crc_of_id(col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, whatever no column of df is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, in this order: columns beside them, whatever their names, have no effect."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, SPACE, fields, mix64, save
+from .common import M1, SPACE, fields, free_name, mix64, save
 from .packed import rows_table
 
 #: In winners where a group has no doc_id (named tells it from a real one): after all others.
@@ -187,10 +187,10 @@ def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that dedup() keeps, with all their columns; of rows that repeat doc_id (or its lack) and text, one."""
     found = save(dedup(docs), "dedup-result")
-    key = "digest__"
-    gone = found.filter("NOT kept").select("doc_id", F.unhex("text_sha256").alias(key)).distinct()
+    key = free_name(docs, "digest")
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest")).distinct()
     left = docs.withColumn(key, _digest())
-    on = left["doc_id"].eqNullSafe(gone["doc_id"]) & (left[key] == gone[key])
+    on = left["doc_id"].eqNullSafe(gone["gone_id"]) & (left[key] == gone["gone_digest"])
     out = left.join(gone, on, "left_anti")
     if not found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", key])
