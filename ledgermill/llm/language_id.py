@@ -34,7 +34,7 @@ from .words import coded_words, hash_word
 #: Documents a language and windows of words a document that are learned, hashed features, and the training's settings.
 PER_LANGUAGE, WINDOWS, WINDOW, BITS, SEED = 600, 3, 32, 18, 13
 LENGTH, BATCH, EPOCHS, RATE, DECAY = 64, 64, 3, 0.15, 1e-6
-#: Letters of a word that is learned from at most; positions of a block; characters whose features are looked up at once.
+#: Longer words (of scripts without spaces) are learned from as pieces of so many characters; positions of a block; characters whose features are looked up at once.
 LONG, BLOCK, TOGETHER = 40, 64, 320_000
 UNKNOWN = "und"
 
@@ -92,7 +92,7 @@ class Chain:
         n, at = len(self.langs), {lang: i for i, lang in enumerate(self.langs)}
         if n < 2:
             return self
-        windows = [(lang, [w for w in words if len(w) <= LONG]) for lang, words in windows]
+        windows = [(lang, [w[i : i + LONG] for w in words for i in range(0, len(w), LONG)]) for lang, words in windows]
         counts: list[Counter] = [Counter() for _ in range(n)]
         for lang, words in windows:
             counts[at[lang]].update(core(w) for w in words)
