@@ -4,8 +4,8 @@ Token shares p of the sources become weights p**a / sum(p**a). The exponent a in
 largest whose entropy is still the target share of log(number of sources), raised where some source would otherwise be
 repeated beyond the limit (the limit wins). A source's weight times the budget is its quota of tokens. Its documents
 lie in blocks of bounded size; each epoch permutes the blocks by a keyed hash, documents keep a hashed order in their
-block, and the stream of epochs is cut where the quota is met, at whole documents. Only counted blocks meet in a window
-over a source; documents meet in windows over one block.
+block, and the stream of epochs is cut where the quota is met, at whole documents. Only sums of stretches of blocks
+meet in a window over a source; blocks meet in windows over a stretch, documents in windows over a block.
 
 Cases: null text counts as empty; null source is a source of its own; a source without tokens has weight 0 and its
 documents come once; rows with the same doc_id come each; ties of the hash are ordered by size; an empty table gives no
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, fields, save
 
-#: About how many documents a block has, and halvings of the exponent's interval.
-BLOCK_DOCS, HALVINGS = 1000, 40
+#: About how many documents a block has, halvings of the exponent's interval, and hexadecimal digits of the blocks' order
+#: that make a stretch of it (16**STRETCH stretches a source at most).
+BLOCK_DOCS, HALVINGS, STRETCH = 1000, 40, 3
 
 _ENTROPY = """(aggregate(p, struct(0D as z, 0D as e), (s, x) -> struct(s.z + pow(x, {a}) as z, s.e + pow(x, {a}) * ln(x) as e),
     s -> ln(s.z) - {a} * s.e / s.z))"""
@@ -59,7 +60,8 @@ def weights(sources: DataFrame, budget_share: float, entropy: float, repeats: fl
 def _counted(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
     """Documents with their counts, source key s and hash h that orders them; totals (s, tokens, n_docs). Both are saved."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    d = token_counts(docs).select("*", key.alias("s"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary")).alias("h"))
+    unnamed = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))  # rows without doc_id, however many, lie in many blocks
+    d = token_counts(docs).select("*", key.alias("s"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), unnamed)).cast("binary")).alias("h"))
     d = save(d, "mix-counts")
     return d, save(d.groupBy("s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "mix-totals")
 
@@ -78,8 +80,14 @@ def _placed(d: DataFrame, totals: DataFrame, budget_share: float, entropy: float
     sizes = d.groupBy("s", "block").agg(F.sum("n_tokens").alias("size"))
     epochs = sizes.join(totals, "s").select("s", "block", "size", "tokens", "quota", F.explode(F.sequence(F.lit(0), F.coalesce(F.floor(F.try_divide("quota", "tokens")), F.lit(0)).cast("int"))).alias("epoch"))
     order = F.md5(F.concat_ws("|", F.lit(seed), "s", "block", "epoch").cast("binary"))
-    before = F.sum("size").over(Window.partitionBy("s", "epoch").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1))
-    epochs = epochs.select("s", "block", "epoch", "quota", (F.col("epoch") * F.col("tokens") + F.coalesce(before, F.lit(0))).alias("block_offset"))
+    # prefix sums in two steps, so that no window has all blocks of a source: within stretches of the order, and over stretches
+    epochs = epochs.withColumn("order", order).withColumn("stretch", F.substring("order", 1, STRETCH))
+    stretches = epochs.groupBy("s", "epoch", "stretch").agg(F.sum("size").alias("size"))
+    earlier = F.sum("size").over(Window.partitionBy("s", "epoch").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    stretches = stretches.select("s", "epoch", "stretch", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    before = F.sum("size").over(Window.partitionBy("s", "epoch", "stretch").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1))
+    epochs = epochs.withColumn("before", F.coalesce(before, F.lit(0))).join(stretches, ["s", "epoch", "stretch"])
+    epochs = epochs.select("s", "block", "epoch", "quota", (F.col("epoch") * F.col("tokens") + F.col("earlier") + F.col("before")).alias("block_offset"))
     epochs = epochs.filter(F.col("block_offset") <= F.col("quota"))
     within = F.sum("n_tokens").over(Window.partitionBy("s", "block").orderBy("h", "n_tokens", "text_key").rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("within", F.coalesce(within, F.lit(0)))

@@ -101,7 +101,7 @@ ORACLES: dict[str, str] = {
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
     "op9_mixing": r"""
         WITH RECURSIVE d AS (
-            SELECT doc_id, source, coalesce('=' || source, '-') AS s, md5('mix|' || coalesce(doc_id::VARCHAR, '-')) AS h,
+            SELECT doc_id, source, coalesce('=' || source, '-') AS s, md5('mix|' || coalesce(doc_id::VARCHAR, '-' || (row_number() OVER () - 1)::VARCHAR)) AS h,
                    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
             FROM documents
         ), totals AS (
