@@ -42,6 +42,12 @@ def parse_currency(c: Column, locale: str | Column = "period_decimal") -> Column
     return F.coalesce(F.when(refused, F.lit(0.0)).when(wrapped, -F.abs(value)).otherwise(value), F.lit(0.0))
 
 
+def plain_number(c: Column) -> Column:
+    """A double's digits without an exponent, as parse_currency() reads them; null stays null."""
+    written = F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), r"(\.\d+?)0*$", "$1")
+    return F.when(F.abs(c).between(1e-3, 9_999_999.0) | (c == 0), c.cast("string")).when(c.isNotNull(), F.coalesce(written, F.format_string("%.1f", c)))
+
+
 def to_units(amount: Column, scale: int = 100) -> Column:
     """Whole units (cents by default) of an amount, so that sums are exact."""
     return F.round(amount * scale).cast("long")

@@ -38,6 +38,14 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, whatever no column of df is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once a row: as a generator's output they can't be copied into later filters,
     which would evaluate a long expression again wherever it is named."""

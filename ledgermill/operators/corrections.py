@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import convert, optional_amount, to_units
+from ..functions.text import convert, optional_amount, plain_number, to_units
 from . import ledger, repair
 from .export import resolved
 
@@ -63,7 +63,7 @@ def correct(stored: Stored, corrections: DataFrame) -> Stored:
     replaced, confidence, review and flags set again; all other statements stay as they are."""
     found = resolve(corrections, stored.statements, stored.transactions)
     names = found.select("statement_id").distinct()
-    show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    show = lambda c: F.coalesce(plain_number(F.col(c)), F.lit(""))
     rows = changed_rows(stored.transactions, found)
     raw = rows.select("statement_id", "seq", "transaction_date", "description", "additional_fields", show("debit_amount").alias("debit_raw"), show("credit_amount").alias("credit_raw"), show("running_balance").alias("balance_raw"))
     mine = stored.statements.join(names, "statement_id", "left_semi")

@@ -33,7 +33,7 @@ def detail(status: Column, raw: Column, corrected: Column, reason: Column) -> Co
 
 def summary(statements: DataFrame, transactions: DataFrame) -> DataFrame:
     """Metadata, invariants and totals of each statement as rows of its first sheet."""
-    sums = transactions.groupBy("statement_id").agg(*[F.round(F.sum(f"{k}_amount") * 100).cast("long").alias(k) for k in ("debit", "credit")])
+    sums = transactions.groupBy("statement_id").agg(*[F.sum(F.round(F.col(f"{k}_amount") * 100).cast("long")).alias(k) for k in ("debit", "credit")])
     s = statements.join(sums, "statement_id", "left").fillna(0, ["debit", "credit"])
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     calculated = cents("opening") + F.col("credit") - F.col("debit")
@@ -63,7 +63,9 @@ def ledger_rows(transactions: DataFrame, repairs: DataFrame) -> DataFrame:
 
 def audit_sheet(repairs: DataFrame, unparsed: DataFrame) -> DataFrame:
     """Repairs and unparsed lines as rows of the second sheet; statements without either have none."""
-    r = repairs.select(F.col("statement_id").alias("doc_id"), (F.lit(REPAIRS + 2) + F.col("seq") * 4).cast("long").alias("ord"), F.array(F.format_string("transactions[%d].%s", "seq", "field"), "raw_value", "corrected_value", "reason", F.col("confidence").cast("string")).alias("cells"))
+    # a row has three amounts, and each may be repaired in either round, which ends the reason
+    place = F.col("seq").cast("long") * 8 + F.array_position(F.array(*map(F.lit, K.AMOUNT_FIELDS)), F.col("field")) * 2 + F.coalesce(F.regexp_extract("reason", r"(\d)$", 1).try_cast("int"), F.lit(0)) - 2
+    r = repairs.select(F.col("statement_id").alias("doc_id"), (F.lit(REPAIRS + 2) + place).cast("long").alias("ord"), F.array(F.format_string("transactions[%d].%s", "seq", "field"), "raw_value", "corrected_value", "reason", F.col("confidence").cast("string")).alias("cells"))
     u = unparsed.select(F.col("statement_id").alias("doc_id"), (F.lit(UNPARSED + 2) + F.shiftleft(F.col("page").cast("long"), 24) + F.col("row")).alias("ord"), F.array("raw_text", F.col("page").cast("string"), "reason").alias("cells"))
     heads = []
     for rows, first, title, headers in ((r, REPAIRS, K.REPAIR_TITLE, K.REPAIR_HEADERS), (u, UNPARSED, K.UNPARSED_TITLE, K.UNPARSED_HEADERS)):

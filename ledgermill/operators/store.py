@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import free_name
 
 def statement_list(statements: DataFrame, columns: list[str], created: str, key: str) -> DataFrame:
     """The newest first; the key decides ties."""
@@ -30,11 +31,10 @@ def with_children(statements: DataFrame, children: DataFrame, key: str, order: l
 
 def apply_corrections(rows: DataFrame, corrections: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """rows with the corrections' non-null values in their place; corrections has at most one row a key."""
-    new = corrections.select(*keys, *[F.col(c).alias(f"new_{c}") for c in columns])
-    out = rows.join(new, keys, "left")
-    for c in columns:
-        out = out.withColumn(c, F.coalesce(f"new_{c}", c))
-    return out.drop(*[f"new_{c}" for c in columns])
+    # the new values are one struct under a name that rows don't have
+    name = free_name(rows, "new")
+    new = corrections.select(*keys, F.struct(*columns).alias(name))
+    return rows.join(new, keys, "left").select(*[F.coalesce(F.col(f"{name}.{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
 def touched(statements: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
@@ -54,8 +54,9 @@ def delete_cascade(children: DataFrame, deleted: DataFrame, key: str) -> DataFra
 
 def flag_existing(statements: DataFrame, children: DataFrame, key: str, name: str = "flagged") -> DataFrame:
     """Whether each statement has a child row."""
-    have = children.select(key).distinct().withColumn("has__", F.lit(True))
-    return statements.join(have, key, "left").withColumn(name, F.coalesce("has__", F.lit(False))).drop("has__")
+    has = free_name(statements, "has")
+    have = children.select(key).distinct().withColumn(has, F.lit(True))
+    return statements.join(have, key, "left").withColumn(name, F.coalesce(has, F.lit(False))).drop(has)
 
 
 def append(table: DataFrame, path: str, partition: str | None = None) -> None:

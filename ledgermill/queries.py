@@ -851,12 +851,15 @@ def flat_sheets(spark, sf_dir):
     return report.flat_rows(tx, targets, info).select(F.col("doc_id").cast("string").alias("doc_id"), "ord", F.array_join("cells", "|").alias("line"))
 
 
-@query(f"""{_SEEN}, c AS (SELECT statement_id, seq, CASE WHEN statement_id % 2 = 0 THEN balance - CASE WHEN event_id % 97 = 0 THEN {OFFSET} ELSE 0 END ELSE balance END AS balance, debit, credit, status FROM valid),
+_CORRECTED_SQL = f"""{_SEEN}, c AS (SELECT statement_id, seq, CASE WHEN statement_id % 2 = 0 THEN balance - CASE WHEN event_id % 97 = 0 THEN {OFFSET} ELSE 0 END ELSE balance END AS balance, debit, credit, status FROM valid),
     s AS (SELECT statement_id, count(*) FILTER (WHERE status <> 'clean') > 0 AS hit, count(*) AS n, count(*) FILTER (WHERE status <> 'clean') AS bad FROM valid GROUP BY 1)
-    SELECT statement_id, round(CASE WHEN hit AND statement_id % 2 = 0 THEN 1.0 ELSE (n - bad * 0.5) / n END, 6)::DOUBLE AS confidence, hit AND statement_id % 2 = 1 AS review_required, false AS flagged FROM s""")
-def correct_statements(spark, sf_dir):
-    """Accounts with wrong balances; those of even users are corrected, judged anew, and need no review any more."""
+    SELECT statement_id, round(CASE WHEN hit AND statement_id % 2 = 0 THEN 1.0 ELSE (n - bad * 0.5) / n END, 6)::DOUBLE AS confidence, hit AND statement_id % 2 = 1 AS review_required, false AS flagged FROM s"""
+
+
+def _corrected(spark, sf_dir, times):
     rows, bounds = events_ledger(spark, sf_dir, True)
+    rows = rows.select("statement_id", "seq", "event_id", *[(F.col(c) * times).alias(c) for c in ("debit", "credit", "balance")])
+    bounds = bounds.select("statement_id", *[(F.col(c) * times).alias(c) for c in ("opening", "closing")])
     judged = ledger.triage(ledger.validate(rows, bounds))
     amount = lambda c: F.when(F.col(c) > 0, F.col(c) / 100)
     empty = F.create_map(F.lit("9"), F.lit("x"))
@@ -864,12 +867,26 @@ def correct_statements(spark, sf_dir):
     state = judged.groupBy("statement_id").agg(F.avg("confidence").alias("confidence"), F.bool_or(F.col("triage") != "clean").alias("review_required"))
     headers = F.array(*map(F.lit, ["Date", "Details", "Debit", "Credit", "Cum Bal"]))
     s = bounds.join(state, "statement_id").select("statement_id", (F.col("opening") / 100).alias("opening"), (F.col("closing") / 100).alias("closing"), F.lit(1.0).alias("rate"), headers.alias("headers"), F.create_map(*[F.lit(x) for i, f in enumerate(K.FIELDS) for x in (f, i)]).alias("mapping"), "confidence", "review_required", F.array().cast("array<string>").alias("anomaly_flags"))
-    right = rows.filter((F.col("event_id") % 97 == 0) & (F.col("statement_id") % 2 == 0)).select("statement_id", "seq", F.lit("Cum Balance").alias("key"), F.format_string("%.2f", (F.col("balance") - OFFSET) / 100).alias("value"))
+    right = rows.filter((F.col("event_id") % 97 == 0) & (F.col("statement_id") % 2 == 0)).select("statement_id", "seq", F.lit("Cum Balance").alias("key"), F.format_string("%.2f", (F.col("balance") - OFFSET * times) / 100).alias("value"))
+    # a new description changes no account that is right otherwise
+    right = right.unionByName(rows.filter("seq = 1 AND statement_id % 4 = 0").select("statement_id", "seq", F.lit("Details").alias("key"), F.lit("noted").alias("value")))
     none = spark.createDataFrame([], repair.LOG), spark.createDataFrame([], "statement_id long, page int, row int, raw_text string, reason string, review_required boolean")
     done = corrections.correct(corrections.Stored(s, tx, *none), right)
     return done.statements.select("statement_id", F.round("confidence", 6).alias("confidence"), "review_required", (F.size("anomaly_flags") > 0).alias("flagged"))
 
 
+@query(_CORRECTED_SQL)
+def correct_statements(spark, sf_dir):
+    """Accounts with wrong balances; those of even users are corrected, judged anew, and need no review any more."""
+    return _corrected(spark, sf_dir, 1)
+
+
+@query(_CORRECTED_SQL)
+def correct_large_statements(spark, sf_dir):
+    """The same with amounts of up to some billions."""
+    return _corrected(spark, sf_dir, 1_000_000)
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN '0,0' ELSE '0,0;0,1;1,0' END AS cells FROM orders")
 def traversal_recovery(spark, sf_dir):
     """Traversals that deviate are asked for again; every fifth gets no answer and keeps what was right."""
