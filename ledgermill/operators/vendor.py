@@ -6,56 +6,31 @@ columns(vendor_key, ord, field, header). Spark broadcasts them where they are be
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import header_score, squeeze
+from ..lineage import keep
+from . import containment
 
 STRUCTURE, INLINE = 0.80, 0.95
-#: Aliases that one automaton holds (some 100 MB at most), and registered headers that are broadcast.
-MOST_ALIASES, MOST_COLUMNS = 500_000, 200_000
+#: Registered headers that are broadcast.
+MOST_COLUMNS = 200_000
 SUFFIX = r"(?i)\.(xlsx|xls|pdf|csv)"
 
 
-def _first_alias(names: list[str]):
-    """The least index of a name that occurs in each text; the automaton is built once for each task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for i, name in reversed(list(enumerate(names))):  # of equal names the first one holds
-            automaton.add_word(name, i)
-        automaton.make_automaton()
-        for docs in batches:
-            best = [min((i for _, i in automaton.iter(t)), default=-1) for t in docs["t"]]
-            out = docs[["doc_id"]].assign(name_ord=best)
-            yield out[out["name_ord"] >= 0]
-
-    return run
-
-
 def match_aliases(docs: DataFrame, vendors: DataFrame, aliases: DataFrame) -> DataFrame:
     """doc_id and vendor_key of the first vendor (in registry order) one of whose aliases occurs in the text or filename.
 
-    docs: doc_id, text, optionally filename. All aliases are looked for in one pass over each text; a registry of over
-    MOST_ALIASES is joined instead.
+    docs: doc_id, text, optionally filename. See containment: a join, whatever the size of the registry.
     """
-    names = aliases.join(vendors.select("vendor_key", F.col("ord").alias("vendor_ord")), "vendor_key").select("vendor_key", "vendor_ord", F.col("ord").alias("alias_ord"), squeeze(F.col("alias")).alias("name")).filter("name <> ''")
+    names = aliases.join(vendors.select("vendor_key", F.col("ord").alias("vendor_ord")), "vendor_key").select(F.struct(F.col("vendor_ord"), F.col("ord").alias("alias_ord"), F.col("vendor_key")).alias("rank"), squeeze(F.col("alias")).alias("name")).filter("name <> ''")
+    # of equal names the first one holds
+    names = keep(names.groupBy("name").agg(F.min("rank").alias("rank")).select(F.monotonically_increasing_id().alias("name_id"), "name", "rank"), "names")
     file = squeeze(F.col("filename")) if "filename" in docs.columns else F.lit("")
-    text = docs.select("doc_id", F.concat_ws("\n", squeeze(F.col("text")), file).alias("t"))
-    if names.count() > MOST_ALIASES:
-        hits = text.join(names, F.col("t").contains(F.col("name")))
-        return hits.groupBy("doc_id").agg(F.min_by("vendor_key", F.struct("vendor_ord", "alias_ord")).alias("vendor_key"))
-    listed = names.orderBy("vendor_ord", "alias_ord", "vendor_key").collect()
-    if not listed:
-        return text.select("doc_id", F.lit(None).cast(names.schema["vendor_key"].dataType).alias("vendor_key")).limit(0)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = text.mapInPandas(_first_alias([r["name"] for r in listed]), f"doc_id {kind}, name_ord int")
-    keys = docs.sparkSession.createDataFrame([(i, r["vendor_key"]) for i, r in enumerate(listed)], "name_ord int, vendor_key string")
-    return found.join(F.broadcast(keys), "name_ord").groupBy("doc_id").agg(F.min_by("vendor_key", "name_ord").alias("vendor_key"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.concat_ws("\n", squeeze(F.col("text")), file).alias("text"))
+    found = containment.occurrences(texts, names)
+    return found.join(names.select("name_id", "rank"), "name_id").groupBy(F.col("id").alias("doc_id")).agg(F.min("rank").alias("rank")).select("doc_id", "rank.vendor_key")
 
 
 def structure_scores(headers: DataFrame, columns: DataFrame) -> DataFrame:
