@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +29,25 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    for held in _collectors.get():
+        held.append(out)
     return out
 
 
+#: The lists that tables are noted in while collecting() holds.
+_collectors: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("collectors", default=())
+
+
+@contextmanager
+def collecting(held: list[DataFrame]) -> Iterator[None]:
+    """Notes all tables that keep() writes meanwhile, by whichever function, so that they can be discarded together."""
+    token = _collectors.set((*_collectors.get(), held))
+    try:
+        yield
+    finally:
+        _collectors.reset(token)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that keep() wrote, once nothing reads them any more."""
     for df in tables:

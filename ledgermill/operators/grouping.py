@@ -6,12 +6,13 @@ Records form by gaps and islands: a row with a date or an amount begins one, oth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import accepted_date, any_of, is_anchor, is_footer, strip
-from ..lineage import once
+from ..lineage import keep, once
+from .scan import Scan, numbered
 
 PAGE = ["doc_id", "page"]
 
@@ -43,20 +44,27 @@ def column_of(field: str) -> Column:
     return F.get(F.map_values(F.map_filter("mapping", lambda k, v: k == field)), F.lit(0))
 
 
-def _anchor() -> Column:
-    """The date column, else the mapped column with most non-empty cells of the page (the first such, in field order)."""
-    w = Window.partitionBy(*PAGE)
-    filled = [F.when(column_of(f).isNotNull(), F.struct((-F.sum((cell(F.col("cells"), column_of(f)) != "").cast("int")).over(w)).alias("n"), F.lit(i).alias("ord"), column_of(f).alias("col"))) for i, f in enumerate(K.FIELDS)]
-    return F.coalesce(column_of("transaction_date"), F.array_min(F.array(*filled))["col"])
+def _page_scan(**scans) -> Scan:
+    return Scan(PAGE, ["row"], numbered(F.col("row")), **scans)
+
+
+def _anchored(rows: DataFrame) -> DataFrame:
+    """Adds anchor: the date column, else the mapped column with most non-empty cells of the page (the first such, in
+    field order)."""
+    date = column_of("transaction_date")
+    counts = {f"filled_{f}": (cell(F.col("cells"), column_of(f)) != "").cast("int") for f in K.FIELDS}
+    filled = [F.when(column_of(f).isNotNull(), F.struct((-F.col(f"filled_{f}")).alias("n"), F.lit(i).alias("ord"), column_of(f).alias("col"))) for i, f in enumerate(K.FIELDS)]
+    undated = _page_scan(totals=counts).over(rows.filter(date.isNull())).withColumn("anchor", F.array_min(F.array(*filled))["col"])
+    return rows.filter(date.isNotNull()).withColumn("anchor", date).unionByName(undated.drop(*counts))
 
 
 def group_wrapped(grid: DataFrame, maps: DataFrame) -> DataFrame:
     """Records (doc_id, page, row of their first line, cells): descriptions are joined, other cells filled, dates carried.
 
     Rows before the first record of a page stay as they are; a record without a date takes the one before on its page.
-    Windows and groups are all of one page, so that they share one shuffle.
+    Records are numbered and dates carried by scans over segments of a page: a page of any length spreads over tasks.
     """
-    rows = grid.join(maps.select("doc_id", "mapping"), "doc_id").withColumn("anchor", _anchor())
+    rows = _anchored(grid.join(maps.select("doc_id", "mapping"), "doc_id"))
     width = F.array_max(F.map_values("mapping")) + 1
     rows = rows.select("*", column_of("transaction_date").alias("date_col"), column_of("description").alias("desc_col"), width.alias("least"))
     padded = F.concat("cells", F.array_repeat(F.lit(""), F.greatest(F.col("least") - F.size("cells"), F.lit(0))))
@@ -64,8 +72,8 @@ def group_wrapped(grid: DataFrame, maps: DataFrame) -> DataFrame:
     own = cell(F.col("cells"), F.col("anchor"))
     dated = F.when(F.col("anchor").eqNullSafe(F.col("date_col")), is_anchor(own)).otherwise(own != "")
     begins = dated | any_of([F.coalesce(is_amount(cell(F.col("cells"), column_of(f))), F.lit(False)) for f in K.AMOUNT_FIELDS])
-    w = Window.partitionBy(*PAGE).orderBy("row")
-    rows = rows.withColumn("begins", begins.cast("int")).withColumn("record", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = keep(rows.withColumn("begins", begins.cast("int")), "lines")
+    rows = _page_scan(sums={"record": F.col("begins")}).over(rows)
     rows = rows.withColumn("record", F.when(F.col("record") == 0, -1 - F.col("row")).otherwise(F.col("record")))
     lines = F.array_sort(F.collect_list(F.struct("row", "cells")))
     made = rows.groupBy(*PAGE, "record", "anchor", "date_col", "desc_col").agg(lines.alias("lines"))
@@ -83,8 +91,8 @@ def group_wrapped(grid: DataFrame, maps: DataFrame) -> DataFrame:
     made = made.withColumn("own_date", own_date)
     # an orphan's empty cell stops the search for a date; a record's own empty cell does not
     carry = F.when(F.col("record") < 0, F.col("own_date")).otherwise(F.nullif("own_date", F.lit("")))
-    last = F.last(carry, ignorenulls=True).over(Window.partitionBy(*PAGE).orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
-    made = made.withColumn("date", F.when(F.col("record") < 0, F.col("own_date")).otherwise(F.coalesce(last, F.lit(""))))
+    made = _page_scan(carried={"last_date": carry}).over(keep(made, "lines"))
+    made = made.withColumn("date", F.when(F.col("record") < 0, F.col("own_date")).otherwise(F.coalesce("last_date", F.lit(""))))
     dated = F.transform("cells", lambda c, i: F.when(i.eqNullSafe(F.col("date_col")) & (strip(c) == ""), F.col("date")).otherwise(c))
     return made.select(*PAGE, "row", F.when((F.col("own_date") == "") & (F.col("date") != ""), dated).otherwise(F.col("cells")).alias("cells"))
 

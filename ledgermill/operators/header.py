@@ -12,7 +12,7 @@ from ..functions.text import alias_field, field_of_normal, header_like, headers_
 from ..lineage import keep, once
 from .grouping import column_of
 from .retrieval import cosine
-from .vendor import INLINE, MOST_COLUMNS
+from .vendor import INLINE
 
 
 def scored_fields(cells: F.Column) -> F.Column:
@@ -88,7 +88,7 @@ def _as_map(found: str) -> F.Column:
     return F.map_from_entries(F.transform(found, lambda x: F.struct(x["field"].alias("key"), x["col"].alias("value"))))
 
 
-def _inline(rows: DataFrame, columns: DataFrame, vendors: DataFrame, small) -> DataFrame:
+def _inline(rows: DataFrame, columns: DataFrame, vendors: DataFrame) -> DataFrame:
     """at, own_key, own_map of the best vendor (the first on ties) of rows whose cells fit its headers with a mean of
     INLINE: of four headers or more, the date and all but one are matched (three at least).
 
@@ -98,8 +98,8 @@ def _inline(rows: DataFrame, columns: DataFrame, vendors: DataFrame, small) -> D
     sizes = columns.groupBy("vendor_key").agg(F.count("*").alias("n")).filter("n >= 4")
     names = columns.join(sizes, "vendor_key").select("vendor_key", "n", squeeze(strip(F.col("header"))).alias("squeezed"), "field").filter("squeezed <> ''")
     shown = rows.select("at", F.explode(F.array_distinct(F.transform("spelled", lambda c: c["squeezed"]))).alias("squeezed"))
-    met = shown.join(small(names), "squeezed").groupBy("at", "vendor_key").agg(F.count("*").alias("same"), F.first("n").alias("n")).filter(F.col("same") * 3 >= F.col("n") * 2)
-    tried = rows.join(met, "at").join(small(registered_columns(columns)), "vendor_key").join(small(vendors.select("vendor_key", F.col("ord").alias("vendor_ord"))), "vendor_key")
+    met = shown.join(names, "squeezed").groupBy("at", "vendor_key").agg(F.count("*").alias("same"), F.first("n").alias("n")).filter(F.col("same") * 3 >= F.col("n") * 2)
+    tried = rows.join(met, "at").join(registered_columns(columns), "vendor_key").join(vendors.select("vendor_key", F.col("ord").alias("vendor_ord")), "vendor_key")
     tried = once(tried, found=_vendor_matches(F.col("wanted"), F.col("spelled"))).filter(F.exists("found", lambda x: x["field"] == "transaction_date") & (F.size("found") >= F.greatest(F.lit(3), F.col("n") - 1)))
     mean = F.aggregate("found", F.lit(0.0), lambda s, x: s + x["score"]) / F.col("n")
     tried = tried.withColumn("mean", F.round(mean, 9)).filter(F.col("mean") >= INLINE).withColumn("mapping", _as_map("found"))
@@ -131,11 +131,10 @@ def locate(grid: DataFrame, known: DataFrame | None = None, registry: tuple[Data
         rows = rows.select("*", F.lit(None).cast("string").alias("vendor_key"), F.lit(None).cast("map<string,int>").alias("own_map"), F.lit(None).cast("array<struct<ord:int,field:string,header:string>>").alias("wanted"))
     else:
         vendors, columns = registry
-        small = F.broadcast if columns.count() <= MOST_COLUMNS else (lambda df: df)
         wide = registered_columns(columns)
         rows = once(rows, spelled=_spelled(F.col("cells"))).join(known, "doc_id", "left").withColumnRenamed("vendor_key", "known_key")
-        inline = _inline(rows.filter("known_key IS NULL"), columns, vendors, small)
-        rows = rows.join(inline, "at", "left").withColumn("vendor_key", F.coalesce("known_key", "own_key")).join(small(wide), "vendor_key", "left")
+        inline = _inline(rows.filter("known_key IS NULL"), columns, vendors)
+        rows = rows.join(inline, "at", "left").withColumn("vendor_key", F.coalesce("known_key", "own_key")).join(wide, "vendor_key", "left")
         rows = once(rows, found=F.when(F.col("known_key").isNotNull(), _vendor_matches(F.col("wanted"), F.col("spelled")))).withColumn("known_map", _as_map("found"))
         filled = F.when(_qualifies("known_map"), _with_description(_with_balance(F.col("known_map"), F.col("cells")), F.size("cells")))
         rows = once(rows.withColumnRenamed("own_map", "inline_map"), own_map=F.coalesce("inline_map", filled))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.text import any_of
 from ..lineage import keep
+from .scan import Scan, numbered
 
 ROW_TOLERANCE, HEADER_GAP, BODY_GAP = 4.0, 15.0, 12.0
 WORDS = "doc_id string, page int, word_idx int, text string, x0 double, x1 double, top double, line_top double"
@@ -75,8 +76,8 @@ def column_centres(lined: DataFrame) -> DataFrame:
     own = cells(lined.join(header_lines(lined), ["doc_id", "page", "line_top"]), HEADER_GAP)
     own = own.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", ((F.col("x0") + F.col("x1")) / 2).alias("c")))), lambda x: x["c"]).alias("centres"))
     pages = lined.select("doc_id", "page").distinct().join(own, ["doc_id", "page"], "left")
-    w = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    return pages.select("doc_id", "page", F.last("centres", ignorenulls=True).over(w).alias("centres"))
+    last = Scan(["doc_id"], ["page"], numbered(F.col("page")), carried={"last_centres": F.col("centres")})
+    return last.over(pages).select("doc_id", "page", F.col("last_centres").alias("centres"))
 
 
 def nearest(x: F.Column, centres: F.Column) -> F.Column:

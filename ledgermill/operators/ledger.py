@@ -1,16 +1,18 @@
 """Ledger validation: sign convention, running balance, step checks, closing equation.
 
 A ledger has statement_id, seq, debit, credit, balance in whole units (long; see functions.text.to_units), bounds have
-statement_id, opening, closing. All windows are per statement, ordered by seq.
+statement_id, opening, closing. seq numbers a statement's rows; scans run over segments of it (see scan).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import close_to
+from ..lineage import keep
+from .scan import Scan, numbered
 
 LOCAL_ROWS = 10
 
@@ -24,53 +26,71 @@ def parse_rows(rows: DataFrame, scale: int, locale: str | Column = "period_decim
     return rows
 
 
-def with_previous(ledger: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Adds opening, closing and prev_balance (the row before's balance, the opening balance for the first row)."""
-    w = Window.partitionBy("statement_id").orderBy("seq")
-    prev = F.lag("balance").over(w)
-    return ledger.withColumn("prev", prev).join(bounds, "statement_id").withColumn("prev_balance", F.coalesce("prev", "opening")).drop("prev")
+def _scan() -> Scan:
+    return Scan(
+        ["statement_id"], ["seq"], numbered(F.col("seq")), sums={"credit_upto": F.col("credit"), "debit_upto": F.col("debit")}, previous={"prev": F.col("balance")},
+        totals={"total_credit": F.col("credit"), "total_debit": F.col("debit")}, position="rn",
+    )
+
+
+def _segments(ledger: DataFrame, bounds: DataFrame, scale: int) -> DataFrame:
+    """A row for each segment of each statement: what lies before it, totals, opening, closing, signs and score.
+
+    A segment's summary holds its first LOCAL_ROWS rows; those of a statement's first segments decide its signs.
+    """
+    scan = _scan()
+    rows, name = scan.local(ledger)
+    first = F.collect_list(F.when(F.col("rn") <= LOCAL_ROWS, F.struct("rn", "credit", "debit", "balance", "prev"))).alias("first_rows")
+    s = keep(scan.summaries(rows, name, first).join(bounds.select("statement_id", "opening", "closing"), "statement_id"), "segments")
+    seen = s.filter(F.col("before_rows") < LOCAL_ROWS).select("statement_id", "opening", "before_rows", "before_prev", F.explode("first_rows").alias("r")).filter(F.col("before_rows") + F.col("r.rn") <= LOCAL_ROWS)
+    before = F.coalesce(F.coalesce("r.prev", "before_prev")["value"], "opening")
+    matches = [F.count_if(close_to(F.col("r.balance"), before + c * F.col("r.credit") + d * F.col("r.debit"), scale)).alias(f"m{i}") for i, (c, d) in enumerate(K.CONVENTIONS)]
+    signs = seen.groupBy("statement_id").agg(*matches)
+    return s.drop("first_rows").join(signs, "statement_id").select("*", *_signs(scale)).drop(*[f"m{i}" for i in range(len(K.CONVENTIONS))])
+
+
+def _signs(scale: int) -> list[Column]:
+    """credit_sign, debit_sign and score from matches m0, m1, ... and totals; the earlier convention wins ties."""
+    scores = [F.col(f"m{i}") + F.when(close_to(F.col("opening") + c * F.col("total_credit") + d * F.col("total_debit"), F.col("closing"), scale), 100).otherwise(0) for i, (c, d) in enumerate(K.CONVENTIONS)]
+    best = F.greatest(*scores)
+
+    def pick(k: int) -> Column:
+        out = F.when(scores[0] == best, K.CONVENTIONS[0][k])
+        for i in range(1, len(scores) - 1):
+            out = out.when(scores[i] == best, K.CONVENTIONS[i][k])
+        return out.otherwise(K.CONVENTIONS[-1][k])
+
+    return [pick(0).alias("credit_sign"), pick(1).alias("debit_sign"), best.alias("score")]
 
 
 def conventions(ledger: DataFrame, bounds: DataFrame, scale: int = 100) -> DataFrame:
     """statement_id, credit_sign, debit_sign, totals and score: the convention with most matches among the first rows,
     where one that closes the statement has 100 more; the earlier convention wins ties."""
-    w = Window.partitionBy("statement_id").orderBy("seq")
-    rows = with_previous(ledger, bounds).withColumn("rn", F.row_number().over(w))
-    matches = [F.count_if((F.col("rn") <= LOCAL_ROWS) & close_to(F.col("balance"), F.col("prev_balance") + c * F.col("credit") + d * F.col("debit"), scale)).alias(f"m{i}") for i, (c, d) in enumerate(K.CONVENTIONS)]
-    sums = rows.groupBy("statement_id").agg(*matches, F.sum("credit").alias("total_credit"), F.sum("debit").alias("total_debit"), F.max("seq").alias("last_seq"), F.count("*").alias("n_rows"))
-    out = bounds.join(sums, "statement_id", "left").fillna(0, ["m0", "m1", "m2", "m3", "total_credit", "total_debit", "n_rows"])
-    for i, (c, d) in enumerate(K.CONVENTIONS):
-        final = F.col("opening") + c * F.col("total_credit") + d * F.col("total_debit")
-        out = out.withColumn(f"s{i}", F.col(f"m{i}") + F.when(close_to(final, F.col("closing"), scale), 100).otherwise(0))
-    best = F.greatest("s0", "s1", "s2", "s3")
-    pick = lambda k: F.when((F.col("n_rows") == 0) | (F.col("s0") == best), K.CONVENTIONS[0][k]).when(F.col("s1") == best, K.CONVENTIONS[1][k]).when(F.col("s2") == best, K.CONVENTIONS[2][k]).otherwise(K.CONVENTIONS[3][k])
-    return out.select("statement_id", "opening", "closing", "total_credit", "total_debit", "n_rows", pick(0).alias("credit_sign"), pick(1).alias("debit_sign"), best.alias("score"))
+    own = ["statement_id", "total_credit", "total_debit", "credit_sign", "debit_sign", "score"]
+    found = _segments(ledger, bounds, scale).groupBy("statement_id").agg(F.sum("rows").alias("n_rows"), *[F.first(c).alias(c) for c in own[1:]])
+    out = bounds.select("statement_id", "opening", "closing").join(found, "statement_id", "left")
+    # a statement without rows has the first convention
+    closes = F.when(close_to(F.col("opening"), F.col("closing"), scale), 100).otherwise(0)
+    return out.select(
+        "statement_id", "opening", "closing", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_credit", "total_debit", "n_rows")],
+        F.coalesce("credit_sign", F.lit(K.CONVENTIONS[0][0])).alias("credit_sign"), F.coalesce("debit_sign", F.lit(K.CONVENTIONS[0][1])).alias("debit_sign"), F.coalesce("score", closes).alias("score"),
+    )
 
 
 def validate(ledger: DataFrame, bounds: DataFrame, scale: int = 100) -> DataFrame:
-    """Every row with expected (the cumulative balance), status, and step_ok (against the row before); also its signs,
-    its statement's totals and break_seq, the row that first_break() names.
+    """Every row with expected (the cumulative balance), status, prev_balance (the row before's balance, the opening
+    balance for the first row) and step_ok (against it); also its signs and its statement's bounds and totals.
 
-    All windows are of one statement: one shuffle and one sort, whatever is asked of them.
+    A scan over segments of statements: a statement of any length spreads over tasks. seq numbers a statement's rows.
     """
-    every = Window.partitionBy("statement_id")
-    w = every.orderBy("seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = ledger.join(bounds, "statement_id").select("*", F.lag("balance").over(w).alias("prev"), F.row_number().over(w).alias("rn"), F.sum("credit").over(upto).alias("credit_upto"), F.sum("debit").over(upto).alias("debit_upto"))
+    scan = _scan()
+    rows, name = scan.local(ledger.drop("opening", "closing"))
+    rows = scan.joined(rows, name, _segments(ledger, bounds, scale).withColumnRenamed("segment", name).drop("score"))
     rows = rows.withColumn("prev_balance", F.coalesce("prev", "opening"))
-    match = [((F.col("rn") <= LOCAL_ROWS) & close_to(F.col("balance"), F.col("prev_balance") + c * F.col("credit") + d * F.col("debit"), scale)).cast("int").alias(f"m{i}") for i, (c, d) in enumerate(K.CONVENTIONS)]
-    rows = rows.select("*", *match)
-    rows = rows.select("*", *[F.sum(f"m{i}").over(every).alias(f"n{i}") for i in range(len(K.CONVENTIONS))], F.sum("credit").over(every).alias("total_credit"), F.sum("debit").over(every).alias("total_debit"))
-    scores = [F.col(f"n{i}") + F.when(close_to(F.col("opening") + c * F.col("total_credit") + d * F.col("total_debit"), F.col("closing"), scale), 100).otherwise(0) for i, (c, d) in enumerate(K.CONVENTIONS)]
-    rows = rows.select("*", *[x.alias(f"s{i}") for i, x in enumerate(scores)]).withColumn("best", F.greatest("s0", "s1", "s2", "s3"))
-    pick = lambda k: F.when(F.col("s0") == F.col("best"), K.CONVENTIONS[0][k]).when(F.col("s1") == F.col("best"), K.CONVENTIONS[1][k]).when(F.col("s2") == F.col("best"), K.CONVENTIONS[2][k]).otherwise(K.CONVENTIONS[3][k])
-    rows = rows.select("*", pick(0).alias("credit_sign"), pick(1).alias("debit_sign"))
     rows = rows.withColumn("expected", F.col("opening") + F.col("credit_sign") * F.col("credit_upto") + F.col("debit_sign") * F.col("debit_upto"))
     rows = rows.withColumn("status", F.when(close_to(F.col("balance"), F.col("expected"), scale), "clean").otherwise("flagged"))
     rows = rows.withColumn("step_ok", close_to(F.col("balance"), F.col("prev_balance") + F.col("credit_sign") * F.col("credit") + F.col("debit_sign") * F.col("debit"), scale))
-    flagged, step = F.min(F.when(F.col("status") == "flagged", F.col("seq"))).over(every), F.min(F.when(~F.col("step_ok"), F.col("seq"))).over(every)
-    rows = rows.select("*", flagged.alias("first_flagged"), step.alias("first_step")).withColumn("break_seq", F.when(F.col("first_flagged").isNotNull(), F.coalesce("first_step", "first_flagged")))
-    return rows.drop("prev", "rn", "credit_upto", "debit_upto", "best", "first_flagged", "first_step", *[f"{x}{i}" for x in "mns" for i in range(len(K.CONVENTIONS))])
+    return rows.drop("prev", "rn", "credit_upto", "debit_upto")
 
 
 def closing_check(ledger: DataFrame, bounds: DataFrame, scale: int = 100) -> DataFrame:
@@ -88,11 +108,17 @@ def closing_flag(c: DataFrame, scale: int) -> DataFrame:
     return c.select("statement_id", "last_expected", closes.alias("closes"), F.when(~closes, text).alias("flag"))
 
 
+def broken_rows(validated: DataFrame) -> DataFrame:
+    """Of each statement with a flagged row, the first row whose step fails, else the first flagged one, as a whole."""
+    row, seq = F.struct(*validated.columns), F.col("seq")
+    first = lambda c: F.min_by(row, F.when(c, seq))
+    s = validated.groupBy("statement_id").agg(first(~F.col("step_ok")).alias("step"), first(F.col("status") == "flagged").alias("flagged"))
+    return s.filter("flagged IS NOT NULL").select(F.coalesce("step", "flagged").alias("row")).select("row.*")
+
+
 def first_break(validated: DataFrame) -> DataFrame:
-    """statement_id and seq of the first row whose step fails, else of the first flagged one; only statements with a
-    flagged row."""
-    s = validated.groupBy("statement_id").agg(F.min(F.when(~F.col("step_ok"), F.col("seq"))).alias("step"), F.min(F.when(F.col("status") == "flagged", F.col("seq"))).alias("flagged"))
-    return s.filter("flagged IS NOT NULL").select("statement_id", F.coalesce("step", "flagged").alias("seq"))
+    """statement_id and seq of the rows of broken_rows()."""
+    return broken_rows(validated.select("statement_id", "seq", "step_ok", "status")).select("statement_id", "seq")
 
 
 def triage(validated: DataFrame, repaired: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.text import any_of, candidates, close_to, parse_currency, to_units
 from ..lineage import keep
-from .ledger import parse_rows, validate
+from .ledger import broken_rows, parse_rows, validate
 
 SCALE = 1000
 ROUNDS = 2
@@ -29,7 +29,7 @@ def closes(opening: Column, closing: Column, credit: Column, debit: Column, scal
 
 def corrections(checked: DataFrame, number: int, locale: str | Column, strict: bool) -> DataFrame:
     """The accepted correction of each validated statement that has one: candidates of its first broken row alone."""
-    target = checked.filter(F.col("seq") == F.col("break_seq"))
+    target = broken_rows(checked)
     fields = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), F.col(r).alias("raw")) for i, (f, r) in enumerate(zip(K.AMOUNT_FIELDS, RAW, strict=True))])
     tried = target.withColumn("f", F.explode(fields)).filter((F.coalesce("f.raw", F.lit("")) != "") & (F.lower("f.raw") != "none") & (F.col("f.raw") != "0.0"))
     # what a reading shifts is made with the reading: a filter on it would otherwise repeat the whole parsing
@@ -57,22 +57,17 @@ def apply(rows: DataFrame, log: DataFrame) -> DataFrame:
     return rows.drop("fix_field", "corrected_value")
 
 
-def repaired(rows: DataFrame, bounds: DataFrame, locale: str | Column = "period_decimal", strict: bool = False, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def repaired(rows: DataFrame, bounds: DataFrame, locale: str | Column = "period_decimal", strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """The rows, validated, with corrected cells, and the log of corrections; two rounds, one correction a statement in each.
 
     rows: statement_id, seq, debit_raw, credit_raw, balance_raw; bounds: statement_id, opening, closing in thousandths.
-    Every row is parsed and validated once; only changed statements are again. held: takes the tables written on the way,
-    which the results read.
+    Every row is parsed and validated once; only changed statements are again. The results read tables that are written
+    on the way.
     """
-    held = [] if held is None else held
-
-    def table(df: DataFrame, name: str) -> DataFrame:
-        held.append(keep(df, name))
-        return held[-1]
-
+    table = keep
     columns = [c for c in rows.columns if c not in ("opening", "closing")]
     bounds = bounds.select("statement_id", "opening", "closing")
-    judge = lambda df: validate(parse_rows(df, SCALE, locale), bounds, SCALE)
+    judge = lambda df: validate(table(parse_rows(df, SCALE, locale), "parsed"), bounds, SCALE)
     out = table(judge(rows.select(*columns)), "validated")
     log, changed = None, out
     for number in range(1, ROUNDS + 1):

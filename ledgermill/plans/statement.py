@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import convert, fx_rate, optional_amount, to_units
-from ..lineage import discard, keep
+from ..lineage import collecting, discard, keep
 from ..operators import grouping, header, ledger, metadata, profile, repair, retrieval, vendor
+from ..operators.scan import Scan, numbered
 
 Registry = tuple[DataFrame, DataFrame, DataFrame]
 
@@ -65,11 +66,12 @@ def process(
     texts of paged documents; of those with many pages only the relevant ones are read.
     """
     held: list[DataFrame] = []
+    with collecting(held):
+        return _process(grid, text, registry, universal, rate, strict, documents, pages, held)
 
-    def table(df: DataFrame, name: str) -> DataFrame:
-        held.append(keep(df, name))
-        return held[-1]
 
+def _process(grid: DataFrame, text: DataFrame | None, registry: Registry | None, universal: str, rate: float, strict: bool, documents: DataFrame | None, pages: DataFrame | None, held: list[DataFrame]) -> Statements:
+    table = keep
     grid = grid.select("doc_id", "page", "row", "cells")
     read = None
     if pages is not None:
@@ -109,10 +111,11 @@ def process(
     records = grouping.group_wrapped(body, heads.select("doc_id", "mapping"))
     rows, undated = grouping.project(table(records, "records"), heads.select("doc_id", "mapping"))
     local = info.select("doc_id", "numeric_locale", to_units(F.col("opening"), repair.SCALE).alias("opening"), to_units(F.col("closing"), repair.SCALE).alias("closing"))
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "row")) - 1
-    rows = rows.withColumn("seq", seq.cast("int")).join(local.select("doc_id", "numeric_locale"), "doc_id").withColumnRenamed("doc_id", "statement_id")
+    # a segment is a stretch of a page
+    in_order = Scan(["doc_id"], ["page", "row"], F.col("page").cast("long") * (1 << 32) + numbered(F.col("row")), position="seq")
+    rows = in_order.over(table(rows, "rows")).withColumn("seq", (F.col("seq") - 1).cast("int")).join(local.select("doc_id", "numeric_locale"), "doc_id").withColumnRenamed("doc_id", "statement_id")
     units = local.select(F.col("doc_id").alias("statement_id"), "opening", "closing")
-    checked, log = repair.repaired(rows, units, F.col("numeric_locale"), strict, held)
+    checked, log = repair.repaired(rows, units, F.col("numeric_locale"), strict)
     judged = table(ledger.triage(checked, log), "judged")
 
     line = grouping.body_text(F.col("cells"))
