@@ -8,8 +8,8 @@ What is equal must meet in one task, so suffixes are ordered where they can be e
    at again. This disposes of copies, however many, without ordering anything.
 2. The strings that are left are dealt by seeds: of the hashes of a string's `gram`-byte parts, the least. Equal strings
    have equal seeds. Blocks ask key ranges which of their seeds other documents have too (sorted, delta-coded keys, one
-   bit back), and send the contexts of those alone: the bytes of all neighbouring strings of one seed. Equal contexts
-   become one row with the least doc_id.
+   bit back); what is left by short parts is asked again by longer ones. Blocks send the contexts of what is left then:
+   the bytes of all neighbouring strings of one seed. Equal contexts become one row with the least doc_id.
 3. The contexts of a seed are one small text. Its suffix array is built by linear grouping (see grouping_sa), thousands
    of seeds at a time; neighbours in that order that agree in `width` bytes are equal strings, and the least doc_id of
    each such interval goes back to the contexts, blocks and documents.
@@ -29,9 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import M1, M2, discard, fields, mix64, pieces, release, save, tidy
@@ -50,9 +51,9 @@ GRAMS, MOST_CONTEXTS, ORDERED = (24, 40), 512, 1_000_000
 SLICE = 1 << 16
 
 PACKED = "block long, ids binary, named binary, sizes binary, data binary, cuts binary, keys binary, key1 long, key2 long, lo long, hi long"
-ASKED = "block long, starts binary, ends binary, part int, n long, first long, keys binary, counts binary"
-TOLD = "part int, block long, n long, shared binary"
-CONTEXT = "block long, seed long, text binary, lo long, hi long"
+ASKED = "block long, starts binary, ends binary, gram int, part int, n long, first long, keys binary, counts binary"
+TOLD = "gram int, part int, block long, n long, shared binary"
+CONTEXT = "block long, starts binary, ends binary, begins binary, places binary, place int, seed long, text binary, lo long, hi long"
 LEAST = "seed long, text binary, least binary, lowest long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _RUN = np.dtype([("n", "u1"), ("least", "<i8")])
@@ -138,7 +139,7 @@ class Block:
         self.ids, self.named, sizes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["named"], bool), np.frombuffer(row["sizes"], "<i8")
         self.at = np.append(0, np.cumsum(sizes))
         self.data = np.frombuffer(pa.decompress(row["data"], int(self.at[-1]), codec="zstd"), np.uint8) if self.at[-1] else np.zeros(0, np.uint8)
-        self.cuts, self.keys = np.frombuffer(row["cuts"], "<i8"), np.frombuffer(row["keys"], "<u8").reshape(-1, 2)
+        self.cuts, self.keys = np.frombuffer(row["cuts"], "<i8").reshape(-1, 2), np.frombuffer(row["keys"], "<u8").reshape(-1, 2)
 
     def docs_at(self, places: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.at, places, "right") - 1]
@@ -150,6 +151,10 @@ class Block:
         return ok
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def _one(block: int, n: int, names: list[str], schema: str, columns: dict) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     typed = dict(c.split() for c in schema.split(", "))
@@ -159,7 +164,7 @@ def _one(block: int, n: int, names: list[str], schema: str, columns: dict) -> pa
 
 def _pack(width: int):
     """Texts as packed blocks, and the distinct pieces of each block with their least and greatest doc_id."""
-    names = [c.split()[0] for c in PACKED.split(", ")]
+    names = _names(PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -193,20 +198,46 @@ def _pack(width: int):
     return run
 
 
-def _ask(width: int, gram: int, parts: int, bits: int):
-    """Ranges of strings that repeated pieces remove, and the seeds of the others."""
+def _own(told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of strings that repeated pieces of a block remove."""
+    row = next(r for r in told if r["starts"] is not None)
+    return np.frombuffer(row["starts"], "<i8"), np.frombuffer(row["ends"], "<i8")
+
+
+def _shared(b: Block, ok: np.ndarray, told: list[dict], width: int, gram: int, bits: int) -> np.ndarray:
+    """Of the strings that are ok, those whose seeds other documents have too, by the answers to what a block has asked."""
+    begin, n, seed = seed_runs(b.data, ok, width, gram)
+    asked, place = np.unique(mix64(seed) >> np.uint64(64 - bits), return_inverse=True)
+    answers = sorted((r for r in told if r["gram"] == gram), key=lambda r: r["part"])
+    shared = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=r["n"], bitorder="little") for r in answers]]).astype(bool)
+    if len(shared) != len(asked):
+        raise ValueError("answers do not fit a block's seeds")
+    mine = shared[place]
+    out = np.zeros(len(ok), bool)
+    out[_spread(begin[mine], n[mine])] = True
+    return out
+
+
+def _ask(width: int, grams: list[int], parts: int, bits: int):
+    """The last of these grams' seeds of the strings that pieces and the seeds before have left; with the first gram, also
+    the ranges of strings that repeated pieces remove."""
 
     def run(key: tuple, blocks: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
         for row in blocks.to_pylist():
-            b = Block(row)
-            cuts = b.cuts.reshape(-1, 2)
-            least = {(r["key1"], r["key2"]): r["least"] for r in told.to_pylist()}
-            known = np.array([least.get(k, LAST) for k in zip(*b.keys.view(np.int64).T.tolist(), strict=True)] if len(cuts) else [], np.int64)
-            gone = known < b.docs_at(cuts[:, 0])
-            starts, ends = cuts[gone, 0], cuts[gone, 1]
-            rows.append({"block": row["block"], "starts": starts.tobytes(), "ends": ends.tobytes()})
-            begin, _, seed = seed_runs(b.data, b.left(starts, ends, width), width, gram)
+            b, told_rows = Block(row), told.to_pylist()
+            if len(grams) == 1:
+                least = {(r["key1"], r["key2"]): r["least"] for r in told_rows}
+                known = np.array([least.get(k, LAST) for k in zip(*b.keys.view(np.int64).T.tolist(), strict=True)] if len(b.keys) else [], np.int64)
+                gone = known < b.docs_at(b.cuts[:, 0])
+                starts, ends = b.cuts[gone, 0], b.cuts[gone, 1]
+                rows.append({"block": row["block"], "starts": starts.tobytes(), "ends": ends.tobytes()})
+            else:
+                starts, ends = _own(told_rows)
+            ok = b.left(starts, ends, width)
+            for gram in grams[:-1]:
+                ok = _shared(b, ok, told_rows, width, gram, bits)
+            begin, _, seed = seed_runs(b.data, ok, width, grams[-1])
             hashed, doc = mix64(seed) >> np.uint64(64 - bits), np.searchsorted(b.at, begin, "right")
             order = np.lexsort((doc, hashed))
             hashed, doc = hashed[order], doc[order]
@@ -214,7 +245,7 @@ def _ask(width: int, gram: int, parts: int, bits: int):
             several = (doc[new] != doc[np.append(new[1:], len(doc)) - 1]) + 1 if len(new) else new
             asked = hashed[new]
             part = ((asked >> np.uint64(bits - 24)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
-            rows += [{"block": row["block"], "part": int(part[x]), "n": y - x, "first": int(asked[x]), "keys": pack_keys(asked[x:y]), "counts": narrow(several[x:y])} for x, y in ranges(part) if len(part)]
+            rows += [{"block": row["block"], "gram": grams[-1], "part": int(part[x]), "n": y - x, "first": int(asked[x]), "keys": pack_keys(asked[x:y]), "counts": narrow(several[x:y])} for x, y in ranges(part) if len(part)]
         tidy()
         return rows_table(ASKED, rows)
 
@@ -228,12 +259,7 @@ def _tell(table: pa.Table) -> pa.Table:
     shared = (np.bincount(place, np.concatenate([wide(r["counts"], r["n"]) for r in rows])) > 1)[place]
     ends = np.cumsum([r["n"] for r in rows])
     tidy()
-    return rows_table(TOLD, [{"part": r["part"], "block": r["block"], "n": r["n"], "shared": np.packbits(shared[e - r["n"] : e], bitorder="little").tobytes()} for r, e in zip(rows, ends.tolist(), strict=True)])
-
-
-def _removed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    row = next(r for r in rows if r["starts"] is not None)
-    return np.frombuffer(row["starts"], "<i8"), np.frombuffer(row["ends"], "<i8")
+    return rows_table(TOLD, [{"gram": r["gram"], "part": r["part"], "block": r["block"], "n": r["n"], "shared": np.packbits(shared[e - r["n"] : e], bitorder="little").tobytes()} for r, e in zip(rows, ends.tolist(), strict=True)])
 
 
 def _cut_out(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -241,27 +267,28 @@ def _cut_out(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype("<i8")), pa.py_buffer(data[_spread(start, size)])])
 
 
-def _contexts(width: int, gram: int, bits: int):
-    """The distinct contexts of a block's shared seeds, with their least and greatest doc_id."""
+def _contexts(width: int, grams: list[int], bits: int):
+    """The distinct contexts, by seeds of the first gram, of the strings that are left, with their least and greatest
+    doc_id; and where in the block they are."""
 
     def run(key: tuple, blocks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
             b, told_rows = Block(row), told.to_pylist()
-            begin, n, seed = seed_runs(b.data, b.left(*_removed(told_rows), width), width, gram)
-            asked, place = np.unique(mix64(seed) >> np.uint64(64 - bits), return_inverse=True)
-            answers = sorted((r for r in told_rows if r["part"] is not None), key=lambda r: r["part"])
-            shared = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=r["n"], bitorder="little") for r in answers]]).astype(bool)
-            if len(shared) != len(asked):
-                raise ValueError("answers do not fit a block's seeds")
-            mine = shared[place]
-            begin, n, seed = begin[mine], n[mine], seed[mine]
+            starts, ends = _own(told_rows)
+            ok = b.left(starts, ends, width)
+            for gram in grams:
+                ok = _shared(b, ok, told_rows, width, gram, bits)
+            begin, n, seed = seed_runs(b.data, ok, width, grams[0])
             texts = _cut_out(b.data, begin, n + width - 1).dictionary_encode()
-            first, lo, hi = _collapse([texts.indices.to_numpy()], b.docs_at(begin))
-            picked = texts.dictionary.take(texts.indices.take(pa.array(first)))
-            out.append(pa.table({"block": np.full(len(first), row["block"]), "seed": seed[first].view(np.int64), "text": picked.cast(pa.binary()), "lo": lo, "hi": hi}))
+            index = texts.indices.to_numpy()
+            first, lo, hi = _collapse([index], b.docs_at(begin))
+            picked = texts.dictionary.take(pa.array(index[first]))
+            out.append(_one(row["block"], 1, _names(CONTEXT), CONTEXT, {"starts": [starts.tobytes()], "ends": [ends.tobytes()], "begins": [begin.astype("<i8").tobytes()], "places": [index.astype("<i4").tobytes()]}))
+            columns = {"place": index[first].astype(np.int32), "seed": seed[first].view(np.int64), "text": picked.cast(pa.binary()), "lo": lo, "hi": hi}
+            out.append(_one(row["block"], len(first), _names(CONTEXT), CONTEXT, columns))
         tidy()
-        return pa.concat_tables(out) if out else rows_table(CONTEXT, [])
+        return pa.Table.from_batches(out) if out else rows_table(CONTEXT, [])
 
     return run
 
@@ -334,7 +361,12 @@ def _ordered(width: int):
             return
         seed, lo = table["seed"].to_numpy(), table["lo"].to_numpy()
         texts = pa.concat_arrays([x.cast(pa.large_binary()) for x in table["text"].chunks])
-        least = order_contexts(seed, texts, lo, width)
+        alone = np.append(True, seed[1:] != seed[:-1]) & np.append(seed[1:] != seed[:-1], True)
+        strings = pc.binary_length(texts).to_numpy() - width + 1
+        least: list[np.ndarray] = [np.full(n, d) if a else None for n, d, a in zip(strings.tolist(), lo.tolist(), alone.tolist(), strict=True)]
+        if not alone.all():  # the only context of its seed needs no order
+            for i, x in zip(np.flatnonzero(~alone).tolist(), order_contexts(seed[~alone], texts.filter(pa.array(~alone)), lo[~alone], width), strict=True):
+                least[i] = x
         yield pa.record_batch([pa.array(seed), texts.cast(pa.binary()), pa.array([_runs_of(x) for x in least], pa.binary()), pa.array([int(x.min()) for x in least])], names=["seed", "text", "least", "lowest"])
         tidy()
 
@@ -362,8 +394,11 @@ def _deal_again(width: int, gram: int):
     return run
 
 
-def least_docs(contexts: DataFrame, width: int, grams: list[int]) -> DataFrame:
-    """seed, text, least (the least doc_id of each string, as runs) and lowest of distinct contexts (seed, text, lo, hi)."""
+def least_docs(contexts: DataFrame, width: int, grams: list[int], held: list[DataFrame]) -> DataFrame:
+    """seed, text, least (the least doc_id of each string, as runs) and lowest of distinct contexts (seed, text, lo, hi).
+
+    held takes the tables written on the way, which the result reads.
+    """
     counts = contexts.groupBy("seed").agg(F.count("*").alias("n"), F.min("lo").alias("first"), F.max("hi").alias("last"))
     # a seed of one document repeats nothing
     counts = counts.filter("first < last")
@@ -375,7 +410,8 @@ def least_docs(contexts: DataFrame, width: int, grams: list[int]) -> DataFrame:
     dealt = contexts.join(hot.select("seed"), "seed", "left_semi").select("seed", "text", "lo", "hi")
     dealt = save(dealt.mapInArrow(_deal_again(width, grams[1]), "of_seed long, of_text binary, place int, seed long, text binary, lo long, hi long"), "suffix-dealt")
     again = save(dealt.groupBy("seed", "text").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-contexts")
-    found = least_docs(again, width, grams[1:])
+    held += [dealt, again]
+    found = least_docs(again, width, grams[1:], held)
     # what the next level leaves out belongs to one document: its own least
     back = dealt.join(found, ["seed", "text"], "left").select("of_seed", "of_text", "place", F.coalesce("lowest", "lo").alias("lowest"), "least", "lo", (F.octet_length("text") - width + 1).alias("n"))
     back = back.groupBy("of_seed", "of_text").agg(F.sort_array(F.collect_list(F.struct("place", "least", "lo", "n"))).alias("runs"), F.min("lowest").alias("lowest"))
@@ -392,33 +428,34 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(least, pa.binary()), batch.column(3)], names=["seed", "text", "least", "lowest"])
 
 
-def _remove(width: int, gram: int):
+def _known_by() -> list[Column]:
+    return [F.col("seed"), F.xxhash64("text").alias("key1"), F.xxhash64(F.lit(1), "text").alias("key2")]
+
+
+def _remove(width: int):
     def run(key: tuple, blocks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
             b, told_rows = Block(row), told.to_pylist()
-            starts, ends = _removed(told_rows)
+            own = next(r for r in told_rows if r["starts"] is not None)
+            starts, ends = _own(told_rows)
             change = np.zeros(len(b.data) + 1, np.int32)
             np.add.at(change, starts, 1)
             np.add.at(change, ends + width - 1, -1)
-            least = {r["text"]: r["least"] for r in told_rows if r["text"] is not None}
+            least = {r["place"]: r["least"] for r in told_rows if r["place"] is not None}
             if least:
-                begin, n, _ = seed_runs(b.data, b.left(starts, ends, width), width, gram)
-                doc = b.docs_at(begin)
-                texts = _cut_out(b.data, begin, n + width - 1).dictionary_encode()
-                found = [least.get(t) for t in texts.dictionary.to_pylist()]
-                known = np.array([x is not None for x in found], bool)[texts.indices.to_numpy()]
-                runs, at, owner = [], [], []
-                for i in np.flatnonzero(known).tolist():
-                    r = np.frombuffer(found[texts.indices[i].as_py()], _RUN)
-                    runs.append(r)
-                    at.append(begin[i] + np.cumsum(r["n"], dtype=np.int64) - r["n"])
-                    owner.append(np.full(len(r), doc[i]))
-                if runs:
-                    runs, at = np.concatenate(runs), np.concatenate(at)
-                    hit = runs["least"] < np.concatenate(owner)
-                    np.add.at(change, at[hit], 1)
-                    np.add.at(change, at[hit] + runs["n"][hit] + width - 1, -1)
+                begin, place = np.frombuffer(own["begins"], "<i8"), np.frombuffer(own["places"], "<i4")
+                mine = np.flatnonzero(np.isin(place, np.fromiter(least, np.int32, len(least))))
+                runs = [np.frombuffer(least[p], _RUN) for p in place[mine].tolist()]
+                sizes = np.array([len(r) for r in runs])
+                runs = np.concatenate(runs)
+                n = runs["n"].astype(np.int64)
+                # each run's place in its context: what the runs before it in the context sum up to
+                before = np.cumsum(n) - n
+                at = np.repeat(begin[mine], sizes) + before - np.repeat(before[np.cumsum(sizes) - sizes], sizes)
+                hit = runs["least"] < np.repeat(b.docs_at(begin[mine]), sizes)
+                np.add.at(change, at[hit], 1)
+                np.add.at(change, at[hit] + n[hit] + width - 1, -1)
             gone = np.cumsum(change)[:-1] > 0
             first = gone.copy()
             first[1:] &= ~gone[:-1]
@@ -441,27 +478,43 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
         raise ValueError("width must be 8 or more")
     spark = docs.sparkSession
     grams = [*[g for g in GRAMS if g < width], width]
+    asking = grams[:-1] or grams
     blocks = save(fields(docs, "doc_id", "text").mapInArrow(_pack(width), PACKED), "suffix-blocks")
-    packed = lambda: blocks.filter("ids IS NOT NULL").select("block", "ids", "named", "sizes", "data", "cuts", "keys")
+    packed = blocks.filter("ids IS NOT NULL").select("block", "ids", "named", "sizes", "data", "cuts", "keys")
     mine = blocks.filter("ids IS NULL").select("block", "key1", "key2", "lo", "hi")
     every = mine.groupBy("key1", "key2").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least < most").drop("most")
     told = mine.join(every, ["key1", "key2"]).filter("least < hi").select(F.col("block").alias("of"), "key1", "key2", "least")
     size = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     parts, bits = max(1, int(size * 0.2) // RANGE_KEYS), 48
-    asked = save(packed().groupBy("block").cogroup(told.groupBy("of")).applyInArrow(_ask(width, grams[0], parts, bits), ASKED), "suffix-seeds")
-    release(spark)
-    answers = save(asked.filter("part IS NOT NULL").select("part", "block", "n", "first", "keys", "counts").groupBy("part").applyInArrow(_tell, TOLD), "suffix-shared")
-    spans = asked.filter("part IS NULL").select(F.col("block").alias("of"), "starts", "ends")
     none = lambda *names: [F.lit(None).cast(k).alias(c) for c, k in names]
-    told = spans.select("of", "starts", "ends", *none(("part", "int"), ("n", "long"), ("shared", "binary")))
-    told = told.unionByName(answers.select(F.col("block").alias("of"), *none(("starts", "binary"), ("ends", "binary")), "part", "n", "shared"))
-    contexts = save(packed().groupBy("block").cogroup(told.groupBy("of")).applyInArrow(_contexts(width, grams[0], bits), CONTEXT), "suffix-contexts")
-    release(spark)
-    distinct = save(contexts.groupBy("seed", "text").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-contexts")
-    found = save(least_docs(distinct, width, grams), "suffix-least")
+
+    def meet(told: DataFrame, f, schema: str, name: str) -> DataFrame:
+        out = save(packed.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(f, schema), name)
+        release(spark)
+        return out
+
+    spans, held = None, []
+    for k in range(len(asking)):
+        asked = meet(told, _ask(width, asking[: k + 1], parts, bits), ASKED, "suffix-seeds")
+        if spans is None:
+            spans = asked.filter("part IS NULL").select(F.col("block").alias("of"), "starts", "ends", *none(("gram", "int"), ("part", "int"), ("n", "long"), ("shared", "binary")))
+            told = spans
+        answers = asked.filter("part IS NOT NULL").select("gram", "part", "block", "n", "first", "keys", "counts").groupBy("part").applyInArrow(_tell, TOLD)
+        answers = save(answers, "suffix-shared")
+        told = told.unionByName(answers.select(F.col("block").alias("of"), *none(("starts", "binary"), ("ends", "binary")), "gram", "part", "n", "shared"))
+        held += [asked, answers]
+    contexts = meet(told, _contexts(width, asking, bits), CONTEXT, "suffix-contexts")
+    discard(*held)
+    own = contexts.filter("place IS NOT NULL").select("block", "place", "seed", "text", "lo", "hi")
+    distinct = save(own.groupBy("seed", "text").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-distinct")
+    on_the_way = [distinct]
+    # from here on contexts are known by 128 bits of their hashes
+    found = least_docs(distinct, width, grams, on_the_way).filter("lowest < " + str(LAST)).select(*_known_by(), "least", "lowest")
+    found = save(found, "suffix-least")
+    discard(*on_the_way)
     release(spark)
-    back = contexts.join(found, ["seed", "text"]).filter("lowest < hi").select(F.col("block").alias("of"), *none(("starts", "binary"), ("ends", "binary")), "text", "least")
-    told = spans.select("of", "starts", "ends", *none(("text", "binary"), ("least", "binary"))).unionByName(back)
-    out = save(packed().groupBy("block").cogroup(told.groupBy("of")).applyInArrow(_remove(width, grams[0]), RESULT), "suffix-result")
-    discard(blocks, asked, answers, contexts, distinct, found)
+    back = own.select("block", "place", "hi", *_known_by()).join(found, ["seed", "key1", "key2"]).filter("lowest < hi").select(F.col("block").alias("of"), *none(("starts", "binary"), ("ends", "binary"), ("begins", "binary"), ("places", "binary")), "place", "least")
+    places = contexts.filter("place IS NULL").select(F.col("block").alias("of"), "starts", "ends", "begins", "places", *none(("place", "int"), ("least", "binary")))
+    out = meet(places.unionByName(back), _remove(width), RESULT, "suffix-result")
+    discard(blocks, contexts, found)
     return out
