@@ -22,13 +22,20 @@ def _uri(path: str) -> str:
     return path if "://" in path else "file://" + os.path.abspath(path)
 
 
+def _root(source: str) -> str:
+    """The folder that documents' names are relative to, as Spark writes the paths of its files."""
+    path = _uri(source).rstrip("/")
+    folder = path.rsplit("/", 1)[0] if path.lower().endswith((".csv", ".xlsx")) else path
+    return "file:" + folder.removeprefix("file://") if folder.startswith("file://") else folder
+
+
 def scrub_files(spark: SparkSession, source: str, target: str, randomize_amounts: bool = False) -> None:
     """A masked copy of every file, in its own format."""
     parsed = grids.read_files(spark, _uri(source))
     masked = scrub.scrub_grid(grids.grid_of(parsed), randomize_amounts=randomize_amounts)
     is_csv = masked["doc_id"].rlike(r"(?i)\.csv$")
-    grids.write_documents(grids.delimited(masked.filter(is_csv)), _uri(target), ".csv")
-    grids.write_documents(grids.workbooks(masked.filter(~is_csv)), _uri(target), ".xlsx")
+    grids.write_documents(grids.delimited(masked.filter(is_csv)), _uri(target), ".csv", _root(source))
+    grids.write_documents(grids.workbooks(masked.filter(~is_csv)), _uri(target), ".xlsx", _root(source))
 
 
 def process_files(spark: SparkSession, source: str, target: str) -> None:
@@ -38,7 +45,7 @@ def process_files(spark: SparkSession, source: str, target: str) -> None:
     for name in ("statements", "transactions", "repairs", "unparsed"):
         getattr(s, name).write.mode("overwrite").parquet(f"{_uri(target)}/{name}")
     rows = report.report(s.statements, s.transactions, s.repairs, s.unparsed.withColumnRenamed("doc_id", "statement_id"))
-    grids.write_documents(grids.report_workbooks(rows), f"{_uri(target)}/reports", ".xlsx")
+    grids.write_documents(grids.report_workbooks(rows), f"{_uri(target)}/reports", ".xlsx", _root(source))
     s.discard()
 
 

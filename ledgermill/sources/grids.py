@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import keep
+from ..lineage import discard, keep
 from ..operators import layout
 
 GRID = "doc_id string, page int, row int, cells array<string>"
@@ -211,16 +212,66 @@ def report_workbooks(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "sheet", "ord", "cells").groupBy("doc_id").applyInPandas(_report, CONTENT)
 
 
-def write_documents(contents: DataFrame, folder: str, suffix: str) -> None:
-    """A file for each row of (doc_id, content), named by the end of its doc_id, written by the tasks themselves into a
-    folder (a URI that pyarrow knows) that they all share."""
-
-    def put(rows: Iterator) -> None:
+def file_names(documents: DataFrame, suffix: str, root: str = "") -> DataFrame:
+    """doc_id and name of the file that each document is written to: its path below root, with the suffix in place of its
+    own; documents that would share a name keep their own suffix before it. A path outside root counts as a whole.
+
+    Names that are still shared (a doc_id that occurs twice, say) are an error.
+    """
+    full, base = F.col("doc_id"), F.lit(root.rstrip("/") + "/")
+    inner = F.when(full.startswith(base), F.substring(full, F.length(base) + 1, F.length(full))).otherwise(F.regexp_replace(full, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", ""))
+    safe = F.regexp_replace(F.regexp_replace(inner, r"(^|/)\.{1,2}(?=/|$)", "$1_"), "^/+|/+$", "")
+    path = F.when(safe == "", "document").otherwise(safe)
+    short = F.regexp_replace(path, r"\.[^./]*$", "")
+    named = documents.select("doc_id", path.alias("path"), F.when((short == "") | short.endswith("/"), path).otherwise(short).alias("short"))
+    shared = named.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short", F.lit(True).alias("shared"))
+    out = keep(named.join(shared, "short", "left").select("doc_id", F.concat(F.when(F.col("shared"), F.col("path")).otherwise(F.col("short")), F.lit(suffix)).alias("name")), "names")
+    twice = out.groupBy("name").count().filter("count > 1").orderBy("name").limit(3).collect()
+    if twice:
+        raise ValueError("several documents would be written to " + ", ".join(r["name"] for r in twice))
+    return out
+
+
+def write_documents(contents: DataFrame, folder: str, suffix: str, root: str = "") -> None:
+    """A file for each row of (doc_id, content), named by file_names(), in a folder (a URI that pyarrow knows) that all
+    tasks share.
+
+    Tasks write under names of their own attempt, and what the successful attempts have written is noted in a table; only
+    then a second job moves each file to its name. A retried, repeated or lost task leaves nothing half written, and
+    moving again what has been moved does no harm.
+    """
+    away = f"_writing-{uuid.uuid4().hex}"
+    rows = contents.select("doc_id", "content").join(file_names(contents, suffix, root), "doc_id").select("name", "content")
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = pafs.FileSystem.from_uri(folder)
+        for files in batches:
+            held = []
+            for content in files["content"]:
+                held.append(f"{away}/{uuid.uuid4().hex}")
+                if not len(held) - 1:
+                    store.create_dir(f"{base}/{away}", recursive=True)
+                with store.open_output_stream(f"{base}/{held[-1]}") as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"name": files["name"], "held": held})
+
+    def move(rows: Iterator) -> None:
         store, base = pafs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
+        known: set[str] = set()
         for r in rows:
-            name = re.sub(r"\.[^./]*$", "", r["doc_id"]).rsplit("/", 1)[-1] or "document"
-            with store.open_output_stream(f"{base}/{name}{suffix}") as out:
-                out.write(bytes(r["content"]))
-
-    contents.select("doc_id", "content").foreachPartition(put)
+            target = f"{base}/{r['name']}"
+            place = target.rsplit("/", 1)[0]
+            if place not in known:
+                store.create_dir(place, recursive=True)
+                known.add(place)
+            if store.get_file_info(f"{base}/{r['held']}").type != pafs.FileType.NotFound:  # else an attempt before has moved it
+                store.move(f"{base}/{r['held']}", target)
+
+    try:
+        noted = keep(rows.mapInPandas(put, "name string, held string"), "written")
+        noted.foreachPartition(move)
+        discard(noted)
+    finally:
+        store, base = pafs.FileSystem.from_uri(folder)
+        if store.get_file_info(f"{base}/{away}").type == pafs.FileType.Directory:
+            store.delete_dir(f"{base}/{away}")
