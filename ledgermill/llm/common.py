@@ -52,10 +52,25 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def save_dealt(df: DataFrame, name: str, key: str, least: int = 1) -> DataFrame:
+    """As save(), dealt to buckets by a key: later groupings by it read the buckets and shuffle only what they meet."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    # as many buckets as a shuffle has partitions, so that Spark does not prefer to shuffle anew
+    n = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), least))
+    df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    out.scratch_path, out.scratch_table = path, table
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that save() wrote, once nothing reads them any more."""
     for df in tables:
         spark, path = df.sparkSession, getattr(df, "scratch_path", None)
+        if getattr(df, "scratch_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df.scratch_table}")
         if path:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

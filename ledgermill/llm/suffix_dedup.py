@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, discard, fields, mix64, pieces, release, save, tidy
+from .common import M1, M2, discard, fields, mix64, release, save, save_dealt, tidy
 from .encoding import portions
 from .grouping_sa import _spread, suffix_arrays
 from .packed import narrow, pack_keys, ranges, rows_table, unpack_keys, wide
@@ -108,9 +108,9 @@ def inside(at: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(change)[: max(0, n - width + 1)] == 0
 
 
-def seed_runs(data: np.ndarray, ok: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring strings of one seed among those that are ok: first string, how many (width - gram + 1 at most), seed."""
-    seed = least_hashes(data, width, gram)
+def seed_runs(seed: np.ndarray, ok: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring strings of one seed (see least_hashes) among those that are ok: first string, how many
+    (width - gram + 1 at most), seed."""
     first = ok.copy()
     first[1:] &= ~ok[:-1] | (seed[1:] != seed[:-1])
     last = ok.copy()
@@ -139,8 +139,15 @@ class Block:
         self.ids, self.named, sizes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["named"], bool), np.frombuffer(row["sizes"], "<i8")
         self.at = np.append(0, np.cumsum(sizes))
         self.data = np.frombuffer(pa.decompress(row["data"], int(self.at[-1]), codec="zstd"), np.uint8) if self.at[-1] else np.zeros(0, np.uint8)
+        self.seeds: dict[int, np.ndarray] = {}
         self.cuts, self.keys = np.frombuffer(row["cuts"], "<i8").reshape(-1, 2), np.frombuffer(row["keys"], "<u8").reshape(-1, 2)
 
+    def runs(self, ok: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """seed_runs() of the strings that are ok; the block's seeds are made once."""
+        if gram not in self.seeds:
+            self.seeds[gram] = least_hashes(self.data, width, gram)
+        return seed_runs(self.seeds[gram], ok, width, gram)
+
     def docs_at(self, places: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.at, places, "right") - 1]
 
@@ -206,7 +213,7 @@ def _own(told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 def _shared(b: Block, ok: np.ndarray, told: list[dict], width: int, gram: int, bits: int) -> np.ndarray:
     """Of the strings that are ok, those whose seeds other documents have too, by the answers to what a block has asked."""
-    begin, n, seed = seed_runs(b.data, ok, width, gram)
+    begin, n, seed = b.runs(ok, width, gram)
     asked, place = np.unique(mix64(seed) >> np.uint64(64 - bits), return_inverse=True)
     answers = sorted((r for r in told if r["gram"] == gram), key=lambda r: r["part"])
     shared = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=r["n"], bitorder="little") for r in answers]]).astype(bool)
@@ -237,7 +244,7 @@ def _ask(width: int, grams: list[int], parts: int, bits: int):
             ok = b.left(starts, ends, width)
             for gram in grams[:-1]:
                 ok = _shared(b, ok, told_rows, width, gram, bits)
-            begin, _, seed = seed_runs(b.data, ok, width, grams[-1])
+            begin, _, seed = b.runs(ok, width, grams[-1])
             hashed, doc = mix64(seed) >> np.uint64(64 - bits), np.searchsorted(b.at, begin, "right")
             order = np.lexsort((doc, hashed))
             hashed, doc = hashed[order], doc[order]
@@ -279,7 +286,7 @@ def _contexts(width: int, grams: list[int], bits: int):
             ok = b.left(starts, ends, width)
             for gram in grams:
                 ok = _shared(b, ok, told_rows, width, gram, bits)
-            begin, n, seed = seed_runs(b.data, ok, width, grams[0])
+            begin, n, seed = b.runs(ok, width, grams[0])
             texts = _cut_out(b.data, begin, n + width - 1).dictionary_encode()
             index = texts.indices.to_numpy()
             first, lo, hi = _collapse([index], b.docs_at(begin))
@@ -383,7 +390,7 @@ def _deal_again(width: int, gram: int):
                 raw = part.column(1).cast(pa.large_binary())
                 at = np.frombuffer(raw.buffers()[1], "<i8")[raw.offset : raw.offset + len(raw) + 1]
                 data, at = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
-                begin, n, seed = seed_runs(data, inside(at, width), width, gram)
+                begin, n, seed = seed_runs(least_hashes(data, width, gram), inside(at, width), width, gram)
                 of = np.searchsorted(at, begin, "right") - 1
                 take = pa.array(of)
                 yield pa.record_batch(
@@ -479,7 +486,8 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     spark = docs.sparkSession
     grams = [*[g for g in GRAMS if g < width], width]
     asking = grams[:-1] or grams
-    blocks = save(fields(docs, "doc_id", "text").mapInArrow(_pack(width), PACKED), "suffix-blocks")
+    blocks = save_dealt(fields(docs, "doc_id", "text").mapInArrow(_pack(width), PACKED), "suffix-blocks", "block")
+    release(spark)
     packed = blocks.filter("ids IS NOT NULL").select("block", "ids", "named", "sizes", "data", "cuts", "keys")
     mine = blocks.filter("ids IS NULL").select("block", "key1", "key2", "lo", "hi")
     every = mine.groupBy("key1", "key2").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least < most").drop("most")
