@@ -5,6 +5,7 @@ Statements are stood in for by events (an account a user) and orders (an account
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 from .functions import text as T
+from .lineage import shared_dir
 from .operators import corrections, export, grouping, header, layout, ledger, metadata, profile, repair, report, retrieval, scrub, store, vendor
 from .plans import statement
-from .sources import grids, registry
+from .sources import generations, grids, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -863,7 +865,7 @@ _CORRECTED_SQL = f"""{_SEEN}, c AS (SELECT statement_id, seq, CASE WHEN statemen
     SELECT statement_id, round(CASE WHEN hit AND statement_id % 2 = 0 THEN 1.0 ELSE (n - bad * 0.5) / n END, 6)::DOUBLE AS confidence, hit AND statement_id % 2 = 1 AS review_required, false AS flagged FROM s"""
 
 
-def _corrected(spark, sf_dir, times):
+def _corrected(spark, sf_dir, times, stored=False):
     rows, bounds = events_ledger(spark, sf_dir, True)
     rows = rows.select("statement_id", "seq", "event_id", *[(F.col(c) * times).alias(c) for c in ("debit", "credit", "balance")])
     bounds = bounds.select("statement_id", *[(F.col(c) * times).alias(c) for c in ("opening", "closing")])
@@ -878,7 +880,14 @@ def _corrected(spark, sf_dir, times):
     # a new description changes no account that is right otherwise
     right = right.unionByName(rows.filter("seq = 1 AND statement_id % 4 = 0").select("statement_id", "seq", F.lit("Details").alias("key"), F.lit("noted").alias("value")))
     none = spark.createDataFrame([], repair.LOG), spark.createDataFrame([], "statement_id long, page int, row int, raw_text string, reason string, review_required boolean")
-    done = corrections.correct(corrections.Stored(s, tx, *none), right)
+    first = corrections.Stored(s, tx, *none)
+    if stored:  # written, corrected where it lies, and read again
+        kept = generations.Store.create(spark, f"{shared_dir(spark)}/ledgers-{uuid.uuid4().hex}", buckets=16)
+        kept.append(first)
+        kept.correct(right)
+        done = kept.read()
+    else:
+        done = corrections.correct(first, right)
     return done.statements.select("statement_id", F.round("confidence", 6).alias("confidence"), "review_required", (F.size("anomaly_flags") > 0).alias("flagged"))
 
 
@@ -888,6 +897,12 @@ def correct_statements(spark, sf_dir):
     return _corrected(spark, sf_dir, 1)
 
 
+@query(_CORRECTED_SQL)
+def stored_corrections(spark, sf_dir):
+    """The same in stored tables: the corrected statements' buckets are rewritten, all others stay."""
+    return _corrected(spark, sf_dir, 1, stored=True)
+
+
 @query(_CORRECTED_SQL)
 def correct_large_statements(spark, sf_dir):
     """The same with amounts of up to some billions."""
