@@ -11,7 +11,7 @@ from .. import constants as K
 from ..functions.text import alias_field, field_of_normal, header_like, headers_match_by_meaning, headers_match_fuzzily, infer_field, is_anchor, map_header, maybe_header_like, merge_headers, normalize_header, squeeze, strip
 from ..lineage import keep, once
 from .grouping import column_of
-from .retrieval import cosine
+from .vectors import Index
 from .vendor import INLINE
 
 
@@ -194,19 +194,17 @@ def map_header_by_vectors(headers: DataFrame, vectors: DataFrame, known: DataFra
     """header, field, score of distinct headers: an alias 1.0, else the nearest anchor at ALONE or above, else inferred terms,
     else containment (0.8 both). vectors: text, vector; known: anchors()."""
     texts = headers.select("header").distinct()
-    near = similarity(texts, vectors, known).groupBy("header").agg(F.max_by(F.struct("field", "score"), F.struct("score", -F.col("field_ord"))).alias("near"))
+    index = Index(known.select(F.struct("field_ord", "field").alias("name"), "vector"))
+    near = index.nearest(_vectors_of(texts, vectors)).select(F.col("id").alias("header"), F.struct("name.field", "score").alias("near"))
     rows = once(texts.join(near, "header", "left"), m=map_header(F.col("header")))
     exact = F.col("m.score") == 1.0
     taken = F.when(exact | (F.trim("header") == ""), F.col("m")).when(F.col("near.score") >= ALONE, F.col("near")).otherwise(F.col("m"))
     return rows.select("header", taken.alias("t")).select("header", "t.field", "t.score")
 
 
-def similarity(texts: DataFrame, vectors: DataFrame, known: DataFrame) -> DataFrame:
-    """header, field, field_ord, score: the largest cosine with a field's anchors, of headers that have a vector. Anchors
-    are a fixed set of some fifty vectors."""
-    mine = texts.join(vectors.withColumnRenamed("text", "header"), "header")
-    pairs = mine.join(F.broadcast(known.withColumnRenamed("vector", "anchor")), F.lit(True))
-    return pairs.groupBy("header", "field", "field_ord").agg(F.max(cosine(F.col("vector"), F.col("anchor"))).alias("score"))
+def _vectors_of(texts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """id and vector of the headers that have a vector."""
+    return texts.join(vectors.select(F.col("text").alias("header"), "vector"), "header").select(F.col("header").alias("id"), "vector")
 
 
 def map_columns_by_vectors(headers: DataFrame, keys: list[str], vectors: DataFrame, known: DataFrame) -> DataFrame:
@@ -215,7 +213,8 @@ def map_columns_by_vectors(headers: DataFrame, keys: list[str], vectors: DataFra
     cells = headers.select(*keys, F.posexplode("cells").alias("col", "header")).filter(F.trim("header") != "")
     texts = cells.select("header").distinct()
     exact = texts.withColumn("field", alias_field(F.col("header"))).filter("field IS NOT NULL").select("header", "field", F.lit(1.0).alias("score"), F.lit(0).alias("kind"))
-    near = similarity(texts.join(exact.select("header"), "header", "left_anti"), vectors, known).filter(F.col("score") >= CANDIDATE).select("header", "field", "score", (F.col("field_ord") + 1).alias("kind"))
+    index = Index(known.select(F.struct("field_ord", "field").alias("name"), "vector"))
+    near = index.within(_vectors_of(texts.join(exact.select("header"), "header", "left_anti"), vectors), CANDIDATE).select(F.col("id").alias("header"), "name.field", "score", (F.col("name.field_ord") + 1).alias("kind"))
     said = texts.join(exact.select("header"), "header", "left_anti").withColumn("field", infer_field(F.col("header"))).filter("field IS NOT NULL").select("header", "field", F.lit(0.85).alias("score"), F.lit(9).alias("kind"))
     found = cells.join(exact.unionByName(near).unionByName(said), "header")
     listed = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "col", "kind", "field"))), lambda x: F.struct(x["field"].alias("key"), x["col"].alias("value"))).alias("c"))

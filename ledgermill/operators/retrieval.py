@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.text import any_of, tokens
 from ..lineage import keep, once
+from .vectors import Index
 
 #: Okapi's constants, the share of the mean idf that stands for negative ones, and the cut below the best page.
 K1, B, EPSILON, CUT = 1.5, 0.75, 0.25, 0.4
-#: Reference vectors that are broadcast.
-MOST_ANCHORS = 10_000
 
 
 def bm25(pages: DataFrame, query: list[str] | None = None) -> DataFrame:
@@ -47,17 +46,8 @@ def relevant_pages(pages: DataFrame, threshold: float = CUT, query: list[str] |
     return scored.join(best, "doc_id").filter((F.col("best") <= 0) | (F.col("score") >= threshold * F.col("best"))).select("doc_id", "page", "score")
 
 
-def cosine(a: F.Column, b: F.Column) -> F.Column:
-    """Cosine of two float arrays; norms have 1e-9 added."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / ((F.sqrt(dot(a, a)) + 1e-9) * (F.sqrt(dot(b, b)) + 1e-9))
-
-
 def nearest_label(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
-    """id, label, score: the label whose anchors have the highest cosine with each vector; the least label on ties.
-
-    anchors(label, anchor): a fixed set of reference vectors, broadcast while there are at most MOST_ANCHORS.
-    """
-    fixed = F.broadcast(anchors) if anchors.count() <= MOST_ANCHORS else anchors
-    best = vectors.join(fixed, F.lit(True)).groupBy("id", "label").agg(F.max(F.round(cosine(F.col("vector"), F.col("anchor")), 9)).alias("score"))
-    return best.groupBy("id").agg(F.max(F.struct("score", (-F.col("label")).alias("label"))).alias("b")).select("id", (-F.col("b.label")).alias("label"), F.col("b.score").alias("score"))
+    """id, label, score: the label whose anchors have the highest cosine (to nine decimals) with each vector; the least label
+    on ties. vectors: id, vector; anchors: label, anchor, as many as there are."""
+    index = Index(anchors.select(F.col("label").alias("name"), F.col("anchor").alias("vector")))
+    return index.nearest(vectors, 9).select("id", F.col("name").alias("label"), "score")
