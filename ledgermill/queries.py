@@ -331,7 +331,7 @@ def repair_acceptance(spark, sf_dir):
 _RATES = {0: ("USD", None), 1: ("EUR", 1.09), 2: ("SGD", 0.74)}
 
 
-@query("""SELECT o_orderkey, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1.09 ELSE 0.74 END::DOUBLE AS rate, CAST(round(floor(o_totalprice * (CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1.09 ELSE 0.74 END::DOUBLE) * 100 + 0.5)) AS BIGINT) AS cents
+@query("""SELECT o_orderkey, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1.09 ELSE 0.74 END::DOUBLE AS rate, CAST(round(printf('%.2f', o_totalprice * (CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1.09 ELSE 0.74 END::DOUBLE))::DOUBLE * 100) AS BIGINT) AS cents
     FROM (SELECT *, o_orderkey % 3 AS k FROM orders)""")
 def fx_convert(spark, sf_dir):
     k = F.col("o_orderkey") % 3
@@ -622,7 +622,7 @@ def sheets_in_locale(spark, sf_dir) -> DataFrame:
 LOCAL_VENDOR = {"kontor": {"official_name": "Kontor", "aliases": ["Customer#"], "columns": dict(zip(K.FIELDS, ["Date", "Particulars", "Debit", "Credit", "Balance"], strict=True)), "numeric_locale": "comma_decimal", "currency": "CHF", "exchange_rate": 1.1}}
 
 
-@query(f"""{_STATEMENTS} SELECT statement_id::VARCHAR AS statement_id, (seq - 1)::INTEGER AS seq, nullif(debit, 0) AS debit, nullif(credit, 0) AS credit, balance, CAST(floor(balance / 100 * 1.1::DOUBLE * 100::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS universal, 'clean' AS status FROM ledger""")
+@query(f"""{_STATEMENTS} SELECT statement_id::VARCHAR AS statement_id, (seq - 1)::INTEGER AS seq, nullif(debit, 0) AS debit, nullif(credit, 0) AS credit, balance, CAST(round(printf('%.2f', balance / 100 * 1.1::DOUBLE)::DOUBLE * 100) AS BIGINT) AS universal, 'clean' AS status FROM ledger""")
 def process_local_amounts(spark, sf_dir):
     """Rows in a vendor's own locale, converted at its rate."""
     s = statement.process(sheets_in_locale(spark, sf_dir), registry=registry.from_dict(spark, LOCAL_VENDOR))
