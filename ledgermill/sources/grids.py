@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 import re
 import uuid
 import zipfile
@@ -212,12 +213,19 @@ def report_workbooks(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "sheet", "ord", "cells").groupBy("doc_id").applyInPandas(_report, CONTENT)
 
 
-def file_names(documents: DataFrame, suffix: str, root: str = "") -> DataFrame:
-    """doc_id and name of the file that each document is written to: its path below root, with the suffix in place of its
-    own; documents that would share a name keep their own suffix before it. A path outside root counts as a whole.
+def common_folder(documents: DataFrame) -> str:
+    """The folder that all doc_ids share: what the least and the greatest of them begin with."""
+    ends = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return os.path.commonprefix([e or "" for e in ends]).rpartition("/")[0]
+
+
+def file_names(documents: DataFrame, suffix: str, root: str | None = None) -> DataFrame:
+    """doc_id and name of the file that each document is written to: its path below root (the folder that all share,
+    unless one is given), with the suffix in place of its own; documents that would share a name keep their own suffix before it. A path outside root counts as a whole.
 
     Names that are still shared (a doc_id that occurs twice, say) are an error.
     """
+    root = common_folder(documents) if root is None else root
     full, base = F.col("doc_id"), F.lit(root.rstrip("/") + "/")
     inner = F.when(full.startswith(base), F.substring(full, F.length(base) + 1, F.length(full))).otherwise(F.regexp_replace(full, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", ""))
     safe = F.regexp_replace(F.regexp_replace(inner, r"(^|/)\.{1,2}(?=/|$)", "$1_"), "^/+|/+$", "")
@@ -232,7 +240,7 @@ def file_names(documents: DataFrame, suffix: str, root: str = "") -> DataFrame:
     return out
 
 
-def write_documents(contents: DataFrame, folder: str, suffix: str, root: str = "") -> None:
+def write_documents(contents: DataFrame, folder: str, suffix: str, root: str | None = None) -> None:
     """A file for each row of (doc_id, content), named by file_names(), in a folder (a URI that pyarrow knows) that all
     tasks share.
 

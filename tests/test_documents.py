@@ -22,9 +22,11 @@ def test_names_below_the_root(spark, tmp_path):
         "a/x.xlsx": b"of file:/in/a/x.csv", "b/x.xlsx": b"of file:/in/b/x.csv", "y.csv.xlsx": b"of file:/in/y.csv", "y.xlsx.xlsx": b"of file:/in/y.xlsx", ".csv.xlsx": b"of file:/in/.csv",
         "z.v1.xlsx": b"of file:/in/z.v1.csv", "_/up.xlsx": b"of file:/in/../up.csv", "other.xlsx": b"of other",
     }
-    grids.write_documents(contents(spark, "file:/in/y.csv"), folder, ".xlsx", "file:/in")  # again: replaced
+    grids.write_documents(contents(spark, "file:/in/y.csv"), folder, ".xlsx")  # again: replaced; alone, it lies in the shared folder
     assert written(tmp_path / "out")["y.xlsx"] == b"of file:/in/y.csv"
-    grids.write_documents(contents(spark).limit(0) if False else contents(spark, "q").limit(0), f"file://{tmp_path}/none", ".csv")
+    grids.write_documents(contents(spark, "in/a/x.csv", "in/b/x.csv"), f"file://{tmp_path}/two", ".csv")
+    assert sorted(written(tmp_path / "two")) == ["a/x.csv", "b/x.csv"]
+    grids.write_documents(contents(spark, "q").limit(0), f"file://{tmp_path}/none", ".csv")
     assert written(tmp_path / "none") == {}
 
 
