@@ -845,12 +845,12 @@ def flat_ledger(spark, sf_dir):
 @query(f"""WITH {_ledger_sql(False)} SELECT statement_id::VARCHAR AS doc_id, 0::BIGINT AS ord, CASE WHEN statement_id % 2 = 0 THEN 'Doc Date|Debit / Credit|Balance' ELSE 'Narration detail|Branch' END AS line FROM bounds
     UNION ALL SELECT statement_id::VARCHAR, seq + 1, CASE WHEN statement_id % 2 = 0 THEN 'd' || seq || '|' || printf('%.2f', CASE WHEN debit > 0 THEN debit ELSE credit END / 100) || '|' || printf('%.2f', balance / 100) ELSE 'e' || event_id || '|x' || event_id END FROM ledger""")
 def flat_sheets(spark, sf_dir):
-    """Flat tables of all statements at once, each under its own target headers."""
+    """Flat tables of all statements at once, each under its own target headers; a row that moves nothing is a credit of 0."""
     rows, bounds = events_ledger(spark, sf_dir)
     amount = lambda c: F.when(F.col(c) > 0, F.col(c) / 100)
     e = F.col("event_id").cast("string")
     tx = rows.select(
-        "statement_id", "seq", F.concat(F.lit("d"), F.col("seq").cast("string")).alias("transaction_date"), F.concat(F.lit("e"), e).alias("description"), amount("debit").alias("debit_amount"), amount("credit").alias("credit_amount"), (F.col("balance") / 100).alias("running_balance"),
+        "statement_id", "seq", F.concat(F.lit("d"), F.col("seq").cast("string")).alias("transaction_date"), F.concat(F.lit("e"), e).alias("description"), amount("debit").alias("debit_amount"), F.when(F.col("debit") == 0, F.col("credit") / 100).alias("credit_amount"), (F.col("balance") / 100).alias("running_balance"),
         F.lit("clean").alias("status"), F.lit(1.0).alias("confidence"), F.create_map(F.lit("5"), F.concat(F.lit("x"), e)).alias("additional_fields"), *[F.lit(None).cast("double").alias(f"universal_{c}") for c in ("debit", "credit", "balance")],
     )
     mapping = F.create_map(*[F.lit(x) for i, f in enumerate(K.FIELDS) for x in (f, i)])

@@ -68,3 +68,11 @@ def test_grid_from_the_words_of_every_sheet(spark, sheets_dir):
     path, sizes = sheets_dir
     got = sorted(tuple(r) for r in queries.QUERIES["grid_from_words_all"](spark, path).collect())
     assert got == sorted((str(c), n + 1, 5) for c, n in sizes.items())
+
+
+def test_flat_sheets_show_movements_of_zero(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(7, start, 2, "click", 0.0), (8, start + datetime.timedelta(minutes=1), 2, "purchase", 0.0), (9, start + datetime.timedelta(minutes=2), 2, "view", 1.5)]
+    spark.createDataFrame(rows, EVENTS).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["ord"]: r["line"] for r in queries.QUERIES["flat_sheets"](spark, str(tmp_path)).collect()}
+    assert got == {0: "Doc Date|Debit / Credit|Balance", 2: "d1|0.00|1000.00", 3: "d2|0.00|1000.00", 4: "d3|1.50|998.50"}
