@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 from .functions import text as T
-from .lineage import shared_dir
+from .lineage import once, shared_dir
 from .operators import corrections, export, grouping, header, layout, ledger, metadata, profile, repair, report, retrieval, scrub, store, vendor
 from .plans import statement
 from .sources import generations, grids, registry
@@ -519,21 +519,28 @@ def traversal_deviation(spark, sf_dir):
 
 def statement_grids(spark, sf_dir) -> DataFrame:
     """A sheet for each customer: five lines of metadata, a header, their orders, a closing line."""
-    rows, bounds = orders_ledger(spark, sf_dir)
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("statement_id"), F.row_number().over(w).cast("long").alias("seq"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("date"), "o_orderpriority")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    pays = F.col("o_orderkey") % 4 == 0
+    o = table(spark, sf_dir, "orders").filter("o_custkey IS NOT NULL").select(
+        F.col("o_custkey").alias("statement_id"), "o_orderdate", "o_orderkey", "o_orderpriority", F.when(pays, 0).otherwise(cents).alias("debit"), F.when(pays, cents).otherwise(0).alias("credit")
+    )
+    w = Window.partitionBy("statement_id").orderBy("o_orderdate", "o_orderkey")
     money = lambda c: F.when(F.col(c) == 0, "").otherwise(F.format_number(F.col(c) / 100, 2))
-    tx = rows.join(o, ["statement_id", "seq"]).select("statement_id", (F.col("seq") + 6).cast("int").alias("row"), F.array("date", "o_orderpriority", money("debit"), money("credit"), F.format_number(F.col("balance") / 100, 2)).alias("cells"))
+    moved = F.sum(F.col("debit") - F.col("credit"))
+    rows = o.select("*", F.row_number().over(w).alias("seq"), (F.lit(OPENING) + moved.over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("balance"))
+    cells = F.array(F.date_format("o_orderdate", "dd/MM/yyyy"), "o_orderpriority", money("debit"), money("credit"), F.format_number(F.col("balance") / 100, 2))
+    tx = rows.select("statement_id", (F.col("seq") + 6).cast("int").alias("row"), cells.alias("cells"))
+    bounds = o.groupBy("statement_id").agg((F.lit(OPENING) + moved).alias("closing"))
     c = table(spark, sf_dir, "customer").join(bounds, F.col("c_custkey") == F.col("statement_id"))
     e = F.lit("")
     lines = [
-        F.array(F.col("c_name"), e, e, e, e), F.array(F.concat(F.lit("Account No: AC"), F.col("c_custkey").cast("string")), e, e, e, e),
-        F.array(F.concat(F.lit("Currency "), F.when(F.col("c_custkey") % 2 == 0, "SGD").otherwise("EUR")), e, e, e, e), F.array(F.lit("Period 01/01/1995 to 31/12/1995"), e, e, e, e),
-        F.array(F.lit("Opening Balance"), F.format_number(F.col("opening") / 100, 2), e, e, e), F.array(F.lit("Date"), F.lit("Particulars"), F.lit("Debit"), F.lit("Credit"), F.lit("Balance")),
+        (0, F.array(F.col("c_name"), e, e, e, e)), (1, F.array(F.concat(F.lit("Account No: AC"), F.col("c_custkey").cast("string")), e, e, e, e)),
+        (2, F.array(F.concat(F.lit("Currency "), F.when(F.col("c_custkey") % 2 == 0, "SGD").otherwise("EUR")), e, e, e, e)), (3, F.array(F.lit("Period 01/01/1995 to 31/12/1995"), e, e, e, e)),
+        (4, F.array(F.lit("Opening Balance"), F.lit(f"{OPENING / 100:,.2f}"), e, e, e)), (5, F.array(*map(F.lit, ["Date", "Particulars", "Debit", "Credit", "Balance"]))),
+        (1_000_000, F.array(F.lit("Closing Balance"), F.format_number(F.col("closing") / 100, 2), e, e, e)),
     ]
-    head = c.select("statement_id", F.posexplode(F.array(*lines)).alias("row", "cells"))
-    tail = c.select("statement_id", F.lit(1_000_000).alias("row"), F.array(F.lit("Closing Balance"), F.format_number(F.col("closing") / 100, 2), e, e, e).alias("cells"))
-    return head.unionByName(tx).unionByName(tail).select(F.col("statement_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "row", "cells")
+    ends = c.select("statement_id", F.inline(F.array(*[F.struct(F.lit(i).alias("row"), x.alias("cells")) for i, x in lines])))
+    return ends.unionByName(tx).select(F.col("statement_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "row", "cells")
 
 
 _STATEMENTS = f"WITH {_ledger_sql(False, 'orders')}"
@@ -800,9 +807,9 @@ def mask_description(spark, sf_dir):
 def scrub_statements(spark, sf_dir):
     """Masked sheets with new amounts: what is masked, what stays, and that each balance follows from the one before."""
     g = scrub.scrub_grid(statement_grids(spark, sf_dir), seed=5, randomize_amounts=True)
-    cents = lambda i: T.to_units(T.parse_currency(F.get("cells", F.lit(i))))
+    cents = lambda i: T.to_units(T.parse_currency(F.col(f"raw{i}")))
     moves = F.col("row") > 5
-    rows = g.filter(~F.col("row").isin(3, 4, 1_000_000)).select("doc_id", "row", "cells", *[F.when(moves, cents(i)).alias(n) for i, n in ((2, "d"), (3, "c"), (4, "b"))])
+    rows = once(once(g.filter(~F.col("row").isin(3, 4, 1_000_000)).select("doc_id", "row", "cells"), **{f"raw{i}": F.get("cells", F.lit(i)) for i in (2, 3, 4)}), **{n: F.when(moves, cents(i)) for i, n in ((2, "d"), (3, "c"), (4, "b"))})
     ok = F.coalesce(F.lag("b").over(Window.partitionBy("doc_id").orderBy("row")) + F.col("c") - F.col("d") == F.col("b"), F.lit(True))
     phrase = F.concat(F.get("cells", F.lit(0)), F.lit("|"), F.regexp_replace(F.get("cells", F.lit(1)), "[0-9]{5}$", ""))
     text = F.when(moves, phrase).otherwise(F.rtrim(F.array_join("cells", "|"), F.lit("|")))
