@@ -118,8 +118,8 @@ def locate(grid: DataFrame, known: DataFrame | None = None, registry: tuple[Data
     header and are mapped anew; a vendor's headers are then compared by meaning.
     """
     w = Window.partitionBy("doc_id", "page").orderBy("row")
-    rows = grid.select("doc_id", "page", "row", "cells", F.lead("cells").over(w).alias("below"))
-    rows = rows.filter(maybe_header_like(F.col("cells"))).filter(F.exists("cells", lambda c: header_like(strip(c))))
+    rows = once(grid.select("doc_id", "page", "row", "cells"), like=F.when(maybe_header_like(F.col("cells")), F.exists("cells", lambda c: header_like(strip(c)))))
+    rows = rows.withColumn("below", F.lead("cells").over(w)).filter("like").drop("like")
     rows = rows.select("*", merge_headers(F.col("cells"), F.col("below")).alias("both"), F.struct("doc_id", "page", "row").alias("at"))
     rows = once(once(rows, scored=scored_fields(F.col("cells"))), single=best_columns(F.col("scored"), sorted(K.FIELDS))).drop("scored")
     part = F.map_contains_key("single", "transaction_date") | F.map_contains_key("single", "description")
@@ -132,7 +132,8 @@ def locate(grid: DataFrame, known: DataFrame | None = None, registry: tuple[Data
     else:
         vendors, columns = registry
         wide = registered_columns(columns)
-        rows = once(rows, spelled=_spelled(F.col("cells"))).join(known, "doc_id", "left").withColumnRenamed("vendor_key", "known_key")
+        # three steps read the candidates: the grid is looked through for them once
+        rows = keep(once(rows, spelled=_spelled(F.col("cells"))).join(known, "doc_id", "left").withColumnRenamed("vendor_key", "known_key"), "candidate-rows")
         inline = _inline(rows.filter("known_key IS NULL"), columns, vendors)
         rows = rows.join(inline, "at", "left").withColumn("vendor_key", F.coalesce("known_key", "own_key")).join(wide, "vendor_key", "left")
         rows = once(rows, found=F.when(F.col("known_key").isNotNull(), _vendor_matches(F.col("wanted"), F.col("spelled")))).withColumn("known_map", _as_map("found"))
