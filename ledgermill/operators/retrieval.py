@@ -25,7 +25,7 @@ def bm25(pages: DataFrame, query: list[str] | None = None) -> DataFrame:
     words = tokens(F.col("text"))
     counted = once(pages.select("doc_id", "page", "text"), words=words).drop("text")
     tf = [(F.size("words") - F.size(F.array_remove("words", t))).alias(f"tf{i}") for i, t in enumerate(wanted)]
-    counted = counted.select("doc_id", "page", F.size("words").alias("size"), *tf)
+    counted = keep(counted.select("doc_id", "page", F.size("words").alias("size"), *tf), "page-counts")  # statistics and scores read it
     idf = lambda n, df: F.log(n - df + 0.5) - F.log(df + 0.5)
     stats = counted.groupBy("doc_id").agg(F.count("*").alias("pages"), F.avg("size").alias("mean_size"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     stats = stats.select("doc_id", "pages", "mean_size", *[F.when(F.col(f"df{i}") > 0, idf(F.col("pages"), F.col(f"df{i}"))).alias(f"raw{i}") for i in range(len(wanted))])

@@ -1,6 +1,6 @@
 """Inputs are read once, however many steps need them."""
 
-from ledgermill.operators import header, scrub
+from ledgermill.operators import header, retrieval, scrub
 from ledgermill.sources import registry
 
 GRID = "doc_id string, page int, row int, cells array<string>"
@@ -31,3 +31,11 @@ def test_registered_headers_are_looked_for_among_kept_candidates(spark, tmp_path
     assert not any(f"{tmp_path}/grid" in f for f in out.inputFiles())  # before: three times
     r = out.collect()
     assert [(x["doc_id"], x["row"], x["start_row"], x["vendor_key"]) for x in r] == [("a", 1, 2, "v")]
+
+
+def test_page_scores_count_words_once(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "debit debit x"), ("a", 2, "y"), ("a", 3, "z")], "doc_id string, page int, text string").write.parquet(f"{tmp_path}/pages")
+    out = retrieval.bm25(spark.read.parquet(f"{tmp_path}/pages"), ["debit"])
+    assert sum("text#" in line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Relation [" in line) == 1  # that of negative idfs; before: two
+    scores = {r["page"]: r["score"] for r in out.collect()}
+    assert scores[1] > 0 and scores[2] == scores[3] == 0
