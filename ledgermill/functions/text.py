@@ -11,8 +11,8 @@ from .. import constants as K
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end (trim() knows spaces alone)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space at either end (trim() alone knows only spaces)."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -178,7 +178,7 @@ def field_of_normal(n: Column) -> Column:
     out = F.lit(None).cast("string")
     for field, terms in reversed(K.HEADER_TERMS.items()):
         out = F.when(n.rlike(_terms(terms)), F.lit(field)).otherwise(out)
-    return out
+    return F.when(n != "", out)  # most cells are empty
 
 
 def alias_field(c: Column) -> Column:
@@ -253,10 +253,16 @@ def header_like(c: Column) -> Column:
 
 
 def maybe_header_like(cells: Column) -> Column:
-    """False only for rows none of whose cells is header_like(): one look at the whole line, without spaces and signs."""
-    terms = {t.replace(" ", "") for ts in K.HEADER_TERMS.values() for t in ts} | set(SHOWN) | {k for k, v in K.HEADER_ABBREVIATIONS.items() if v in SHOWN}
-    parts = {w[i : i + 3] for w in SHOWN for i in range(len(w) - 2)}
-    return F.regexp_replace(F.lower(F.array_join(cells, "")), "[^a-z0-9]", "").rlike("|".join(sorted(terms | parts)))
+    """False only for rows none of whose cells is header_like(): two looks at the letters of the whole line, as words
+    and without spaces; a sign that no cell has keeps cells apart (true where one has it, or where a cell is null)."""
+    sign = "\x01"
+    line = F.lower(F.array_join(cells, sign))
+    short = [k for k, v in K.HEADER_ABBREVIATIONS.items() if v in SHOWN]
+    parts = sorted({w[i:j] for w in SHOWN for i in range(len(w)) for j in range(i + 3, len(w) + 1)})
+    letters = F.regexp_replace(line, f"[^a-z{sign}]+", " ")
+    words = letters.rlike("|".join(_terms(t) for t in K.HEADER_TERMS.values()))
+    shown = F.replace(letters, F.lit(" "), F.lit("")).rlike(rf"{'|'.join([*SHOWN, *short])}|(?:^|{sign})(?:{'|'.join(parts)})(?:$|{sign})")
+    return words | shown | (occurrences(line, sign) != F.size(cells) - 1)
 
 
 def merge_headers(a: Column, b: Column) -> Column:

@@ -35,8 +35,7 @@ def body_text(cells: Column) -> Column:
 
 def without_footers(grid: DataFrame) -> DataFrame:
     """Without empty rows and rows that are footers."""
-    line = body_text(F.col("cells"))
-    return grid.filter((line != "") & ~is_footer(line))
+    return once(grid, line=body_text(F.col("cells"))).filter((F.col("line") != "") & ~is_footer(F.col("line"))).drop("line")
 
 
 def column_of(field: str) -> Column:
@@ -44,6 +43,18 @@ def column_of(field: str) -> Column:
     return F.get(F.map_values(F.map_filter("mapping", lambda k, v: k == field)), F.lit(0))
 
 
+def columns_of(maps: DataFrame) -> DataFrame:
+    """doc_id and what the steps on rows need of a mapping, looked up once a document: at_<field>, the columns that any
+    field has (taken), and how many cells a row has at least."""
+    taken = F.map_values("mapping")
+    return maps.select("doc_id", *[column_of(f).alias(f"at_{f}") for f in K.FIELDS], taken.alias("taken"), (F.array_max(taken) + 1).alias("least"))
+
+
+def at(field: str) -> Column:
+    """The column of a field in rows that have columns_of()."""
+    return F.col(f"at_{field}")
+
+
 def _page_scan(**scans) -> Scan:
     return Scan(PAGE, ["row"], numbered(F.col("row")), **scans)
 
@@ -51,9 +62,9 @@ def _page_scan(**scans) -> Scan:
 def _anchored(rows: DataFrame) -> DataFrame:
     """Adds anchor: the date column, else the mapped column with most non-empty cells of the page (the first such, in
     field order)."""
-    date = column_of("transaction_date")
-    counts = {f"filled_{f}": (cell(F.col("cells"), column_of(f)) != "").cast("int") for f in K.FIELDS}
-    filled = [F.when(column_of(f).isNotNull(), F.struct((-F.col(f"filled_{f}")).alias("n"), F.lit(i).alias("ord"), column_of(f).alias("col"))) for i, f in enumerate(K.FIELDS)]
+    date = at("transaction_date")
+    counts = {f"filled_{f}": (cell(F.col("cells"), at(f)) != "").cast("int") for f in K.FIELDS}
+    filled = [F.when(at(f).isNotNull(), F.struct((-F.col(f"filled_{f}")).alias("n"), F.lit(i).alias("ord"), at(f).alias("col"))) for i, f in enumerate(K.FIELDS)]
     undated = _page_scan(totals=counts).over(rows.filter(date.isNull())).withColumn("anchor", F.array_min(F.array(*filled))["col"])
     return rows.filter(date.isNotNull()).withColumn("anchor", date).unionByName(undated.drop(*counts))
 
@@ -64,15 +75,14 @@ def group_wrapped(grid: DataFrame, maps: DataFrame) -> DataFrame:
     Rows before the first record of a page stay as they are; a record without a date takes the one before on its page.
     Records are numbered and dates carried by scans over segments of a page: a page of any length spreads over tasks.
     """
-    rows = _anchored(grid.join(maps.select("doc_id", "mapping"), "doc_id"))
-    width = F.array_max(F.map_values("mapping")) + 1
-    rows = rows.select("*", column_of("transaction_date").alias("date_col"), column_of("description").alias("desc_col"), width.alias("least"))
+    rows = _anchored(grid.join(columns_of(maps).drop("taken"), "doc_id"))
+    rows = rows.select("*", at("transaction_date").alias("date_col"), at("description").alias("desc_col"))
     padded = F.concat("cells", F.array_repeat(F.lit(""), F.greatest(F.col("least") - F.size("cells"), F.lit(0))))
     rows = rows.withColumn("cells", F.transform(padded, lambda x: F.coalesce(x, F.lit(""))))
     own = cell(F.col("cells"), F.col("anchor"))
     dated = F.when(F.col("anchor").eqNullSafe(F.col("date_col")), is_anchor(own)).otherwise(own != "")
-    begins = dated | any_of([F.coalesce(is_amount(cell(F.col("cells"), column_of(f))), F.lit(False)) for f in K.AMOUNT_FIELDS])
-    rows = keep(rows.withColumn("begins", begins.cast("int")), "lines")
+    begins = dated | any_of([F.coalesce(is_amount(cell(F.col("cells"), at(f))), F.lit(False)) for f in K.AMOUNT_FIELDS])
+    rows = keep(rows.select(*PAGE, "row", "cells", "anchor", "date_col", "desc_col", begins.cast("int").alias("begins")), "lines")
     rows = _page_scan(sums={"record": F.col("begins")}).over(rows)
     rows = rows.withColumn("record", F.when(F.col("record") == 0, -1 - F.col("row")).otherwise(F.col("record")))
     lines = F.array_sort(F.collect_list(F.struct("row", "cells")))
@@ -99,12 +109,11 @@ def group_wrapped(grid: DataFrame, maps: DataFrame) -> DataFrame:
 
 def project(records: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Transactions with raw amounts and additional fields, and records whose date cannot be read (for review)."""
-    at = column_of
-    rows = records.join(maps, "doc_id").filter(at("transaction_date") < F.size("cells"))  # without a date column nothing is read
+    rows = records.join(columns_of(maps), "doc_id").filter(at("transaction_date") < F.size("cells"))  # without a date column nothing is read
     rows = once(rows, transaction_date=accepted_date(F.col("cells"), at("transaction_date")))
     inside = lambda f: at(f) < F.size("cells")
     raw = lambda f, missing: F.when(inside(f), cell(F.col("cells"), at(f))).otherwise(F.lit(missing))
-    extra = F.filter(F.transform("cells", lambda c, i: F.struct(i.cast("string").alias("key"), strip(c).alias("value"))), lambda e: ~F.array_contains(F.map_values("mapping"), e["key"].cast("int")))
+    extra = F.filter(F.transform("cells", lambda c, i: F.struct(i.cast("string").alias("key"), strip(c).alias("value"))), lambda e: ~F.array_contains("taken", e["key"].cast("int")))
     good = rows.filter("transaction_date IS NOT NULL").select(
         "doc_id", "page", "row", "transaction_date", raw("description", "").alias("description"), raw("debit_amount", "0.0").alias("debit_raw"),
         raw("credit_amount", "0.0").alias("credit_raw"), raw("running_balance", "0.0").alias("balance_raw"), F.map_from_entries(extra).alias("additional_fields"),

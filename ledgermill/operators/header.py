@@ -17,14 +17,13 @@ from .vendor import INLINE
 
 def scored_fields(cells: F.Column) -> F.Column:
     """(field, s, col) of each header cell that has a field: an alias scores 1.0, inferred terms 0.85; s is negative."""
-    # the inner transform makes each cell's two spellings once
-    spelled = F.transform(cells, lambda c, i: F.struct(c.alias("raw"), normalize_header(c).alias("n"), i.alias("col")))
+    return scored_spellings(_spelled(cells))
 
-    def scored(x: F.Column) -> F.Column:
-        exact = alias_field(x["raw"])
-        return F.struct(F.coalesce(exact, field_of_normal(x["n"])).alias("field"), F.when(exact.isNotNull(), -1.0).otherwise(-0.85).alias("s"), x["col"].alias("col"))
 
-    return F.filter(F.transform(F.filter(spelled, lambda x: strip(x["raw"]) != ""), scored), lambda x: x["field"].isNotNull())
+def scored_spellings(spelled: F.Column) -> F.Column:
+    """scored_fields() of cells whose spellings are made already."""
+    named = F.filter(spelled, lambda x: x["exact"].isNotNull() | x["inferred"].isNotNull())
+    return F.transform(named, lambda x: F.struct(F.coalesce(x["exact"], x["inferred"]).alias("field"), F.when(x["exact"].isNotNull(), -1.0).otherwise(-0.85).alias("s"), x["col"].alias("col")))
 
 
 def best_columns(scored: F.Column, fields: list[str]) -> F.Column:
@@ -67,7 +66,9 @@ def registered_columns(columns: DataFrame) -> DataFrame:
 
 
 def _spelled(cells: F.Column) -> F.Column:
-    return F.transform(cells, lambda c, i: F.struct(squeeze(strip(c)).alias("squeezed"), field_of_normal(normalize_header(c)).alias("inferred"), i.alias("col")))
+    """squeezed, inferred, exact (the field that has it as an alias) and col of each cell: each pattern is tried once."""
+    normal = F.transform(cells, lambda c, i: F.struct(c.alias("raw"), normalize_header(c).alias("n"), i.alias("col")))
+    return F.transform(normal, lambda x: F.struct(F.replace(x["n"], F.lit(" "), F.lit("")).alias("squeezed"), field_of_normal(x["n"]).alias("inferred"), alias_field(x["raw"]).alias("exact"), x["col"].alias("col")))
 
 
 def _score(cell: F.Column, wanted: F.Column) -> F.Column:
@@ -120,11 +121,14 @@ def locate(grid: DataFrame, known: DataFrame | None = None, registry: tuple[Data
     w = Window.partitionBy("doc_id", "page").orderBy("row")
     rows = once(grid.select("doc_id", "page", "row", "cells"), like=F.when(maybe_header_like(F.col("cells")), F.exists("cells", lambda c: header_like(strip(c)))))
     rows = rows.withColumn("below", F.lead("cells").over(w)).filter("like").drop("like")
-    rows = rows.select("*", merge_headers(F.col("cells"), F.col("below")).alias("both"), F.struct("doc_id", "page", "row").alias("at"))
-    rows = once(once(rows, scored=scored_fields(F.col("cells"))), single=best_columns(F.col("scored"), sorted(K.FIELDS))).drop("scored")
+    rows = once(rows.select("*", F.struct("doc_id", "page", "row").alias("at")), spelled=_spelled(F.col("cells")))
+    rows = once(once(rows, scored=scored_spellings(F.col("spelled"))), single=best_columns(F.col("scored"), sorted(K.FIELDS))).drop("scored")
+    both = merge_headers(F.col("cells"), F.col("below"))
     part = F.map_contains_key("single", "transaction_date") | F.map_contains_key("single", "description")
-    known_vendor = F.lit(registry is not None)  # a vendor's own header may be merged whatever the row shows by itself
-    rows = once(rows, scored_both=F.when(part | known_vendor, scored_fields(F.col("both"))))
+    if registry is None:
+        rows = rows.filter(part)  # no other row is a header, alone or with the one below
+    # what is merged counts only where the row has a part of a header: a vendor's own header is compared by itself
+    rows = once(rows, scored_both=F.when(part, scored_fields(both)))
     rows = once(rows, merged=best_columns(F.col("scored_both"), sorted(K.FIELDS))).drop("scored_both")
     rows = rows.select("*", _qualifies("single").alias("alone"), (_qualifies("merged") & part).alias("together"))
     if registry is None:
@@ -133,15 +137,15 @@ def locate(grid: DataFrame, known: DataFrame | None = None, registry: tuple[Data
         vendors, columns = registry
         wide = registered_columns(columns)
         # three steps read the candidates: the grid is looked through for them once
-        rows = keep(once(rows, spelled=_spelled(F.col("cells"))).join(known, "doc_id", "left").withColumnRenamed("vendor_key", "known_key"), "candidate-rows")
+        rows = keep(rows.join(known, "doc_id", "left").withColumnRenamed("vendor_key", "known_key"), "candidate-rows")
         inline = _inline(rows.filter("known_key IS NULL"), columns, vendors)
         rows = rows.join(inline, "at", "left").withColumn("vendor_key", F.coalesce("known_key", "own_key")).join(wide, "vendor_key", "left")
         rows = once(rows, found=F.when(F.col("known_key").isNotNull(), _vendor_matches(F.col("wanted"), F.col("spelled")))).withColumn("known_map", _as_map("found"))
         filled = F.when(_qualifies("known_map"), _with_description(_with_balance(F.col("known_map"), F.col("cells")), F.size("cells")))
         rows = once(rows.withColumnRenamed("own_map", "inline_map"), own_map=F.coalesce("inline_map", filled))
     found = rows.filter(F.col("own_map").isNotNull() | F.col("alone") | F.col("together"))
-    first = F.min_by(F.struct("page", "row", "cells", "below", "both", "single", "merged", "alone", "vendor_key", "own_map", "wanted"), F.struct("page", "row"))
-    found = found.groupBy("doc_id").agg(first.alias("r")).select("doc_id", "r.*")
+    first = F.min_by(F.struct("page", "row", "cells", "below", "single", "merged", "alone", "vendor_key", "own_map", "wanted"), F.struct("page", "row"))
+    found = once(found.groupBy("doc_id").agg(first.alias("r")).select("doc_id", "r.*"), both=both)
     own = F.col("own_map").isNotNull()
     taken = F.coalesce("own_map", F.when(F.col("alone"), _with_description(F.col("single"), F.size("cells"))).otherwise(_with_description(F.col("merged"), F.size("both"))))
     found = found.withColumn("mapping", taken).withColumn("two", ~own & ~F.col("alone"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import close_to
-from ..lineage import keep
+from ..lineage import keep, once
 from .scan import Scan, numbered
 
 LOCAL_ROWS = 10
@@ -22,7 +22,8 @@ def parse_rows(rows: DataFrame, scale: int, locale: str | Column = "period_decim
     from ..functions.text import parse_currency, to_units
 
     for c in ("debit", "credit", "balance"):
-        rows = rows.withColumn(c, to_units(parse_currency(F.col(f"{c}_raw"), locale), scale) if f"{c}_raw" in rows.columns else F.lit(0).cast("long"))
+        # one after the other: the code of all three in one step is too long for the JVM to compile
+        rows = once(rows.drop(c), **{c: to_units(parse_currency(F.col(f"{c}_raw"), locale), scale)}) if f"{c}_raw" in rows.columns else rows.withColumn(c, F.lit(0).cast("long"))
     return rows
 
 

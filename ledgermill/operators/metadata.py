@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def bank_name(text: Column) -> Column:
 
 def squeezed_lines(text: Column) -> Column:
     """Lines without white space, in upper case: what line_value() looks at."""
-    return F.upper(F.regexp_replace(text, r"[^\S\n]+", ""))
+    return F.upper(reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit("")), " \t\x0b\f\r", text))
 
 
 def line_value(squeezed: Column, pattern: str, group: int = 1) -> Column:
@@ -31,14 +32,16 @@ def line_value(squeezed: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(squeezed, pattern, group), F.lit(""))
 
 
-def text_metadata(docs: DataFrame) -> DataFrame:
-    """doc_id and the metadata of (doc_id, text)."""
+def text_metadata(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the metadata of (doc_id, text), with further columns of docs as they are."""
     t, s, d = F.col("text"), F.col("squeezed"), F.col("dates")
     first = F.regexp_extract(t, r"(?m)^[^\S\n]*(\S[^\n]*)", 1)
-    return once(docs.select("doc_id", "text"), squeezed=squeezed_lines(t), dates=date_bounds(t)).select(
-        "doc_id", bank_name(t).alias("bank_name"), F.coalesce(line_value(s, K.ACCOUNT_NUMBER), F.lit("")).alias("account_number"), line_value(s, K.UEN, 0).alias("uen"),
+    # by steps: the code of all of them in one step is too long for the JVM to compile
+    named = once(docs.select("doc_id", "text", *also), bank_name=bank_name(t), currency=detect_currency(t))
+    return once(named, squeezed=squeezed_lines(t), dates=date_bounds(t)).select(
+        "doc_id", *also, "bank_name", F.coalesce(line_value(s, K.ACCOUNT_NUMBER), F.lit("")).alias("account_number"), line_value(s, K.UEN, 0).alias("uen"),
         line_value(s, K.CUSTOMER_ID).alias("customer_id"), line_value(s, K.SALESMAN_ID).alias("salesman_id"), line_value(s, K.TERM_CODE).alias("term_code"),
-        d["start_date"].alias("start_date"), d["end_date"].alias("end_date"), detect_currency(t).alias("currency"), F.nullif(strip(first), F.lit("")).alias("first_line"),
+        d["start_date"].alias("start_date"), d["end_date"].alias("end_date"), "currency", F.nullif(strip(first), F.lit("")).alias("first_line"),
     )
 
 
@@ -46,22 +49,30 @@ def _from_grid(grid: DataFrame, locale: str) -> DataFrame:
     """doc_id, go, gc: the first non-zero amount beside an opening and a closing phrase, by page, row, phrase, column."""
     phrases = [(side, i, p) for side, ps in enumerate((K.OPENING_PHRASES, K.CLOSING_PHRASES)) for i, p in enumerate(ps)]
     known = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(i).alias("ord"), F.lit(p).alias("phrase")) for s, i, p in phrases])
-    rows = grid.select("doc_id", "page", "row", "cells", F.lower(F.array_join("cells", " ")).alias("line")).filter(F.col("line").rlike("|".join(re.escape(p) for p in dict.fromkeys(p for *_, p in phrases))))
+    rows = once(grid.select("doc_id", "page", "row", "cells"), line=F.lower(F.array_join("cells", " "))).filter(F.col("line").rlike("|".join(re.escape(p) for p in dict.fromkeys(p for *_, p in phrases))))
     hits = rows.select("*", F.explode(known).alias("k")).filter(F.col("line").contains(F.col("k.phrase")))
     cells = hits.select("doc_id", "page", "row", "k.*", F.posexplode("cells").alias("col", "text"))
-    cells = cells.withColumn("value", parse_currency(F.col("text"), locale)).filter((F.col("value") != 0) & ~F.lower("text").contains(F.col("phrase")))
+    cells = once(cells.filter(F.trim("text") != ""), value=parse_currency(F.col("text"), locale)).filter((F.col("value") != 0) & ~F.lower("text").contains(F.col("phrase")))
     first = lambda side: F.min_by("value", F.when(F.col("side") == side, F.struct("page", "row", "ord", "col")))
     has = lambda side: F.bool_or(F.col("side") == side)
     out = cells.groupBy("doc_id").agg(first(0).alias("go"), first(1).alias("gc"), has(0).alias("h0"), has(1).alias("h1"))
     return out.select("doc_id", F.when(F.col("h0"), F.col("go")).alias("go"), F.when(F.col("h1"), F.col("gc")).alias("gc"))
 
 
+BALANCES = ("opening", "closing", "found_opening", "found_closing")
+
+
 def boundary_balances(docs: DataFrame, grid: DataFrame, locale: str = "period_decimal") -> DataFrame:
     """doc_id, opening, closing, found_opening, found_closing: from the grid, else from the text, else 0.0 and not found."""
-    text = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    out = docs.select("doc_id", text(K.OPENING_TEXT).alias("to"), text(K.CLOSING_TEXT).alias("tc")).join(_from_grid(grid, locale), "doc_id", "left")
+    return with_balances(docs.select("doc_id", "text"), grid, locale).select("doc_id", *BALANCES)
+
+
+def with_balances(docs: DataFrame, grid: DataFrame, locale: str = "period_decimal") -> DataFrame:
+    """docs with the columns of boundary_balances(); texts are searched only where the grid says nothing."""
+    text = lambda g, p: F.when(F.col(g).isNull(), F.nullif(F.regexp_extract("text", p, 1), F.lit("")))
+    out = once(docs.join(_from_grid(grid, locale), "doc_id", "left"), to=text("go", K.OPENING_TEXT), tc=text("gc", K.CLOSING_TEXT))
     value = lambda g, t: F.coalesce(F.col(g), F.when(F.col(t).isNotNull(), parse_currency(F.col(t), locale)), F.lit(0.0))
-    return out.select("doc_id", value("go", "to").alias("opening"), value("gc", "tc").alias("closing"), (F.col("go").isNotNull() | F.col("to").isNotNull()).alias("found_opening"), (F.col("gc").isNotNull() | F.col("tc").isNotNull()).alias("found_closing"))
+    return out.select(*docs.columns, value("go", "to").alias("opening"), value("gc", "tc").alias("closing"), (F.col("go").isNotNull() | F.col("to").isNotNull()).alias("found_opening"), (F.col("gc").isNotNull() | F.col("tc").isNotNull()).alias("found_closing"))
 
 
 def text_layer(grid: DataFrame) -> DataFrame:

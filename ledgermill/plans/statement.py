@@ -1,7 +1,7 @@
 """From grids to validated statements: header, body, records, metadata, vendor, validation, repair, triage, conversion.
 
-Everything is keyed by doc_id; the whole plan runs for any number of documents at once. Six tables are written on the
-way (grid, facts, headers, documents, records, judged rows), and those of repair; Statements.discard() deletes them.
+Everything is keyed by doc_id; the whole plan runs for any number of documents at once. Tables are written on the
+way (grid, texts, facts, headers, documents, records, rows, those of grouping and repair); Statements.discard() deletes them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import convert, fx_rate, optional_amount, to_units
-from ..lineage import collecting, discard, keep
+from ..lineage import collecting, discard, keep, once
 from ..operators import grouping, header, ledger, metadata, profile, repair, retrieval, vendor
 from ..operators.scan import Scan, numbered
 
@@ -48,7 +48,7 @@ def kept_pages(pages: DataFrame) -> DataFrame:
 
 def _facts(text: DataFrame, grid: DataFrame, registry: Registry | None) -> DataFrame:
     """One row a document: metadata, boundary balances, and the vendor that its text names."""
-    facts = metadata.text_metadata(text).join(metadata.boundary_balances(text, grid), "doc_id")
+    facts = metadata.text_metadata(metadata.with_balances(text, grid), metadata.BALANCES)
     if registry is None:
         return facts.withColumn("named", F.lit(None).cast("string"))
     named = vendor.match_aliases(text, registry[0], registry[1]).select("doc_id", F.col("vendor_key").alias("named"))
@@ -85,7 +85,7 @@ def _process(grid: DataFrame, text: DataFrame | None, registry: Registry | None,
     if documents is not None:
         extra = ["filename"] if "filename" in documents.columns else []
         own = documents.select("doc_id", *extra).join(own, "doc_id", "left").select("doc_id", *extra, F.coalesce("text", F.lit("")).alias("text"))
-    facts = table(_facts(own, grid, registry), "facts")
+    facts = table(_facts(own if registry is None else table(own, "texts"), grid, registry), "facts")
 
     if registry is None:
         heads = table(header.locate(grid), "headers")
@@ -116,7 +116,7 @@ def _process(grid: DataFrame, text: DataFrame | None, registry: Registry | None,
     rows = in_order.over(table(rows, "rows")).withColumn("seq", (F.col("seq") - 1).cast("int")).join(local.select("doc_id", "numeric_locale"), "doc_id").withColumnRenamed("doc_id", "statement_id")
     units = local.select(F.col("doc_id").alias("statement_id"), "opening", "closing")
     checked, log = repair.repaired(rows, units, F.col("numeric_locale"), strict)
-    judged = table(ledger.triage(checked, log), "judged")
+    judged = ledger.triage(checked, log)  # of written tables; the log is small
 
     line = grouping.body_text(F.col("cells"))
     before = placed.filter(F.col("start").isNull() | (F.col("page") < F.col("head_page"))).filter(line != "")
@@ -126,7 +126,8 @@ def _process(grid: DataFrame, text: DataFrame | None, registry: Registry | None,
 
     amount = lambda c: optional_amount(F.col(f"{c}_raw"), F.col("numeric_locale"))
     balance = F.col("balance") / repair.SCALE
-    tx = judged.join(info.select(F.col("doc_id").alias("statement_id"), "rate"), "statement_id").select("*", amount("debit").alias("debit_amount"), amount("credit").alias("credit_amount"), balance.alias("running_balance"))
+    tx = judged.join(info.select(F.col("doc_id").alias("statement_id"), "rate"), "statement_id").withColumn("running_balance", balance)
+    tx = once(once(tx, debit_amount=amount("debit")), credit_amount=amount("credit"))
     money = lambda c: convert(F.col(c), F.col("rate"))
     tx = tx.select(
         "statement_id", "seq", "transaction_date", "description", "debit_amount", "credit_amount", "running_balance", F.col("triage").alias("status"), "confidence",

@@ -524,23 +524,26 @@ def statement_grids(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter("o_custkey IS NOT NULL").select(
         F.col("o_custkey").alias("statement_id"), "o_orderdate", "o_orderkey", "o_orderpriority", F.when(pays, 0).otherwise(cents).alias("debit"), F.when(pays, cents).otherwise(0).alias("credit")
     )
-    w = Window.partitionBy("statement_id").orderBy("o_orderdate", "o_orderkey")
+    account = Window.partitionBy("statement_id")
+    w = account.orderBy("o_orderdate", "o_orderkey")
     money = lambda c: F.when(F.col(c) == 0, "").otherwise(F.format_number(F.col(c) / 100, 2))
     moved = F.sum(F.col("debit") - F.col("credit"))
-    rows = o.select("*", F.row_number().over(w).alias("seq"), (F.lit(OPENING) + moved.over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("balance"))
+    rows = o.select("*", F.row_number().over(w).alias("seq"), (F.lit(OPENING) + moved.over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("balance"), (F.lit(OPENING) + moved.over(account)).alias("closing"))
     cells = F.array(F.date_format("o_orderdate", "dd/MM/yyyy"), "o_orderpriority", money("debit"), money("credit"), F.format_number(F.col("balance") / 100, 2))
-    tx = rows.select("statement_id", (F.col("seq") + 6).cast("int").alias("row"), cells.alias("cells"))
-    bounds = o.groupBy("statement_id").agg((F.lit(OPENING) + moved).alias("closing"))
-    c = table(spark, sf_dir, "customer").join(bounds, F.col("c_custkey") == F.col("statement_id"))
-    e = F.lit("")
-    lines = [
-        (0, F.array(F.col("c_name"), e, e, e, e)), (1, F.array(F.concat(F.lit("Account No: AC"), F.col("c_custkey").cast("string")), e, e, e, e)),
-        (2, F.array(F.concat(F.lit("Currency "), F.when(F.col("c_custkey") % 2 == 0, "SGD").otherwise("EUR")), e, e, e, e)), (3, F.array(F.lit("Period 01/01/1995 to 31/12/1995"), e, e, e, e)),
+    owners = table(spark, sf_dir, "customer").filter("c_custkey IS NOT NULL").groupBy(F.col("c_custkey").alias("statement_id")).agg(F.collect_list(F.struct("c_name")).alias("owners"))
+    k, e = F.col("statement_id"), F.lit("")
+    lines = lambda owner: [
+        (0, F.array(owner["c_name"], e, e, e, e)), (1, F.array(F.concat(F.lit("Account No: AC"), k.cast("string")), e, e, e, e)),
+        (2, F.array(F.concat(F.lit("Currency "), F.when(k % 2 == 0, "SGD").otherwise("EUR")), e, e, e, e)), (3, F.array(F.lit("Period 01/01/1995 to 31/12/1995"), e, e, e, e)),
         (4, F.array(F.lit("Opening Balance"), F.lit(f"{OPENING / 100:,.2f}"), e, e, e)), (5, F.array(*map(F.lit, ["Date", "Particulars", "Debit", "Credit", "Balance"]))),
         (1_000_000, F.array(F.lit("Closing Balance"), F.format_number(F.col("closing") / 100, 2), e, e, e)),
     ]
-    ends = c.select("statement_id", F.inline(F.array(*[F.struct(F.lit(i).alias("row"), x.alias("cells")) for i, x in lines])))
-    return ends.unionByName(tx).select(F.col("statement_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "row", "cells")
+    line = lambda row, x: F.struct(row.cast("int").alias("row"), x.alias("cells"))
+    # a sheet's other lines come with its first order, so that sheets are made whole where their orders are
+    ends = F.flatten(F.transform("owners", lambda owner: F.array(*[line(F.lit(i), x) for i, x in lines(owner)])))
+    own = F.array(line(F.col("seq") + 6, cells))
+    made = rows.join(owners, "statement_id", "left").select("statement_id", F.inline(F.when((F.col("seq") == 1) & F.col("owners").isNotNull(), F.concat(ends, own)).otherwise(own)))
+    return made.select(k.cast("string").alias("doc_id"), F.lit(1).alias("page"), "row", "cells")
 
 
 _STATEMENTS = f"WITH {_ledger_sql(False, 'orders')}"
