@@ -1,7 +1,8 @@
 """Tables from positioned words (doc_id, page, word_idx, text, x0, x1, top), where a page has no ruled table.
 
 Words form rows greedily in word order, which only a pass over a page can do (sorted pages stream through it); everything
-else is native: cells split at gaps, the header row gives column centres, cells go to the nearest centre.
+else is native: cells split at gaps, the header row gives column centres, cells go to the nearest centre. From its words on,
+a line is one row.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import any_of
-from ..lineage import keep
+from ..lineage import keep, once
 from .scan import Scan, numbered
 
 ROW_TOLERANCE, HEADER_GAP, BODY_GAP = 4.0, 15.0, 12.0
@@ -66,16 +67,18 @@ def cells(lined: DataFrame, gap: float, running: bool = True) -> DataFrame:
 def header_lines(lined: DataFrame) -> DataFrame:
     """doc_id, page, line_top of the line with most header words (three at least), the topmost on ties."""
     c = cells(lined, HEADER_GAP, running=False)
-    hit = any_of([F.lower("text").contains(k) for k in K.LAYOUT_KEYWORDS])
-    counted = c.groupBy("doc_id", "page", "line_top").agg(F.count_if(hit).alias("n")).filter("n >= 3")
+    counted = c.groupBy("doc_id", "page", "line_top").agg(F.count_if(_hit(F.col("text"))).alias("n")).filter("n >= 3")
     return counted.groupBy("doc_id", "page").agg(F.max_by("line_top", F.struct("n", (-F.col("line_top")).alias("up"))).alias("line_top"))
 
 
-def column_centres(lined: DataFrame) -> DataFrame:
-    """doc_id, page, centres of every page: those of its own header line, else of the nearest page before with one."""
+def column_centres(lined: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, centres of every page: those of its own header line, else of the nearest page before with one.
+
+    every: has doc_id and page of all pages, where lined has only some of the lines.
+    """
     own = cells(lined.join(header_lines(lined), ["doc_id", "page", "line_top"]), HEADER_GAP)
     own = own.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", ((F.col("x0") + F.col("x1")) / 2).alias("c")))), lambda x: x["c"]).alias("centres"))
-    pages = lined.select("doc_id", "page").distinct().join(own, ["doc_id", "page"], "left")
+    pages = (lined if every is None else every).select("doc_id", "page").distinct().join(own, ["doc_id", "page"], "left")
     last = Scan(["doc_id"], ["page"], numbered(F.col("page")), carried={"last_centres": F.col("centres")})
     return last.over(pages).select("doc_id", "page", F.col("last_centres").alias("centres"))
 
@@ -86,16 +89,42 @@ def nearest(x: F.Column, centres: F.Column) -> F.Column:
     return (F.array_position(away, F.array_min(away)) - 1).cast("int")
 
 
+def _hit(text: F.Column) -> F.Column:
+    return any_of([F.lower(text).contains(k) for k in K.LAYOUT_KEYWORDS])
+
+
+def _whole_lines(words: DataFrame) -> DataFrame:
+    """A row for each line: doc_id, page, line_top, row (its number on the page), cells (array of text, x0, x1 in order)
+    and words (null unless the line may be a header).
+
+    Words are dealt by pages once; lines, cells and their numbers are all found where a page's words are. No keyword has
+    a space, so a line with three cells that have one has three such words.
+    """
+    lined = lines(words).repartition("doc_id", "page")
+    w = Window.partitionBy("doc_id", "page", "line_top").orderBy("x0", "word_idx")
+    before = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = lined.withColumn("begins", F.coalesce(F.col("x0") - before > BODY_GAP, F.lit(False))).withColumn("hit", _hit(F.col("text")))
+    rows = marked.groupBy("doc_id", "page", "line_top").agg(F.sort_array(F.collect_list(F.struct("x0", "word_idx", "text", "x1", "begins"))).alias("words"), F.count_if("hit").alias("hits"))
+    # a cell is a stretch of its line's words; mostly it is one word
+    first = F.concat(F.array(F.lit(0)), F.filter(F.transform("words", lambda x, i: F.when(x["begins"], i)), lambda i: i > 0))
+    rows = once(rows, first=first)
+    cut = F.transform("first", lambda a, k: F.slice("words", a + 1, F.coalesce(F.get("first", k + 1), F.size("words")) - a))
+    made = F.transform(cut, lambda ws: F.struct(F.array_join(F.transform(ws, lambda x: x["text"]), " ").alias("text"), F.array_min(F.transform(ws, lambda x: x["x0"])).alias("x0"), F.array_max(F.transform(ws, lambda x: x["x1"])).alias("x1")))
+    alone = F.transform("words", lambda x: F.struct(F.coalesce(x["text"], F.lit("")).alias("text"), x["x0"].alias("x0"), x["x1"].alias("x1")))
+    rows = once(rows, cells=F.when(F.size("first") == F.size("words"), alone).otherwise(made))
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line_top")) - 1
+    return rows.select("doc_id", "page", "line_top", number.alias("row"), "cells", F.when(F.col("hits") >= 3, F.col("words")).alias("words"))
+
+
 def grid_from_words(words: DataFrame) -> DataFrame:
     """A grid (doc_id, page, row, cells): with column centres each cell goes to the nearest one; pages without any keep
     their gap-split cells."""
-    lined = keep(lines(words), "lines")  # read by headers, centres and cells
-    body = cells(lined, BODY_GAP).join(column_centres(lined), ["doc_id", "page"])
-    at = F.when(F.col("centres").isNotNull(), nearest((F.col("x0") + F.col("x1")) / 2, F.col("centres"))).otherwise(F.col("cell").cast("int"))
-    placed = body.withColumn("col", at).groupBy("doc_id", "page", "line_top", "col").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]), " ").alias("text"), F.first("centres").alias("centres")
-    )
-    rows = placed.groupBy("doc_id", "page", "line_top").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.max("col").alias("last"), F.first(F.size("centres")).alias("wide"))
-    width = F.greatest(F.col("last") + 1, F.coalesce("wide", F.lit(0)))
-    w = Window.partitionBy("doc_id", "page").orderBy("line_top")
-    return rows.select("doc_id", "page", (F.row_number().over(w) - 1).alias("row"), F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))).alias("cells"))
+    laid = keep(_whole_lines(words), "lines")  # read by headers, pages and cells
+    centres = column_centres(laid.filter("words IS NOT NULL").select("doc_id", "page", "line_top", F.inline("words")), laid)
+    middle = lambda c: (c["x0"] + c["x1"]) / 2
+    split = F.transform("cells", lambda c: c["text"])
+    at = F.when(F.col("centres").isNotNull(), F.transform("cells", lambda c: nearest(middle(c), F.col("centres"))))
+    placed = once(laid.select("doc_id", "page", "row", "cells").join(centres, ["doc_id", "page"]), split=split, at=at)
+    beside = lambda i: F.array_join(F.filter("split", lambda text, k: F.get("at", k) == i), " ")
+    joined = F.transform(F.sequence(F.lit(0), F.size("centres") - 1), beside)
+    return placed.select("doc_id", "page", "row", F.when(F.col("at").isNull(), F.col("split")).otherwise(joined).alias("cells"))

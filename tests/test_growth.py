@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgermill.functions.text import header_like, maybe_header_like
+from ledgermill.lineage import collecting
+from ledgermill.operators import layout
+
 
 def test_lines_that_show_no_header_are_no_candidates(spark):
     rows = [["01/02/1995", "4-NOT SPECIFIED", "", "1,234.56", "7.00"], ["Currency SGD", "", "", "", ""], ["Date", "Particulars", "Dr", "Cr", "Bal"], ["x", "D-a-t 1 e"], ["b a l", ""], ["Customer#1", "No"], ["a\x01b", ""], ["posting", "date"]]
     got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, cells array<string>").select("i", maybe_header_like(F.col("cells")).alias("maybe"), F.exists("cells", header_like).alias("like")).orderBy("i").collect()
     assert [r["maybe"] for r in got[:3]] == [False, False, True]
     assert all(r["maybe"] for r in got if r["like"])
+
+
+def test_a_line_of_words_is_one_row(spark):
+    """What is kept of words is a row a line, whose cells are cut where its words are."""
+    placed = [("Date", 0, 20, 10), ("Net", 100, 120, 10), ("debit", 125, 150, 10), ("Balance", 200, 240, 10), ("a", 90, 95, 30), ("b", 100, 105, 31), ("c", 118, 130, 30), ("7", 210, 230, 30), ("x", 0, None, 50), ("y", 101, 120, 50)]
+    words = spark.createDataFrame([("d", 1, i, t, float(a), None if b is None else float(b), float(y)) for i, (t, a, b, y) in enumerate(placed) if b is not None], "doc_id string, page int, word_idx int, text string, x0 double, x1 double, top double")
+    held = []
+    with collecting(held):
+        got = [r["cells"] for r in layout.grid_from_words(words).orderBy("page", "row").collect()]
+    assert got == [["Date", "Net debit", "Balance"], ["", "a b c", "7"], ["", "y", ""]]
+    assert [t.count() for t in held if "lines" in t.scratch_path] == [3]
