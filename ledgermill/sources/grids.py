@@ -13,11 +13,12 @@ import re
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,15 +174,47 @@ def words_grid(ruled: DataFrame, words: DataFrame) -> DataFrame:
     return ruled.join(good, ["doc_id", "page"], "left_semi").select("doc_id", "page", "row", "cells").unionByName(laid)
 
 
-def _delimited(table: pd.DataFrame) -> pd.DataFrame:
+def _files(made: Callable[[list[list[str]]], bytes]):
+    """Files of documents whose rows follow each other; only one document's rows are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held = None, []
+        pack = lambda done: pa.record_batch([pa.array([d for d, _ in done], pa.string()), pa.array([c for _, c in done], pa.binary())], names=["doc_id", "content"])
+        for batch in batches:
+            done = []
+            for name, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and name != doc:
+                    done.append((doc, made(held)))
+                    held = []
+                doc = name
+                held.append(cells)
+            if done:
+                yield pack(done)
+        if held:
+            yield pack([(doc, made(held))])
+
+    return run
+
+
+def _by_document(grid: DataFrame, made: Callable[[list[list[str]]], bytes]) -> DataFrame:
+    """doc_id and content of each document: whole documents stream through a task in order, without a frame for each.
+
+    The number of tasks is given: rows are few bytes and much work, and Spark would join tasks by bytes.
+    """
+    tasks = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = grid.select(F.col("doc_id").cast("string").alias("doc_id"), "page", "row", "cells").repartition(tasks, "doc_id")
+    return dealt.sortWithinPartitions("doc_id", F.asc_nulls_last("page"), F.asc_nulls_last("row")).select("doc_id", "cells").mapInArrow(_files(made), CONTENT)
+
+
+def _delimited(rows: list[list[str]]) -> bytes:
     text = io.StringIO(newline="")
-    csv.writer(text).writerows(list(r) for r in table.sort_values(["page", "row"])["cells"])
-    return pd.DataFrame({"doc_id": table["doc_id"].iloc[:1], "content": [text.getvalue().encode()]})
+    csv.writer(text).writerows(rows)
+    return text.getvalue().encode()
 
 
 def delimited(grid: DataFrame) -> DataFrame:
-    """doc_id and content (delimited lines) of each document; a document is one group, as it is one file."""
-    return grid.groupBy("doc_id").applyInPandas(_delimited, CONTENT)
+    """doc_id and content (delimited lines) of each document; a document's rows are held together, as it is one file."""
+    return _by_document(grid, _delimited)
 
 
 _NUMBER = re.compile(r"-?\d+\.?\d*")
@@ -192,14 +225,9 @@ def _numbers(rows: list[list[str]]) -> list[list[object]]:
     return rows[:1] + [[float(c) if c is not None and _NUMBER.fullmatch(c.strip()) else c for c in r] for r in rows[1:]]
 
 
-def _workbook(table: pd.DataFrame) -> pd.DataFrame:
-    rows = [list(r) for r in table.sort_values(["page", "row"])["cells"]]
-    return pd.DataFrame({"doc_id": table["doc_id"].iloc[:1], "content": [write_sheet(_numbers(rows))]})
-
-
 def workbooks(grid: DataFrame) -> DataFrame:
-    """doc_id and content (a workbook of one sheet) of each document; a document is one group, as it is one file."""
-    return grid.groupBy("doc_id").applyInPandas(_workbook, CONTENT)
+    """doc_id and content (a workbook of one sheet) of each document; a document's rows are held together, as it is one file."""
+    return _by_document(grid, lambda rows: write_sheet(_numbers(rows)))
 
 
 def _report(table: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgermill.functions.text import header_like, maybe_header_like
 from ledgermill.lineage import collecting
 from ledgermill.operators import layout
+from ledgermill.sources import grids
 
 
 def test_lines_that_show_no_header_are_no_candidates(spark):
@@ -25,3 +26,18 @@ def test_a_line_of_words_is_one_row(spark):
         got = [r["cells"] for r in layout.grid_from_words(words).orderBy("page", "row").collect()]
     assert got == [["Date", "Net debit", "Balance"], ["", "a b c", "7"], ["", "y", ""]]
     assert [t.count() for t in held if "lines" in t.scratch_path] == [3]
+
+
+def test_files_of_few_bytes_are_made_in_many_tasks(spark):
+    """Small rows that are much work are not joined into one task; each document is one file, in order of its rows."""
+    grid = spark.range(400).selectExpr("cast(id % 200 as string) AS doc_id", "1 AS page", "cast(1 - id div 200 AS int) AS row", "array(cast(id AS string), 'x') AS cells")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(was, ("true", "6"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        made = grids.delimited(grid).select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: bytes(r["content"]) for r in made} == {str(i): f"{i + 200},x\r\n{i},x\r\n".encode() for i in range(200)}
+    assert len({r["task"] for r in made}) == 6
