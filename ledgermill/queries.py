@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 from .functions import text as T
-from .lineage import once, shared_dir
+from .lineage import keep, once, shared_dir
 from .operators import corrections, export, grouping, header, layout, ledger, metadata, profile, repair, report, retrieval, scrub, store, vendor
 from .plans import statement
 from .sources import generations, grids, registry
@@ -879,7 +879,7 @@ def _corrected(spark, sf_dir, times, stored=False):
     rows, bounds = events_ledger(spark, sf_dir, True)
     rows = rows.select("statement_id", "seq", "event_id", *[(F.col(c) * times).alias(c) for c in ("debit", "credit", "balance")])
     bounds = bounds.select("statement_id", *[(F.col(c) * times).alias(c) for c in ("opening", "closing")])
-    judged = ledger.triage(ledger.validate(rows, bounds))
+    judged = keep(ledger.triage(ledger.validate(rows, bounds)), "judged")  # read by statements and rows
     amount = lambda c: F.when(F.col(c) > 0, F.col(c) / 100)
     empty = F.create_map(F.lit("9"), F.lit("x"))
     tx = judged.select("statement_id", "seq", F.lit("01/02/2024").alias("transaction_date"), F.lit("").alias("description"), amount("debit").alias("debit_amount"), amount("credit").alias("credit_amount"), (F.col("balance") / 100).alias("running_balance"), F.col("triage").alias("status"), "confidence", empty.alias("additional_fields"), *[F.lit(None).cast("double").alias(f"universal_{c}") for c in ("debit", "credit", "balance")])

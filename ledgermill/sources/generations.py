@@ -29,6 +29,8 @@ TABLES = ("statements", "transactions", "repairs", "unparsed")
 BUCKET = "_bucket"
 #: Folders of one bucket beyond which an addition rewrites it.
 MOST_FOLDERS = 16
+#: Tasks, hence files, of one bucket in a folder.
+PARTS = 4
 
 
 class Conflict(RuntimeError):
@@ -106,11 +108,12 @@ class Store:
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(F.col("statement_id").cast("string")), F.lit(buckets)).cast("int"))
 
     def _write(self, tables: dict[str, DataFrame], manifest: Manifest) -> str:
-        """Writes rows of all tables into a folder of its own, a part a bucket."""
+        """Writes rows of all tables into a folder of its own, up to PARTS parts a bucket: few buckets keep many tasks busy."""
         folder = f"{manifest.generation + 1:012d}-{uuid.uuid4().hex}"
         for name, df in tables.items():
             dealt = self._dealt(df, manifest.buckets)
-            dealt.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.root}/{name}/{folder}")
+            part = F.pmod(F.shiftright(F.xxhash64(F.col("statement_id").cast("string")), 32), F.lit(PARTS))  # other bits than the bucket's
+            dealt.repartition(F.col(BUCKET), part).write.partitionBy(BUCKET).parquet(f"{self.root}/{name}/{folder}")
         return folder
 
     def _filled(self, name: str, folder: str) -> list[str]:
