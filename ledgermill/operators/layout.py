@@ -123,7 +123,7 @@ def grid_from_words(words: DataFrame) -> DataFrame:
     centres = column_centres(laid.filter("words IS NOT NULL").select("doc_id", "page", "line_top", F.inline("words")), laid)
     middle = lambda c: (c["x0"] + c["x1"]) / 2
     split = F.transform("cells", lambda c: c["text"])
-    at = F.when(F.col("centres").isNotNull(), F.transform("cells", lambda c: nearest(middle(c), F.col("centres"))))
+    at = F.when(F.col("centres").isNotNull(), F.transform("cells", lambda c: F.coalesce(nearest(middle(c), F.col("centres")), F.lit(0))))  # a cell without a place is not lost
     placed = once(laid.select("doc_id", "page", "row", "cells").join(centres, ["doc_id", "page"]), split=split, at=at)
     beside = lambda i: F.array_join(F.filter("split", lambda text, k: F.get("at", k) == i), " ")
     joined = F.transform(F.sequence(F.lit(0), F.size("centres") - 1), beside)

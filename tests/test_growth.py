@@ -20,11 +20,11 @@ def test_lines_that_show_no_header_are_no_candidates(spark):
 def test_a_line_of_words_is_one_row(spark):
     """What is kept of words is a row a line, whose cells are cut where its words are."""
     placed = [("Date", 0, 20, 10), ("Net", 100, 120, 10), ("debit", 125, 150, 10), ("Balance", 200, 240, 10), ("a", 90, 95, 30), ("b", 100, 105, 31), ("c", 118, 130, 30), ("7", 210, 230, 30), ("x", 0, None, 50), ("y", 101, 120, 50)]
-    words = spark.createDataFrame([("d", 1, i, t, float(a), None if b is None else float(b), float(y)) for i, (t, a, b, y) in enumerate(placed) if b is not None], "doc_id string, page int, word_idx int, text string, x0 double, x1 double, top double")
+    words = spark.createDataFrame([("d", 1, i, t, float(a), None if b is None else float(b), float(y)) for i, (t, a, b, y) in enumerate(placed)], "doc_id string, page int, word_idx int, text string, x0 double, x1 double, top double")
     held = []
     with collecting(held):
         got = [r["cells"] for r in layout.grid_from_words(words).orderBy("page", "row").collect()]
-    assert got == [["Date", "Net debit", "Balance"], ["", "a b c", "7"], ["", "y", ""]]
+    assert got == [["Date", "Net debit", "Balance"], ["", "a b c", "7"], ["x y", "", ""]]
     assert [t.count() for t in held if "lines" in t.scratch_path] == [3]
 
 
