@@ -46,6 +46,7 @@ CLOSING_TEXT = r"(?i)(?:Closing\s+Balance|Ending\s+Balance|C/F|Total\s+Due|Total
 BANKS = ["Chase", "Citi", "Wells Fargo", "HSBC", "Barclays", "Apex Bank"]
 ACCOUNT_NUMBER = r"ACC(?:OUNT)?(?:NUMBER|NO|#)?[:\-]?([A-Z0-9-]+)"
 UEN = r"(?<!\d)(?:\d{8,9}[A-Z]|[TSR]\d{2}[A-Z]{2}\d{4}[A-Z])(?![A-Z0-9])"
+UEN_END = r"[0-9]{4}[A-Z]"  # every UEN has it: a text without one is not searched
 CUSTOMER_ID = r"CUST(?:OMER)?ID[:\-]?([A-Z0-9-]+)"
 SALESMAN_ID = r"SALESMANID[:\-]?([A-Z0-9-]+)"
 TERM_CODE = r"TERMCOD[E]?[:\-]?([A-Z0-9-]+)"

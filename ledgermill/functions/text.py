@@ -117,11 +117,16 @@ def fx_rate(original: Column, universal: Column, given: Column, vendor_rate: Col
 
 def detect_currency(text: Column, vendor_currency: Column | None = None) -> Column:
     """The vendor's currency, else the first whose marks occur in the text, else USD."""
-    low = F.lower(text)
+    out = currency_of(F.lower(text))
+    return out if vendor_currency is None else F.coalesce(vendor_currency, out)
+
+
+def currency_of(low: Column) -> Column:
+    """detect_currency() of a text in lower case."""
     out = F.lit("USD")
     for code, marks in reversed(K.CURRENCIES.items()):
         out = F.when(any_of([low.contains(m) for m in marks]), F.lit(code)).otherwise(out)
-    return out if vendor_currency is None else F.coalesce(vendor_currency, out)
+    return out
 
 
 # ---------------------------------------------------------------- dates
@@ -183,11 +188,15 @@ def field_of_normal(n: Column) -> Column:
 
 def alias_field(c: Column) -> Column:
     """The field that has the header among its aliases; null without one."""
-    low = F.lower(strip(F.coalesce(c, F.lit(""))))
+    return field_of_low(F.lower(strip(F.coalesce(c, F.lit("")))))
+
+
+def field_of_low(low: Column) -> Column:
+    """alias_field() of a header in lower case without white space at its ends."""
     out = F.lit(None).cast("string")
     for field, aliases in reversed(K.HEADER_ALIASES.items()):
         out = F.when(low.isin(*aliases), F.lit(field)).otherwise(out)
-    return out
+    return F.when(low != "", out)  # most cells are empty
 
 
 def dictionary_match(c: Column) -> Column:
@@ -265,6 +274,15 @@ def maybe_header_like(cells: Column) -> Column:
     return words | shown | (occurrences(line, sign) != F.size(cells) - 1)
 
 
+def maybe_dated(line: Column) -> Column:
+    """False only for rows none of whose cells can name a date's column, alone or joined to another by a space: a few
+    looks for letters, without patterns. line: the cells in lower case, joined by spaces."""
+    words = [*K.HEADER_TERMS["transaction_date"], *K.HEADER_ALIASES["transaction_date"]]
+    # a word of each that lies in as many of them as any does; what holds a shorter mark needs none of its own
+    marks = {max(w.split(), key=lambda x: (sum(x in other for other in words), x)) for w in words}
+    return any_of([line.contains(m) for m in sorted(marks) if not any(o != m and o in m for o in marks)])
+
+
 def merge_headers(a: Column, b: Column) -> Column:
     """Two header rows joined by column; a text that is there already (whatever its case) is not added."""
 
@@ -280,7 +298,7 @@ def merge_headers(a: Column, b: Column) -> Column:
 
 def is_footer(line: Column) -> Column:
     low = F.lower(line)
-    return any_of([low.contains(p) for p in K.FOOTER_PHRASES]) | low.rlike(K.FOOTER_PAGE)
+    return any_of([low.contains(p) for p in K.FOOTER_PHRASES]) | (low.contains("page") & low.rlike(K.FOOTER_PAGE))
 
 
 def scrub(c: Column) -> Column:

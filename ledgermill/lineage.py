@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table of the shared folder: later plans begin at its files, and read the columns they need."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # read a few times at most: dictionaries of mostly different cells cost more than they save
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     for held in _collectors.get():

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import alias_field, field_of_normal, header_like, headers_match_by_meaning, headers_match_fuzzily, infer_field, is_anchor, map_header, maybe_header_like, merge_headers, normalize_header, squeeze, strip
+from ..functions.text import alias_field, field_of_low, field_of_normal, header_like, headers_match_by_meaning, headers_match_fuzzily, infer_field, is_anchor, map_header, maybe_dated, maybe_header_like, merge_headers, normalize_header, squeeze, strip
 from ..lineage import keep, once
 from .grouping import column_of
 from .vectors import Index
@@ -67,8 +67,8 @@ def registered_columns(columns: DataFrame) -> DataFrame:
 
 def _spelled(cells: F.Column) -> F.Column:
     """squeezed, inferred, exact (the field that has it as an alias) and col of each cell: each pattern is tried once."""
-    normal = F.transform(cells, lambda c, i: F.struct(c.alias("raw"), normalize_header(c).alias("n"), i.alias("col")))
-    return F.transform(normal, lambda x: F.struct(F.replace(x["n"], F.lit(" "), F.lit("")).alias("squeezed"), field_of_normal(x["n"]).alias("inferred"), alias_field(x["raw"]).alias("exact"), x["col"].alias("col")))
+    normal = F.transform(cells, lambda c, i: F.struct(F.lower(strip(F.coalesce(c, F.lit("")))).alias("low"), normalize_header(c).alias("n"), i.alias("col")))
+    return F.transform(normal, lambda x: F.struct(F.replace(x["n"], F.lit(" "), F.lit("")).alias("squeezed"), field_of_normal(x["n"]).alias("inferred"), field_of_low(x["low"]).alias("exact"), x["col"].alias("col")))
 
 
 def _score(cell: F.Column, wanted: F.Column) -> F.Column:
@@ -119,8 +119,15 @@ def locate(grid: DataFrame, known: DataFrame | None = None, registry: tuple[Data
     header and are mapped anew; a vendor's headers are then compared by meaning.
     """
     w = Window.partitionBy("doc_id", "page").orderBy("row")
-    rows = once(grid.select("doc_id", "page", "row", "cells"), like=F.when(maybe_header_like(F.col("cells")), F.exists("cells", lambda c: header_like(strip(c)))))
-    rows = rows.withColumn("below", F.lead("cells").over(w)).filter("like").drop("like")
+    named = lambda c: F.exists(c, lambda x: header_like(strip(x)))
+    if registry is None:  # without a date no row is a header, alone or with the one below: only rows beside one are looked at
+        lined = once(grid.select("doc_id", "page", "row", "cells"), line=F.lower(F.array_join("cells", " ")))
+        rows = lined.withColumn("dated", maybe_dated(F.col("line"))).drop("line")
+        rows = rows.select("*", F.lead("cells").over(w).alias("below"), F.lead("dated").over(w).alias("dated_below"))
+        rows = once(rows.filter(F.col("dated") | F.col("dated_below")).drop("dated", "dated_below"), like=named("cells")).filter("like").drop("like")
+    else:
+        rows = once(grid.select("doc_id", "page", "row", "cells"), like=F.when(maybe_header_like(F.col("cells")), named("cells")))
+        rows = rows.withColumn("below", F.lead("cells").over(w)).filter("like").drop("like")
     rows = once(rows.select("*", F.struct("doc_id", "page", "row").alias("at")), spelled=_spelled(F.col("cells")))
     rows = once(once(rows, scored=scored_spellings(F.col("spelled"))), single=best_columns(F.col("scored"), sorted(K.FIELDS))).drop("scored")
     both = merge_headers(F.col("cells"), F.col("below"))
@@ -128,9 +135,10 @@ def locate(grid: DataFrame, known: DataFrame | None = None, registry: tuple[Data
     if registry is None:
         rows = rows.filter(part)  # no other row is a header, alone or with the one below
     # what is merged counts only where the row has a part of a header: a vendor's own header is compared by itself
-    rows = once(rows, scored_both=F.when(part, scored_fields(both)))
+    rows = rows.withColumn("alone", _qualifies("single"))
+    rows = once(rows, scored_both=F.when(part & ~F.col("alone"), scored_fields(both)))
     rows = once(rows, merged=best_columns(F.col("scored_both"), sorted(K.FIELDS))).drop("scored_both")
-    rows = rows.select("*", _qualifies("single").alias("alone"), (_qualifies("merged") & part).alias("together"))
+    rows = rows.withColumn("together", _qualifies("merged") & part)
     if registry is None:
         rows = rows.select("*", F.lit(None).cast("string").alias("vendor_key"), F.lit(None).cast("map<string,int>").alias("own_map"), F.lit(None).cast("array<struct<ord:int,field:string,header:string>>").alias("wanted"))
     else:
@@ -151,7 +159,8 @@ def locate(grid: DataFrame, known: DataFrame | None = None, registry: tuple[Data
     found = found.withColumn("mapping", taken).withColumn("two", ~own & ~F.col("alone"))
     date = F.coalesce(is_anchor(F.get("below", column_of("transaction_date"))), F.lit(False))
     text = F.exists(F.coalesce("below", F.array().cast("array<string>")), lambda c: strip(c) != "")
-    found = found.withColumn("split", text & ~date)
+    found = once(found.withColumn("split", text & ~date), scored_both=F.when(F.col("split") & F.col("alone") & F.col("vendor_key").isNull(), scored_fields(F.col("both"))))
+    found = found.withColumn("merged", F.when(F.col("alone"), best_columns(F.col("scored_both"), sorted(K.FIELDS))).otherwise(F.col("merged"))).drop("scored_both")
     at = lambda h: F.array_position(F.transform("both", lambda c: F.coalesce(headers_match_by_meaning(c, h), F.lit(False))), True)
     meant = F.filter(F.transform("wanted", lambda v: F.struct(v["field"].alias("key"), (at(v["header"]) - 1).cast("int").alias("value"))), lambda e: e["value"] >= 0)
     again = F.when(F.col("vendor_key").isNotNull(), F.map_from_entries(meant)).otherwise(F.col("merged"))

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import date_bounds, detect_currency, parse_currency, strip
+from ..functions.text import any_of, currency_of, date_bounds, parse_currency, strip
 from ..lineage import once
 
 
 def bank_name(text: Column) -> Column:
     """The first known bank whose name occurs; 'Unknown Bank' without one."""
-    out, low = F.lit("Unknown Bank"), F.lower(text)
+    return _bank_of(F.lower(text))
+
+
+def _bank_of(low: Column) -> Column:
+    out = F.lit("Unknown Bank")
     for bank in reversed(K.BANKS):
         out = F.when(low.contains(bank.lower()), F.lit(bank)).otherwise(out)
     return out
@@ -32,15 +35,22 @@ def line_value(squeezed: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(squeezed, pattern, group), F.lit(""))
 
 
+def with_currency(docs: DataFrame, low: str | None = None) -> DataFrame:
+    """docs with the currency of their texts, and the texts in lower case where a name for them is given: made once, as
+    each of the many looks would make them again."""
+    found = once(once(docs, lower_text=F.lower("text")), currency=currency_of(F.col("lower_text")))
+    return found.withColumnRenamed("lower_text", low) if low else found.drop("lower_text")
+
+
 def text_metadata(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and the metadata of (doc_id, text), with further columns of docs as they are."""
     t, s, d = F.col("text"), F.col("squeezed"), F.col("dates")
     first = F.regexp_extract(t, r"(?m)^[^\S\n]*(\S[^\n]*)", 1)
     # by steps: the code of all of them in one step is too long for the JVM to compile
-    named = once(docs.select("doc_id", "text", *also), bank_name=bank_name(t), currency=detect_currency(t))
+    named = once(with_currency(docs.select("doc_id", "text", *also), low="low"), bank_name=_bank_of(F.col("low")))
     return once(named, squeezed=squeezed_lines(t), dates=date_bounds(t)).select(
-        "doc_id", *also, "bank_name", F.coalesce(line_value(s, K.ACCOUNT_NUMBER), F.lit("")).alias("account_number"), line_value(s, K.UEN, 0).alias("uen"),
-        line_value(s, K.CUSTOMER_ID).alias("customer_id"), line_value(s, K.SALESMAN_ID).alias("salesman_id"), line_value(s, K.TERM_CODE).alias("term_code"),
+        "doc_id", *also, "bank_name", F.coalesce(line_value(s, K.ACCOUNT_NUMBER), F.lit("")).alias("account_number"), F.when(s.rlike(K.UEN_END), line_value(s, K.UEN, 0)).alias("uen"),
+        *[F.when(s.contains(mark), line_value(s, p)).alias(c) for c, mark, p in (("customer_id", "CUST", K.CUSTOMER_ID), ("salesman_id", "SALESMANID", K.SALESMAN_ID), ("term_code", "TERMCOD", K.TERM_CODE))],
         d["start_date"].alias("start_date"), d["end_date"].alias("end_date"), "currency", F.nullif(strip(first), F.lit("")).alias("first_line"),
     )
 
@@ -49,7 +59,9 @@ def _from_grid(grid: DataFrame, locale: str) -> DataFrame:
     """doc_id, go, gc: the first non-zero amount beside an opening and a closing phrase, by page, row, phrase, column."""
     phrases = [(side, i, p) for side, ps in enumerate((K.OPENING_PHRASES, K.CLOSING_PHRASES)) for i, p in enumerate(ps)]
     known = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(i).alias("ord"), F.lit(p).alias("phrase")) for s, i, p in phrases])
-    rows = once(grid.select("doc_id", "page", "row", "cells"), line=F.lower(F.array_join("cells", " "))).filter(F.col("line").rlike("|".join(re.escape(p) for p in dict.fromkeys(p for *_, p in phrases))))
+    every = dict.fromkeys(p for *_, p in phrases)
+    least = [p for p in every if not any(o != p and o in p for o in every)]
+    rows = once(grid.select("doc_id", "page", "row", "cells"), line=F.lower(F.array_join("cells", " "))).filter(any_of([F.col("line").contains(p) for p in least]))
     hits = rows.select("*", F.explode(known).alias("k")).filter(F.col("line").contains(F.col("k.phrase")))
     cells = hits.select("doc_id", "page", "row", "k.*", F.posexplode("cells").alias("col", "text"))
     cells = once(cells.filter(F.trim("text") != ""), value=parse_currency(F.col("text"), locale)).filter((F.col("value") != 0) & ~F.lower("text").contains(F.col("phrase")))
