@@ -47,6 +47,8 @@ LAST = (1 << 63) - 1
 BLOCK, RANGE_KEYS, PIECE_BITS = 6_000_000, 2_000_000, 8
 #: Lengths of parts that seeds are taken from; contexts of a seed above which the next length is used; bytes ordered at once.
 GRAMS, MOST_CONTEXTS, ORDERED = (24, 40), 512, 1_000_000
+#: Contexts of a seed above which the task that orders them takes the next length by itself.
+MANY_CONTEXTS = 8
 #: Elements that are hashed at once, so that they stay in a processor's cache.
 SLICE = 1 << 16
 
@@ -56,7 +58,7 @@ TOLD = "gram int, part int, block long, n long, shared binary"
 CONTEXT = "block long, starts binary, ends binary, begins binary, places binary, place int, seed long, text binary, lo long, hi long"
 LEAST = "seed long, text binary, least binary, lowest long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_RUN = np.dtype([("n", "u1"), ("least", "<i8")])
+_RUN = np.dtype([("n", "<u2"), ("least", "<i8")])
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -101,11 +103,15 @@ def least_hashes(data: np.ndarray, width: int, gram: int) -> np.ndarray:
 
 def inside(at: np.ndarray, width: int) -> np.ndarray:
     """Whether the string of `width` bytes from each place on lies in one text; at: where texts begin, and the end."""
-    n = int(at[-1])
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, np.maximum(at[1:] - width + 1, at[:-1]), 1)
-    np.add.at(change, at[1:], -1)
-    return np.cumsum(change)[: max(0, n - width + 1)] == 0
+    out, tail = np.ones(int(at[-1]), bool), np.maximum(at[1:] - width + 1, at[:-1])
+    out[_spread(tail, at[1:] - tail)] = False
+    return out[: max(0, len(out) - width + 1)]
+
+
+def stretches(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where neighbours that are ok begin and end."""
+    change = np.flatnonzero(np.diff(ok, prepend=False, append=False))
+    return change[::2], change[1::2]
 
 
 def seed_runs(seed: np.ndarray, ok: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,14 +145,18 @@ class Block:
         self.ids, self.named, sizes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["named"], bool), np.frombuffer(row["sizes"], "<i8")
         self.at = np.append(0, np.cumsum(sizes))
         self.data = np.frombuffer(pa.decompress(row["data"], int(self.at[-1]), codec="zstd"), np.uint8) if self.at[-1] else np.zeros(0, np.uint8)
-        self.seeds: dict[int, np.ndarray] = {}
         self.cuts, self.keys = np.frombuffer(row["cuts"], "<i8").reshape(-1, 2), np.frombuffer(row["keys"], "<u8").reshape(-1, 2)
 
     def runs(self, ok: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """seed_runs() of the strings that are ok; the block's seeds are made once."""
-        if gram not in self.seeds:
-            self.seeds[gram] = least_hashes(self.data, width, gram)
-        return seed_runs(self.seeds[gram], ok, width, gram)
+        """seed_runs() of the strings that are ok; only their bytes are hashed."""
+        start, end = stretches(ok)
+        end = end + width - 1
+        if not len(start):
+            return start, start, np.zeros(0, np.uint64)
+        data = np.concatenate([self.data[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)])
+        at = np.append(0, np.cumsum(end - start))
+        begin, n, seed = seed_runs(least_hashes(data, width, gram), inside(at, width), width, gram)
+        return begin + (start - at[:-1])[np.searchsorted(at, begin, "right") - 1], n, seed
 
     def docs_at(self, places: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.at, places, "right") - 1]
@@ -207,15 +217,25 @@ def _pack(width: int):
 
 def _own(told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """The ranges of strings that repeated pieces of a block remove."""
-    row = next(r for r in told if r["starts"] is not None)
+    row = next(r for r in told if r["starts"] is not None and r.get("gram") is None)
     return np.frombuffer(row["starts"], "<i8"), np.frombuffer(row["ends"], "<i8")
 
 
+def _still(b: Block, told: list[dict], width: int) -> np.ndarray:
+    """Strings that are left by pieces and by the seeds before the last that were asked."""
+    row = next((r for r in told if r["starts"] is not None and r["gram"] is not None), None)
+    if row is None:
+        return b.left(*_own(told), width)
+    ok, starts = np.zeros(max(0, len(b.data) - width + 1), bool), np.frombuffer(row["starts"], "<i8")
+    ok[_spread(starts, np.frombuffer(row["ends"], "<i8") - starts)] = True
+    return ok
+
+
 def _shared(b: Block, ok: np.ndarray, told: list[dict], width: int, gram: int, bits: int) -> np.ndarray:
     """Of the strings that are ok, those whose seeds other documents have too, by the answers to what a block has asked."""
     begin, n, seed = b.runs(ok, width, gram)
     asked, place = np.unique(mix64(seed) >> np.uint64(64 - bits), return_inverse=True)
-    answers = sorted((r for r in told if r["gram"] == gram), key=lambda r: r["part"])
+    answers = sorted((r for r in told if r["gram"] == gram and r["part"] is not None), key=lambda r: r["part"])
     shared = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=r["n"], bitorder="little") for r in answers]]).astype(bool)
     if len(shared) != len(asked):
         raise ValueError("answers do not fit a block's seeds")
@@ -227,7 +247,7 @@ def _shared(b: Block, ok: np.ndarray, told: list[dict], width: int, gram: int, b
 
 def _ask(width: int, grams: list[int], parts: int, bits: int):
     """The last of these grams' seeds of the strings that pieces and the seeds before have left; with the first gram, also
-    the ranges of strings that repeated pieces remove."""
+    the ranges of strings that repeated pieces remove, with later ones the ranges of strings that are left."""
 
     def run(key: tuple, blocks: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
@@ -239,11 +259,11 @@ def _ask(width: int, grams: list[int], parts: int, bits: int):
                 gone = known < b.docs_at(b.cuts[:, 0])
                 starts, ends = b.cuts[gone, 0], b.cuts[gone, 1]
                 rows.append({"block": row["block"], "starts": starts.tobytes(), "ends": ends.tobytes()})
+                ok = b.left(starts, ends, width)
             else:
-                starts, ends = _own(told_rows)
-            ok = b.left(starts, ends, width)
-            for gram in grams[:-1]:
-                ok = _shared(b, ok, told_rows, width, gram, bits)
+                ok = _shared(b, _still(b, told_rows, width), told_rows, width, grams[-2], bits)
+                starts, ends = stretches(ok)
+                rows.append({"block": row["block"], "gram": grams[-1], "starts": starts.astype("<i8").tobytes(), "ends": ends.astype("<i8").tobytes()})
             begin, _, seed = b.runs(ok, width, grams[-1])
             hashed, doc = mix64(seed) >> np.uint64(64 - bits), np.searchsorted(b.at, begin, "right")
             order = np.lexsort((doc, hashed))
@@ -283,9 +303,7 @@ def _contexts(width: int, grams: list[int], bits: int):
         for row in blocks.to_pylist():
             b, told_rows = Block(row), told.to_pylist()
             starts, ends = _own(told_rows)
-            ok = b.left(starts, ends, width)
-            for gram in grams:
-                ok = _shared(b, ok, told_rows, width, gram, bits)
+            ok = _shared(b, _still(b, told_rows, width), told_rows, width, grams[-1], bits)
             begin, n, seed = b.runs(ok, width, grams[0])
             texts = _cut_out(b.data, begin, n + width - 1).dictionary_encode()
             index = texts.indices.to_numpy()
@@ -300,12 +318,49 @@ def _contexts(width: int, grams: list[int], bits: int):
     return run
 
 
-def order_contexts(seed: np.ndarray, texts: pa.Array, lo: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each context the least doc_id of each of its strings among all contexts of its seed (rows of one seed are
-    neighbours), from one suffix array a seed."""
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that an array's values lie in, and where each begins, and the end."""
     raw = texts.cast(pa.large_binary())
-    at = np.frombuffer(raw.buffers()[1], "<i8")[raw.offset : raw.offset + len(raw) + 1]
-    data, size = np.frombuffer(raw.buffers()[2], np.uint8), np.diff(at)
+    return np.frombuffer(raw.buffers()[2] or b"", np.uint8), np.frombuffer(raw.buffers()[1], "<i8")[raw.offset : raw.offset + len(raw) + 1]
+
+
+def _alike(seed: np.ndarray) -> np.ndarray:
+    """For each row, how many rows have its seed (they are neighbours)."""
+    first = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
+    n = np.diff(np.append(first, len(seed)))
+    return np.repeat(n, n)
+
+
+def order_seeds(seed: np.ndarray, texts: pa.Array, lo: np.ndarray, width: int, grams: list[int]) -> np.ndarray:
+    """For each string of each context, one after the other, the least doc_id among all contexts of its seed (rows of one
+    seed are neighbours; a seed's contexts differ). Seeds of many contexts are dealt by parts of the next of these lengths,
+    as the number of steps that order texts together is the longest text's."""
+    strings = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) - width + 1
+    least, at, alike = np.repeat(lo, strings), np.append(0, np.cumsum(strings)), _alike(seed)
+    many = (alike > MANY_CONTEXTS) & (len(grams) > 0)
+    few = (alike > 1) & ~many  # the only context of its seed needs no order
+    if few.any():
+        least[_spread(at[:-1][few], strings[few])] = np.concatenate(order_contexts(seed[few], texts.filter(pa.array(few)), lo[few], width))
+    if many.any():
+        data, begins = _bytes_of(texts.filter(pa.array(many)))
+        data, begins = data[begins[0] : begins[-1]], begins - begins[0]
+        begin, n, part = seed_runs(least_hashes(data, width, grams[0]), inside(begins, width), width, grams[0])
+        cut = _cut_out(data, begin, n + width - 1).dictionary_encode()
+        index = cut.indices.to_numpy()
+        first, least_of, _ = _collapse([index], lo[many][np.searchsorted(begins, begin, "right") - 1])
+        order = np.argsort(part[first], kind="stable")
+        first, least_of = first[order], least_of[order]
+        found = order_seeds(part[first], cut.dictionary.take(pa.array(index[first])), least_of, width, grams[1:])
+        starts = np.empty(len(cut.dictionary), np.int64)
+        starts[index[first]] = np.cumsum(n[first]) - n[first]
+        least[_spread(at[:-1][many], strings[many])] = found[_spread(starts[index], n)]
+    return least
+
+
+def order_contexts(seed: np.ndarray, texts: pa.Array, lo: np.ndarray, width: int) -> list[np.ndarray]:
+    """As order_seeds(), an array a context, from one suffix array a seed."""
+    data, at = _bytes_of(texts)
+    size = np.diff(at)
     new = np.append(True, seed[1:] != seed[:-1])
     text = np.cumsum(new) - 1
     # contexts one after the other, each with a 1 behind it, a seed's last also with a 0
@@ -335,15 +390,19 @@ def order_contexts(seed: np.ndarray, texts: pa.Array, lo: np.ndarray, width: int
     return np.split(least[starts], np.cumsum(strings)[:-1])
 
 
-def _runs_of(values: np.ndarray) -> bytes:
-    """Equal neighbours as (how many, value)."""
-    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+def _runs_of(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each of the stretches of so many values: equal neighbours as (how many, value)."""
+    new = np.append(True, values[1:] != values[:-1])
+    begin = np.cumsum(sizes) - sizes
+    new[begin] = True
+    first = np.flatnonzero(new)
     out = np.empty(len(first), _RUN)
     out["n"], out["least"] = np.diff(np.append(first, len(values))), values[first]
-    return out.tobytes()
+    at = np.append(np.searchsorted(first, begin), len(first)) * _RUN.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype("<i8")), pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
-def _ordered(width: int):
+def _ordered(width: int, grams: list[int]):
     """A stream sorted by seed: whole seeds, so many bytes at a time, are ordered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +411,7 @@ def _ordered(width: int):
         for batch in batches:
             for a, b in portions(batch.column(1), ORDERED):
                 held.append(batch.slice(a, b - a))
-                size += sum(len(x) for x in batch.column(1).slice(a, b - a).to_pylist())
+                size += pc.sum(pc.binary_length(held[-1].column(1))).as_py()
                 if size >= ORDERED:
                     table = pa.Table.from_batches(held)
                     seeds = table["seed"].to_numpy()
@@ -368,13 +427,9 @@ def _ordered(width: int):
             return
         seed, lo = table["seed"].to_numpy(), table["lo"].to_numpy()
         texts = pa.concat_arrays([x.cast(pa.large_binary()) for x in table["text"].chunks])
-        alone = np.append(True, seed[1:] != seed[:-1]) & np.append(seed[1:] != seed[:-1], True)
         strings = pc.binary_length(texts).to_numpy() - width + 1
-        least: list[np.ndarray] = [np.full(n, d) if a else None for n, d, a in zip(strings.tolist(), lo.tolist(), alone.tolist(), strict=True)]
-        if not alone.all():  # the only context of its seed needs no order
-            for i, x in zip(np.flatnonzero(~alone).tolist(), order_contexts(seed[~alone], texts.filter(pa.array(~alone)), lo[~alone], width), strict=True):
-                least[i] = x
-        yield pa.record_batch([pa.array(seed), texts.cast(pa.binary()), pa.array([_runs_of(x) for x in least], pa.binary()), pa.array([int(x.min()) for x in least])], names=["seed", "text", "least", "lowest"])
+        least = order_seeds(seed, texts, lo, width, grams)
+        yield pa.record_batch([pa.array(seed), texts.cast(pa.binary()), _runs_of(least, strings), pa.array(np.minimum.reduceat(least, np.cumsum(strings) - strings))], names=["seed", "text", "least", "lowest"])
         tidy()
 
     return run
@@ -387,9 +442,8 @@ def _deal_again(width: int, gram: int):
         for batch in batches:
             for x, y in portions(batch.column(1), ORDERED):
                 part = batch.slice(x, y - x)
-                raw = part.column(1).cast(pa.large_binary())
-                at = np.frombuffer(raw.buffers()[1], "<i8")[raw.offset : raw.offset + len(raw) + 1]
-                data, at = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+                data, at = _bytes_of(part.column(1))
+                data, at = data[at[0] : at[-1]], at - at[0]
                 begin, n, seed = seed_runs(least_hashes(data, width, gram), inside(at, width), width, gram)
                 of = np.searchsorted(at, begin, "right") - 1
                 take = pa.array(of)
@@ -411,7 +465,7 @@ def least_docs(contexts: DataFrame, width: int, grams: list[int], held: list[Dat
     counts = counts.filter("first < last")
     cold, hot = counts.filter(F.col("n") <= MOST_CONTEXTS), counts.filter(F.col("n") > MOST_CONTEXTS)
     mine = contexts if len(grams) == 1 else contexts.join(cold.select("seed"), "seed", "left_semi")
-    out = mine.select("seed", "text", "lo").repartition("seed").sortWithinPartitions("seed").mapInArrow(_ordered(width), LEAST)
+    out = mine.select("seed", "text", "lo").repartition("seed").sortWithinPartitions("seed").mapInArrow(_ordered(width, grams[1:]), LEAST)
     if len(grams) == 1 or hot.isEmpty():
         return out
     dealt = contexts.join(hot.select("seed"), "seed", "left_semi").select("seed", "text", "lo", "hi")
@@ -443,19 +497,21 @@ def _remove(width: int):
     def run(key: tuple, blocks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
-            b, told_rows = Block(row), told.to_pylist()
-            own = next(r for r in told_rows if r["starts"] is not None)
-            starts, ends = _own(told_rows)
+            b, mine = Block(row), told.filter(pc.is_valid(told["starts"])).to_pylist()
+            own, (starts, ends) = mine[0], _own(mine)
             change = np.zeros(len(b.data) + 1, np.int32)
             np.add.at(change, starts, 1)
             np.add.at(change, ends + width - 1, -1)
-            least = {r["place"]: r["least"] for r in told_rows if r["place"] is not None}
-            if least:
+            least = told.filter(pc.is_valid(told["place"])).select(["place", "least"]).combine_chunks()
+            if least.num_rows:
                 begin, place = np.frombuffer(own["begins"], "<i8"), np.frombuffer(own["places"], "<i4")
-                mine = np.flatnonzero(np.isin(place, np.fromiter(least, np.int32, len(least))))
-                runs = [np.frombuffer(least[p], _RUN) for p in place[mine].tolist()]
-                sizes = np.array([len(r) for r in runs])
-                runs = np.concatenate(runs)
+                row_of = np.full(int(place.max()) + 1, -1)
+                row_of[least["place"].to_numpy()] = np.arange(least.num_rows)
+                mine = np.flatnonzero(row_of[place] >= 0)
+                data, at = _bytes_of(pa.concat_arrays([x.cast(pa.large_binary()) for x in least["least"].chunks]))
+                runs, at = np.frombuffer(data[at[0] : at[-1]], _RUN), (at - at[0]) // _RUN.itemsize
+                sizes = np.diff(at)[row_of[place[mine]]]
+                runs = runs[_spread(at[row_of[place[mine]]], sizes)]
                 n = runs["n"].astype(np.int64)
                 # each run's place in its context: what the runs before it in the context sum up to
                 before = np.cumsum(n) - n
@@ -463,7 +519,7 @@ def _remove(width: int):
                 hit = runs["least"] < np.repeat(b.docs_at(begin[mine]), sizes)
                 np.add.at(change, at[hit], 1)
                 np.add.at(change, at[hit] + n[hit] + width - 1, -1)
-            gone = np.cumsum(change)[:-1] > 0
+            gone = np.cumsum(change, dtype=np.int32)[:-1] > 0
             first = gone.copy()
             first[1:] &= ~gone[:-1]
             first[b.at[:-1][np.diff(b.at) > 0]] |= gone[b.at[:-1][np.diff(b.at) > 0]]
@@ -504,9 +560,11 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     spans, held = None, []
     for k in range(len(asking)):
         asked = meet(told, _ask(width, asking[: k + 1], parts, bits), ASKED, "suffix-seeds")
+        told = asked.filter("part IS NULL").select(F.col("block").alias("of"), "starts", "ends", "gram", *none(("part", "int"), ("n", "long"), ("shared", "binary")))
         if spans is None:
-            spans = asked.filter("part IS NULL").select(F.col("block").alias("of"), "starts", "ends", *none(("gram", "int"), ("part", "int"), ("n", "long"), ("shared", "binary")))
-            told = spans
+            spans = told
+        else:
+            told = spans.unionByName(told)
         answers = asked.filter("part IS NOT NULL").select("gram", "part", "block", "n", "first", "keys", "counts").groupBy("part").applyInArrow(_tell, TOLD)
         answers = save(answers, "suffix-shared")
         told = told.unionByName(answers.select(F.col("block").alias("of"), *none(("starts", "binary"), ("ends", "binary")), "gram", "part", "n", "shared"))

@@ -187,6 +187,30 @@ def test_repeats_of_documents(docs, texts, empty):
         suffix_dedup.remove_repeats(docs, 7)
 
 
+def test_long_passages_like_brute_force(spark):
+    """Over 255 neighbouring strings of one seed and one least doc_id."""
+    rng = random.Random(6)
+    bases = ["".join(rng.choice("abcdefgh ") for _ in range(1500)) for _ in range(40)]
+    rows = [r for i, base in enumerate(bases) for r in ((2 * i, base), (2 * i + 1, "z" + base[100:1400] + "q"))]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 700).collect()
+    assert sorted((tuple(r) for r in got), key=str) == unrepeated(rows, 700)
+
+
+def test_seeds_of_many_contexts_are_ordered_in_short_texts(monkeypatch):
+    """What texts ordered together cost in steps is the longest one's symbols: many contexts of a seed are dealt again."""
+    rng, longest = random.Random(7), []
+    common = "".join(rng.choice("abcdef ") for _ in range(50))
+    texts = sorted({"".join(rng.choice("xyz") for _ in range(rng.randint(1, 12))) + common[rng.randint(0, 4) : rng.randint(44, 50)] + rng.choice(["x", "yy", "zx"]) for _ in range(60)} - {""})
+    texts = [t for t in texts if len(t) >= 50]
+    assert len(texts) > 20
+    lo = [rng.randint(0, 1000) for _ in texts]
+    monkeypatch.setattr(suffix_dedup, "suffix_arrays", lambda symbols, bounds: longest.append(int(np.diff(bounds).max())) or suffix_arrays(symbols, bounds))
+    got = suffix_dedup.order_seeds(np.ones(len(texts), np.int64), pa.array([t.encode() for t in texts]), np.array(lo), 50, [40, 50])
+    strings = [t[p : p + 50] for t in texts for p in range(len(t) - 49)]
+    assert got.tolist() == [min(d for u, d in zip(texts, lo) if x in u) for x in strings]
+    assert max(longest, default=0) < sum(len(t) for t in texts) / 2
+
+
 def test_contexts_meet_in_one_order():
     texts = ["the water is cold over there", "a water is cold over here", "the water is cold over there again", "unlike all"]
     least = suffix_dedup.order_contexts(np.array([1, 1, 1, 2]), pa.array([t.encode() for t in texts]), np.array([5, 3, 1, 9]), 10)
