@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from ledgermill import constants as K
@@ -72,3 +74,50 @@ def test_a_header_over_two_rows_is_found_by_its_second(spark):
     got = header.locate(grid).collect()
     assert [(r["row"], r["start_row"], r["headers"]) for r in got] == [(0, 2, ["Description", "Value date", "Net balance"])]
     assert got[0]["mapping"] == {"description": 0, "transaction_date": 1, "running_balance": 2}
+
+
+def _rows_of(words):
+    """Words (page, word_idx, text, x0, x1, top) as rows of gap-split cells, one word after the other."""
+    tops, lines = {}, {}
+    for page, i, text, x0, x1, top in sorted(words):
+        own = tops.setdefault(page, [])
+        found = next((t for t in own if abs(t - top) <= layout.ROW_TOLERANCE), top)
+        if found not in own:
+            own.append(found)
+        lines.setdefault((page, found), []).append((x0, i, text, x1))
+    out = []
+    for key in sorted(lines):
+        cells, end = [], None
+        for x0, _, text, x1 in sorted(lines[key]):
+            if end is None or x0 - end <= layout.BODY_GAP and cells:
+                cells = [*cells[:-1], " ".join([*cells[-1:], text])] if cells else [text]
+            else:
+                cells.append(text)
+            end = x1 if end is None else max(end, x1)
+        out.append((key[0], cells))
+    return out
+
+
+def test_lines_need_a_pass_in_word_order_only_where_they_may_touch(spark, monkeypatch):
+    """Lines apart from each other are found without one; stacks of lines that may touch, of any height, are as in word order."""
+    rng, seen = random.Random(3), []
+    plain = [(1, 10 * r + c, f"p{r}{c}", c * 30.0, c * 30.0 + 20, r * 12.0 + c % 2) for r in range(8) for c in range(4)]
+    stack = [(2, i, f"s{i}", float(rng.randrange(0, 400, 7)), 0.0, rng.randrange(0, 2400) / 4) for i in range(300)]
+    stack = [(p, i, t, x, x + rng.randrange(5, 60), y) for p, i, t, x, _, y in stack]
+    uneven = [(3, 0, "long", 0.0, 100.0, 5.0), (3, 1, "in", 10.0, 20.0, 5.0), (3, 2, "near", 105.0, 120.0, 6.0), (3, 3, "far", 140.0, 150.0, 5.0), (3, 4, "x", 0.0, 9.0, 50.0)]
+    whole = layout.lines
+    monkeypatch.setattr(layout, "lines", lambda words: seen.append(sorted({r["page"] for r in words.select("page").distinct().collect()})) or whole(words))
+    frame = lambda words: spark.createDataFrame([("d", *w) for w in words], "doc_id string, page int, word_idx int, text string, x0 double, x1 double, top double")
+    got = layout.grid_from_words(frame(plain)).orderBy("page", "row").collect()
+    assert [(r["page"], r["cells"]) for r in got] == _rows_of(plain)
+    assert seen == []
+    got = layout.grid_from_words(frame(plain + stack + uneven)).orderBy("page", "row").collect()
+    assert [(r["page"], r["cells"]) for r in got] == _rows_of(plain + stack + uneven)
+    assert seen == [[2, 3]]
+
+
+def test_words_without_a_place(spark):
+    """Words without a top are a line of their own; a line whose word has no right end is split as before."""
+    rows = [("d", 1, 0, "a", 0.0, 10.0, None), ("d", 1, 1, "b", 50.0, 60.0, float("nan")), ("d", 1, 2, "c", 0.0, None, 3.0), ("d", 1, 3, "e", 50.0, 60.0, 3.0), ("d", 1, 4, "f", 0.0, 5.0, float("inf"))]
+    words = spark.createDataFrame(rows, "doc_id string, page int, word_idx int, text string, x0 double, x1 double, top double")
+    assert [r["cells"] for r in layout.grid_from_words(words).orderBy("row").collect()] == [["a", "b"], ["c e"], ["f"]]
