@@ -46,8 +46,8 @@ def relevant_pages(pages: DataFrame, threshold: float = CUT, query: list[str] |
     return scored.join(best, "doc_id").filter((F.col("best") <= 0) | (F.col("score") >= threshold * F.col("best"))).select("doc_id", "page", "score")
 
 
-def nearest_label(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
-    """id, label, score: the label whose anchors have the highest cosine (to nine decimals) with each vector; the least label
-    on ties. vectors: id, vector; anchors: label, anchor, as many as there are."""
-    index = Index(anchors.select(F.col("label").alias("name"), F.col("anchor").alias("vector")))
-    return index.nearest(vectors, 9).select("id", F.col("name").alias("label"), "score")
+def nearest_label(vectors: DataFrame, anchors: DataFrame, digits: int = 9, plain: bool = False) -> DataFrame:
+    """id, label, score: the label whose anchors have the highest cosine (to `digits` decimals) with each vector; the least
+    label on ties. vectors: id, vector; anchors: label, anchor, as many as there are. plain: cosines as in SQL (see vectors)."""
+    index = Index(anchors.select(F.col("label").alias("name"), F.col("anchor").alias("vector")), plain)
+    return index.nearest(vectors, digits).select("id", F.col("name").alias("label"), "score")

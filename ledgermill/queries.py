@@ -743,7 +743,7 @@ def registry_overlay(spark, sf_dir):
 def embedding_nearest_label(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     anchors = e.filter("vec_id < 20").select("label", F.col("embedding").alias("anchor"))
-    out = retrieval.nearest_label(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), anchors)
+    out = retrieval.nearest_label(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), anchors, digits=6, plain=True)
     return out.select("id", "label")
 
 
